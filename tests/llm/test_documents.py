@@ -236,7 +236,7 @@ def test_mixing(docs, rows, empty):
 
 def test_mixing_sql(docs, rows):
     con = duckdb.connect()
-    table = docs.select("doc_id", "text", "source").toPandas()
+    table = docs.select("doc_id", "text", "source").toArrow()
     con.register("documents", table)
     want = Counter(con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL.format(docs='documents')})").fetchall())
     assert counted(mixing.mix(docs)) == want

@@ -62,7 +62,7 @@ class Canon:
         self.known[raw] = out = len(self.facts[0]) - 1
         return out
 
-    def ids(self, words: list[str]) -> np.ndarray:
+    def ids(self, words: list[str], inside_sentence: bool = False) -> np.ndarray:
         if len(self.known) > CACHE:
             self.__init__()
         known, look = self.known, self.look
@@ -70,7 +70,7 @@ class Canon:
         if not len(at):
             return at
         start, inside, ends, number, unit = (np.frombuffer(c, dtype=np.int64)[at] for c in self.facts)
-        first = np.concatenate(([True], ends[:-1] > 0))
+        first = np.concatenate(([not inside_sentence], ends[:-1] > 0))
         out = np.where(first, start, inside)
         return np.where(np.concatenate(([False], number[:-1] > 0)) & (unit > 0), UNIT, out)
 
@@ -111,6 +111,10 @@ def _window_rows(frame: DataFrame, keys: list[str], widths: list[int] | None, wa
                     total += int(good.sum())
                     if wanted is not None and len(hashes):
                         good = good & np.isin(hashes, wanted)
+                    if widths is None and len(hashes) and (other := canon.ids(words, inside_sentence=True))[0] != ids[0]:
+                        # an item may be quoted inside a sentence, where its first word looks like a name
+                        h, g = windows(other[:width], width)
+                        found += [{"hash": int(h.astype(np.int64)[0]), "place": 0, "slots": _slots(words, other, 0, width)}] * int(g[0])
                     found += [{"hash": int(h), "place": int(p), "slots": _slots(words, ids, p, width)} for h, p in zip(hashes[good].astype(np.int64), np.flatnonzero(good))]
                 if found:
                     rows.append(found)

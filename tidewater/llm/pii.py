@@ -5,8 +5,8 @@ numbers. The method then asks which words near a protected value give it away:
 over the whole corpus it counts how often a term stands within ``REACH`` code
 points of a value, and how often it stands anywhere. A term discloses the value
 if the share of its occurrences that do is ``SHARE`` or more, in ``CONTEXTS``
-different contexts or more, and the value is then ``BITS`` likelier than by
-chance. Disclosing terms near their value are spans of kind ``term``; ``sanitise``
+different contexts or more, and that is ``BITS`` above the share of documents
+that hold the value. Disclosing terms near their value are spans of kind ``term``; ``sanitise``
 generalises them, or removes them where the share is ``REMOVE`` or more.
 
 Everything is DataFrame functions: places come from splitting a text by a
@@ -31,7 +31,7 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}{3,}+"
+TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 REACH, SHARE, CONTEXTS, BITS, REMOVE = 60, 0.5, 2, 3.0, 0.9
 
 
@@ -101,21 +101,20 @@ def context_terms(text: Column, base: Column) -> Column:
     return F.filter(found, lambda t: ~F.exists(base, lambda b: (t["s"] < b["e"]) & (b["s"] < t["e"])))
 
 
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
+def disclosing(docs: DataFrame, near: DataFrame, n_docs: int) -> DataFrame:
     """(entity, term, share): terms that give a value away. ``near`` has one row per
     term beside a value; every occurrence in ``docs`` is counted."""
     pairs = stage(near.groupBy("entity", "term").agg(F.count("*").alias("together"), F.count_distinct("context").alias("contexts")), "pii-pairs")
-    values = near.groupBy("entity").agg(F.count("*").alias("beside"))
+    values = near.groupBy("entity").agg(F.count_distinct("row").alias("holders"))
     terms = stage(pairs.where(F.col("contexts") >= CONTEXTS).select("term").distinct(), "pii-terms")
     n = terms.count()
     all_terms = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0))).alias("t"))
     if n <= BROADCAST_ROWS:  # else the counts are made first and joined
         all_terms = all_terms.join(F.broadcast(terms), F.col("t") == F.col("term"), "left_semi")
     counts = all_terms.groupBy("t").agg(F.count("*").alias("anywhere"))
-    total = near.agg(F.count("*").alias("total"))
-    known = pairs.where(F.col("contexts") >= CONTEXTS).join(counts, F.col("term") == F.col("t")).join(values, "entity").crossJoin(F.broadcast(total))
+    known = pairs.where(F.col("contexts") >= CONTEXTS).join(counts, F.col("term") == F.col("t")).join(values, "entity")
     share = F.least(F.lit(1.0), F.col("together") / F.col("anywhere"))
-    bits = F.log2(share / (F.col("beside") / F.col("total")))
+    bits = F.log2(share * n_docs / F.col("holders"))
     return known.select("entity", "term", share.alias("share"), bits.alias("bits")).where((F.col("share") >= SHARE) & (F.col("bits") >= BITS)).select("entity", "term", "share")
 
 
@@ -126,7 +125,7 @@ def find(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     rows = rows.select("doc_id", *carry, "base", F.when(F.size("base") > 0, context_terms(F.col("_t"), F.col("base"))).alias("ctx")).withColumn("row", F.monotonically_increasing_id())
     rows = stage(rows, "pii-base")
     near = rows.where("ctx IS NOT NULL").select("row", F.explode("ctx").alias("c")).select("row", "c.*")
-    told = stage(disclosing(docs, near), "pii-told").select(F.col("entity").alias("_e"), F.col("term").alias("_w"), "share")
+    told = stage(disclosing(docs, near, rows.count()), "pii-told").select(F.col("entity").alias("_e"), F.col("term").alias("_w"), "share")
     hits = small_join(near, told, (F.col("entity") == F.col("_e")) & (F.col("term") == F.col("_w")))
     per = hits.groupBy("row", "s", "e").agg(F.max("share").alias("share")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "share"))).alias("terms"))
     per = per.withColumnRenamed("row", "_row")
