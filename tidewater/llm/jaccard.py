@@ -5,7 +5,7 @@ one class and only one representative of it goes on. All tokens have one order,
 frequent ones last; two sets of similarity 4/5 share a token among the first
 n - ceil(4n/5) + 1 of each, and k tokens among the first k - 1 more. So rare
 tokens are indexed singly, and where a token's list is long, combinations of it
-with another token of the extended prefix (k = 2, then 3) are indexed instead.
+with another token of the prefix extended by one are indexed instead.
 
 Links are wanted for their components, so pairs that are already connected need
 no test. First every list links its members to a pivot; then only pairs of
@@ -35,7 +35,7 @@ from .common import BROADCAST_ROWS, shingle_sets, small_join, stage
 
 PART, WHOLE = 80, 100  # link when WHOLE * intersection >= PART * union
 LONG = 64  # members from which a token's list counts as long
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS, PIVOTS = 3, 16  # further pivots of a long list
 #: Tokens in the frequent class at most; more would only cost order, not results.
 FREQUENT = 2_000_000
 
@@ -78,7 +78,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
 def token_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(row, doc_id, n, sig, prefix): the first tokens of each set in the common
-    order (42 bits of each: fewer bits only add candidates), for k up to 3."""
+    order (42 bits of each: fewer bits only add candidates), extended for pairs."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -92,7 +92,7 @@ def token_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     high = (s >> np.uint64(32)).astype(np.uint32)
                     late = often[np.minimum(np.searchsorted(often, high), len(often) - 1)] == high
                     s = np.concatenate((s[~late], s[late]))
-                prefixes.append((s[: prefix_length(n[-1], 3)] >> np.uint64(22)).astype(np.int64))
+                prefixes.append((s[: prefix_length(n[-1], 2)] >> np.uint64(22)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "prefix"])
 
     rows = _texts(docs).mapInArrow(run, "doc_id long, n int, sig binary, prefix array<long>")
@@ -104,34 +104,56 @@ def _prefix(k: int) -> Column:
     return F.least(n, n - F.ceil(n * PART / WHOLE) + k).cast("int")
 
 
+def _places(n: int) -> int:
+    """First places of a set of ``n`` at which a token shared with a set as large or
+    larger can be their first: behind them too few tokens are left for a link."""
+    return n - -(-2 * PART * n // (PART + WHOLE)) + 1
+
+
+def _may_link(na: Column, ua: Column, nb: Column, ub: Column) -> Column:
+    """Sizes and what is left from the shared token on, of two sets, allow a link."""
+    return (F.least(ua, ub) * (PART + WHOLE) >= (na + nb) * PART) & (na * WHOLE >= nb * PART) & (nb * WHOLE >= na * PART)
+
+
 def single_lists(sets: DataFrame) -> DataFrame:
-    """(token, n, row, pivot): the index of single tokens, without tokens of one set.
-    A list's pivot is its smallest set; a set too large for it is the next pivot."""
+    """(token, n, left, idx, row, pivot): the index of single tokens.
+
+    ``left`` counts the tokens of a set from this one on; ``idx`` tells that it stands
+    early enough to be the first one shared with a larger set. Of a pair the smaller
+    set must be of that kind, so rows without such a partner before them go, as do
+    lists of one set. ``pivot`` is a set of the list that may link with this one.
+    """
+    schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("left", pa.int32()), ("idx", pa.bool_()), ("row", pa.int64()), ("pivot", pa.int64())])
 
     def run(batches):
-        token = size = first = None
-        pending = None
-        schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("row", pa.int64()), ("pivot", pa.int64())])
+        token, pending = None, None
+        pivot = late = None  # (size, left, row) of the pivot, and of the last early row
         for b in batches:
-            t, n, r = (b.column(i).to_numpy() for i in range(3))
+            columns = [b.column(i).to_numpy() for i in range(4)]
             if pending is not None:
-                t, n, r = (np.concatenate(([x], y)) for x, y in zip(pending, (t, n, r)))
+                columns = [np.concatenate(([x], y)) for x, y in zip(pending, columns)]
+            t = columns[0]
             same = t[1:] == t[:-1]
             keep = np.concatenate(([t[0] == token], same)) | np.concatenate((same, [False]))
-            pending = None if keep[-1] else (t[-1], n[-1], r[-1])
-            t, n, r = t[keep], n[keep], r[keep]
-            pivots = []
-            for x, m, y in zip(t.tolist(), n.tolist(), r.tolist()):
-                if x != token or PART * m > WHOLE * size:
-                    token, size, first = x, m, y
-                pivots.append(first)
-            if len(t):
-                token = int(t[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(n, pa.int32()), pa.array(r, pa.int64()), pa.array(pivots, pa.int64())], schema=schema)
-
-    tokens = sets.select("n", "row", F.explode(F.slice("prefix", 1, _prefix(1))).alias("token")).select("token", "n", "row")
+            pending = None if keep[-1] else [c[-1] for c in columns]
+            out = []
+            for x, m, place, y in zip(*(c[keep].tolist() for c in columns)):
+                if x != token:
+                    token, pivot, late = x, None, None
+                early, own = place < _places(m), (m, m - place, y)
+                if not early and (late is None or PART * m > WHOLE * late[0]):
+                    continue
+                if pivot is None or PART * m > WHOLE * pivot[0]:
+                    pivot = own if early else late
+                far = min(pivot[1], own[1]) * (PART + WHOLE) < (pivot[0] + m) * PART
+                out.append((x, m, own[1], early, y, None if far or pivot[2] == y else pivot[2]))
+                if early:
+                    late = own
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    tokens = sets.select("n", "row", F.posexplode(F.slice("prefix", 1, _prefix(1))).alias("place", "token")).select("token", "n", "place", "row")
     dealt = tokens.repartition("token").sortWithinPartitions("token", "n", "row")
-    return stage(dealt.mapInArrow(run, "token long, n int, row long, pivot long"), "jaccard-lists")
+    return stage(dealt.mapInArrow(run, "token long, n int, left int, idx boolean, row long, pivot long"), "jaccard-lists")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,62 +209,58 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open_lists(lists: DataFrame, key: str, of: DataFrame) -> DataFrame:
-    """Rows of lists that hold more than one component: key, n, row, comp, size of the list."""
+    """Rows of lists that hold more than one component and an early row, with their
+    component and the ``work`` of the list: its rows times its early rows."""
     known = of.withColumnRenamed("row", "_r")
-    rows = small_join(lists.select(key, "n", "row"), known, F.col("row") == F.col("_r"), "left") if known.count() <= BROADCAST_ROWS else lists.select(key, "n", "row").join(known, F.col("row") == F.col("_r"), "left")
-    rows = stage(rows.select(key, "n", "row", F.coalesce("comp", "row").alias("comp")), "jaccard-open")
-    mixed = stage(rows.groupBy(F.col(key).alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("_k", "size"), "jaccard-mixed")
-    return stage(small_join(rows, mixed, F.col(key) == F.col("_k")).drop("_k"), "jaccard-open")
+    n, own = known.count(), lists.drop("pivot")
+    on = F.col("row") == F.col("_r")
+    rows = (own.join(F.broadcast(known), on, "left") if n <= BROADCAST_ROWS else own.join(known, on, "left")).withColumn("comp", F.coalesce("comp", "row")).drop("_r")
+    mixed = rows.groupBy(F.col(key).alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") * F.count_if("idx")).alias("work")).where("lo <> hi AND work > 0")
+    return stage(small_join(rows, stage(mixed.select("_k", "work"), "jaccard-mixed"), F.col(key) == F.col("_k")).drop("_k"), "jaccard-open")
 
 
 def _cross_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs of a list that are of different components and near enough in size."""
-    a = rows.select(F.col(key).alias("ka"), F.col("row").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = rows.select(F.col(key).alias("kb"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    near = (F.col("na") * WHOLE >= F.col("nb") * PART) & (F.col("nb") * WHOLE >= F.col("na") * PART)
+    """Pairs of a list that are of different components and may link by its token."""
+    a = rows.select(F.col(key).alias("ka"), F.col("row").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
+    b = rows.select(F.col(key).alias("kb"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"))
+    near = _may_link(F.col("na"), F.col("la"), F.col("nb"), F.col("lb"))
     return a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
 
 
-def _combined(rows: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """Index of combinations for the rows of long lists. ``rows`` has key tokens as an
-    array; each is joined with every other token of its set's prefix extended to ``k``."""
-    own = sets.select(F.col("row").alias("_r"), F.slice("prefix", 1, _prefix(k)).alias("prefix"))
-    n = rows.select("row").distinct().count()
-    met = rows.join(own, F.col("row") == F.col("_r")) if n > BROADCAST_ROWS else rows.join(F.broadcast(small_join(own, rows.select(F.col("row").alias("_w")).distinct(), F.col("_r") == F.col("_w"), "left_semi", rows=n)) if n <= 20_000 else own, F.col("row") == F.col("_r"))
-    more = met.select("n", "row", "tokens", F.explode(F.array_except("prefix", "tokens")).alias("g"))
-    tokens = F.array_sort(F.concat("tokens", F.array("g")))
-    return stage(more.select("n", "row", tokens.alias("tokens")).withColumn("key", F.concat_ws(":", "tokens")).dropDuplicates(["key", "row"]), "jaccard-combined")
+def _combined(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Index of two-token combinations for the rows of long lists: the list's token
+    and another of the set's extended prefix."""
+    own = sets.select(F.col("row").alias("_r"), F.slice("prefix", 1, _prefix(2)).alias("prefix"))
+    met = rows.join(own, F.col("row") == F.col("_r")).drop("_r")
+    met = met.withColumn("g", F.explode(F.array_except("prefix", F.array("token")))).drop("prefix")
+    return stage(met.withColumn("key", F.struct("token", "g")).drop("token", "g"), "jaccard-combined")
 
 
 def link_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(row, comp) of the representatives that link with another."""
     lists = single_lists(sets)
-    links = verify(lists.where("row <> pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct(), docs, sets)
+    links = verify(lists.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct(), docs, sets)
     of = components(links)
     open_ = _open_lists(lists, "token", of)
     for r in range(PIVOT_ROUNDS):
-        long = open_.where(F.col("size") > LONG)
+        long = open_.where(F.col("work") > LONG * LONG)
         if not long.limit(1).count():
             break
         order = F.xxhash64("row", F.lit(r))
-        pivots = long.groupBy(F.col("token").alias("_k")).agg(F.min_by(F.struct(F.col("row").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")), order).alias("x"))
-        met = small_join(long, stage(pivots, "jaccard-pivots"), F.col("token") == F.col("_k")).where((F.col("comp") != F.col("x.pc")) & (F.col("n") * WHOLE >= F.col("x.pn") * PART) & (F.col("x.pn") * WHOLE >= F.col("n") * PART))
-        new = verify(met.select(F.least("row", "x.p").alias("a"), F.greatest("row", "x.p").alias("b")).distinct(), docs, sets)
+        pivots = long.where("idx").groupBy(F.col("token").alias("_k"), F.pmod(order, F.lit(PIVOTS)).alias("_i")).agg(F.min_by(F.struct("row", "n", "left", "comp"), order).alias("x"))
+        pivots = pivots.select("_k", F.col("x.row").alias("xr"), F.col("x.n").alias("xn"), F.col("x.left").alias("xl"), F.col("x.comp").alias("xc"))
+        near = (F.col("token") == F.col("_k")) & (F.col("comp") != F.col("xc")) & _may_link(F.col("n"), F.col("left"), F.col("xn"), F.col("xl"))
+        met = small_join(long, stage(pivots, "jaccard-pivots"), near)
+        new = verify(met.select(F.least("row", "xr").alias("a"), F.greatest("row", "xr").alias("b")).distinct(), docs, sets)
         if not new.limit(1).count():
             break
         links = links.unionByName(new)
         of = components(links)
         open_ = _open_lists(lists, "token", of)
-    pairs = _cross_pairs(open_.where(F.col("size") <= LONG), "token")
-    long, key = open_.where(F.col("size") > LONG).select("n", "row", F.array("token").alias("tokens")), "key"
-    for k in (2, 3):
-        if not long.limit(1).count():
-            break
-        combined = _combined(long, sets, k)
-        still = _open_lists(combined, key, of)
-        last = k == 3
-        pairs = pairs.union(_cross_pairs(still if last else still.where(F.col("size") <= LONG), key)).distinct()
-        long = combined.join(still.where(F.col("size") > LONG).select(F.col("key").alias("_k"), F.col("row").alias("_r")), (F.col("key") == F.col("_k")) & (F.col("row") == F.col("_r")), "left_semi").select("n", "row", "tokens")
+    pairs = _cross_pairs(open_.where(F.col("work") <= LONG * LONG), "token")
+    long = open_.where(F.col("work") > LONG * LONG).select("token", "n", "left", "idx", "row")
+    if long.limit(1).count():
+        pairs = pairs.union(_cross_pairs(_open_lists(_combined(long, sets), "key", of), "key")).distinct()
     rest = verify(pairs, docs, sets)
     return components(links.unionByName(rest)) if rest.limit(1).count() else of
 
