@@ -36,8 +36,8 @@ from .common import BROADCAST_ROWS, shingle_sets, small_join, stage
 PART, WHOLE = 80, 100  # link when WHOLE * intersection >= PART * union
 LONG = 64  # members from which a token's list counts as long
 PIVOT_ROUNDS, PIVOTS = 3, 16  # further pivots of a long list
-#: Tokens in the frequent class at most; more would only cost order, not results.
-FREQUENT = 2_000_000
+#: Documents from which a token is frequent, and tokens in that class at most; both cost order, not results.
+FREQUENT_DF, FREQUENT = 16, 2_000_000
 
 
 def prefix_length(n: int, k: int = 1) -> int:
@@ -54,28 +54,53 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.
             yield b.slice(i, size)
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Upper halves of tokens that many documents share, sorted. Tokens are counted
-    where they repeat within a batch, which any shared by one document in 2000 do;
-    the class decides an order only, and any order gives the same links. At most
-    (tokens of the corpus / threshold) can pass, and at most FREQUENT are kept."""
+def _pack(ids: np.ndarray) -> bytes:
+    """Ascending ids as differences, a plane of bytes after the other, which packs well."""
+    return np.diff(ids, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def run(batches):
-        total = 0
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+
+
+def frequent_tokens(docs: DataFrame) -> np.ndarray:
+    """Upper halves of tokens that FREQUENT_DF documents or more share, sorted; the
+    FREQUENT most frequent ones where there are more. The class decides an order
+    only, and any order gives the same links. Tokens are counted over all documents;
+    executors exchange sorted id lists of each batch, cut into buckets by id."""
+    bits = int(np.clip(np.log2(max(1, docs.count()) / 500 + 1), 4, 20))
+    shift = np.uint32(32 - bits)
+
+    def deal(batches):
         for b in batches:
-            total += b.num_rows
             sets = [(s >> np.uint64(32)).astype(np.uint32) for part in _slices([b]) for s in shingle_sets(part.column(0).to_pylist())]
-            ids, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint32), return_counts=True)
-            ids, n = ids[n > 1], n[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], names=["id", "n"])
-
-    counts = stage(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(f"id < 0 OR n >= {LONG}"), "jaccard-counts")
-    total = counts.where("id < 0").agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("id") >= 0).where(F.col("n") >= max(LONG, total // 2000)).orderBy(F.desc("n"), "id").limit(FREQUENT).select("id")
+            ids = np.sort(np.concatenate(sets) if sets else np.zeros(0, np.uint32))
+            cuts = np.flatnonzero(np.diff(ids >> shift)) + 1
+            parts = [x for x in np.split(ids, cuts) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[0] >> shift) for x in parts], pa.int32()), pa.array([_pack(x) for x in parts], pa.binary())], names=["bucket", "ids"])
+
+    def count(batches):
+        held, of = [], None
+        for b in batches:
+            for bucket, ids in zip(b.column(0).to_pylist(), b.column(1)):
+                if bucket != of:
+                    yield _often(held)
+                    held, of = [], bucket
+                held.append(_unpack(ids.as_py()))
+        yield _often(held)
+
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(deal, "bucket int, ids binary")
+    counts = stage(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "id long, n long"), "jaccard-counts")
+    rows = counts.orderBy(F.desc("n"), "id").limit(FREQUENT).select("id") if counts.count() > FREQUENT else counts.select("id")
     return np.sort(np.array([r[0] for r in rows.toLocalIterator()], dtype=np.uint32))
 
 
+def _often(held: list[np.ndarray]) -> pa.RecordBatch:
+    ids, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint32), return_counts=True)
+    keep = n >= FREQUENT_DF
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(n[keep], pa.int64())], names=["id", "n"])
+
+
 def token_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(row, doc_id, n, sig, prefix): the first tokens of each set in the common
     order (42 bits of each: fewer bits only add candidates), extended for pairs."""
