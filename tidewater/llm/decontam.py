@@ -24,6 +24,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,6 @@ class Canon:
         self.facts = [array("q") for _ in range(5)]
 
     def look(self, raw: str) -> int:
-        import xxhash
-
         core = raw.strip(_OUTER) or raw
         low = core.lower()
         plain = 4 + xxhash.xxh3_64_intdigest(low) % ((1 << 63) - 4)
@@ -110,7 +109,7 @@ def _window_rows(frame: DataFrame, keys: list[str], widths: list[int] | None, wa
                     hashes, good = windows(ids, width) if width else (np.zeros(0, np.uint64), np.zeros(0, bool))
                     total += int(good.sum())
                     if wanted is not None and len(hashes):
-                        good = good & np.isin(hashes, wanted)
+                        good = good & (wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes) if len(wanted) else np.zeros(len(hashes), bool)
                     if widths is None and len(hashes) and (other := canon.ids(words, inside_sentence=True))[0] != ids[0]:
                         # an item may be quoted inside a sentence, where its first word looks like a name
                         h, g = windows(other[:width], width)
