@@ -68,4 +68,8 @@ PLANS = {
     "d06_horizon": lambda d: "SELECT h.order_id FROM header h JOIN (SELECT order_id, min(shipped) AS s FROM items GROUP BY order_id) i ON h.order_id = i.order_id WHERE i.s < h.d",
     "d07_freshness": lambda d: "SELECT max(ts) AS newest, max(ts) < TIMESTAMP '2024-01-30 00:00:00' AS is_stale FROM clicks",
     "d08_agreement": lambda d: "SELECT a.d, CAST(a.r - b.r AS DOUBLE) AS difference FROM (SELECT d, sum(pay) AS r FROM valid GROUP BY d) a JOIN (SELECT d, sum(CASE WHEN NOT is_lost AND pay > 0 THEN pay ELSE 0 END) AS r FROM header GROUP BY d) b ON a.d = b.d WHERE a.r <> b.r",
+    "m12_held_out": lambda d: "SELECT id, score, label FROM preds ORDER BY md5(CAST(id AS VARCHAR(20))), id LIMIT 500",
+    "m13_registry": lambda d: """WITH v AS (SELECT model, CAST(predicted_at AS DATE) AS version, max(score) AS quality FROM preds GROUP BY model, CAST(predicted_at AS DATE)), k AS (SELECT *, quality < 0.98 AS is_candidate FROM v)
+        SELECT model, version, CASE WHEN is_candidate THEN 'candidate' WHEN row_number() OVER (PARTITION BY model, is_candidate ORDER BY version DESC) = 1 THEN 'active' ELSE 'superseded' END AS status FROM k""",
+    "s09_risk_export": lambda d: "SELECT id, entity, score FROM preds ORDER BY score DESC, id LIMIT 100",
 }

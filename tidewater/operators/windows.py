@@ -117,3 +117,31 @@ PLANS = {
     "f09_one_hot": lambda d: "SELECT order_id, item_id, CASE WHEN pay_type = 'A' THEN 1 ELSE 0 END AS pay_a, CASE WHEN pay_type = 'N' THEN 1 ELSE 0 END AS pay_n, CASE WHEN pay_type = 'R' THEN 1 ELSE 0 END AS pay_r, CASE WHEN pay_type IN ('A', 'N', 'R') THEN 0 ELSE 1 END AS pay_unknown FROM items",
     "f10_session_features": lambda d: f"{_sessions(d)} SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS clicks, count(DISTINCT event_type) AS page_types, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS has_cart, max(value) AS cart_value, CAST(extract(hour FROM min(ts)) AS INT) AS start_hour, {d.weekday('CAST(min(ts) AS DATE)')} >= 6 AS is_weekend FROM s GROUP BY user_id, session",
 }
+
+
+def _fraud(d):
+    """Order features; trailing parts only look at earlier orders, ties by order id."""
+    day = d.days("h.d", "DATE '1970-01-01'")
+    base = f"""o AS (SELECT h.order_id, h.customer, {day} AS day, h.pay, p.pay_type, p.installments, p.category, n.n_items, n.freight_value
+        FROM header h JOIN (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY price DESC, item_id) AS rn FROM lines) p ON h.order_id = p.order_id AND p.rn = 1 JOIN order_items n ON h.order_id = n.order_id)"""
+    shown = "order_id, category, pay_type, CAST(pay AS DOUBLE) AS pay, n_items, installments, CAST(freight_value AS DOUBLE) AS freight"
+    if d.name == "spark":
+        return f"""WITH {base} SELECT {shown}, day - min(day) OVER (PARTITION BY customer) AS account_age, row_number() OVER (PARTITION BY customer ORDER BY day, order_id) - 1
+            - count(*) OVER (PARTITION BY customer ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS velocity FROM o"""
+    return f"""WITH {base} SELECT {shown}, day - (SELECT min(x.day) FROM o x WHERE x.customer = o.customer) AS account_age,
+        (SELECT count(*) FROM o y WHERE y.customer = o.customer AND y.day >= o.day - 1 AND (y.day < o.day OR y.day = o.day AND y.order_id < o.order_id)) AS velocity FROM o"""
+
+
+def _churn_scores(d):
+    """Current customers that the model has not scored, each once, ranked."""
+    return f"""WITH c AS ({_churn(d, current=True)}), s AS (SELECT customer, least(coalesce(recency, 200.0E0) / 200, 1.0E0) AS score FROM c WHERE NOT EXISTS (SELECT 1 FROM preds p WHERE p.entity = c.customer AND p.model = 'signup'))
+        SELECT customer, score, greatest(score, 1 - score) AS confidence, row_number() OVER (ORDER BY score DESC, customer) AS risk_rank FROM s"""
+
+
+def _forecast_scores(d):
+    """Next week's rows of trained categories; a missing lag counts as 0."""
+    return f"""WITH n AS ({_forecast(d, 1)}), trained AS (SELECT category FROM lines GROUP BY category HAVING count(*) >= 16)
+        SELECT concat(n.category, '@', {d.ymd("n.week")}) AS entity, coalesce(lag1, 0.0E0) AS lag1, coalesce(lag8, 0.0E0) AS lag8, coalesce(orders_roll4, 0.0E0) AS orders_roll4 FROM n JOIN trained t ON n.category = t.category"""
+
+
+PLANS |= {"f07_fraud": _fraud, "m20_churn_scores": _churn_scores, "m21_forecast_scores": _forecast_scores}
