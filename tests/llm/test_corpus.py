@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidewater.llm import chat, decontam, jaccard, toxicity, urls
@@ -96,6 +97,22 @@ BENCH = [
 ]
 
 
+def test_bitmaps_reject_no_link():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        gone, new = rng.integers(0, n // 4 + 2, 2)
+        b = np.unique(np.concatenate((a[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64))))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        found = jaccard.may_link(len(a), jaccard.parity_bitmap(a), len(b), jaccard.parity_bitmap(b))
+        assert found or 100 * both < 80 * (len(a) + len(b) - both)
+    far = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    assert not jaccard.may_link(300, jaccard.parity_bitmap(far), 300, jaccard.parity_bitmap(far ^ np.uint64(0x5555)))
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame(BENCH, "item_id long, text string").withColumnRenamed("item_id", "item_id")
     rows = [

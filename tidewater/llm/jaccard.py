@@ -11,9 +11,12 @@ Links are wanted for their components, so pairs that are already connected need
 no test. First every list links its members to a pivot; then only pairs of
 different components are generated, from lists that still hold more than one.
 Lists that stay long get further pivots before they are split into combinations.
-Every candidate is verified on whole texts, so results are exact up to
-collisions of 64-bit shingle hashes. No pair is dropped: lists whose members are
-of one component hold nothing that could change a component.
+Every candidate first meets a bound: each set has a parity bitmap of about one bit
+a token, and two bitmaps differ in no more bits than their sets do in tokens, so
+pairs whose bitmaps differ too much cannot link and need no text. The others are
+verified on whole texts, once each, so results are exact up to collisions of 64-bit
+shingle hashes. No pair is dropped: lists whose members are of one component hold
+nothing that could change a component.
 
 Defined results: a document without words (null, empty, white space) has an
 empty set and is its own component; with fewer than five words its one token is
@@ -101,26 +104,45 @@ def _often(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(n[keep], pa.int64())], names=["id", "n"])
 
 
+def parity_bitmap(tokens: np.ndarray) -> bytes:
+    """Per place of a bitmap whether an odd number of tokens falls on it; its bits are
+    the power of two that is not below the number of tokens, 64 at least."""
+    bits = 1 << max(6, (len(tokens) - 1).bit_length())
+    places = (tokens & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def may_link(na: int, a: bytes, nb: int, b: bytes) -> bool:
+    """False only for two sets that cannot link: their symmetric difference has at
+    least as many tokens as their bitmaps, folded to the shorter one, have differing bits."""
+    if len(a) != len(b):
+        a, b = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, min(len(a), len(b))), axis=0).tobytes() for x in (a, b))
+    apart = (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+    return (na + nb - apart) * (WHOLE + PART) >= 2 * PART * (na + nb)
+
+
 def token_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(row, doc_id, n, sig, prefix): the first tokens of each set in the common
-    order (42 bits of each: fewer bits only add candidates), extended for pairs."""
+    """(row, doc_id, n, sig, bits, prefix): the parity bitmap of each set and its first
+    tokens in the common order (42 bits of each: fewer bits only add candidates),
+    extended for pairs."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         often = shared.value
         for b in _slices(batches):
-            n, sigs, prefixes = [], [], []
+            n, sigs, bits, prefixes = [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist()):
                 n.append(len(s))
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                bits.append(parity_bitmap(s))
                 if len(often) and len(s):
                     high = (s >> np.uint64(32)).astype(np.uint32)
                     late = often[np.minimum(np.searchsorted(often, high), len(often) - 1)] == high
                     s = np.concatenate((s[~late], s[late]))
                 prefixes.append((s[: prefix_length(n[-1], 2)] >> np.uint64(22)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "bits", "prefix"])
 
-    rows = _texts(docs).mapInArrow(run, "doc_id long, n int, sig binary, prefix array<long>")
+    rows = _texts(docs).mapInArrow(run, "doc_id long, n int, sig binary, bits binary, prefix array<long>")
     return stage(rows.withColumn("row", F.monotonically_increasing_id()), "jaccard-prefixes")
 
 
@@ -181,9 +203,23 @@ def single_lists(sets: DataFrame) -> DataFrame:
     return stage(dealt.mapInArrow(run, "token long, n int, left int, idx boolean, row long, pivot long"), "jaccard-lists")
 
 
+def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose bitmaps leave room for a link."""
+    own = sets.select(F.col("row").alias("_r"), F.struct("n", "bits").alias("s"))
+    met = pairs.join(own, F.col("a") == F.col("_r")).select("a", "b", F.col("s").alias("sa"))
+    met = met.join(own, F.col("b") == F.col("_r")).select("a", "b", F.col("sa.n").alias("na"), F.col("sa.bits").alias("ba"), F.col("s.n").alias("nb"), F.col("s.bits").alias("bb"))
+
+    def test(batches):
+        for b in batches:
+            good = [may_link(*x) for x in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+            yield b.filter(pa.array(good, pa.bool_())).select([0, 1])
+
+    return met.mapInArrow(test, "a long, b long")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: rows of ``sets``) that link, tested on whole texts."""
-    pairs = stage(pairs, "jaccard-pairs")
+    pairs = stage(near_pairs(pairs, sets), "jaccard-pairs")
     rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     n = rows.count()
     if not n:
@@ -233,14 +269,14 @@ def components(links: DataFrame) -> DataFrame:
     return of if of is not None else links.select(F.col("a").alias("row"), F.col("a").alias("comp")).limit(0)
 
 
-def _open_lists(lists: DataFrame, key: str, of: DataFrame) -> DataFrame:
-    """Rows of lists that hold more than one component and an early row, with their
-    component and the ``work`` of the list: its rows times its early rows."""
+def _open_lists(lists: DataFrame, key: str, of: DataFrame, least: int = 2) -> DataFrame:
+    """Rows of lists that hold ``least`` rows or more, several components and an early
+    row, with their component and the ``work`` of the list: its rows times its early rows."""
     known = of.withColumnRenamed("row", "_r")
     n, own = known.count(), lists.drop("pivot")
     on = F.col("row") == F.col("_r")
     rows = (own.join(F.broadcast(known), on, "left") if n <= BROADCAST_ROWS else own.join(known, on, "left")).withColumn("comp", F.coalesce("comp", "row")).drop("_r")
-    mixed = rows.groupBy(F.col(key).alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") * F.count_if("idx")).alias("work")).where("lo <> hi AND work > 0")
+    mixed = rows.groupBy(F.col(key).alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") * F.count_if("idx")).alias("work"), F.count("*").alias("m")).where(f"lo <> hi AND work > 0 AND m >= {least}")
     return stage(small_join(rows, stage(mixed.select("_k", "work"), "jaccard-mixed"), F.col(key) == F.col("_k")).drop("_k"), "jaccard-open")
 
 
@@ -249,7 +285,7 @@ def _cross_pairs(rows: DataFrame, key: str) -> DataFrame:
     a = rows.select(F.col(key).alias("ka"), F.col("row").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
     b = rows.select(F.col(key).alias("kb"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"))
     near = _may_link(F.col("na"), F.col("la"), F.col("nb"), F.col("lb"))
-    return a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+    return a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b")
 
 
 def _combined(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,12 +297,20 @@ def _combined(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(met.withColumn("key", F.struct("token", "g")).drop("token", "g"), "jaccard-combined")
 
 
-def link_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(row, comp) of the representatives that link with another."""
-    lists = single_lists(sets)
-    links = verify(lists.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct(), docs, sets)
+def _new_pairs(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Distinct ``pairs``, smaller row first, that are not among ``tried``; written."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-candidates")
+
+
+def link_components(docs: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
+    """(row, comp) of the representatives ``heads`` among ``sets`` that link with another."""
+    lists = single_lists(heads)
+    tried = _new_pairs(lists.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("row").alias("b")), None)
+    links = verify(tried, docs, sets)
     of = components(links)
-    open_ = _open_lists(lists, "token", of)
+    # the one pair of a list of two was tried with its pivot, or is too far apart
+    open_ = _open_lists(lists, "token", of, 3)
     for r in range(PIVOT_ROUNDS):
         long = open_.where(F.col("work") > LONG * LONG)
         if not long.limit(1).count():
@@ -276,44 +320,52 @@ def link_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
         pivots = pivots.select("_k", F.col("x.row").alias("xr"), F.col("x.n").alias("xn"), F.col("x.left").alias("xl"), F.col("x.comp").alias("xc"))
         near = (F.col("token") == F.col("_k")) & (F.col("comp") != F.col("xc")) & _may_link(F.col("n"), F.col("left"), F.col("xn"), F.col("xl"))
         met = small_join(long, stage(pivots, "jaccard-pivots"), near)
-        new = verify(met.select(F.least("row", "xr").alias("a"), F.greatest("row", "xr").alias("b")).distinct(), docs, sets)
+        fresh = _new_pairs(met.select(F.col("row").alias("a"), F.col("xr").alias("b")), tried)
+        tried = tried.unionByName(fresh)
+        new = verify(fresh, docs, sets)
         if not new.limit(1).count():
             break
         links = links.unionByName(new)
         of = components(links)
-        open_ = _open_lists(lists, "token", of)
+        open_ = _open_lists(lists, "token", of, 3)
     pairs = _cross_pairs(open_.where(F.col("work") <= LONG * LONG), "token")
     long = open_.where(F.col("work") > LONG * LONG).select("token", "n", "left", "idx", "row")
     if long.limit(1).count():
-        pairs = pairs.union(_cross_pairs(_open_lists(_combined(long, sets), "key", of), "key")).distinct()
-    rest = verify(pairs, docs, sets)
+        pairs = pairs.union(_cross_pairs(_open_lists(_combined(long, sets), "key", of), "key"))
+    rest = verify(_new_pairs(pairs, tried), docs, sets)
     return components(links.unionByName(rest)) if rest.limit(1).count() else of
 
 
 def join_components(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     sets = token_prefixes(docs, frequent_tokens(docs))
-    classes = stage(sets.where("n > 0").groupBy(F.col("sig").alias("_s")).agg(F.min("row").alias("cls"), F.min("doc_id").alias("low")), "jaccard-classes")
-    heads = sets.join(classes.select(F.col("cls").alias("_c")), F.col("row") == F.col("_c"), "left_semi")
-    of = stage(link_components(docs, heads), "jaccard-components")
-    known = small_join(classes, of.select(F.col("row").alias("_r"), "comp"), F.col("cls") == F.col("_r"), "left").drop("_r") if of.count() <= BROADCAST_ROWS else classes.join(of.select(F.col("row").alias("_r"), "comp"), F.col("cls") == F.col("_r"), "left").drop("_r")
-    known = stage(known, "jaccard-known")
-    lows = stage(known.where("comp IS NOT NULL").groupBy(F.col("comp").alias("_p")).agg(F.min("low").alias("lowest")), "jaccard-lows")
-    named = known.where("comp IS NOT NULL")
-    named = small_join(named, lows, F.col("comp") == F.col("_p")).select("_s", F.col("lowest").alias("component_id"))
-    named = stage(named.unionByName(known.where("comp IS NULL").select("_s", F.col("low").alias("component_id"))), "jaccard-named")
-    full = small_join(sets.where("n > 0").select("doc_id", "n", "sig"), named, F.col("sig") == F.col("_s")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return full.unionByName(sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = sets.where("n > 0")
+    copies = full.groupBy(F.col("sig").alias("_s")).agg(F.min("row").alias("cls"), F.count("*").alias("c")).where("c > 1")
+    copies = stage(copies.select("_s", "cls"), "jaccard-copies")
+    classed = small_join(full, copies, F.col("sig") == F.col("_s"), "left")
+    of = stage(link_components(docs, classed.where("cls IS NULL OR cls = row"), sets), "jaccard-components")
+    rows = classed.select("doc_id", "n", F.coalesce("cls", "row").alias("head"), F.col("cls").isNotNull().alias("more"))
+    rows = small_join(rows, of.withColumnRenamed("row", "_r"), F.col("head") == F.col("_r"), "left")
+    rows = stage(rows.select("doc_id", "n", F.coalesce("comp", F.when(F.col("more"), F.col("head"))).alias("comp")), "jaccard-rows")
+    lows = stage(rows.where("comp IS NOT NULL").groupBy(F.col("comp").alias("_p")).agg(F.min("doc_id").alias("low")), "jaccard-lows")
+    named = small_join(rows, lows, F.col("comp") == F.col("_p"), "left")
+    alone = sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id")).unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, all columns.
-    Of rows with that id the first by text hash stays; documents without words all stay."""
+    Of rows with that id and equal texts one stays; documents without words all stay
+    but for such repeats. Only ids that go, or stand in several rows, are looked up."""
     found = stage(join_components(docs), "jaccard-result")
-    stay = stage(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct(), "jaccard-stay")
-    n = stay.count()
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    marks = found.groupBy(F.col("doc_id").alias("_k")).agg(stays.alias("_stays"), F.count("*").alias("c")).where("NOT _stays OR c > 1")
+    marks = stage(marks.select("_k", "_stays"), "jaccard-marks")
+    n = marks.count()
     key = F.col("doc_id").cast("long").eqNullSafe(F.col("_k"))
-    return docs.join(F.broadcast(stay) if n <= BROADCAST_ROWS else stay, key, "left_semi").dropDuplicates(["doc_id", "text"])
+    marked = docs.join(F.broadcast(marks) if n <= BROADCAST_ROWS else marks, key, "left")
+    once = marked.where("_stays IS NULL").select(*docs.columns)
+    return once.unionByName(marked.where("_stays").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 #: Rows of ``join_components`` in DuckDB SQL.
