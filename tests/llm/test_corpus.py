@@ -134,6 +134,25 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminations(text, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_copies_with_few_plain_words(spark):
+    """Word for word only; copies with other slots are found by templates as before."""
+    items = [
+        (1, "12 13 14 15 16 and 17 18 19 20 21 22"),
+        (2, "Miss Ann Lee Met Doctor Tom Ray In Old New York"),
+        (3, "WHAT IS THE CAPITAL OF FRANCE IN EUROPE TODAY"),
+        (4, "Room 5"),
+        (5, "A man walks from the old town to Rome 5 7 9 11 13 15 17 19 21 23 25 27"),
+        (6, "31 32 33 34 35 36 37 38 39"),
+    ]
+    texts = ["we saw that " + t + " here" for _, t in items]
+    texts += [texts[0].replace("15", "55"), texts[1].replace("Tom", "Tim"), "Room 6", "A man walks from the old town to Bonn 5 7 9 11 13 15 17 19 21 23 25 27"]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["substituted"] for r in decontam.contaminations(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k for k in got if k[0] <= 6} == {(i, i) for i in range(1, 6)}
+    assert not any(got[i, i] for i in range(1, 6))
+    assert {k for k in got if k[0] > 6} == {(10, 5)}
+
+
 def test_decontamination_finds_planted_items(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [(r["item_id"], r["text"].split()) for r in bench.collect()]

@@ -7,14 +7,17 @@ with those of the benchmark. Matches of a document and an item on one alignment
 are then checked for slot consistency: what fills a slot of the item is always
 filled by the same thing in the document, and the other way round. So copies
 and re-parameterised copies are found, while texts that only share a mould of
-placeholders are not (a window needs ``LITERALS`` words that are none).
+placeholders are not (a template needs ``LITERALS`` words that are none).
+Windows with fewer plain words are hashed over the words themselves, without
+case and outer punctuation, and so match only identical ones.
 
 A document is contaminated by an item if consistent windows on one alignment
-cover ``COVER`` of the item's windows or ``RUN`` windows.
+cover ``COVER`` of the item's windows or ``RUN`` windows; templates alone may
+also cover ``COVER`` of the item's templates.
 
 Defined results: null texts are empty and match nothing; items shorter than a
-window form one window of their length; an item with too few plain words is
-never matched; repeated rows of documents and items each count on their own.
+window form one window of their length; an item of numbers only is never
+matched; repeated rows of documents and items each count on their own.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ class Canon:
 
     def __init__(self):
         self.known: dict[str, int] = {}
-        self.facts = [array("q") for _ in range(5)]
+        self.facts = [array("q") for _ in range(6)]
 
     def look(self, raw: str) -> int:
         core = raw.strip(_OUTER) or raw
@@ -54,37 +57,46 @@ class Canon:
         plain = 4 + xxhash.xxh3_64_intdigest(low) % ((1 << 63) - 4)
         number = bool(_NUMBER.fullmatch(core))
         name = not number and core[:1].isupper() and core[:1].isalpha()
-        # id at a sentence's start, id inside a sentence, ends a sentence, is a number, is a unit
-        facts = (NUM if number else plain, NUM if number else NAME if name else plain, raw.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":"), number, low in UNITS)
+        # id at a sentence's start, id inside a sentence, ends a sentence, is a number, is a unit, id of the word itself
+        facts = (NUM if number else plain, NUM if number else NAME if name else plain, raw.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":"), number, low in UNITS, plain)
         for column, x in zip(self.facts, facts):
             column.append(x)
         self.known[raw] = out = len(self.facts[0]) - 1
         return out
 
-    def ids(self, words: list[str], inside_sentence: bool = False) -> np.ndarray:
+    def ids(self, words: list[str], inside_sentence: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Canonical ids, and ids of the words themselves."""
         if len(self.known) > CACHE:
             self.__init__()
         known, look = self.known, self.look
         at = np.array([known[w] if w in known else look(w) for w in words], dtype=np.int64)
         if not len(at):
-            return at
-        start, inside, ends, number, unit = (np.frombuffer(c, dtype=np.int64)[at] for c in self.facts)
+            return at, at
+        start, inside, ends, number, unit, itself = (np.frombuffer(c, dtype=np.int64)[at] for c in self.facts)
         first = np.concatenate(([not inside_sentence], ends[:-1] > 0))
         out = np.where(first, start, inside)
-        return np.where(np.concatenate(([False], number[:-1] > 0)) & (unit > 0), UNIT, out)
+        return np.where(np.concatenate(([False], number[:-1] > 0)) & (unit > 0), UNIT, out), itself
 
 
-def windows(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window of ``width`` canonical words, and whether it has plain words enough."""
+def windows(ids: np.ndarray, itself: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every window of ``width`` words, and whether it has plain words enough for
+    a template; the others are hashed over the words themselves."""
     n = len(ids) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
     out = np.full(n, width, dtype=np.uint64)
     plain = np.concatenate(([0], np.cumsum(ids > UNIT)))
+    template = plain[width:] - plain[:-width] >= min(LITERALS, width)
+    exact = np.flatnonzero(~template)
     with np.errstate(over="ignore"):
         for j in range(width):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + n].astype(np.uint64))
-    return out, plain[width:] - plain[:-width] >= min(LITERALS, width)
+        if len(exact):
+            own = np.full(len(exact), width + 256, dtype=np.uint64)
+            for j in range(width):
+                own = mix(own * np.uint64(0x9E3779B97F4A7C15) + itself[exact + j].astype(np.uint64))
+            out[exact] = own
+    return out, template
 
 
 def _slots(words: list[str], ids: np.ndarray, at: int, width: int) -> list[str]:
@@ -92,46 +104,89 @@ def _slots(words: list[str], ids: np.ndarray, at: int, width: int) -> list[str]:
 
 
 def _window_rows(frame: DataFrame, keys: list[str], widths: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
-    """Rows of ``keys`` with ``found``: hash, width, place, slots of each window (only wanted hashes), and ``n``.
-    ``widths`` None: WINDOW, or the length of a shorter text."""
+    """Rows of ``keys`` with ``found``: hash, kind, place, slots of each window (only wanted hashes), and the
+    numbers of templates ``n`` and of all windows ``whole``. ``widths`` None: items, with WINDOW or the length of a shorter text."""
     types = {f.name: f.dataType.simpleString() for f in frame.schema if f.name in keys}
-    item = pa.struct([("hash", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
+    item = pa.struct([("hash", pa.int64()), ("template", pa.bool_()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
 
     def run(batches):
         canon = Canon()
         for b in batches:
-            rows, n, take = [], [], []
+            rows, n, whole, take = [], [], [], []
             for i, t in enumerate(b.column(len(keys))):
                 words = (t.as_py() or "").split()
-                ids = canon.ids(words)
-                found, total = [], 0
+                ids, itself = canon.ids(words)
+                found, templates, total = [], 0, 0
                 for width in widths or [min(WINDOW, len(words))]:
-                    hashes, good = windows(ids, width) if width else (np.zeros(0, np.uint64), np.zeros(0, bool))
+                    hashes, template = windows(ids, itself, width) if width else (np.zeros(0, np.uint64), np.zeros(0, bool))
+                    good = np.ones(len(hashes), dtype=bool)
+                    if widths is None and (ids == NUM).all():
+                        good[:] = False
+                    templates += int((good & template).sum())
                     total += int(good.sum())
                     if wanted is not None and len(hashes):
                         good = good & (wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes) if len(wanted) else np.zeros(len(hashes), bool)
-                    if widths is None and len(hashes) and (other := canon.ids(words, inside_sentence=True))[0] != ids[0]:
+                    if widths is None and len(hashes) and (other := canon.ids(words, inside_sentence=True)[0])[0] != ids[0]:
                         # an item may be quoted inside a sentence, where its first word looks like a name
-                        h, g = windows(other[:width], width)
-                        found += [{"hash": int(h.astype(np.int64)[0]), "place": 0, "slots": _slots(words, other, 0, width)}] * int(g[0])
-                    found += [{"hash": int(h), "place": int(p), "slots": _slots(words, ids, p, width)} for h, p in zip(hashes[good].astype(np.int64), np.flatnonzero(good))]
+                        h, g = windows(other[:width], itself[:width], width)
+                        found.append({"hash": int(h.astype(np.int64)[0]), "template": bool(g[0]), "place": 0, "slots": _slots(words, other, 0, width)})
+                    found += [{"hash": int(h), "template": bool(g), "place": int(p), "slots": _slots(words, ids, p, width)} for h, g, p in zip(hashes[good].astype(np.int64), template[good], np.flatnonzero(good))]
                 if found:
                     rows.append(found)
-                    n.append(total)
+                    n.append(templates)
+                    whole.append(total)
                     take.append(i)
             kept = b.select(list(range(len(keys)))).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int32()), pa.array(rows, pa.list_(item))], names=[*keys, "n", "found"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int32()), pa.array(whole, pa.int32()), pa.array(rows, pa.list_(item))], names=[*keys, "n", "whole", "found"])
 
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "n int", "found array<struct<hash:long,place:int,slots:array<string>>>"])
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "n int", "whole int", "found array<struct<hash:long,template:boolean,place:int,slots:array<string>>>"])
     return frame.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _covered(windows: list[dict], n: int) -> tuple[int, int, bool] | None:
+    """(matched, n, substituted) if the windows fill slots consistently and cover enough of an item's ``n``."""
+    matched = len({w["b_place"] for w in windows})
+    if not n or (matched < COVER * n and matched < RUN):
+        return None
+    # equal words fill equal slots, whatever the place makes of them
+    pairs = {x for w in windows for x in zip(w["b_slots"], w["slots"] if w["template"] else w["b_slots"])}
+    if not len(pairs) == len({b for b, _ in pairs}) == len({d for _, d in pairs}):
+        return None
+    return matched, n, any(b != d for b, d in pairs)
+
+
+def _verdict(windows: list[dict], n: int, whole: int) -> tuple[int, int, bool] | None:
+    """The best cover of one item by one document."""
+    shifts: dict[int, list[dict]] = {}
+    for w in windows:
+        shifts.setdefault(w["place"] - w["b_place"], []).append(w)
+    found = []
+    for shift, on in shifts.items():
+        for c in (_covered(on, whole), _covered([w for w in on if w["template"]], n)):
+            if c:
+                found.append((c[0] / c[1], c[0], -shift, c))
+    return max(found)[3] if found else None
+
+
+def _verdicts(batches):
+    for b in batches:
+        take, out = [], []
+        for i in range(b.num_rows):
+            v = _verdict(b["windows"][i].as_py(), b["n"][i].as_py(), b["whole"][i].as_py())
+            if v:
+                take.append(i)
+                out.append(v)
+        kept = b.select(["doc_id", "item_id"]).take(pa.array(take, pa.int64()))
+        matched, n, substituted = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(matched, pa.int64()), pa.array(n, pa.int64()), pa.array([m / x for m, x, _ in out], pa.float64()), pa.array(substituted, pa.bool_())], names=["doc_id", "item_id", "matched", "n_windows", "coverage", "substituted"])
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document row and item that contaminates it: doc_id, item_id,
     matched, n_windows, coverage, substituted (a slot is filled otherwise)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item_row", F.monotonically_increasing_id())
     own = _window_rows(items, ["item_row", "item_id"], None, None)
-    bench = stage(own.select("item_row", "item_id", "n", F.explode("found").alias("w")).select("item_row", "item_id", "n", F.col("w.hash").alias("b_hash"), F.col("w.place").alias("b_place"), F.col("w.slots").alias("b_slots")), "bench-windows")
+    bench = stage(own.select("item_row", "item_id", "n", "whole", F.explode("found").alias("w")).select("item_row", "item_id", "n", "whole", F.col("w.hash").alias("b_hash"), F.col("w.place").alias("b_place"), F.col("w.slots").alias("b_slots")), "bench-windows")
     short = items.select(F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")).alias("n")).where(f"n > 0 AND n < {WINDOW}").distinct()
     widths = sorted({WINDOW} | {r["n"] for r in short.collect()})  # at most WINDOW values
     n = bench.count()
@@ -141,14 +196,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
     found = _window_rows(rows, ["row", "doc_id"], widths, wanted).select("row", "doc_id", F.explode("found").alias("w"))
     met = small_join(found, bench, F.col("w.hash") == F.col("b_hash"), rows=n)
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("b_slots").alias("b"), F.col("w.slots").alias("d")))))
-    aligned = met.groupBy("row", "doc_id", "item_row", "item_id", "n", (F.col("w.place") - F.col("b_place")).alias("shift")).agg(F.count_distinct("b_place").alias("matched"), pairs.alias("p"))
-    column = lambda name: F.transform("p", lambda x: x[name])
-    one_to_one = (F.size("p") == F.size(F.array_distinct(column("b")))) & (F.size("p") == F.size(F.array_distinct(column("d"))))
-    good = aligned.where(one_to_one & ((F.col("matched") >= F.lit(COVER) * F.col("n")) | (F.col("matched") >= RUN)))
-    good = good.withColumn("substituted", F.exists("p", lambda x: x["b"] != x["d"]))
-    best = good.groupBy("row", "doc_id", "item_row", "item_id").agg(F.max_by(F.struct("matched", "n", "substituted"), F.struct("matched", -F.col("shift"))).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.matched").cast("long").alias("matched"), F.col("m.n").cast("long").alias("n_windows"), (F.col("m.matched") / F.col("m.n")).alias("coverage"), F.col("m.substituted").alias("substituted"))
+    each = F.struct("b_place", "w.place", "w.template", "b_slots", "w.slots")
+    return met.groupBy("row", "doc_id", "item_row", "item_id", "n", "whole").agg(F.collect_list(each).alias("windows")).mapInArrow(_verdicts, "doc_id long, item_id long, matched long, n_windows long, coverage double, substituted boolean")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
