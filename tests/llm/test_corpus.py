@@ -153,6 +153,25 @@ def test_decontamination_finds_copies_with_few_plain_words(spark):
     assert {k for k in got if k[0] > 6} == {(10, 5)}
 
 
+def test_decontamination_finds_copies_with_words_put_in(spark):
+    """One word more or less in the text or in a slot moves the rest; other fills of one slot still keep a copy out."""
+    plain = [f"word{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(38)]
+    slot = "the tall baker called Ann walks for 5 km every single morning and then Ann goes back home to eat warm bread with salt"
+    items = [(1, " ".join(plain)), (2, slot)]
+    texts = [
+        " ".join(plain[:19] + ["extra"] + plain[19:]),
+        " ".join(plain[:19] + plain[20:]),
+        slot.replace("Ann", "Mary Ann").replace("5 km", "7km"),
+        slot.replace("Ann", "Mary Ann", 1).replace(" Ann goes", " Tom goes"),
+        " ".join(plain[30:] + ["extra"] + plain[:8]),
+        " ".join([*plain[:19], "extra", *plain[19:], "then", *plain[:19], "other", *plain[19:]]),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["n_windows"], r["substituted"]) for r in decontam.contaminations(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (6, 1)}
+    assert got[1, 1] == got[6, 1] == (24, 31, False) and got[2, 1] == (23, 31, False) and got[3, 2][2]
+
+
 def test_decontamination_finds_planted_items(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [(r["item_id"], r["text"].split()) for r in bench.collect()]

@@ -11,9 +11,13 @@ placeholders are not (a template needs ``LITERALS`` words that are none).
 Windows with fewer plain words are hashed over the words themselves, without
 case and outer punctuation, and so match only identical ones.
 
-A document is contaminated by an item if consistent windows on one alignment
-cover ``COVER`` of the item's windows or ``RUN`` windows; templates alone may
-also cover ``COVER`` of the item's templates.
+Windows are also made of joined words: a run of names is one placeholder, and so
+is a number with its unit. So a slot may be filled with more or fewer words.
+
+A document is contaminated by an item if consistent windows on one alignment,
+or windows of joined words on one chain of rising places in both, which may leave
+words out or put some in, cover ``COVER`` of the item's windows of that kind or
+``RUN`` windows; templates alone may also cover ``COVER`` of the item's templates.
 
 Defined results: null texts are empty and match nothing; items shorter than a
 window form one window of their length; an item of numbers only is never
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -78,68 +83,133 @@ class Canon:
         return np.where(np.concatenate(([False], number[:-1] > 0)) & (unit > 0), UNIT, out), itself
 
 
-def windows(ids: np.ndarray, itself: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window of ``width`` words, and whether it has plain words enough for
-    a template; the others are hashed over the words themselves."""
-    n = len(ids) - width + 1
+def windows(ids: np.ndarray, itself: np.ndarray, width: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every window of ``width`` words (only those at ``at``), and whether it has plain
+    words enough for a template; the others are hashed over the words themselves."""
+    n = len(ids) - width + 1 if at is None else len(at)
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
     out = np.full(n, width, dtype=np.uint64)
     plain = np.concatenate(([0], np.cumsum(ids > UNIT)))
     template = plain[width:] - plain[:-width] >= min(LITERALS, width)
+    template = template if at is None else template[at]
     exact = np.flatnonzero(~template)
     with np.errstate(over="ignore"):
         for j in range(width):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + n].astype(np.uint64))
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + (ids[j : j + n] if at is None else ids[at + j]).astype(np.uint64))
         if len(exact):
-            own = np.full(len(exact), width + 256, dtype=np.uint64)
+            own, first = np.full(len(exact), width + 256, dtype=np.uint64), exact if at is None else at[exact]
             for j in range(width):
-                own = mix(own * np.uint64(0x9E3779B97F4A7C15) + itself[exact + j].astype(np.uint64))
+                own = mix(own * np.uint64(0x9E3779B97F4A7C15) + itself[first + j].astype(np.uint64))
             out[exact] = own
     return out, template
 
 
+class Joined:
+    """The words of a text with runs of names, and numbers with their units, as one word each."""
+
+    def __init__(self, ids: np.ndarray, itself: np.ndarray):
+        names = ids == NAME
+        starts = ~((ids == UNIT) | (names & np.concatenate(([False], names[:-1]))))
+        self.at = np.flatnonzero(starts)
+        sizes = np.diff(np.append(self.at, len(ids)))
+        self.any = len(self.at) < len(ids)
+        self.long = np.concatenate(([0], np.cumsum(sizes > 1)))
+        self.ids, self.itself = ids, itself
+        if self.any:
+            self.ids = ids[self.at]
+            with np.errstate(over="ignore"):
+                self.itself = np.add.reduceat(itself.astype(np.uint64) * mix(np.arange(len(ids)).astype(np.uint64) - np.repeat(self.at, sizes).astype(np.uint64) + np.uint64(1)), self.at)
+
+    def split(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows, by their first joined word, without and with a word joined of several."""
+        more = self.long[width:] - self.long[:-width] > 0
+        return np.flatnonzero(~more), np.flatnonzero(more)
+
+    def slots(self, words: list[str], first: int, width: int) -> list[str]:
+        ends = np.append(self.at, len(words))
+        out = []
+        for t in range(first, first + width):
+            if self.ids[t] <= UNIT:
+                out.append(("" if self.ids[t] == NUM else " ").join(w.strip(_OUTER).lower() for w in words[ends[t] : ends[t + 1]]))
+        return out
+
+
 def _slots(words: list[str], ids: np.ndarray, at: int, width: int) -> list[str]:
     return [words[i].strip(_OUTER).lower() for i in range(at, at + width) if ids[i] <= UNIT]
 
 
+def _places(words: list[str], ids: np.ndarray, itself: np.ndarray, raw: list[int], joined: list[int], wanted: np.ndarray | None) -> tuple[list[dict], np.ndarray]:
+    """The windows of a text (only wanted hashes), and the numbers of templates and of all windows, of words and of joined words."""
+    found, n = [], np.zeros(4, dtype=np.int64)
+    if not len(words):
+        return found, n
+    j = Joined(ids, itself)
+
+    def add(hashes, template, places, is_raw, is_joined, slots):
+        n[:] += (template & is_raw).sum(), is_raw.sum(), (template & is_joined).sum(), is_joined.sum()
+        good = is_raw | is_joined
+        if wanted is not None and len(hashes):
+            good = good & (wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes) if len(wanted) else np.zeros(len(hashes), bool)
+        for k in np.flatnonzero(good):
+            found.append({"hash": int(hashes[k].astype(np.int64)), "template": bool(template[k]), "raw": bool(is_raw[k]), "joined": bool(is_joined[k]), "place": int(places[k]), "slots": slots(k), "width": None})
+
+    for width in sorted({*raw, *joined}):
+        if len(words) >= width:
+            hashes, template = windows(ids, itself, width)
+            whole = np.full(len(hashes), width in raw)
+            both = np.full(len(hashes), width in joined and not j.any)
+            if width in joined and j.any and len(j.at) >= width:
+                both[j.at[j.split(width)[0]]] = True
+            add(hashes, template, np.arange(len(hashes)), whole, both, lambda k, w=width: _slots(words, ids, k, w))
+        if width in joined and j.any and len(j.at) >= width and len(more := j.split(width)[1]):
+            hashes, template = windows(j.ids, j.itself, width, more)
+            yes = np.ones(len(more), dtype=bool)
+            add(hashes, template, j.at[more], ~yes, yes, lambda k, w=width, m=more: j.slots(words, m[k], w))
+    return found, n
+
+
+WINDOWS = "array<struct<hash:long,template:boolean,raw:boolean,joined:boolean,place:int,slots:array<string>,width:int>>"
+COUNTS = ["n", "whole", "joined_n", "joined_whole"]
+
+
 def _window_rows(frame: DataFrame, keys: list[str], widths: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
-    """Rows of ``keys`` with ``found``: hash, kind, place, slots of each window (only wanted hashes), and the
-    numbers of templates ``n`` and of all windows ``whole``. ``widths`` None: items, with WINDOW or the length of a shorter text."""
+    """Rows of ``keys`` with ``found``: the windows (only wanted hashes), and COUNTS, the numbers of templates and
+    of all windows, of words and of joined words. ``widths`` None: items, with WINDOW or the length of a shorter text."""
     types = {f.name: f.dataType.simpleString() for f in frame.schema if f.name in keys}
-    item = pa.struct([("hash", pa.int64()), ("template", pa.bool_()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
+    item = pa.struct([("hash", pa.int64()), ("template", pa.bool_()), ("raw", pa.bool_()), ("joined", pa.bool_()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("width", pa.int32())])
+
+    def of_item(canon, words):
+        ids, itself = canon.ids(words)
+        if not len(words) or (ids == NUM).all():
+            return [], np.zeros(4, dtype=np.int64)
+
+        def own(ids):
+            raw, joined = min(WINDOW, len(words)), min(WINDOW, len(Joined(ids, itself).at))
+            found, n = _places(words, ids, itself, [raw], [joined], None)
+            return [{**w, "width": raw if w["raw"] else joined} for w in found], n
+
+        found, n = own(ids)
+        if (other := canon.ids(words, inside_sentence=True)[0])[0] != ids[0]:
+            # an item may be quoted inside a sentence, where its first word looks like a name
+            found = [w for w in own(other)[0] if w["place"] == 0] + found
+        return found, n
 
     def run(batches):
         canon = Canon()
         for b in batches:
-            rows, n, whole, take = [], [], [], []
+            rows, counts, take = [], [], []
             for i, t in enumerate(b.column(len(keys))):
                 words = (t.as_py() or "").split()
-                ids, itself = canon.ids(words)
-                found, templates, total = [], 0, 0
-                for width in widths or [min(WINDOW, len(words))]:
-                    hashes, template = windows(ids, itself, width) if width else (np.zeros(0, np.uint64), np.zeros(0, bool))
-                    good = np.ones(len(hashes), dtype=bool)
-                    if widths is None and (ids == NUM).all():
-                        good[:] = False
-                    templates += int((good & template).sum())
-                    total += int(good.sum())
-                    if wanted is not None and len(hashes):
-                        good = good & (wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes) if len(wanted) else np.zeros(len(hashes), bool)
-                    if widths is None and len(hashes) and (other := canon.ids(words, inside_sentence=True)[0])[0] != ids[0]:
-                        # an item may be quoted inside a sentence, where its first word looks like a name
-                        h, g = windows(other[:width], itself[:width], width)
-                        found.append({"hash": int(h.astype(np.int64)[0]), "template": bool(g[0]), "place": 0, "slots": _slots(words, other, 0, width)})
-                    found += [{"hash": int(h), "template": bool(g), "place": int(p), "slots": _slots(words, ids, p, width)} for h, g, p in zip(hashes[good].astype(np.int64), template[good], np.flatnonzero(good))]
+                found, n = of_item(canon, words) if widths is None else _places(words, *canon.ids(words), widths, widths, wanted)
                 if found:
                     rows.append(found)
-                    n.append(templates)
-                    whole.append(total)
+                    counts.append(n)
                     take.append(i)
             kept = b.select(list(range(len(keys)))).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int32()), pa.array(whole, pa.int32()), pa.array(rows, pa.list_(item))], names=[*keys, "n", "whole", "found"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([int(c[k]) for c in counts], pa.int32()) for k in range(4)), pa.array(rows, pa.list_(item))], names=[*keys, *COUNTS, "found"])
 
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "n int", "whole int", "found array<struct<hash:long,template:boolean,place:int,slots:array<string>>>"])
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{c} int" for c in COUNTS), f"found {WINDOWS}"])
     return frame.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -155,16 +225,42 @@ def _covered(windows: list[dict], n: int) -> tuple[int, int, bool] | None:
     return matched, n, any(b != d for b, d in pairs)
 
 
-def _verdict(windows: list[dict], n: int, whole: int) -> tuple[int, int, bool] | None:
+def _chain(windows: list[dict]) -> list[dict]:
+    """A longest chain of windows whose places rise in the item and in the document."""
+    order = sorted(windows, key=lambda w: (w["place"], -w["b_place"]))
+    tails, last, before = [], [], []
+    for k, w in enumerate(order):
+        at = bisect_left(tails, w["b_place"])
+        before.append(last[at - 1] if at else -1)
+        tails[at : at + 1], last[at : at + 1] = [w["b_place"]], [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(order[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _ascents(windows: list[dict]) -> list[list[dict]]:
+    """The windows cut where the place in the item falls, as between two copies of it."""
+    out: list[list[dict]] = []
+    for w in sorted(windows, key=lambda w: (w["place"], w["b_place"])):
+        if not out or w["b_place"] < out[-1][-1]["b_place"]:
+            out.append([])
+        out[-1].append(w)
+    return out
+
+
+def _verdict(windows: list[dict], n: int, whole: int, joined_n: int, joined_whole: int) -> tuple[int, int, bool] | None:
     """The best cover of one item by one document."""
     shifts: dict[int, list[dict]] = {}
     for w in windows:
-        shifts.setdefault(w["place"] - w["b_place"], []).append(w)
-    found = []
-    for shift, on in shifts.items():
-        for c in (_covered(on, whole), _covered([w for w in on if w["template"]], n)):
-            if c:
-                found.append((c[0] / c[1], c[0], -shift, c))
+        if w["raw"] and w["b_raw"]:
+            shifts.setdefault(w["place"] - w["b_place"], []).append(w)
+    tries = [(on, m) for every in shifts.values() for on, m in ((every, whole), ([w for w in every if w["template"]], n))]
+    joined = [w for w in windows if w["joined"] and w["b_joined"]]
+    for every, m in ((joined, joined_whole), ([w for w in joined if w["template"]], joined_n)):
+        tries += [(_chain(on), m) for on in (every, *_ascents(every))]
+    found = [(c[0] / c[1], c[0], on[0]["b_place"] - on[0]["place"], c) for on, m in tries if on and (c := _covered(on, m))]
     return max(found)[3] if found else None
 
 
@@ -172,7 +268,7 @@ def _verdicts(batches):
     for b in batches:
         take, out = [], []
         for i in range(b.num_rows):
-            v = _verdict(b["windows"][i].as_py(), b["n"][i].as_py(), b["whole"][i].as_py())
+            v = _verdict(b["windows"][i].as_py(), *(b[c][i].as_py() for c in COUNTS))
             if v:
                 take.append(i)
                 out.append(v)
@@ -186,9 +282,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matched, n_windows, coverage, substituted (a slot is filled otherwise)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item_row", F.monotonically_increasing_id())
     own = _window_rows(items, ["item_row", "item_id"], None, None)
-    bench = stage(own.select("item_row", "item_id", "n", "whole", F.explode("found").alias("w")).select("item_row", "item_id", "n", "whole", F.col("w.hash").alias("b_hash"), F.col("w.place").alias("b_place"), F.col("w.slots").alias("b_slots")), "bench-windows")
-    short = items.select(F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")).alias("n")).where(f"n > 0 AND n < {WINDOW}").distinct()
-    widths = sorted({WINDOW} | {r["n"] for r in short.collect()})  # at most WINDOW values
+    parts = [F.col(f"w.{c}").alias(f"b_{c}") for c in ("hash", "raw", "joined", "place", "slots", "width")]
+    bench = stage(own.select("item_row", "item_id", *COUNTS, F.explode("found").alias("w")).select("item_row", "item_id", *COUNTS, *parts), "bench-windows")
+    widths = sorted({WINDOW} | {r[0] for r in bench.select("b_width").distinct().collect()})  # at most WINDOW values
     n = bench.count()
     wanted = None
     if n <= FILTER_WINDOWS:
@@ -196,8 +292,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
     found = _window_rows(rows, ["row", "doc_id"], widths, wanted).select("row", "doc_id", F.explode("found").alias("w"))
     met = small_join(found, bench, F.col("w.hash") == F.col("b_hash"), rows=n)
-    each = F.struct("b_place", "w.place", "w.template", "b_slots", "w.slots")
-    return met.groupBy("row", "doc_id", "item_row", "item_id", "n", "whole").agg(F.collect_list(each).alias("windows")).mapInArrow(_verdicts, "doc_id long, item_id long, matched long, n_windows long, coverage double, substituted boolean")
+    each = F.struct("b_place", "w.place", "w.template", "b_raw", "w.raw", "b_joined", "w.joined", "b_slots", "w.slots")
+    return met.groupBy("row", "doc_id", "item_row", "item_id", *COUNTS).agg(F.collect_list(each).alias("windows")).mapInArrow(_verdicts, "doc_id long, item_id long, matched long, n_windows long, coverage double, substituted boolean")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
