@@ -29,6 +29,13 @@ def test_ended_sessions(spark, duck):  # noqa: F811
     assert want and sorted(found) == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["t01_revenue", "t02_sessions", "s06_landing", "t13_sessions", "t14_once"])
+def test_many_files_out_of_order(spark, tmp_path, name):
+    spark.read.parquet(f"{SF}/events.parquet").repartition(20, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    got, want = (jobs.QUERIES[name](spark, d) for d in (str(tmp_path), SF))
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.collect())
+
+
 def test_restart_adds_only_new_files(spark, tmp_path):
     schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
     source = f"{tmp_path}/in"

@@ -35,9 +35,11 @@ def payload(events: DataFrame, event_type: str) -> DataFrame:
     return rows.select("event_id", "occurred_at", "produced_at", "key", F.col("loop_id").alias("_loop"), "p.*")
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 8) -> DataFrame:
+def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = 8) -> DataFrame:
     """A Parquet table of the folder as a stream of its files, ``ts`` as timestamp.
+    None takes all files that are there in one batch, so that no row of them is late.
     The glob lets the path be one file or a folder of part files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/{name}.parque[t]")
+    limit = {} if files_per_batch is None else {"maxFilesPerTrigger": files_per_batch}
+    rows = spark.readStream.schema(schema).options(**limit).parquet(f"{sf_dir}/{name}.parque[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows

@@ -117,18 +117,18 @@ def _keyed(table: DataFrame, processor: StatefulProcessor, key: str, schema: str
 
 
 def t01_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = run_to_table(revenue_buckets(file_stream(spark, sf_dir, "events"), "1 hour"), "t01", "update")
+    found = run_to_table(revenue_buckets(file_stream(spark, sf_dir, "events", None), "1 hour"), "t01", "update")
     return newest(found, "bucket")
 
 
 def t02_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = newest(run_to_table(active_sessions(file_stream(spark, sf_dir, "events"), "1 hour"), "t02", "update"), "bucket", "user_id")
+    found = newest(run_to_table(active_sessions(file_stream(spark, sf_dir, "events", None), "1 hour"), "t02", "update"), "bucket", "user_id")
     return found.groupBy("bucket").agg(F.count("*").alias("sessions"))
 
 
 def s06_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert-if-absent: the same events delivered twice land once."""
-    twice = file_stream(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
+    twice = file_stream(spark, sf_dir, "events", None).select("event_id", "ts", "user_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
     once = twice.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
     return run_to_table(once.select("event_id", "user_id"), "s06").drop("_batch")
 
@@ -146,12 +146,12 @@ def t12_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t13_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that ended before the watermark of the last events."""
-    return run_to_table(ended_sessions(file_stream(spark, sf_dir, "events"), "6 hours"), "t13").drop("_batch")
+    return run_to_table(ended_sessions(file_stream(spark, sf_dir, "events", None), "6 hours"), "t13").drop("_batch")
 
 
 def t14_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event per (loop, entity): the loop is the day, all within the watermark."""
-    rows = file_stream(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("loop_id"), F.col("user_id").alias("entity"), "ts")
+    rows = file_stream(spark, sf_dir, "events", None).select(F.col("ts").cast("date").alias("loop_id"), F.col("user_id").alias("entity"), "ts")
     return run_to_table(rows.withWatermark("ts", "2 days").dropDuplicatesWithinWatermark(["loop_id", "entity"]).select("loop_id", "entity"), "t14").drop("_batch")
 
 
