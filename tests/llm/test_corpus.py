@@ -21,7 +21,7 @@ def shingles(text):
 
 def plain_components(rows):
     sets = [shingles(t) for _, t, _ in rows]
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while root[i] != i:
@@ -33,16 +33,19 @@ def plain_components(rows):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= 80 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     low = {}
     for i, (d, _, _) in enumerate(rows):
         if d is not None:
             low[find(i)] = min(low.get(find(i), d), d)
-    return Counter((rows[i][0], len(sets[i]), (low.get(find(i)) if sets[i] else rows[i][0])) for i in range(len(rows)))
+    return Counter((rows[i][0], len(sets[i]), (low.get(find(i)) if sets[i] else rows[i][0]), links[i]) for i in range(len(rows)))
 
 
 def test_jaccard(docs, rows, empty):
     assert Counter(tuple(r) for r in jaccard.join_components(docs).collect()) == plain_components(rows)
     assert jaccard.join_components(empty).count() == 0
+    assert jaccard.keep_one(empty).count() == 0
 
 
 def many(spark, rng_seed, groups, size, words=60, edits=2):
@@ -65,28 +68,60 @@ def many(spark, rng_seed, groups, size, words=60, edits=2):
     return [(i, t, None) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("long", [3, 64])
-def test_jaccard_with_large_groups(spark, monkeypatch, long):
-    """Large groups of near copies and a shared passage; small lists also take the way of combinations."""
-    monkeypatch.setattr(jaccard, "LONG", long)
-    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 1)
-    rows = many(spark, long, 4, 60, edits=4)
+@pytest.mark.parametrize(("frequent", "listed", "block"), [(3, 2, 8), (16, 32, 1024), (10**6, 3, 7)])
+def test_jaccard_with_large_groups(spark, monkeypatch, frequent, listed, block):
+    """Large groups of near copies and a shared passage: through combinations, single tokens, long lists and homes of several blocks."""
+    monkeypatch.setattr(jaccard, "FREQUENT_DF", frequent)
+    monkeypatch.setattr(jaccard, "LIST", listed)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = many(spark, frequent % 100, 4, 60, edits=4) + [(1000 + i, "the same few words stand here once and again", None) for i in range(40)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     assert Counter(tuple(r) for r in jaccard.join_components(docs).collect()) == plain_components(rows)
 
 
+def test_jaccard_uses_combinations(spark):
+    """Frequent tokens of the given tables are indexed by combinations, and these find homes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    frequent = jaccard.frequent_tokens(docs)
+    sets = jaccard.token_sets(docs, frequent)
+    assert len(frequent) and sets.where("size(runs) > 0").count() and jaccard.combined_homes(sets).count()
+
+
 def test_keep_one(docs, rows):
     kept = jaccard.keep_one(docs).collect()
-    heads = {d for d, n, c in plain_components(rows) if d == c}
+    heads = {d for d, n, c, _ in plain_components(rows) if d == c}
     assert {r["doc_id"] for r in kept} == heads and kept[0].asDict().keys() == set(docs.columns)
 
 
-def test_combined_prefixes_find_every_link():
-    """k tokens are shared by the prefixes extended for k."""
-    for n in range(1, 200):
-        for k in (1, 2, 3):
-            need = -(-80 * n // 100)
-            assert jaccard.prefix_length(n, k) >= min(n, n - need + k)
+def test_keep_one_tells_rows_apart(spark):
+    """Null and repeated ids: one row of each group stays, other rows with such ids too."""
+    a, b, c = ("one two three four five six seven eight nine ten " + "and more words of the same kind as before %s" % x for x in ("eleven", "twelve", "thirteen fourteen fifteen sixteen"))
+    rows = [(None, a), (None, a), (7, b), (7, a), (7, "something else altogether stands here"), (None, "another text that stays where it is"), (None, c)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(7, kept_text(kept)), *rows[4:]])
+
+
+def kept_text(kept):
+    return next(r["text"] for r in kept if r["doc_id"] == 7 and r["text"].startswith("one two"))
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_signatures_find_every_link(k):
+    """Two sets that link share a rare token or a whole run of k frequent ones."""
+    rng = np.random.default_rng(k)
+    for _ in range(600):
+        n = int(rng.integers(4, 300))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        gone, new = rng.integers(0, len(a) // 5 + 1), rng.integers(0, len(a) // 5 + 1)
+        b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        every = np.union1d(a, b)
+        frequent = np.unique((every[rng.random(len(every)) < rng.choice([0, 0.5, 1])] >> np.uint64(32)).astype(np.uint32))
+        (ra, ka), (rb, kb) = jaccard.signatures(a, frequent, k), jaccard.signatures(b, frequent, k)
+        assert set(ra.tolist()) & set(rb.tolist()) or set(ka.tolist()) & set(kb.tolist())
+        assert len(ra) + len(ka) <= len(a) or len(a) < 16
 
 
 BENCH = [
@@ -97,22 +132,6 @@ BENCH = [
 ]
 
 
-def test_bitmaps_reject_no_link():
-    rng = np.random.default_rng(5)
-    for _ in range(400):
-        n = int(rng.integers(1, 400))
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        gone, new = rng.integers(0, n // 4 + 2, 2)
-        b = np.unique(np.concatenate((a[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64))))
-        if not len(b):
-            continue
-        both = len(np.intersect1d(a, b))
-        found = jaccard.may_link(len(a), jaccard.parity_bitmap(a), len(b), jaccard.parity_bitmap(b))
-        assert found or 100 * both < 80 * (len(a) + len(b) - both)
-    far = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
-    assert not jaccard.may_link(300, jaccard.parity_bitmap(far), 300, jaccard.parity_bitmap(far ^ np.uint64(0x5555)))
-
-
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame(BENCH, "item_id long, text string").withColumnRenamed("item_id", "item_id")
     rows = [
@@ -326,7 +345,7 @@ def test_pipeline(spark):
             bad = {r["doc_id"] for r in toxicity.score(before, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
             assert ids == {r[0] for r in rows} - bad and bad
         elif name == "ngram_jaccard":
-            assert ids == {d for d, n, c in plain_components(rows) if d == c}
+            assert ids == {d for d, n, c, _ in plain_components(rows) if d == c}
         elif name == "mixing":
             copies = Counter(r["doc_id"] for r in kept.collect())
             for r in mixing.mix(before).collect():

@@ -1,27 +1,37 @@
 """N-gram Jaccard join by prefixes of single tokens and token combinations.
 
-A document's tokens are its distinct five-word shingles. Equal token sets are
-one class and only one representative of it goes on. All tokens have one order,
-frequent ones last; two sets of similarity 4/5 share a token among the first
-n - ceil(4n/5) + 1 of each, and k tokens among the first k - 1 more. So rare
-tokens are indexed singly, and where a token's list is long, combinations of it
-with another token of the prefix extended by one are indexed instead.
-
-Links are wanted for their components, so pairs that are already connected need
-no test. First every list links its members to a pivot; then only pairs of
-different components are generated, from lists that still hold more than one.
-Lists that stay long get further pivots before they are split into combinations.
-Every candidate first meets a bound: each set has a parity bitmap of about one bit
-a token, and two bitmaps differ in no more bits than their sets do in tokens, so
-pairs whose bitmaps differ too much cannot link and need no text. The others are
-verified on whole texts, once each, so results are exact up to collisions of 64-bit
-shingle hashes. No pair is dropped: lists whose members are of one component hold
-nothing that could change a component.
-
-Defined results: a document without words (null, empty, white space) has an
-empty set and is its own component; with fewer than five words its one token is
-the whole sequence; rows with equal ids are judged each by its text and all
-report the component of that text; a null id is never the smallest of others.
+A document's tokens are its distinct five-word shingles. Equal token sets are one
+class and only one representative of it goes on. All tokens have one order, rare
+ones first, frequent ones (FREQUENT_DF documents or more) last.
+
+*Signatures.* Of two sets that link, each has at most n - ceil(4n/5) tokens that the
+other lacks. So their first shared token stands in the first n - ceil(4n/5) + 1 of
+each; where it is rare, it is a signature of both. Where it is frequent, all shared
+tokens are, and the prefix is extended by L = (k-1) floor(n/4) + k tokens: the first L
+shared tokens then stand in both prefixes. The two sets differ in at most a quarter of
+the smaller one, each differing token parts at most k-1 of the L-k+1 runs of k
+neighbouring shared tokens, so at least one run of k neighbours is whole in both.
+Frequent tokens are therefore indexed by combinations of k neighbours in the order,
+rare ones singly, and a document has fewer signatures than tokens.
+
+*Homes.* The sets of a signature's list get a home, the first of them by size and row.
+Lists of near copies nearly all begin with the same set, so a set has few homes
+although it has many signatures. A home that lies within an earlier one goes. A pair is
+tested in its first common home only, so each pair once, and no pair of a list is ever
+written or joined: whole texts go to their homes, and a task multiplies the incidence
+matrices of the sets it holds. Homes of more than BLOCK sets are cut into blocks, each
+pair of blocks being a unit of its own, so that no task holds a large group. The
+arithmetic of a group grows with the pairs that are to be counted in it, the rows
+written do not: each set returns its number of links and one linked set.
+
+Results are exact up to collisions of 64-bit shingle hashes.
+
+Defined results: a document without words (null, empty, white space) has an empty set,
+is its own component and has no links; with fewer than five words its one token is the
+whole sequence; rows with equal ids are judged each by its text, and each reports the
+component of that text; a null id is never the smallest of others. ``n_links`` counts
+the other rows that a row links with, equal texts included. Extra columns are carried
+aside and cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,24 +41,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, shingle_sets, small_join, stage
+from .common import BROADCAST_ROWS, mix, shingle_sets, small_join, stage
 
 PART, WHOLE = 80, 100  # link when WHOLE * intersection >= PART * union
-LONG = 64  # members from which a token's list counts as long
-PIVOT_ROUNDS, PIVOTS = 3, 16  # further pivots of a long list
-#: Documents from which a token is frequent, and tokens in that class at most; both cost order, not results.
+COMBINE = 2  # k, the tokens of a combination
+#: Documents from which a token is frequent, and tokens in that class at most; both cost work, not results.
 FREQUENT_DF, FREQUENT = 16, 2_000_000
+LIST = 32  # sets of a list up to which all its pairs are tried by their places
+BLOCK, BLOCK_TOKENS = 1024, 1 << 20  # sets and tokens of a block of a home
 
 
-def prefix_length(n: int, k: int = 1) -> int:
-    return min(n, n - -(-PART * n // WHOLE) + k)
+def most_missing(n: int) -> int:
+    """Tokens of a set of ``n`` that a set it links with can lack."""
+    return n - -(-PART * n // WHOLE)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def prefix_length(n: int, k: int = 1) -> int:
+    """Tokens that hold the first shared one (k = 1), or a whole run of k shared neighbours."""
+    return min(n, most_missing(n) + (k - 1) * (n // 4) + k)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -57,40 +71,59 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.
             yield b.slice(i, size)
 
 
-def _pack(ids: np.ndarray) -> bytes:
-    """Ascending ids as differences, a plane of bytes after the other, which packs well."""
-    return np.diff(ids, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+# --- frequent tokens ----------------------------------------------------------
+
+
+def _pack(ids: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending ids as differences, and counts, one plane of bytes after the other, which packs well."""
+    return b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (np.diff(ids, prepend=np.uint32(0)), n))
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, n = (x.T.copy().view("<u4").ravel() for x in np.frombuffer(data, np.uint8).reshape(2, 4, -1))
+    return np.cumsum(gaps, dtype=np.uint32), n
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.concatenate([x for x, _ in held]) if held else np.zeros(0, np.uint32)
+    ids, own = np.unique(ids, return_inverse=True)
+    n = np.concatenate([x for _, x in held]) if held else np.zeros(0)
+    return ids, np.bincount(own, weights=n, minlength=len(ids)).astype(np.int64)
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
     """Upper halves of tokens that FREQUENT_DF documents or more share, sorted; the
-    FREQUENT most frequent ones where there are more. The class decides an order
-    only, and any order gives the same links. Tokens are counted over all documents;
-    executors exchange sorted id lists of each batch, cut into buckets by id."""
+    FREQUENT most frequent ones where there are more. The class decides between single
+    tokens and combinations, and any choice gives the same links. Tokens are counted over
+    all documents: each batch sends its distinct ids with counts, cut into buckets by id."""
     bits = int(np.clip(np.log2(max(1, docs.count()) / 500 + 1), 4, 20))
     shift = np.uint32(32 - bits)
 
     def deal(batches):
         for b in batches:
             sets = [(s >> np.uint64(32)).astype(np.uint32) for part in _slices([b]) for s in shingle_sets(part.column(0).to_pylist())]
-            ids = np.sort(np.concatenate(sets) if sets else np.zeros(0, np.uint32))
+            ids, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint32), return_counts=True)
             cuts = np.flatnonzero(np.diff(ids >> shift)) + 1
-            parts = [x for x in np.split(ids, cuts) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[0] >> shift) for x in parts], pa.int32()), pa.array([_pack(x) for x in parts], pa.binary())], names=["bucket", "ids"])
+            parts = [x for x in zip(np.split(ids, cuts), np.split(n, cuts)) if len(x[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[0] >> shift) for x, _ in parts], pa.int32()), pa.array([_pack(*x) for x in parts], pa.binary())], names=["bucket", "ids"])
+
+    def often(held):
+        ids, n = _added(held)
+        return pa.RecordBatch.from_arrays([pa.array(ids[n >= FREQUENT_DF], pa.int64()), pa.array(n[n >= FREQUENT_DF], pa.int64())], names=["id", "n"])
 
     def count(batches):
-        held, of = [], None
+        held, size, of = [], 0, None
         for b in batches:
             for bucket, ids in zip(b.column(0).to_pylist(), b.column(1)):
                 if bucket != of:
-                    yield _often(held)
-                    held, of = [], bucket
+                    yield often(held)
+                    held, size, of = [], 0, bucket
                 held.append(_unpack(ids.as_py()))
-        yield _often(held)
+                size += len(held[-1][0])
+                if size > 1 << 22:  # what repeats is added up early
+                    held = [_added(held)]
+                    size = len(held[0][0]) // 2
+        yield often(held)
 
     dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(deal, "bucket int, ids binary")
     counts = stage(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "id long, n long"), "jaccard-counts")
@@ -98,83 +131,94 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows.toLocalIterator()], dtype=np.uint32))
 
 
-def _often(held: list[np.ndarray]) -> pa.RecordBatch:
-    ids, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint32), return_counts=True)
-    keep = n >= FREQUENT_DF
-    return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(n[keep], pa.int64())], names=["id", "n"])
-
-
-def parity_bitmap(tokens: np.ndarray) -> bytes:
-    """Per place of a bitmap whether an odd number of tokens falls on it; its bits are
-    the power of two that is not below the number of tokens, 64 at least."""
-    bits = 1 << max(6, (len(tokens) - 1).bit_length())
-    places = (tokens & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
-
-
-def may_link(na: int, a: bytes, nb: int, b: bytes) -> bool:
-    """False only for two sets that cannot link: their symmetric difference has at
-    least as many tokens as their bitmaps, folded to the shorter one, have differing bits."""
-    if len(a) != len(b):
-        a, b = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, min(len(a), len(b))), axis=0).tobytes() for x in (a, b))
-    apart = (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
-    return (na + nb - apart) * (WHOLE + PART) >= 2 * PART * (na + nb)
-
-
-def token_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(row, doc_id, n, sig, bits, prefix): the parity bitmap of each set and its first
-    tokens in the common order (42 bits of each: fewer bits only add candidates),
-    extended for pairs."""
+# --- signatures ---------------------------------------------------------------
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, k: int = COMBINE) -> tuple[np.ndarray, np.ndarray]:
+    """Rare tokens in whose place the first shared token can stand, in order, and hashes
+    of k neighbouring frequent tokens of the extended prefix. Fewer than four tokens link with equal sets only."""
+    none = np.zeros(0, dtype=np.uint64)
+    n = len(tokens)
+    if n < 4:
+        return none, none
+    late = np.zeros(n, dtype=bool)
+    if len(frequent):
+        high = (tokens >> np.uint64(32)).astype(np.uint32)
+        late = frequent[np.minimum(np.searchsorted(frequent, high), len(frequent) - 1)] == high
+    rare, often = tokens[~late], tokens[late]
+    runs = often[: max(0, prefix_length(n, k) - len(rare))]
+    if len(runs) < k:
+        return rare[: prefix_length(n)], none
+    keys = np.full(len(runs) - k + 1, k, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + runs[j : j + len(keys)])
+    return rare[: prefix_length(n)], keys
+
+
+def token_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(row, doc, doc_id, n, sig, singles, runs), written: ``doc`` holds all columns of
+    the document, ``sig`` is a digest of its set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        often = shared.value
         for b in _slices(batches):
-            n, sigs, bits, prefixes = [], [], [], []
-            for s in shingle_sets(b.column(1).to_pylist()):
-                n.append(len(s))
-                sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bits.append(parity_bitmap(s))
-                if len(often) and len(s):
-                    high = (s >> np.uint64(32)).astype(np.uint32)
-                    late = often[np.minimum(np.searchsorted(often, high), len(often) - 1)] == high
-                    s = np.concatenate((s[~late], s[late]))
-                prefixes.append((s[: prefix_length(n[-1], 2)] >> np.uint64(22)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "bits", "prefix"])
+            sets = shingle_sets(b.column(2).to_pylist())
+            keys = [signatures(s, shared.value) for s in sets]
+            sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            lists = [pa.array([x[i].view(np.int64) for x in keys], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), *lists], names=["doc", "doc_id", "n", "sig", "singles", "runs"])
 
-    rows = _texts(docs).mapInArrow(run, "doc_id long, n int, sig binary, bits binary, prefix array<long>")
-    return stage(rows.withColumn("row", F.monotonically_increasing_id()), "jaccard-prefixes")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([rows.schema["doc"], *(T.StructField(*x) for x in (("doc_id", T.LongType()), ("n", T.IntegerType()), ("sig", T.BinaryType()), ("singles", longs), ("runs", longs)))])
+    return stage(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
-def _prefix(k: int) -> Column:
-    n = F.col("n")
-    return F.least(n, n - F.ceil(n * PART / WHOLE) + k).cast("int")
+# --- homes --------------------------------------------------------------------
 
 
-def _places(n: int) -> int:
+def _early(n: int) -> int:
     """First places of a set of ``n`` at which a token shared with a set as large or
     larger can be their first: behind them too few tokens are left for a link."""
     return n - -(-2 * PART * n // (PART + WHOLE)) + 1
 
 
-def _may_link(na: Column, ua: Column, nb: Column, ub: Column) -> Column:
-    """Sizes and what is left from the shared token on, of two sets, allow a link."""
-    return (F.least(ua, ub) * (PART + WHOLE) >= (na + nb) * PART) & (na * WHOLE >= nb * PART) & (nb * WHOLE >= na * PART)
-
+def _tried(part: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of a short list (n, place, row) that by size and place can have here their first shared token with another."""
+    good = set()
+    for i, (n, p, _) in enumerate(part):
+        for j in range(i):
+            m, q, _ = part[j]
+            if PART * n <= WHOLE * m and q < _early(m) and min(n - p, m - q) * (PART + WHOLE) >= (n + m) * PART:
+                good |= {i, j}
+    return [part[i] for i in sorted(good)]
 
-def single_lists(sets: DataFrame) -> DataFrame:
-    """(token, n, left, idx, row, pivot): the index of single tokens.
 
-    ``left`` counts the tokens of a set from this one on; ``idx`` tells that it stands
-    early enough to be the first one shared with a larger set. Of a pair the smaller
-    set must be of that kind, so rows without such a partner before them go, as do
-    lists of one set. ``pivot`` is a set of the list that may link with this one.
-    """
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("left", pa.int32()), ("idx", pa.bool_()), ("row", pa.int64()), ("pivot", pa.int64())])
+def single_homes(sets: DataFrame) -> DataFrame:
+    """(home_n, home, n, row) from the lists of single tokens, walked in the order of size and
+    row. A list ends where the next set is too large for the one before. Lists up to LIST
+    sets are first rid of sets without a partner; longer ones pass by without being held."""
+    schema = pa.schema([("home_n", pa.int32()), ("home", pa.int64()), ("n", pa.int32()), ("row", pa.int64())])
 
     def run(batches):
-        token, pending = None, None
-        pivot = late = None  # (size, left, row) of the pivot, and of the last early row
+        token, pending, size = None, None, 0
+        part: list[tuple[int, int, int]] = []
+        first = None  # of a list that has grown long
+        out: list[tuple[int, ...]] = []
+
+        def close():
+            nonlocal part, first
+            if first is None and len(part) > 1:
+                good = _tried(part)
+                out.extend((good[0][0], good[0][2], x[0], x[2]) for x in good)
+            part, first = [], None
+
+        def batch():
+            nonlocal out
+            done, out = out, []
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(schema)], schema=schema)
+
         for b in batches:
             columns = [b.column(i).to_numpy() for i in range(4)]
             if pending is not None:
@@ -183,71 +227,151 @@ def single_lists(sets: DataFrame) -> DataFrame:
             same = t[1:] == t[:-1]
             keep = np.concatenate(([t[0] == token], same)) | np.concatenate((same, [False]))
             pending = None if keep[-1] else [c[-1] for c in columns]
-            out = []
-            for x, m, place, y in zip(*(c[keep].tolist() for c in columns)):
-                if x != token:
-                    token, pivot, late = x, None, None
-                early, own = place < _places(m), (m, m - place, y)
-                if not early and (late is None or PART * m > WHOLE * late[0]):
-                    continue
-                if pivot is None or PART * m > WHOLE * pivot[0]:
-                    pivot = own if early else late
-                far = min(pivot[1], own[1]) * (PART + WHOLE) < (pivot[0] + m) * PART
-                out.append((x, m, own[1], early, y, None if far or pivot[2] == y else pivot[2]))
-                if early:
-                    late = own
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    tokens = sets.select("n", "row", F.posexplode(F.slice("prefix", 1, _prefix(1))).alias("place", "token")).select("token", "n", "place", "row")
-    dealt = tokens.repartition("token").sortWithinPartitions("token", "n", "row")
-    return stage(dealt.mapInArrow(run, "token long, n int, left int, idx boolean, row long, pivot long"), "jaccard-lists")
-
-
-def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose bitmaps leave room for a link."""
-    own = sets.select(F.col("row").alias("_r"), F.struct("n", "bits").alias("s"))
-    met = pairs.join(own, F.col("a") == F.col("_r")).select("a", "b", F.col("s").alias("sa"))
-    met = met.join(own, F.col("b") == F.col("_r")).select("a", "b", F.col("sa.n").alias("na"), F.col("sa.bits").alias("ba"), F.col("s.n").alias("nb"), F.col("s.bits").alias("bb"))
-
-    def test(batches):
-        for b in batches:
-            good = [may_link(*x) for x in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
-            yield b.filter(pa.array(good, pa.bool_())).select([0, 1])
-
-    return met.mapInArrow(test, "a long, b long")
-
+            for x, n, place, y in zip(*(c[keep].tolist() for c in columns)):
+                if x != token or PART * n > WHOLE * size:
+                    close()
+                token, size = x, n
+                if first is None:
+                    part.append((n, place, y))
+                    if len(part) > LIST:
+                        first = part[0]
+                        out.extend((first[0], first[2], z[0], z[2]) for z in part)
+                else:
+                    out.append((first[0], first[2], n, y))
+            yield batch()
+        close()
+        yield batch()
+
+    tokens = sets.select("n", "row", F.posexplode("singles").alias("place", "token")).select("token", "n", "place", "row")
+    return tokens.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(run, "home_n int, home long, n int, row long")
+
+
+def combined_homes(sets: DataFrame) -> DataFrame:
+    """(home_n, home, n, row) from the lists of combinations. These can be long, so each
+    one's first set and length are aggregated before the shuffle and joined back."""
+    runs = sets.select("n", "row", F.explode("runs").alias("key"))
+    lists = runs.groupBy(F.col("key").alias("_k")).agg(F.min(F.struct("n", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    met = small_join(runs, stage(lists.select("_k", "first"), "jaccard-runs"), F.col("key") == F.col("_k"))
+    return met.select(F.col("first.n").alias("home_n"), F.col("first.row").alias("home"), "n", "row")
+
+
+def homes(heads: DataFrame) -> DataFrame:
+    """(home, row, earlier, sets, tokens): the homes of each set, those of them that come
+    before this one, and the size of the home. Homes that lie within an earlier one are left out."""
+    found = stage(single_homes(heads).union(combined_homes(heads)).distinct(), "jaccard-homes")
+    own = found.groupBy("row", "n").agg(F.sort_array(F.collect_set(F.struct("home_n", "home"))).alias("all"))  # no more than a set has signatures
+    own = own.withColumn("h", F.explode("all")).select("row", "n", "h", F.filter("all", lambda x: x < F.col("h")).alias("before"))
+    own = stage(own.select("row", "n", F.col("h.home").alias("home"), F.col("before.home").alias("earlier")), "jaccard-own")
+    sizes = stage(own.groupBy("home").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")), "jaccard-sizes")
+    within = own.select("home", F.explode("earlier").alias("e")).groupBy("home", "e").count()
+    within = within.join(sizes, "home").where("count = sets").select(F.col("home").alias("_h")).distinct()
+    left = stage(sizes.join(within, F.col("home") == F.col("_h"), "left_anti").withColumnRenamed("home", "_h"), "jaccard-left")
+    return small_join(own, left, F.col("home") == F.col("_h")).drop("_h")
+
+
+# --- links --------------------------------------------------------------------
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets: a product of incidence matrices, a part of the tokens at a time."""
+    both = [*left, *right]
+    owner = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    tokens = np.concatenate(both)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+    lengths = np.diff(np.append(starts, len(tokens)))
+    keep = np.repeat(lengths > 1, lengths)
+    lengths, owner = lengths[lengths > 1], owner[keep]
+    column = np.repeat(np.arange(len(lengths)), lengths)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    width = 4096
+    for at in range(0, len(lengths), width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        part = np.zeros((len(both), min(width, len(lengths) - at)), dtype=np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
+
+
+def linked_pairs(sets: list[np.ndarray], earlier: list[list[int]], sides: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of the pairs that link and have no earlier common home; of two ``sides`` (False, True) only pairs across them."""
+    m = len(sets)
+    n = np.array([len(s) for s in sets])
+    names, own = np.unique(np.concatenate([np.array(e, dtype=np.int64) for e in earlier]), return_inverse=True)
+    done = np.zeros((m, m), dtype=bool)
+    rows = np.arange(m)
+    if len(names):
+        inside = np.zeros((m, len(names)), dtype=np.float32)
+        inside[np.repeat(rows, [len(e) for e in earlier]), own] = 1
+        done = inside @ inside.T > 0
+    left, right = (rows[~done.all(axis=1)], rows) if sides is None else (rows[~sides], rows[sides])
+    out = np.zeros((m, m), dtype=bool)
+    if not len(left) or not len(right):
+        return out
+    both = _shared([sets[i] for i in left], [sets[i] for i in right])
+    link = both * (PART + WHOLE) >= PART * (n[left][:, None] + n[right][None, :])
+    out[np.ix_(left, right)] = link & ~done[np.ix_(left, right)]
+    out |= out.T
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _labels(link: np.ndarray) -> np.ndarray:
+    """For each place the least place that links reach from it."""
+    label = np.arange(len(link))
+    while True:
+        low = np.minimum(label, np.where(link, label, len(link)).min(axis=1))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def links(homes: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(row, links, to): per unit and set in it its links there, each counted as often as
+    the other set has documents, and the least set that they reach."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    own = homes.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64("row"), F.col("_n")).cast("int"))
+    own = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    own = own.select(F.col("row").alias("_r"), "home", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), (F.col("_b") > F.col("_o")).alias("side"), "earlier")
+    own = small_join(stage(own, "jaccard-units"), classes.select("cls", "c"), F.col("_r") == F.col("cls"), "left")
+    own = stage(own.select("_r", "home", "lo", "hi", "side", "earlier", F.coalesce("c", F.lit(1)).alias("copies")), "jaccard-units")
+    texts, on = sets.select("row", F.col("doc.text").cast("string").alias("text")), F.col("row") == F.col("_r")
+    units = texts.join(F.broadcast(own), on) if own.count() <= BROADCAST_ROWS else texts.join(own, on)
+    schema = pa.schema([("row", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
 
-def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: rows of ``sets``) that link, tested on whole texts."""
-    pairs = stage(near_pairs(pairs, sets), "jaccard-pairs")
-    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    n = rows.count()
-    if not n:
-        return pairs
-    keys = small_join(sets.select("row", "doc_id", "sig"), rows.withColumnRenamed("row", "_r"), F.col("row") == F.col("_r"), rows=n).drop("_r").withColumnRenamed("doc_id", "_d")
-    found = small_join(_texts(docs), keys, F.col("doc_id").eqNullSafe(F.col("_d")), rows=n) if n <= BROADCAST_ROWS else _texts(docs).join(keys, F.col("doc_id").eqNullSafe(F.col("_d")))
-
-    def same_set(batches):
-        for b in _slices(batches):
-            good = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == sig for s, sig in zip(shingle_sets(b.column(2).to_pylist()), b.column(1).to_pylist())]
-            yield b.filter(pa.array(good, pa.bool_())).select([0, 2])
-
-    texts = stage(found.select("row", "sig", "text").mapInArrow(same_set, "row long, text string").dropDuplicates(["row"]), "jaccard-texts")
-
-    def test(batches):
-        last, base = None, None
-        for b in _slices(batches, 200):
-            good = []
-            for a, x, s in zip(b.column(0).to_pylist(), b.column(2), shingle_sets(b.column(3).to_pylist())):
-                if a != last:
-                    last, base = a, shingle_sets([x.as_py()])[0]
-                both = len(np.intersect1d(base, s, assume_unique=True))
-                good.append(WHOLE * both >= PART * (len(base) + len(s) - both))
-            yield b.filter(pa.array(good, pa.bool_())).select([0, 1])
-
-    left, right = texts.select(F.col("row").alias("_a"), F.col("text").alias("ta")), texts.select(F.col("row").alias("_b"), F.col("text").alias("tb"))
-    met = pairs.join(right, F.col("b") == F.col("_b")).join(left, F.col("a") == F.col("_a"))
-    return stage(met.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long"), "jaccard-links")
+    def run(batches):
+        unit, rows, copies, sides, earlier, tokens = None, [], [], [], [], []
+        out: list[tuple[int, int, int]] = []
+
+        def close():
+            if len(rows) < 2:
+                return
+            link = linked_pairs(tokens, earlier, np.array(sides) if unit[1] != unit[2] else None)
+            some = np.flatnonzero(link.any(axis=1))
+            total, label = link[some] @ np.array(copies, dtype=np.float64), _labels(link)
+            out.extend((rows[i], int(c), rows[label[i]]) for i, c in zip(some.tolist(), total.tolist()))
+
+        def batch():
+            nonlocal out
+            done, out = out, []
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        for b in _slices(batches, 500):
+            columns = [b.column(i).to_pylist() for i in range(7)]
+            for u, row, c, side, before, s in zip(zip(*columns[:3]), *columns[3:], shingle_sets(b.column(7).to_pylist())):
+                if u != unit:
+                    close()
+                    unit, rows, copies, sides, earlier, tokens = u, [], [], [], [], []
+                for to, x in zip((rows, copies, sides, earlier, tokens), (row, c, side, before, s)):
+                    to.append(x)
+            yield batch()
+        close()
+        yield batch()
+
+    dealt = units.select("home", "lo", "hi", "row", "copies", "side", "earlier", "text").repartition("home", "lo", "hi").sortWithinPartitions("home", "lo", "hi", "row")
+    return stage(dealt.mapInArrow(run, "row long, links long, to long"), "jaccard-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,103 +393,44 @@ def components(links: DataFrame) -> DataFrame:
     return of if of is not None else links.select(F.col("a").alias("row"), F.col("a").alias("comp")).limit(0)
 
 
-def _open_lists(lists: DataFrame, key: str, of: DataFrame, least: int = 2) -> DataFrame:
-    """Rows of lists that hold ``least`` rows or more, several components and an early
-    row, with their component and the ``work`` of the list: its rows times its early rows."""
-    known = of.withColumnRenamed("row", "_r")
-    n, own = known.count(), lists.drop("pivot")
-    on = F.col("row") == F.col("_r")
-    rows = (own.join(F.broadcast(known), on, "left") if n <= BROADCAST_ROWS else own.join(known, on, "left")).withColumn("comp", F.coalesce("comp", "row")).drop("_r")
-    mixed = rows.groupBy(F.col(key).alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") * F.count_if("idx")).alias("work"), F.count("*").alias("m")).where(f"lo <> hi AND work > 0 AND m >= {least}")
-    return stage(small_join(rows, stage(mixed.select("_k", "work"), "jaccard-mixed"), F.col(key) == F.col("_k")).drop("_k"), "jaccard-open")
-
-
-def _cross_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs of a list that are of different components and may link by its token."""
-    a = rows.select(F.col(key).alias("ka"), F.col("row").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("comp").alias("ca"))
-    b = rows.select(F.col(key).alias("kb"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("comp").alias("cb"))
-    near = _may_link(F.col("na"), F.col("la"), F.col("nb"), F.col("lb"))
-    return a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b")
-
-
-def _combined(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Index of two-token combinations for the rows of long lists: the list's token
-    and another of the set's extended prefix."""
-    own = sets.select(F.col("row").alias("_r"), F.slice("prefix", 1, _prefix(2)).alias("prefix"))
-    met = rows.join(own, F.col("row") == F.col("_r")).drop("_r")
-    met = met.withColumn("g", F.explode(F.array_except("prefix", F.array("token")))).drop("prefix")
-    return stage(met.withColumn("key", F.struct("token", "g")).drop("token", "g"), "jaccard-combined")
-
-
-def _new_pairs(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Distinct ``pairs``, smaller row first, that are not among ``tried``; written."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-candidates")
-
-
-def link_components(docs: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
-    """(row, comp) of the representatives ``heads`` among ``sets`` that link with another."""
-    lists = single_lists(heads)
-    tried = _new_pairs(lists.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("row").alias("b")), None)
-    links = verify(tried, docs, sets)
-    of = components(links)
-    # the one pair of a list of two was tried with its pivot, or is too far apart
-    open_ = _open_lists(lists, "token", of, 3)
-    for r in range(PIVOT_ROUNDS):
-        long = open_.where(F.col("work") > LONG * LONG)
-        if not long.limit(1).count():
-            break
-        order = F.xxhash64("row", F.lit(r))
-        pivots = long.where("idx").groupBy(F.col("token").alias("_k"), F.pmod(order, F.lit(PIVOTS)).alias("_i")).agg(F.min_by(F.struct("row", "n", "left", "comp"), order).alias("x"))
-        pivots = pivots.select("_k", F.col("x.row").alias("xr"), F.col("x.n").alias("xn"), F.col("x.left").alias("xl"), F.col("x.comp").alias("xc"))
-        near = (F.col("token") == F.col("_k")) & (F.col("comp") != F.col("xc")) & _may_link(F.col("n"), F.col("left"), F.col("xn"), F.col("xl"))
-        met = small_join(long, stage(pivots, "jaccard-pivots"), near)
-        fresh = _new_pairs(met.select(F.col("row").alias("a"), F.col("xr").alias("b")), tried)
-        tried = tried.unionByName(fresh)
-        new = verify(fresh, docs, sets)
-        if not new.limit(1).count():
-            break
-        links = links.unionByName(new)
-        of = components(links)
-        open_ = _open_lists(lists, "token", of, 3)
-    pairs = _cross_pairs(open_.where(F.col("work") <= LONG * LONG), "token")
-    long = open_.where(F.col("work") > LONG * LONG).select("token", "n", "left", "idx", "row")
-    if long.limit(1).count():
-        pairs = pairs.union(_cross_pairs(_open_lists(_combined(long, sets), "key", of), "key"))
-    rest = verify(_new_pairs(pairs, tried), docs, sets)
-    return components(links.unionByName(rest)) if rest.limit(1).count() else of
+def join_rows(sets: DataFrame) -> DataFrame:
+    """(row, doc_id, n, component_id, n_links, stays) of every row of ``token_sets``: ``stays``
+    is the row of the component with the smallest doc_id (nulls last, then the first row), null for sets without tokens."""
+    full = sets.where("n > 0").select("row", "doc_id", "n", "sig")
+    classes = full.groupBy(F.col("sig").alias("_s")).agg(F.min("row").alias("cls"), F.count("*").alias("c")).where("c > 1")
+    classes = stage(classes, "jaccard-classes")
+    heads = small_join(sets.where("n > 0").select("row", "n", "sig", "singles", "runs"), classes, F.col("sig") == F.col("_s"), "left").where("cls IS NULL OR cls = row").drop("sig", "_s", "cls", "c")
+    found = links(homes(heads), sets, classes)
+    of = components(found.select(F.col("row").alias("a"), F.col("to").alias("b")))
+    known = stage(of.join(found.groupBy("row").agg(F.sum("links").alias("links")), "row").withColumnRenamed("row", "_r"), "jaccard-known")
+    rows = small_join(full, classes, F.col("sig") == F.col("_s"), "left").select("row", "doc_id", "n", "cls", "c", F.coalesce("cls", "row").alias("head"))
+    rows = small_join(rows, known, F.col("head") == F.col("_r"), "left")
+    rows = rows.select("row", "doc_id", "n", F.coalesce("comp", "cls", "row").alias("comp"), F.coalesce("comp", "cls").isNotNull().alias("more"), (F.coalesce("c", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = stage(rows, "jaccard-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    lows = stage(rows.where("more").groupBy(F.col("comp").alias("_p")).agg(least.alias("low")), "jaccard-lows")
+    named = small_join(rows, lows, F.col("more") & (F.col("comp") == F.col("_p")), "left")
+    named = named.select("row", "doc_id", "n", F.when(F.col("_p").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("component_id"), "n_links", F.coalesce("low.row", "row").alias("stays"))
+    alone = sets.where("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("stays"))
+    return named.unionByName(alone)
 
 
 def join_components(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    sets = token_prefixes(docs, frequent_tokens(docs))
-    full = sets.where("n > 0")
-    copies = full.groupBy(F.col("sig").alias("_s")).agg(F.min("row").alias("cls"), F.count("*").alias("c")).where("c > 1")
-    copies = stage(copies.select("_s", "cls"), "jaccard-copies")
-    classed = small_join(full, copies, F.col("sig") == F.col("_s"), "left")
-    of = stage(link_components(docs, classed.where("cls IS NULL OR cls = row"), sets), "jaccard-components")
-    rows = classed.select("doc_id", "n", F.coalesce("cls", "row").alias("head"), F.col("cls").isNotNull().alias("more"))
-    rows = small_join(rows, of.withColumnRenamed("row", "_r"), F.col("head") == F.col("_r"), "left")
-    rows = stage(rows.select("doc_id", "n", F.coalesce("comp", F.when(F.col("more"), F.col("head"))).alias("comp")), "jaccard-rows")
-    lows = stage(rows.where("comp IS NOT NULL").groupBy(F.col("comp").alias("_p")).agg(F.min("doc_id").alias("low")), "jaccard-lows")
-    named = small_join(rows, lows, F.col("comp") == F.col("_p"), "left")
-    alone = sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id")).unionByName(alone)
+    """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links."""
+    docs = docs.select("doc_id", "text")
+    rows = join_rows(token_sets(docs, frequent_tokens(docs)))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, all columns.
-    Of rows with that id and equal texts one stays; documents without words all stay
-    but for such repeats. Only ids that go, or stand in several rows, are looked up."""
-    found = stage(join_components(docs), "jaccard-result")
-    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    marks = found.groupBy(F.col("doc_id").alias("_k")).agg(stays.alias("_stays"), F.count("*").alias("c")).where("NOT _stays OR c > 1")
-    marks = stage(marks.select("_k", "_stays"), "jaccard-marks")
-    n = marks.count()
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_k"))
-    marked = docs.join(F.broadcast(marks) if n <= BROADCAST_ROWS else marks, key, "left")
-    once = marked.where("_stays IS NULL").select(*docs.columns)
-    return once.unionByName(marked.where("_stays").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    """One row of each component, the one with the smallest doc_id, with all columns; nulls
+    come last, and of equal ids the first row as written stays. Documents without words all stay.
+    Rows are told apart by a key of their own, so null and repeated ids do no harm."""
+    sets = token_sets(docs, frequent_tokens(docs))
+    goes = stage(join_rows(sets).where("stays <> row").select(F.col("row").alias("_r")), "jaccard-goes")
+    own = sets.select("row", "doc")
+    left = own.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, F.col("row") == F.col("_r"), "left_anti")
+    return left.select("doc.*")
 
 
 #: Rows of ``join_components`` in DuckDB SQL.
@@ -378,6 +443,6 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 r(doc_id, other) AS (SELECT a, b FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
-SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id, coalesce(any_value(k.k), 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) k ON k.a = d.doc_id GROUP BY d.doc_id
 """
