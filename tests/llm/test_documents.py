@@ -1,6 +1,7 @@
 """Per-document operators against brute force: media, token files, secrets, personal data, mixing."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -78,7 +79,8 @@ def test_token_files(docs, rows, empty):
 
 def test_token_lookup(docs, rows):
     files = token_files.write_files(docs)
-    found = token_files.lookup(files, [6, 11, 10**9]).collect()
+    wanted = docs.sparkSession.createDataFrame([(6,), (11,), (10**9,)], "doc_id long")
+    found = token_files.lookup(files, wanted).collect()
     assert sorted(r["key"] for r in found) == [6, 6, 11]
     text = next(t for i, t, _ in rows if i == 11)
     ids = next(r["ids"] for r in found if r["key"] == 11)
@@ -91,6 +93,17 @@ def test_pieces_give_whole_text_ids(text):
     assert e.encode(text) == e.whole(text)
 
 
+def test_random_pieces_give_whole_text_ids():
+    """Also when pieces are forgotten in between."""
+    rng, e = random.Random(4), token_files.Encoder()
+    parts = ["don't", "'S", "''s", "we'll", "x's", "ab", "Éta", "ñ", "жук", "漢字", "½", "²", "३", "12", "_", "-", "...", "“q”", "e\u0301", "\u0345", "🙂", "ǀ", "ł", "\u00d7", "\u00b5", " ", "  ", "\n", "\t ", "\u00a0"]
+    for i in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert e.encode(text) == e.whole(text), repr(text)
+        if i % 500 == 0:
+            e.known = token_files._Known(e.piece, dict(e.known))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 4096])
 def test_minimal_perfect_hash(n):
     keys = np.sort(np.random.default_rng(n).choice(10**6, n, replace=False)) - 1000

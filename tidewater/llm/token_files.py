@@ -1,49 +1,69 @@
 """Token-id files: raw little-endian ids with a minimal perfect hash index.
 
-The files are Parquet rows in the shared folder, one row per block of at most
-``BLOCK_DOCS`` documents or about ``BLOCK_IDS`` ids, in ascending doc_id order:
-``payload`` holds the raw unsigned 32-bit ids, ``row_ends`` the end of each
-document in it, and ``index`` a minimal perfect hash from document key to slot,
-with a 32-bit fingerprint and the rows of the key in each slot. A key is found
-by its block's key range, then in constant time. Spark's writer commits the
-blocks, so a lost executor or a second attempt leaves no half-written file.
+Documents are dealt over shards by ranges of ascending doc_id. A shard is three raw
+files in the shared folder: ``.ids`` holds unsigned 32-bit ids, nothing else;
+``.ends`` the end of each document in it as unsigned 64-bit numbers; ``.index`` a
+minimal perfect hash from document key to slot, with a 32-bit fingerprint and the
+rows of the key in each slot, but no key. The table of shards (path, sizes, range of
+keys) is what ``write_files`` returns. A key is found by its shard's range and then in
+constant time: slot, fingerprint, two ends, and one read of exactly its bytes.
+
+A task writes files under a name of its own attempt, and only the shards in the
+committed table exist for readers, so a lost executor or a second attempt leaves no
+half-written shard in it (its files stay unused). Files go through ``pyarrow.fs``,
+which must know the scheme of the shared folder.
 
 Defined results: null text is empty and yields the end id alone; a null doc_id
 comes first and has the key of the smallest long; rows with equal ids share a
-slot and stay in order of a text hash, then the text; an empty table gives no rows.
+slot and stay in order of a text hash, then the text; an empty table gives no rows;
+extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix, stage
+from .common import mix, shared_dir, stage
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 20
 NULL_KEY = -(1 << 63)
-CACHE = 400_000  # pieces remembered by a task
+CACHE, LONGEST = 250_000, 64  # pieces of a generation of the cache, and code points of a piece that is kept
+FLUSH = 1 << 22  # bytes held before they are written, and read at once
 #: Places where byte-level pre-tokenisation always cuts: it never joins what stands on both sides.
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\x1c-\x1f]|<\|")
+#: The pre-tokens of a piece that has only these letters, ASCII digits and ASCII signs.
+_WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f\u4e00-\u9fff]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level form: printable Latin-1 bytes stand for themselves, the others for code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b if b in plain else 256 + others.index(b)) for b in range(256)}
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembering the ids of pieces.
 
     Byte-level pre-tokenisation cuts before the last blank of a run and at other
-    white space, so the ids of a text are those of its pieces in order. Texts with
+    white space, so the ids of a text are those of its pieces in order. A piece of
+    common letters, digits and signs is cut into its pre-tokens here and these go to
+    the library's model; any other piece goes to the library as it is. Texts with
     control separators or special tokens are encoded in one call.
     """
 
@@ -52,28 +72,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        self.known = _Known(self.whole)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.known = _Known(self.piece, {})
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        words = _WORDS.findall(piece)
+        if sum(map(len, words)) != len(piece):
+            return self.whole(piece)
+        if len(words) > 1:
+            return b"".join(map(self.known.__getitem__, words))
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def encode(self, text: str) -> bytes:
         if _PLAIN.search(text):
             return self.whole(text)
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if len(self.known) > CACHE:  # what is not used again until the next turn is forgotten
+            self.known = _Known(self.piece, dict(self.known))
         return b"".join(map(self.known.__getitem__, _PIECES.findall(text)))
 
 
 class _Known(dict):
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, old: dict):
+        self.encode, self.old = encode, old
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = out = self.encode(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.encode(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = out
         return out
 
 
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
+def encoder_of_process(path: str | None = None) -> Encoder:
+    """One encoder for all tasks that a Python worker runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 # --- minimal perfect hash ---------------------------------------------------
 
 LEVELS = 24
@@ -141,93 +184,157 @@ class Index:
 
 # --- files ------------------------------------------------------------------
 
-BLOCKS = pa.schema([("part", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("row_ends", pa.binary()), ("payload", pa.binary()), ("index", pa.binary())])
-
 
 def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Encode every whole text and write the blocks; returns the written table."""
+    """Encode every whole text and write the shards; returns the table of shards:
+    part, path (without ending), n_docs, n_ids, first_key, last_key."""
+    folder = f"{shared_dir(docs.sparkSession)}/tidewater/tokens-{uuid.uuid4().hex}"
+    schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, end = Encoder(tokenizer), TaskContext.get().partitionId(), np.uint32(end_id).astype("<u4").tobytes()
-        keys: list[int] = []
-        texts: list[bytes] = []
-        start = held = 0
-
-        def block():
-            nonlocal keys, texts, start, held
-            ends = np.cumsum([len(t) // 4 for t in texts]).astype("<u4")
-            row = [part, start, held, keys[0], keys[-1], keys, ends.tobytes(), b"".join(texts), build_index(np.array(keys, dtype=np.int64))]
-            start, keys, texts, held = start + held, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCKS)], schema=BLOCKS)
-
+        encoder, task, end = encoder_of_process(tokenizer), TaskContext.get(), np.uint32(end_id).astype("<u4").tobytes()
+        store, root = pafs.FileSystem.from_uri(folder)
+        path = f"{root}/{task.partitionId():06d}-{task.taskAttemptId()}"
+        keys, ends, held, size, at, ids = array("q"), array("Q"), [], 0, 0, None
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if ids is None:
+                    store.create_dir(root, recursive=True)
+                    ids = store.open_output_stream(path + ".ids")
                 encoded = encoder.encode(text.as_py() or "")
+                held += (encoded, end)
+                size += len(encoded) + 4
+                at += len(encoded) // 4 + 1
                 keys.append(NULL_KEY if key is None else key)
-                texts.append(encoded + end)
-                held += len(encoded) // 4 + 1
-                if len(keys) >= BLOCK_DOCS or held >= BLOCK_IDS:
-                    yield block()
-        if keys:
-            yield block()
+                ends.append(at)
+                if size >= FLUSH:
+                    ids.write(b"".join(held))
+                    held, size = [], 0
+        if ids is None:
+            return
+        ids.write(b"".join(held))
+        ids.close()
+        for ending, data in ((".ends", np.frombuffer(ends, np.uint64).astype("<u8").tobytes()), (".index", build_index(np.frombuffer(keys, np.int64)))):
+            with store.open_output_stream(path + ending) as out:
+                out.write(data)
+        row = (task.partitionId(), path.removeprefix(root), len(keys), at, keys[0], keys[-1])
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
-    schema = "part int, part_start long, n_ids long, first_key long, last_key long, keys array<long>, row_ends binary, payload binary, index binary"
-    return stage(dealt.select("doc_id", "text").mapInArrow(run, schema), "token-files")
-
-
-def with_starts(files: DataFrame) -> DataFrame:
-    """Blocks with ``base``, the ids of all parts before theirs: one row per part is summed up, never one per document."""
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("total"))
-    before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return files.join(F.broadcast(bases), F.col("part") == F.col("p")).drop("p")  # as many rows as write tasks
+    shards = dealt.select("doc_id", "text").mapInArrow(run, "part int, path string, n_docs long, n_ids long, first_key long, last_key long")
+    return stage(shards.withColumn("path", F.concat(F.lit(folder), "path")), "token-shards")
+
+
+class Shards:
+    """The table of shards in memory: one row per write task, none per document."""
+
+    def __init__(self, files: DataFrame):
+        rows = sorted(files.collect(), key=lambda r: r["part"])
+        self.paths = [r["path"] for r in rows]
+        self.first, self.last = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("first_key", "last_key"))
+        self.base = np.cumsum([0, *(r["n_ids"] for r in rows)])[:-1]
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shard, key) for every shard that may hold a key; equal ids can stand in several."""
+        low, high = np.searchsorted(self.last, keys, "left"), np.searchsorted(self.first, keys, "right")
+        n = np.maximum(high - low, 0)
+        shard = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return shard.astype(np.int32), np.repeat(keys, n)
+
+
+class Shard:
+    """One shard opened for keyed reads."""
+
+    def __init__(self, path: str):
+        store, name = pafs.FileSystem.from_uri(path)
+        with store.open_input_stream(name + ".index") as f:
+            self.index = Index(f.read())
+        self.ends, self.ids = store.open_input_file(name + ".ends"), store.open_input_file(name + ".ids")
+
+    def close(self) -> None:
+        self.ends.close()
+        self.ids.close()
+
+    def bounds(self, row: int, rows: int) -> np.ndarray:
+        """Ends of ``rows`` documents from ``row`` on, with the end before them first."""
+        self.ends.seek(8 * max(row - 1, 0))
+        found = np.frombuffer(self.ends.read(8 * (rows + (row > 0))), "<u8").astype(np.int64)
+        return found if row else np.concatenate(([0], found))
+
+    def read(self, begin: int, end: int) -> bytes:
+        self.ids.seek(4 * begin)
+        return self.ids.read(4 * (end - begin))
+
+    def documents(self, keys: np.ndarray) -> Iterator[tuple[int, int, memoryview]]:
+        """(key, start in the shard, bytes of its ids) of all documents of ascending ``keys``. Documents that stand
+        one behind the other are read together, about FLUSH bytes at once."""
+        first, count = self.index.rows(keys)
+        rows = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        owner = np.repeat(keys, count)
+        cuts = np.flatnonzero(np.diff(rows) != 1) + 1
+        for part, own in zip(np.split(rows, cuts), np.split(owner, cuts)):
+            for i in range(0, len(part), FLUSH // 8):
+                run, names = part[i : i + FLUSH // 8], own[i : i + FLUSH // 8]
+                ends = self.bounds(int(run[0]), len(run))
+                j = 0
+                while j < len(run):
+                    stop = max(j + 1, int(np.searchsorted(ends, ends[j] + FLUSH // 4, "right")) - 1)
+                    data = memoryview(self.read(int(ends[j]), int(ends[stop])))
+                    for k in range(j, stop):
+                        yield int(names[k]), int(ends[k]), data[4 * int(ends[k] - ends[j]) : 4 * int(ends[k + 1] - ends[j])]
+                    j = stop
+
+
+def keyed(keys: DataFrame, files: DataFrame, make, schema: str) -> DataFrame:
+    """``make(key, start, ids)`` for every document of the keys (column doc_id), each key sent once to the shards of its range."""
+    shards = Shards(files)
+
+    def route(batches):
+        for b in batches:
+            found = pa.compute.fill_null(b.column(0), NULL_KEY).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in shards.of(found)], names=["shard", "key"])
 
+    def read(batches):
+        shard, held = None, []
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, each found through its block's index."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+        def close():
+            if shard is not None:
+                opened = Shard(shards.paths[shard])
+                base = int(shards.base[shard])
+                found = opened.documents(np.concatenate(held))
+                while rows := [make(None if k == NULL_KEY else k, base + start, data) for k, start, data in islice(found, 1000)]:
+                    yield pa.RecordBatch.from_pylist(rows, schema=target)
+                opened.close()
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                base, start, keys, ends, payload, index = (b.column(j)[i].as_py() for j in range(6))
-                stop = np.frombuffer(ends, "<u4").astype(np.int64)
-                begin = np.concatenate(([0], stop[:-1]))
-                unique = np.unique(np.array(keys, dtype=np.int64))
-                first, count = Index(index).rows(unique)
-                rows = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                owner = np.repeat(unique, count)
-                view = memoryview(payload)
-                crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(begin[rows].tolist(), stop[rows].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64(), mask=owner == NULL_KEY), pa.array(base + start + begin[rows]), pa.array((stop - begin)[rows]), pa.array(crc, pa.int64())], schema=schema)
-
-    return with_starts(files).select("base", "part_start", "keys", "row_ends", "payload", "index").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def lookup(files: DataFrame, keys: list[int]) -> DataFrame:
-    """Ids (array<long>) of a stated list of document keys: key, ids, one row per stored document."""
-    wanted = np.array(sorted(set(keys)), dtype=np.int64)
-    schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int64()))])
-
-    def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                low, high, ends, payload, index = (b.column(j)[i].as_py() for j in range(5))
-                own = wanted[(wanted >= low) & (wanted <= high)]
-                if not len(own):
+            s, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for part, own in zip(np.split(s, c := np.flatnonzero(np.diff(s)) + 1), np.split(k, c)):
+                if not len(part):
                     continue
-                stop = np.concatenate(([0], np.frombuffer(ends, "<u4"))).astype(np.int64)
-                ids = np.frombuffer(payload, "<u4")
-                for key, first, count in zip(own.tolist(), *(x.tolist() for x in Index(index).rows(own))):
-                    for r in range(first, first + count):
-                        yield pa.RecordBatch.from_pylist([{"key": key, "ids": ids[stop[r] : stop[r + 1]].tolist()}], schema=schema)
+                if part[0] != shard:
+                    yield from close()
+                    shard, held = int(part[0]), []
+                held.append(own)
+        yield from close()
+
+    types = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    target = pa.schema([(name, types[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+    routed = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(route, "shard int, key long")
+    return routed.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(read, schema)
+
+
+def read_documents(files: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document of ``docs``, each found through its shard's index and read from the files."""
+    make = lambda key, start, ids: {"doc_id": key, "start": start, "n_tokens": len(ids) // 4, "ids_crc32": zlib.crc32(ids)}
+    return keyed(docs, files, make, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
 
-    inside = F.exists(F.array(*[F.lit(int(k)) for k in wanted]) if len(wanted) else F.array().cast("array<bigint>"), lambda k: (k >= F.col("first_key")) & (k <= F.col("last_key")))
-    return files.where(inside).select("first_key", "last_key", "row_ends", "payload", "index").mapInArrow(run, "key long, ids array<long>")
+def lookup(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """Ids (array<long>) of the documents of the keys in column doc_id: key, ids, one row per stored document."""
+    return keyed(keys, files, lambda key, start, ids: {"key": key, "ids": np.frombuffer(ids, "<u4").astype(np.int64)}, "key long, ids array<long>")
 
 
 def op5_token_files(docs: DataFrame) -> DataFrame:
-    return read_documents(write_files(docs))
+    return read_documents(write_files(docs), docs)
