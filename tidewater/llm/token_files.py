@@ -1,11 +1,12 @@
 """Token-id files: raw little-endian ids with a minimal perfect hash index.
 
 Documents are dealt over shards by ranges of ascending doc_id. A shard is three raw
-files in the shared folder: ``.ids`` holds unsigned 32-bit ids, nothing else;
+files in the shared folder: ``.ids`` holds unsigned ids of 16 bits (32 bits where the
+vocabulary needs them), nothing else;
 ``.ends`` the end of each document in it as unsigned 64-bit numbers; ``.index`` a
 minimal perfect hash from document key to slot, with a 32-bit fingerprint and the
-rows of the key in each slot, but no key. The table of shards (path, sizes, range of
-keys) is what ``write_files`` returns. A key is found by its shard's range and then in
+rows of the key in each slot, but no key. The table of shards (path, width of an id, sizes,
+range of keys) is what ``write_files`` returns. A key is found by its shard's range and then in
 constant time: slot, fingerprint, two ends, and one read of exactly its bytes.
 
 A task writes files under a name of its own attempt, and only the shards in the
@@ -67,16 +68,19 @@ class Encoder:
     control separators or special tokens are encoded in one call.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, width: int | None = 4):
+        """``width``: bytes of an id, None for as many as the vocabulary needs."""
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+        self.width = width or (2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4)
+        self.code = {2: "H", 4: "I"}[self.width]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known = _Known(self.piece, {})
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
         words = _WORDS.findall(piece)
@@ -84,7 +88,7 @@ class Encoder:
             return self.whole(piece)
         if len(words) > 1:
             return b"".join(map(self.known.__getitem__, words))
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if _PLAIN.search(text):
@@ -113,7 +117,7 @@ _ENCODERS: dict[str | None, Encoder] = {}
 def encoder_of_process(path: str | None = None) -> Encoder:
     """One encoder for all tasks that a Python worker runs."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, None)
     return _ENCODERS[path]
 
 
@@ -187,12 +191,13 @@ class Index:
 
 def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode every whole text and write the shards; returns the table of shards:
-    part, path (without ending), n_docs, n_ids, first_key, last_key."""
+    part, path (without ending), width (bytes of an id), n_docs, n_ids, first_key, last_key."""
     folder = f"{shared_dir(docs.sparkSession)}/tidewater/tokens-{uuid.uuid4().hex}"
-    schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, end = encoder_of_process(tokenizer), TaskContext.get(), np.uint32(end_id).astype("<u4").tobytes()
+        encoder, task = encoder_of_process(tokenizer), TaskContext.get()
+        end = end_id.to_bytes(encoder.width, "little")
         store, root = pafs.FileSystem.from_uri(folder)
         path = f"{root}/{task.partitionId():06d}-{task.taskAttemptId()}"
         keys, ends, held, size, at, ids = array("q"), array("Q"), [], 0, 0, None
@@ -203,8 +208,8 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
                     ids = store.open_output_stream(path + ".ids")
                 encoded = encoder.encode(text.as_py() or "")
                 held += (encoded, end)
-                size += len(encoded) + 4
-                at += len(encoded) // 4 + 1
+                size += len(encoded) + len(end)
+                at += len(encoded) // len(end) + 1
                 keys.append(NULL_KEY if key is None else key)
                 ends.append(at)
                 if size >= FLUSH:
@@ -217,13 +222,13 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
         for ending, data in ((".ends", np.frombuffer(ends, np.uint64).astype("<u8").tobytes()), (".index", build_index(np.frombuffer(keys, np.int64)))):
             with store.open_output_stream(path + ending) as out:
                 out.write(data)
-        row = (task.partitionId(), path.removeprefix(root), len(keys), at, keys[0], keys[-1])
+        row = (task.partitionId(), path.removeprefix(root), encoder.width, len(keys), at, keys[0], keys[-1])
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
-    shards = dealt.select("doc_id", "text").mapInArrow(run, "part int, path string, n_docs long, n_ids long, first_key long, last_key long")
+    shards = dealt.select("doc_id", "text").mapInArrow(run, "part int, path string, width int, n_docs long, n_ids long, first_key long, last_key long")
     return stage(shards.withColumn("path", F.concat(F.lit(folder), "path")), "token-shards")
 
 
@@ -232,7 +237,7 @@ class Shards:
 
     def __init__(self, files: DataFrame):
         rows = sorted(files.collect(), key=lambda r: r["part"])
-        self.paths = [r["path"] for r in rows]
+        self.paths = [(r["path"], r["width"]) for r in rows]
         self.first, self.last = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("first_key", "last_key"))
         self.base = np.cumsum([0, *(r["n_ids"] for r in rows)])[:-1]
 
@@ -247,7 +252,8 @@ class Shards:
 class Shard:
     """One shard opened for keyed reads."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int):
+        self.width = width
         store, name = pafs.FileSystem.from_uri(path)
         with store.open_input_stream(name + ".index") as f:
             self.index = Index(f.read())
@@ -264,11 +270,11 @@ class Shard:
         return found if row else np.concatenate(([0], found))
 
     def read(self, begin: int, end: int) -> bytes:
-        self.ids.seek(4 * begin)
-        return self.ids.read(4 * (end - begin))
+        self.ids.seek(self.width * begin)
+        return self.ids.read(self.width * (end - begin))
 
-    def documents(self, keys: np.ndarray) -> Iterator[tuple[int, int, memoryview]]:
-        """(key, start in the shard, bytes of its ids) of all documents of ascending ``keys``. Documents that stand
+    def documents(self, keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(key, start in the shard, its ids as unsigned 32-bit numbers) of all documents of ascending ``keys``. Documents that stand
         one behind the other are read together, about FLUSH bytes at once."""
         first, count = self.index.rows(keys)
         rows = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -281,9 +287,9 @@ class Shard:
                 j = 0
                 while j < len(run):
                     stop = max(j + 1, int(np.searchsorted(ends, ends[j] + FLUSH // 4, "right")) - 1)
-                    data = memoryview(self.read(int(ends[j]), int(ends[stop])))
+                    data = np.frombuffer(self.read(int(ends[j]), int(ends[stop])), f"<u{self.width}").astype("<u4")
                     for k in range(j, stop):
-                        yield int(names[k]), int(ends[k]), data[4 * int(ends[k] - ends[j]) : 4 * int(ends[k + 1] - ends[j])]
+                        yield int(names[k]), int(ends[k]), data[int(ends[k] - ends[j]) : int(ends[k + 1] - ends[j])]
                     j = stop
 
 
@@ -301,7 +307,7 @@ def keyed(keys: DataFrame, files: DataFrame, make, schema: str) -> DataFrame:
 
         def close():
             if shard is not None:
-                opened = Shard(shards.paths[shard])
+                opened = Shard(*shards.paths[shard])
                 base = int(shards.base[shard])
                 found = opened.documents(np.concatenate(held))
                 while rows := [make(None if k == NULL_KEY else k, base + start, data) for k, start, data in islice(found, 1000)]:
@@ -327,13 +333,13 @@ def keyed(keys: DataFrame, files: DataFrame, make, schema: str) -> DataFrame:
 
 def read_documents(files: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of ``docs``, each found through its shard's index and read from the files."""
-    make = lambda key, start, ids: {"doc_id": key, "start": start, "n_tokens": len(ids) // 4, "ids_crc32": zlib.crc32(ids)}
+    make = lambda key, start, ids: {"doc_id": key, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids)}
     return keyed(docs, files, make, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(files: DataFrame, keys: DataFrame) -> DataFrame:
     """Ids (array<long>) of the documents of the keys in column doc_id: key, ids, one row per stored document."""
-    return keyed(keys, files, lambda key, start, ids: {"key": key, "ids": np.frombuffer(ids, "<u4").astype(np.int64)}, "key long, ids array<long>")
+    return keyed(keys, files, lambda key, start, ids: {"key": key, "ids": ids.astype(np.int64)}, "key long, ids array<long>")
 
 
 def op5_token_files(docs: DataFrame) -> DataFrame:
