@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session has none."""
+    """The folder that driver and executors share. Only in local mode is one made where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-tidewater-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,17 +51,32 @@ def small_join(big: DataFrame, lookup: DataFrame, on: Column, how: str = "inner"
 
     The lookup side is counted first (or ``rows`` tells its proven size). Up to
     ``BROADCAST_ROWS`` it is broadcast; beyond that each lookup row is copied to
-    ``SALTS`` salts and the large side dealt over them, so that a key that holds
-    a third of the rows is still spread over many tasks.
+    ``SALTS`` salts and the large side dealt over them by a hash of the row and its
+    partition, so that a key that holds a third of the rows is still spread over many
+    tasks, and a task that runs again deals its rows the same way.
     """
     n = lookup.count() if rows is None else rows
     if n <= BROADCAST_ROWS:
         return big.join(F.broadcast(lookup), on, how)
     salted = lookup.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = big.withColumn("_salt_l", F.floor(F.rand(7) * SALTS).cast("int"))
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in big.schema])
+    dealt = big.withColumn("_salt_l", F.pmod(hashed + F.spark_partition_id(), F.lit(SALTS)).cast("int"))
     return dealt.join(salted, on & (F.col("_salt_l") == F.col("_salt_r")), how).drop("_salt_l", "_salt_r")
 
 
+def keyed(docs: DataFrame, label: str) -> DataFrame:
+    """(row, doc): the documents written once, all their columns in ``doc``, with a key of
+    the written row, so that null and repeated ids and clashing names do no harm."""
+    return stage(docs.select(F.struct(*docs.columns).alias("doc")).withColumn("row", F.monotonically_increasing_id()), label)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents of ``keyed`` rows, all columns, whose row is not among ``gone`` (row)."""
+    gone = gone.select(F.col("row").alias("_r"))
+    lookup = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.select("row", "doc").join(lookup, F.col("row") == F.col("_r"), "left_anti").select("doc.*")
+
+
 def doc_crc_fold(col: Column, folds: int = 5) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % folds
 

@@ -14,14 +14,16 @@ case and outer punctuation, and so match only identical ones.
 Windows are also made of joined words: a run of names is one placeholder, and so
 is a number with its unit. So a slot may be filled with more or fewer words.
 
-A document is contaminated by an item if consistent windows on one alignment,
+A document is contaminated by an item if windows on one alignment, all of them consistent,
 or windows of joined words on one chain of rising places in both, which may leave
 words out or put some in, cover ``COVER`` of the item's windows of that kind or
 ``RUN`` windows; templates alone may also cover ``COVER`` of the item's templates.
 
 Defined results: null texts are empty and match nothing; items shorter than a
-window form one window of their length; an item of numbers only is never
-matched; repeated rows of documents and items each count on their own.
+window form one window of their length; an item of numbers only is matched word for
+word, but never if it is shorter than a window, as such numbers stand anywhere;
+repeated rows of documents and items each count on their own; an empty table of
+documents or items gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_join, stage
+from .common import keyed, mix, small_join, stage, without
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 13
 CACHE = 300_000
@@ -181,7 +183,7 @@ def _window_rows(frame: DataFrame, keys: list[str], widths: list[int] | None, wa
 
     def of_item(canon, words):
         ids, itself = canon.ids(words)
-        if not len(words) or (ids == NUM).all():
+        if not len(words) or (len(words) < WINDOW and (ids == NUM).all()):
             return [], np.zeros(4, dtype=np.int64)
 
         def own(ids):
@@ -272,14 +274,13 @@ def _verdicts(batches):
             if v:
                 take.append(i)
                 out.append(v)
-        kept = b.select(["doc_id", "item_id"]).take(pa.array(take, pa.int64()))
+        kept = b.select(["row", "doc_id", "item_id"]).take(pa.array(take, pa.int64()))
         matched, n, substituted = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(matched, pa.int64()), pa.array(n, pa.int64()), pa.array([m / x for m, x, _ in out], pa.float64()), pa.array(substituted, pa.bool_())], names=["doc_id", "item_id", "matched", "n_windows", "coverage", "substituted"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(matched, pa.int64()), pa.array(n, pa.int64()), pa.array([m / x for m, x, _ in out], pa.float64()), pa.array(substituted, pa.bool_())], names=["row", "doc_id", "item_id", "matched", "n_windows", "coverage", "substituted"])
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document row and item that contaminates it: doc_id, item_id,
-    matched, n_windows, coverage, substituted (a slot is filled otherwise)."""
+def contaminated_rows(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contaminations`` of documents (row, doc_id, text), with their row."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item_row", F.monotonically_increasing_id())
     own = _window_rows(items, ["item_row", "item_id"], None, None)
     parts = [F.col(f"w.{c}").alias(f"b_{c}") for c in ("hash", "raw", "joined", "place", "slots", "width")]
@@ -289,15 +290,22 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = None
     if n <= FILTER_WINDOWS:
         wanted = np.unique(np.array([r[0] for r in bench.select("b_hash").distinct().collect()], dtype=np.int64).view(np.uint64))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = _window_rows(rows, ["row", "doc_id"], widths, wanted).select("row", "doc_id", F.explode("found").alias("w"))
     met = small_join(found, bench, F.col("w.hash") == F.col("b_hash"), rows=n)
     each = F.struct("b_place", "w.place", "w.template", "b_raw", "w.raw", "b_joined", "w.joined", "b_slots", "w.slots")
-    return met.groupBy("row", "doc_id", "item_row", "item_id", *COUNTS).agg(F.collect_list(each).alias("windows")).mapInArrow(_verdicts, "doc_id long, item_id long, matched long, n_windows long, coverage double, substituted boolean")
+    return met.groupBy("row", "doc_id", "item_row", "item_id", *COUNTS).agg(F.collect_list(each).alias("windows")).mapInArrow(_verdicts, "row long, doc_id long, item_id long, matched long, n_windows long, coverage double, substituted boolean")
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document row and item that contaminates it: doc_id, item_id,
+    matched, n_windows, coverage, substituted (a slot is filled otherwise)."""
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    return contaminated_rows(rows, benchmark).drop("row")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without contamination, all columns; rows without an id stay if no document without an id is contaminated."""
-    bad = stage(contaminations(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    n = bad.count()
-    return docs.join(F.broadcast(bad) if n <= 500_000 else bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """Documents without contamination, all columns. Each row is judged by its own text, whatever its id."""
+    rows = keyed(docs, "decontam-documents")
+    bad = stage(contaminated_rows(rows.select("row", "doc.doc_id", "doc.text"), benchmark).select("row").distinct(), "contaminated")
+    return without(rows, bad)

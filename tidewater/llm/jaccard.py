@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, mix, shingle_sets, small_join, stage
+from .common import BROADCAST_ROWS, mix, shingle_sets, small_join, stage, without
 
 PART, WHOLE = 80, 100  # link when WHOLE * intersection >= PART * union
 COMBINE = 2  # k, the tokens of a combination
@@ -427,10 +427,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     come last, and of equal ids the first row as written stays. Documents without words all stay.
     Rows are told apart by a key of their own, so null and repeated ids do no harm."""
     sets = token_sets(docs, frequent_tokens(docs))
-    goes = stage(join_rows(sets).where("stays <> row").select(F.col("row").alias("_r")), "jaccard-goes")
-    own = sets.select("row", "doc")
-    left = own.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, F.col("row") == F.col("_r"), "left_anti")
-    return left.select("doc.*")
+    return without(sets, stage(join_rows(sets).where("stays <> row").select("row"), "jaccard-goes"))
 
 
 #: Rows of ``join_components`` in DuckDB SQL.

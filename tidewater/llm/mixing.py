@@ -104,6 +104,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     return small_join(rows, found, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, all columns; one that the mix takes twice is there twice.
+    Documents without words, which a mix of words neither takes nor leaves, stay once."""
+    has_words = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").cast("string").alias("source"), has_words.alias("words"), hash40(F.col("doc_id")).alias("h"))
+    found = plan(docs).select(F.col("source").alias("s"), "whole", "below")
+    times = F.when(~F.col("words"), 1).otherwise(F.col("whole") + (F.col("h") < F.col("below")).cast("long"))
+    met = small_join(rows, found, F.col("source").eqNullSafe(F.col("s"))).select("doc", times.cast("int").alias("n")).where("n > 0")
+    return met.select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
+
+
 #: Rows of ``mix`` in DuckDB SQL over a table ``{docs}``.
 SQL = r"""
 WITH sized AS (
