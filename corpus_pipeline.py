@@ -4,15 +4,17 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before it
 kept and returns a DataFrame; ``run`` writes every stage as Parquet in the
 shared folder and reads it again. All but the last return the columns of
 documents.
+
+Every stage judges rows by their own text: null texts count as empty, and rows with
+null or repeated ids are told apart. An empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewater.llm import decontam, jaccard, mixing, token_files, toxicity
-from tidewater.llm.common import small_join, stage, table
+from tidewater.llm.common import stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +33,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix; one that the mix takes twice is there twice. Documents
-    without words, which a mix of words neither takes nor leaves, stay once."""
-    rows = docs.withColumn("_h", mixing.hash40(F.col("doc_id")))
-    plan = mixing.plan(docs).select(F.col("source").alias("_s"), "whole", "below")
-    times = F.when(F.coalesce(F.length(F.regexp_replace(F.col("text").cast("string"), r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0, 1).otherwise(F.col("whole") + (F.col("_h") < F.col("below")).cast("long"))
-    met = small_join(rows, plan, F.col("source").cast("string").eqNullSafe(F.col("_s"))).withColumn("_n", times.cast("int")).where("_n > 0")
-    return met.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """Documents of the mix; one that the mix takes twice is there twice."""
+    return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
