@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tidewater.llm import chat, decontam, jaccard, toxicity, urls
+from tidewater.llm.common import keyed
 
 SF = "/root/testdata/sf0.01"
 
@@ -83,7 +84,7 @@ def test_jaccard_uses_combinations(spark):
     """Frequent tokens of the given tables are indexed by combinations, and these find homes."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     frequent = jaccard.frequent_tokens(docs)
-    sets = jaccard.token_sets(docs, frequent)
+    sets = jaccard.token_sets(keyed(docs, "test"), frequent)
     assert len(frequent) and sets.where("size(runs) > 0").count() and jaccard.combined_homes(sets).count()
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,8 +43,38 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     lost executor costs a read and not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewater/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``stage`` writes inside are deleted at the end, but for those given to
+    the function it yields. What is returned must read from those only."""
+    made, kept = [], set()
+    _OPEN.append(made)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.staged_at)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+        for path in made:
+            if path not in kept:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_join(big: DataFrame, lookup: DataFrame, on: Column, how: str = "inner", rows: int | None = None) -> DataFrame:
@@ -77,6 +108,18 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.select("row", "doc").join(lookup, F.col("row") == F.col("_r"), "left_anti").select("doc.*")
 
 
+def text_key() -> Column:
+    """Digest of a document's text; null texts count as empty."""
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def without_texts(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents, all columns, whose text has no key among the distinct ``key`` of ``gone``:
+    for decisions that depend on the text alone, whatever the id."""
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), text_key().alias("_t"))
+    return small_join(rows, gone.select("key"), F.col("_t") == F.col("key"), "left_anti").select("doc.*")
+
+
 def doc_crc_fold(col: Column, folds: int = 5) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % folds
 

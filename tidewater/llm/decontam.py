@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, mix, small_join, stage, without
+from .common import mix, scratch, small_join, stage, text_key, without_texts
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 13
 CACHE = 300_000
@@ -266,21 +266,24 @@ def _verdict(windows: list[dict], n: int, whole: int, joined_n: int, joined_whol
     return max(found)[3] if found else None
 
 
-def _verdicts(batches):
-    for b in batches:
-        take, out = [], []
-        for i in range(b.num_rows):
-            v = _verdict(b["windows"][i].as_py(), *(b[c][i].as_py() for c in COUNTS))
-            if v:
-                take.append(i)
-                out.append(v)
-        kept = b.select(["row", "doc_id", "item_id"]).take(pa.array(take, pa.int64()))
-        matched, n, substituted = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(matched, pa.int64()), pa.array(n, pa.int64()), pa.array([m / x for m, x, _ in out], pa.float64()), pa.array(substituted, pa.bool_())], names=["row", "doc_id", "item_id", "matched", "n_windows", "coverage", "substituted"])
+def _verdicts_of(carry: tuple[str, ...]):
+    def run(batches):
+        for b in batches:
+            take, out = [], []
+            for i in range(b.num_rows):
+                v = _verdict(b["windows"][i].as_py(), *(b[c][i].as_py() for c in COUNTS))
+                if v:
+                    take.append(i)
+                    out.append(v)
+            kept = b.select([*carry, "row", "doc_id", "item_id"]).take(pa.array(take, pa.int64()))
+            matched, n, substituted = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(matched, pa.int64()), pa.array(n, pa.int64()), pa.array([m / x for m, x, _ in out], pa.float64()), pa.array(substituted, pa.bool_())], names=[*carry, "row", "doc_id", "item_id", "matched", "n_windows", "coverage", "substituted"])
+
+    return run
 
 
-def contaminated_rows(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``contaminations`` of documents (row, doc_id, text), with their row."""
+def contaminated_rows(rows: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``contaminations`` of documents (row, doc_id, text), with their row and the columns of ``carry``."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item_row", F.monotonically_increasing_id())
     own = _window_rows(items, ["item_row", "item_id"], None, None)
     parts = [F.col(f"w.{c}").alias(f"b_{c}") for c in ("hash", "raw", "joined", "place", "slots", "width")]
@@ -290,11 +293,11 @@ def contaminated_rows(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = None
     if n <= FILTER_WINDOWS:
         wanted = np.unique(np.array([r[0] for r in bench.select("b_hash").distinct().collect()], dtype=np.int64).view(np.uint64))
-    rows = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = _window_rows(rows, ["row", "doc_id"], widths, wanted).select("row", "doc_id", F.explode("found").alias("w"))
+    rows = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
+    found = _window_rows(rows, ["row", "doc_id", *carry], widths, wanted).select("row", "doc_id", *carry, F.explode("found").alias("w"))
     met = small_join(found, bench, F.col("w.hash") == F.col("b_hash"), rows=n)
     each = F.struct("b_place", "w.place", "w.template", "b_raw", "w.raw", "b_joined", "w.joined", "b_slots", "w.slots")
-    return met.groupBy("row", "doc_id", "item_row", "item_id", *COUNTS).agg(F.collect_list(each).alias("windows")).mapInArrow(_verdicts, "row long, doc_id long, item_id long, matched long, n_windows long, coverage double, substituted boolean")
+    return met.groupBy("row", "doc_id", *carry, "item_row", "item_id", *COUNTS).agg(F.collect_list(each).alias("windows")).mapInArrow(_verdicts_of(carry), "".join(f"{c} string, " for c in carry) + "row long, doc_id long, item_id long, matched long, n_windows long, coverage double, substituted boolean")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -306,6 +309,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without contamination, all columns. Each row is judged by its own text, whatever its id."""
-    rows = keyed(docs, "decontam-documents")
-    bad = stage(contaminated_rows(rows.select("row", "doc.doc_id", "doc.text"), benchmark).select("row").distinct(), "contaminated")
-    return without(rows, bad)
+    rows = docs.select("doc_id", "text", text_key().alias("key")).withColumn("row", F.monotonically_increasing_id())
+    with scratch(docs.sparkSession) as keep:
+        bad = keep(stage(contaminated_rows(rows, benchmark, ("key",)).select("key").distinct(), "contaminated"))
+    return without_texts(docs, bad)

@@ -43,9 +43,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, mix, shingle_sets, small_join, stage, without
+from .common import BROADCAST_ROWS, keyed, mix, scratch, shingle_sets, small_join, stage, without
 
 PART, WHOLE = 80, 100  # link when WHOLE * intersection >= PART * union
 COMBINE = 2  # k, the tokens of a combination
@@ -156,10 +155,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, k: int = COMBINE) -> tu
     return rare[: prefix_length(n)], keys
 
 
-def token_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(row, doc, doc_id, n, sig, singles, runs), written: ``doc`` holds all columns of
-    the document, ``sig`` is a digest of its set."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def token_sets(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(row, doc_id, n, sig, singles, runs) of ``keyed`` documents, written: ``sig`` is a digest of a row's set."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         for b in _slices(batches):
@@ -167,12 +165,10 @@ def token_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             keys = [signatures(s, shared.value) for s in sets]
             sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             lists = [pa.array([x[i].view(np.int64) for x in keys], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), *lists], names=["doc", "doc_id", "n", "sig", "singles", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), *lists], names=["row", "doc_id", "n", "sig", "singles", "runs"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([rows.schema["doc"], *(T.StructField(*x) for x in (("doc_id", T.LongType()), ("n", T.IntegerType()), ("sig", T.BinaryType()), ("singles", longs), ("runs", longs)))])
-    return stage(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    texts = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+    return stage(texts.mapInArrow(run, "row long, doc_id long, n int, sig binary, singles array<long>, runs array<long>"), "jaccard-sets")
 
 
 # --- homes --------------------------------------------------------------------
@@ -328,7 +324,7 @@ def _labels(link: np.ndarray) -> np.ndarray:
         label = low
 
 
-def links(homes: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+def links(homes: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(row, links, to): per unit and set in it its links there, each counted as often as
     the other set has documents, and the least set that they reach."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
@@ -337,7 +333,7 @@ def links(homes: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     own = own.select(F.col("row").alias("_r"), "home", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), (F.col("_b") > F.col("_o")).alias("side"), "earlier")
     own = small_join(stage(own, "jaccard-units"), classes.select("cls", "c"), F.col("_r") == F.col("cls"), "left")
     own = stage(own.select("_r", "home", "lo", "hi", "side", "earlier", F.coalesce("c", F.lit(1)).alias("copies")), "jaccard-units")
-    texts, on = sets.select("row", F.col("doc.text").cast("string").alias("text")), F.col("row") == F.col("_r")
+    texts, on = rows.select("row", F.col("doc.text").cast("string").alias("text")), F.col("row") == F.col("_r")
     units = texts.join(F.broadcast(own), on) if own.count() <= BROADCAST_ROWS else texts.join(own, on)
     schema = pa.schema([("row", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
 
@@ -393,14 +389,15 @@ def components(links: DataFrame) -> DataFrame:
     return of if of is not None else links.select(F.col("a").alias("row"), F.col("a").alias("comp")).limit(0)
 
 
-def join_rows(sets: DataFrame) -> DataFrame:
-    """(row, doc_id, n, component_id, n_links, stays) of every row of ``token_sets``: ``stays``
+def join_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n, component_id, n_links, stays) of every row of ``keyed`` documents: ``stays``
     is the row of the component with the smallest doc_id (nulls last, then the first row), null for sets without tokens."""
+    sets = token_sets(docs, frequent_tokens(docs.select("doc.text")))
     full = sets.where("n > 0").select("row", "doc_id", "n", "sig")
     classes = full.groupBy(F.col("sig").alias("_s")).agg(F.min("row").alias("cls"), F.count("*").alias("c")).where("c > 1")
     classes = stage(classes, "jaccard-classes")
     heads = small_join(sets.where("n > 0").select("row", "n", "sig", "singles", "runs"), classes, F.col("sig") == F.col("_s"), "left").where("cls IS NULL OR cls = row").drop("sig", "_s", "cls", "c")
-    found = links(homes(heads), sets, classes)
+    found = links(homes(heads), docs, classes)
     of = components(found.select(F.col("row").alias("a"), F.col("to").alias("b")))
     known = stage(of.join(found.groupBy("row").agg(F.sum("links").alias("links")), "row").withColumnRenamed("row", "_r"), "jaccard-known")
     rows = small_join(full, classes, F.col("sig") == F.col("_s"), "left").select("row", "doc_id", "n", "cls", "c", F.coalesce("cls", "row").alias("head"))
@@ -417,8 +414,8 @@ def join_rows(sets: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links."""
-    docs = docs.select("doc_id", "text")
-    rows = join_rows(token_sets(docs, frequent_tokens(docs)))
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(stage(join_rows(keyed(docs.select("doc_id", "text"), "jaccard-documents")), "jaccard-result"))
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
 
 
@@ -426,8 +423,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, the one with the smallest doc_id, with all columns; nulls
     come last, and of equal ids the first row as written stays. Documents without words all stay.
     Rows are told apart by a key of their own, so null and repeated ids do no harm."""
-    sets = token_sets(docs, frequent_tokens(docs))
-    return without(sets, stage(join_rows(sets).where("stays <> row").select("row"), "jaccard-goes"))
+    rows = keyed(docs, "jaccard-documents")
+    with scratch(docs.sparkSession) as keep:
+        goes = keep(stage(join_rows(rows).where("stays <> row").select("row"), "jaccard-goes"))
+    return without(rows, goes)
 
 
 #: Rows of ``join_components`` in DuckDB SQL.

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, small_join, stage
+from .common import WORD, scratch, small_join, stage
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -91,9 +91,10 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, rows: DataFrame | None = None) -> DataFrame:
     """(source, source_size, target, whole, below) of every source of ``docs``."""
-    rows = stage(sized(docs), "mix-sizes") if rows is None else rows
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return stage(thresholds(rows, water_fill(sizes, weights, share, most)), "mix-plan")
+    with scratch(docs.sparkSession) as keep:
+        rows = stage(sized(docs), "mix-sizes") if rows is None else rows
+        sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+        return keep(stage(thresholds(rows, water_fill(sizes, weights, share, most)), "mix-plan"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
