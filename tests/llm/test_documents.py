@@ -213,6 +213,45 @@ def test_disclosing_terms(spark):
     assert clean[205] == text[205]
 
 
+def plain_terms(texts):
+    """Disclosing terms by counting every pair of value and term over whole documents."""
+    import math
+
+    word, mail = re.compile(r"(?<![^\W_])[^\W\d_]{3,}(?![^\W_])"), re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    values = [{(k, t[s:e].lower()) for k, s, e in plain_personal(t)} for t in texts]
+    terms = [{w.lower() for w in word.findall(mail.sub(" ", t))} for t in texts]
+    df, holders, both = Counter(w for ws in terms for w in ws), Counter(v for vs in values for v in vs), defaultdict(list)
+    for t, vs, ws in zip(texts, values, terms):
+        for v in vs:
+            for w in ws:
+                both[v, w].append(t)
+    told = {}
+    for (v, w), found in both.items():
+        share = len(found) / df[w]
+        if len(set(found)) >= pii.CONTEXTS and share >= pii.SHARE and math.log2(share * len(texts) / holders[v]) >= pii.BITS:
+            told[v, w] = share
+    return [sorted((m.start(), m.end()) for m in word.finditer(t) if any((v, m[0].lower()) in told for v in vs) and not any(m.start() < e and s < m.end() for _, s, e in plain_personal(t))) for t, vs in zip(texts, values)]
+
+
+def test_disclosing_terms_of_whole_documents(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    values = [f"user{i}@mail{i}.org" for i in range(12)] + ["10.0.0.7", "+44 20 7946 0958"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    for i, v in enumerate(values):
+        for k in range(rng.randint(1, 4)):
+            j = rng.randrange(len(texts))
+            texts[j] = f"Secret{'xyz'[i % 3] * (i // 3 + 1)} said. " + texts[j] + f", so {v} and zed{'q' * i} again zed{'q' * i}."
+    texts += [texts[3], texts[3], texts[-1], "", " ".join(f"many{i}@example.com w{'x' * (i % 50)}" for i in range(3000))]
+    docs = spark.createDataFrame([(i, t, 1, "b", "t") for i, t in enumerate(texts)] + [(None, None, 2, "c", None)], "doc_id long, text string, row int, base string, terms string").repartition(3)
+    want = plain_terms([*texts, ""])
+    got = {r["doc_id"]: [(int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"] for r in pii.op7_pii(docs).collect()}
+    assert got == {None: [], **dict(enumerate(want[:-1]))} and sum(map(len, want)) > 20
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and clean.where("base = 'b' AND row = 1").count() == len(texts)
+    assert clean.where("doc_id IS NULL").first()["text"] is None and pii.sanitise(docs.limit(0)).count() == 0
+
+
 def plain_mix(rows):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
     per = defaultdict(int)
