@@ -1 +1,5 @@
+"""DataFrame functions that take their windows and columns as arguments."""
 
+from .trailing import trailing
+
+__all__ = ["trailing"]

@@ -22,10 +22,8 @@ def _psi(d):
 
 
 PLANS = {
-    "m02_regression": lambda d: "SELECT CAST(sum(abs(e)) AS DOUBLE) / count(*) AS mae, sqrt(CAST(sum(e * e) AS DOUBLE) / count(*)) AS rmse, CAST(sum(abs(e)) AS DOUBLE) / CAST(sum(abs(a)) AS DOUBLE) AS wmape FROM (SELECT a, f - a AS e FROM (SELECT CAST(value AS DECIMAL(12,2)) AS a, CAST(event_id % 100 AS DECIMAL(12,2)) AS f FROM clicks) t) u",
     "m03_wmape": lambda d: "SELECT event_type, CAST(sum(abs(f - a)) AS DOUBLE) / CAST(sum(abs(a)) AS DOUBLE) AS wmape FROM (SELECT event_type, CAST(value AS DECIMAL(12,2)) AS a, CAST(event_id % 100 AS DECIMAL(12,2)) AS f FROM clicks) t GROUP BY event_type HAVING sum(abs(a)) > 0",
     "m04_auc": _auc,
-    "m04_precision_lift": lambda d: "WITH r AS (SELECT label, row_number() OVER (PARTITION BY 1 ORDER BY score DESC, id) AS rn, count(*) OVER (PARTITION BY 1) AS n FROM preds) SELECT CAST(sum(CASE WHEN rn <= ceil(n * 0.05) THEN label ELSE 0 END) AS DOUBLE) / max(ceil(n * 0.05)) / (CAST(sum(label) AS DOUBLE) / count(*)) AS lift FROM r",
     "m05_sweep": lambda d: f"WITH k AS (SELECT {d.each('500, 700, 900')} AS cut) SELECT cut, count(*) FILTER (WHERE score * 1000 >= cut) AS flagged, count(*) FILTER (WHERE score * 1000 >= cut AND label = 1) AS hit FROM preds CROSS JOIN k GROUP BY cut",
     "m06_threshold": lambda d: f"""WITH g AS (SELECT {d.each(GRID)} AS cut), p AS (SELECT least(CAST(floor(score * 200) AS INT) * 5, 995) AS top, count(*) AS n, sum(label) AS y FROM preds WHERE score >= 0.5 GROUP BY least(CAST(floor(score * 200) AS INT) * 5, 995)),
         c AS (SELECT g.cut, CAST(sum(p.y) AS DOUBLE) / sum(p.n) AS prec FROM g JOIN p ON p.top >= g.cut GROUP BY g.cut) SELECT coalesce(min(CASE WHEN prec >= 0.85 THEN cut END), max(CASE WHEN prec = (SELECT max(prec) FROM c) THEN cut END)) AS cut FROM c""",
@@ -37,12 +35,11 @@ PLANS = {
     "m17_newest_samples": lambda d: "SELECT model, id, score FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY predicted_at DESC, id DESC) AS rn FROM preds) t WHERE rn <= 100",
     "m18_sample_gate": lambda d: "SELECT entity, count(*) AS n FROM preds GROUP BY entity HAVING count(*) >= 50",
     "m19_reproduction": lambda d: "SELECT model, CAST(sum(abs(a - f)) AS DOUBLE) / CAST(sum(abs(a)) AS DOUBLE) AS wape, CASE WHEN CAST(sum(abs(a - f)) AS DOUBLE) / CAST(sum(abs(a)) AS DOUBLE) > 1.25 * 0.9 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT model, CAST(value AS DECIMAL(12,2)) AS a, CAST(id % 100 AS DECIMAL(12,2)) AS f FROM preds) t GROUP BY model HAVING count(*) >= 20",
-    "m22_active_model": lambda d: "SELECT model, CASE WHEN threshold <= 0 THEN NULL ELSE threshold END AS threshold, greatest(rate, 0.01) AS rate FROM (SELECT model, score AS threshold, value / 1000 AS rate, row_number() OVER (PARTITION BY model ORDER BY predicted_at DESC, id DESC) AS rn FROM preds) t WHERE rn = 1",
     "a20_drift_merge": lambda d: "SELECT model, CAST(date_trunc('day', predicted_at) AS DATE) AS run, max(score) AS max_psi, count(*) AS features, max(CASE WHEN score > 0.2 THEN 2 WHEN score >= 0.1 THEN 1 ELSE 0 END) AS worst FROM preds GROUP BY model, CAST(date_trunc('day', predicted_at) AS DATE)",
     "t09_reconcile": lambda d: """WITH touched AS (SELECT DISTINCT date_trunc('hour', ts) AS b FROM clicks WHERE ts + INTERVAL '5' MINUTE >= TIMESTAMP '2024-01-20 00:00:00')
         SELECT date_trunc('hour', c.ts) AS bucket, CAST(sum(CASE WHEN c.event_type = 'purchase' THEN CAST(c.value AS DECIMAL(12,2)) ELSE 0 END) AS DOUBLE) AS revenue, count(DISTINCT c.user_id) AS sessions FROM clicks c JOIN touched t ON date_trunc('hour', c.ts) = t.b GROUP BY date_trunc('hour', c.ts)""",
     "t16_retention": lambda d: "SELECT bucket FROM hours WHERE bucket >= (SELECT max(bucket) FROM hours) - INTERVAL '3' HOUR",
-    "t17_archive": lambda d: f"WITH {_PROPOSED} SELECT p.id FROM preds p WHERE p.predicted_at < TIMESTAMP '2024-01-10 00:00:00' AND p.id <= 8000 AND NOT EXISTS (SELECT 1 FROM queue q WHERE q.id = p.id)",
+    "t17_archive": lambda d: f"WITH {_PROPOSED} SELECT p.id FROM preds p WHERE p.predicted_at < TIMESTAMP '2024-01-10 00:00:00' AND p.id <= (SELECT max(id) FROM proposed) AND NOT EXISTS (SELECT 1 FROM queue q WHERE q.id = p.id)",
     "t18_dismissal": lambda d: "SELECT bucket, CASE WHEN n > 20 AND sessions % 2 = 0 THEN 'dismissed' WHEN n > 20 THEN 'open' ELSE 'closed' END AS status FROM hours",
     "g01_rules": lambda d: "SELECT id, coalesce(score >= 0.9 AND value / nullif(entity % 5, 0) > 10, false) AS fires FROM preds",
     "g02_fail_closed": lambda d: f"SELECT event_id, CASE WHEN {d.try_int(d.json('props', 'missing'))} > 3 IS NULL THEN false WHEN {d.try_int(d.json('props', 'missing'))} > 3 THEN true ELSE value > 1 END AS fires FROM clicks",

@@ -63,9 +63,6 @@ PLANS = {
     "a11_top": lambda d: "SELECT p.brand, CAST(sum(i.price) AS DOUBLE) AS revenue FROM items i JOIN valid v ON i.order_id = v.order_id JOIN products p ON i.product_id = p.product_id GROUP BY p.brand ORDER BY sum(i.price) DESC, p.brand LIMIT 10",
     "a12_weekly": lambda d: "SELECT CAST(date_trunc('week', d) AS DATE) AS week, count(*) AS orders, CAST(sum(pay) AS DOUBLE) AS revenue FROM header WHERE d >= (SELECT max(d) FROM header) - INTERVAL '84' DAY GROUP BY CAST(date_trunc('week', d) AS DATE)",
     "a13_order_categories": lambda d: "SELECT l.order_id, count(DISTINCT category) AS categories, max(CASE WHEN rn = 1 THEN category END) AS primary_category FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY price DESC, item_id) AS rn FROM lines) l GROUP BY l.order_id",
-    "a14_customer_history": lambda d: """WITH e AS (SELECT customer, max(d) AS as_of FROM header GROUP BY customer)
-        SELECT h.customer, count(*) AS orders, CAST(sum(h.pay) AS DOUBLE) AS paid, count(*) FILTER (WHERE h.d >= e.as_of - INTERVAL '90' DAY) AS orders_90d, CAST(coalesce(sum(h.pay) FILTER (WHERE h.d >= e.as_of - INTERVAL '90' DAY), 0) AS DOUBLE) AS paid_90d, min(h.d) AS first_day
-        FROM header h JOIN e ON h.customer = e.customer WHERE h.d < e.as_of GROUP BY h.customer""",
     "a15_known_categories": lambda d: "SELECT h.customer, count(DISTINCT CASE WHEN l.category <> 'unknown' THEN l.category END) AS categories FROM header h JOIN lines l ON h.order_id = l.order_id GROUP BY h.customer",
     "a17_weekly_orders": lambda d: "SELECT CAST(date_trunc('week', d) AS DATE) AS week, count(*) AS orders, CAST(sum(pay) AS DOUBLE) AS revenue FROM header GROUP BY CAST(date_trunc('week', d) AS DATE)",
     "a18_at_risk_share": lambda d: "SELECT model, count(*) AS scored, count(*) FILTER (WHERE score >= 0.9) AS at_risk, CAST(count(*) FILTER (WHERE score >= 0.9) AS DOUBLE) / count(*) AS share FROM preds GROUP BY model",

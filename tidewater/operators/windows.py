@@ -16,48 +16,10 @@ def _trailing(d):
         ON a.user_id = b.user_id AND b.us >= a.us - {DAY} AND (b.us < a.us OR b.us = a.us AND b.event_id < a.event_id) GROUP BY a.event_id"""
 
 
-def _benchmark(d):
-    us, v, w = d.us("ts"), "CAST(value AS DECIMAL(12,2))", 10 * DAY
-    if d.name == "spark":
-        k = "PARTITION BY event_type ORDER BY us"
-        upto, gone = f"OVER ({k}, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", f"OVER ({k} RANGE BETWEEN UNBOUNDED PRECEDING AND {w + 1} PRECEDING)"
-        inner = f"""SELECT event_id, v, count(*) {upto} - count(*) {gone} AS n, coalesce(sum(v) {upto}, 0) - coalesce(sum(v) {gone}, 0) AS s FROM (SELECT event_id, event_type, {v} AS v, {us} AS us FROM clicks) t"""
-    else:
-        t = f"(SELECT event_id, event_type, {v} AS v, {us} AS us FROM clicks)"
-        inner = f"""SELECT a.event_id, a.v, count(b.event_id) AS n, coalesce(sum(b.v), 0) AS s FROM {t} a LEFT JOIN {t} b ON a.event_type = b.event_type AND b.us >= a.us - {w}
-            AND (b.us < a.us OR b.us = a.us AND b.event_id < a.event_id) GROUP BY a.event_id, a.v"""
-    return f"SELECT event_id, CASE WHEN n = 0 THEN CAST(v AS DOUBLE) ELSE CAST(s AS DOUBLE) / n END AS benchmark FROM ({inner}) x"
-
-
 _WEEKLY = """weekly AS (SELECT l.category, CAST(date_trunc('week', h.d) AS DATE) AS week, CAST(sum(l.price) AS DOUBLE) AS revenue, count(DISTINCT h.order_id) AS orders
     FROM lines l JOIN valid h ON l.order_id = h.order_id GROUP BY l.category, CAST(date_trunc('week', h.d) AS DATE))"""
 
 
-def _forecast(d, extra=0):
-    """Weekly features on a dense spine up to the last complete week."""
-    o = "PARTITION BY category ORDER BY week"
-    roll = f"OVER ({o} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)"
-    last = f"WHERE week = (SELECT as_of + INTERVAL '{7 * extra}' DAY FROM cutoff)" if extra else ""
-    return f"""WITH {_WEEKLY}, totals AS (SELECT CAST(date_trunc('week', d) AS DATE) AS week, count(*) AS n FROM header GROUP BY CAST(date_trunc('week', d) AS DATE)),
-        prior AS (SELECT week, n, {d.percentile("n", 0.5)} OVER (ORDER BY week RANGE BETWEEN INTERVAL '56' DAY PRECEDING AND INTERVAL '7' DAY PRECEDING) AS m FROM totals),
-        cutoff AS (SELECT CAST(max(week) AS DATE) AS as_of FROM prior WHERE n >= 0.75 * m), b AS (SELECT category, min(week) AS lo FROM weekly GROUP BY category),
-        spine AS (SELECT category, {d.weeks("lo", f"as_of + INTERVAL '{7 * extra}' DAY")} AS week FROM b CROSS JOIN cutoff),
-        dense AS (SELECT s.category, s.week, coalesce(w.revenue, 0.0E0) AS revenue, coalesce(w.orders, 0) AS orders FROM spine s LEFT JOIN weekly w ON s.category = w.category AND s.week = w.week AND w.week <= (SELECT as_of FROM cutoff)),
-        f AS (SELECT category, week, revenue, orders, lag(revenue, 1) OVER ({o}) AS lag1, lag(revenue, 2) OVER ({o}) AS lag2, lag(revenue, 4) OVER ({o}) AS lag4, lag(revenue, 8) OVER ({o}) AS lag8, CAST(lag(orders, 1) OVER ({o}) AS DOUBLE) AS orders_lag1,
-        CAST(sum(orders) {roll} AS DOUBLE) / count(orders) {roll} AS orders_roll4, count(*) OVER ({o} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS series_length, lag(revenue, 1) OVER ({o}) IS NOT NULL AS has_prior_week FROM dense)
-        SELECT category, week, revenue, orders, lag1, lag2, lag4, lag8, orders_lag1, orders_roll4, series_length, has_prior_week FROM f {last}"""
-
-
-def _churn(d, current=False):
-    """Customer features strictly before the as-of order; the label only looks at what came after it."""
-    pick = "n_from_end = 1 AND as_of > end_day - INTERVAL '90' DAY" if current else "n_from_end = 2 AND next_day <= end_day - INTERVAL '90' DAY"
-    label = "" if current else f", CASE WHEN {d.days('a.next_day', 'a.as_of')} > 90 THEN 1 ELSE 0 END AS churned"
-    return f"""WITH e AS (SELECT max(d) AS end_day FROM header), s AS (SELECT h.*, e.end_day, row_number() OVER (PARTITION BY customer ORDER BY d DESC, order_id DESC) AS n_from_end,
-        lead(d) OVER (PARTITION BY customer ORDER BY d, order_id) AS next_day FROM header h CROSS JOIN e), t AS (SELECT customer, d AS as_of, next_day, end_day, n_from_end FROM s), a AS (SELECT customer, as_of, next_day FROM t WHERE {pick})
-        SELECT a.customer, a.as_of, count(h.order_id) AS orders_before, CAST(coalesce(sum(h.pay), 0) AS DOUBLE) AS paid_before, count(h.order_id) FILTER (WHERE h.d >= a.as_of - INTERVAL '90' DAY) AS orders_90d,
-        CASE WHEN max(h.d) IS NULL THEN NULL ELSE CAST({d.days("a.as_of", "max(h.d)")} AS DOUBLE) END AS recency {label} FROM a LEFT JOIN header h ON a.customer = h.customer AND h.d < a.as_of GROUP BY a.customer, a.as_of, a.next_day"""
-
-
 def _sessions(d, gap=6 * 3_600_000_000):
     us = d.us("ts")
     return f"""WITH g AS (SELECT *, {us} AS us, {us} - lag({us}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM clicks),
@@ -97,51 +59,12 @@ PLANS = {
     "w07_rolling": lambda d: f"WITH {_WEEKLY} SELECT category, week, CAST(sum(orders) OVER w AS DOUBLE) / count(*) OVER w AS mean4, floor(stddev_samp(orders) OVER w * 1000000 + 0.5) / 1000000 AS sd4 FROM weekly WINDOW w AS (PARTITION BY category ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)",
     "w08_series_length": lambda d: f"WITH {_WEEKLY} SELECT category, week, count(*) OVER (PARTITION BY category ORDER BY week ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS n FROM weekly",
     "w09_share": lambda d: "SELECT i.order_id, i.item_id, CAST(i.price AS DOUBLE) / nullif(CAST(sum(i.price) OVER (PARTITION BY i.order_id) AS DOUBLE), 0) * CAST(h.pay AS DOUBLE) AS allocated FROM items i JOIN header h ON i.order_id = h.order_id",
-    "w10_risk_rank": lambda d: "SELECT id, row_number() OVER (ORDER BY score DESC, id) AS risk_rank FROM (SELECT id, score FROM preds ORDER BY score DESC, id LIMIT 20) t",
     "w11_last_price": lambda d: "SELECT product_id, CAST(price AS DOUBLE) AS price FROM (SELECT i.product_id, i.price, row_number() OVER (PARTITION BY i.product_id ORDER BY h.d DESC, i.order_id DESC, i.item_id DESC) AS rn FROM items i JOIN header h ON i.order_id = h.order_id) t WHERE rn = 1",
     "w12_trailing_count": _trailing,
     "w13_account_age": lambda d: f"SELECT order_id, {d.days('d', 'first_day')} AS age FROM (SELECT order_id, d, min(d) OVER (PARTITION BY customer) AS first_day FROM header) t",
-    "w14_trailing_mean": _benchmark,
     "w15_prior_median": lambda d: f"SELECT week, {d.percentile('n', 0.5)} OVER (ORDER BY week RANGE BETWEEN INTERVAL '56' DAY PRECEDING AND INTERVAL '7' DAY PRECEDING) AS m FROM (SELECT CAST(date_trunc('week', d) AS DATE) AS week, count(*) AS n FROM header GROUP BY CAST(date_trunc('week', d) AS DATE)) t",
     "w16_zscore": _zscore,
-    "w17_rate": lambda d: f"WITH {_rates(d)} SELECT model, id, n, at_risk, fire FROM x",
     "w18_hysteresis": _hysteresis,
-    "w19_time_split": lambda d: "SELECT order_id, CASE WHEN rn > floor(n * 0.8) THEN 'test' ELSE 'train' END AS side FROM (SELECT order_id, row_number() OVER (PARTITION BY is_lost ORDER BY d, order_id) AS rn, count(*) OVER (PARTITION BY is_lost) AS n FROM header) t",
-    "w20_folds": lambda d: f"WITH {_WEEKLY}, r AS (SELECT category, week, row_number() OVER (PARTITION BY category ORDER BY week) AS rn FROM weekly), k AS (SELECT {d.each('26, 52, 78')} AS cut) SELECT category, week, cut, CASE WHEN rn <= cut THEN 'train' ELSE 'test' END AS side FROM r CROSS JOIN k WHERE rn <= cut + 4",
     "w21_sessions": lambda d: f"{_sessions(d)} SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS clicks, max(us) - min(us) AS duration_us FROM s GROUP BY user_id, session",
-    "f03_forecast": lambda d: _forecast(d),
-    "f04_forecast_next": lambda d: _forecast(d, 1),
-    "f05_churn_training": lambda d: _churn(d),
-    "f06_churn_current": lambda d: _churn(d, current=True),
-    "f08_fraud_labels": lambda d: "SELECT order_id, installments >= 7 AND value > 2500 OR value >= 8 * benchmark AS suspicious FROM (SELECT order_id, max(installments) AS installments, CAST(sum(price) AS DOUBLE) AS value, CAST(min(price) AS DOUBLE) AS benchmark FROM items GROUP BY order_id) t",
     "f09_one_hot": lambda d: "SELECT order_id, item_id, CASE WHEN pay_type = 'A' THEN 1 ELSE 0 END AS pay_a, CASE WHEN pay_type = 'N' THEN 1 ELSE 0 END AS pay_n, CASE WHEN pay_type = 'R' THEN 1 ELSE 0 END AS pay_r, CASE WHEN pay_type IN ('A', 'N', 'R') THEN 0 ELSE 1 END AS pay_unknown FROM items",
-    "f10_session_features": lambda d: f"{_sessions(d)} SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS clicks, count(DISTINCT event_type) AS page_types, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS has_cart, max(value) AS cart_value, CAST(extract(hour FROM min(ts)) AS INT) AS start_hour, {d.weekday('CAST(min(ts) AS DATE)')} >= 6 AS is_weekend FROM s GROUP BY user_id, session",
 }
-
-
-def _fraud(d):
-    """Order features; trailing parts only look at earlier orders, ties by order id."""
-    day = d.days("h.d", "DATE '1970-01-01'")
-    base = f"""o AS (SELECT h.order_id, h.customer, {day} AS day, h.pay, p.pay_type, p.installments, p.category, n.n_items, n.freight_value
-        FROM header h JOIN (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY price DESC, item_id) AS rn FROM lines) p ON h.order_id = p.order_id AND p.rn = 1 JOIN order_items n ON h.order_id = n.order_id)"""
-    shown = "order_id, category, pay_type, CAST(pay AS DOUBLE) AS pay, n_items, installments, CAST(freight_value AS DOUBLE) AS freight"
-    if d.name == "spark":
-        return f"""WITH {base} SELECT {shown}, day - min(day) OVER (PARTITION BY customer) AS account_age, row_number() OVER (PARTITION BY customer ORDER BY day, order_id) - 1
-            - count(*) OVER (PARTITION BY customer ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS velocity FROM o"""
-    return f"""WITH {base} SELECT {shown}, day - (SELECT min(x.day) FROM o x WHERE x.customer = o.customer) AS account_age,
-        (SELECT count(*) FROM o y WHERE y.customer = o.customer AND y.day >= o.day - 1 AND (y.day < o.day OR y.day = o.day AND y.order_id < o.order_id)) AS velocity FROM o"""
-
-
-def _churn_scores(d):
-    """Current customers that the model has not scored, each once, ranked."""
-    return f"""WITH c AS ({_churn(d, current=True)}), s AS (SELECT customer, least(coalesce(recency, 200.0E0) / 200, 1.0E0) AS score FROM c WHERE NOT EXISTS (SELECT 1 FROM preds p WHERE p.entity = c.customer AND p.model = 'signup'))
-        SELECT customer, score, greatest(score, 1 - score) AS confidence, row_number() OVER (ORDER BY score DESC, customer) AS risk_rank FROM s"""
-
-
-def _forecast_scores(d):
-    """Next week's rows of trained categories; a missing lag counts as 0."""
-    return f"""WITH n AS ({_forecast(d, 1)}), trained AS (SELECT category FROM lines GROUP BY category HAVING count(*) >= 16)
-        SELECT concat(n.category, '@', {d.ymd("n.week")}) AS entity, coalesce(lag1, 0.0E0) AS lag1, coalesce(lag8, 0.0E0) AS lag8, coalesce(orders_roll4, 0.0E0) AS orders_roll4 FROM n JOIN trained t ON n.category = t.category"""
-
-
-PLANS |= {"f07_fraud": _fraud, "m20_churn_scores": _churn_scores, "m21_forecast_scores": _forecast_scores}
