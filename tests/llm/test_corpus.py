@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import chat, decontam, jaccard, toxicity, urls
 from tidewater.llm.common import keyed
@@ -294,7 +295,14 @@ def test_urls(spark):
 def test_url_trees_follow_the_labels(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     got = urls.judge(pages).where("rule IS NOT NULL").collect()
-    assert sum(r["verdict"] == r["by_method"] for r in got) / len(got) > 0.85
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 50 and sum(r["verdict"] == r["by_method"] for r in held) / len(held) > 0.85
+    # labels of the held-out fold have no influence on what the method says of any URL
+    rows = urls.with_parts(pages.select("page_id", "url")).withColumn("rule", F.lit(None).cast("string")).withColumn("by_rule", urls.rule_verdict()[1])
+    rows = urls.with_features(rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(urls.FOLDS)).cast("int")))
+    turned = rows.withColumn("by_rule", F.when((F.col("fold") == 0) & F.col("by_rule").isNotNull(), F.when(F.col("by_rule") == "block", "allow").otherwise("block")).otherwise(F.col("by_rule")))
+    rates = [sorted((r["page_id"], r["tld_block_rate"]) for r in urls.with_suffix_rates(x, "tld", 1).collect()) for x in (rows, turned)]
+    assert rates[0] == rates[1]
     assert Counter(map(tuple, got)) == Counter(map(tuple, urls.judge(pages).where("rule IS NOT NULL").collect()))
 
 

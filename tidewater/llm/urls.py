@@ -5,11 +5,16 @@ that a rule judges are the labelled URLs; a boosted-tree classifier is fitted on
 at most ``TRAIN_URLS`` distinct ones of them, those with the smallest hash, and
 judges the others by lexical features: length, depth, digit ratio, entropy,
 parameter counts, host shape, and smoothed block rates of host and file
-suffixes, which are counted over all labelled URLs.
+suffixes, which are counted over all labelled URLs outside the held-out fold.
+
+Labelled URLs are dealt over ``FOLDS`` folds by a hash. Fold 0 is held out: neither the
+trees nor the rates see its labels, so ``by_method`` can be measured on it. The rates of
+any other labelled URL are counted without its own fold, so no label stands in its own feature.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
 and no rule; without labelled URLs of both verdicts the method's verdict is the
-one verdict seen, or allow; repeated rows stay repeated.
+one verdict seen, or allow; repeated rows stay repeated; an empty table gives no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/
 MAX_RULES = 256
 TRAIN_URLS = 20_000
 TREES, DEPTH, SEED = 12, 4, 17
+FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "has_fragment", "is_https", "tld_block_rate", "tld_share", "file_block_rate", "file_share")
 
 
@@ -76,23 +82,31 @@ def with_features(judged: DataFrame) -> DataFrame:
     )
 
 
-def _suffix_rates(rows: DataFrame, column: str) -> DataFrame:
-    """Over all rows: share of a suffix, and its block rate among labelled rows, smoothed by one of each."""
-    labelled = F.col("by_rule").isNotNull()
-    counted = rows.groupBy(F.col(column).alias("_s")).agg(F.count("*").alias("n"), F.count_if(labelled).alias("m"), F.count_if(F.col("by_rule") == "block").alias("b"))
-    total = rows.agg(F.count("*").alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select("_s", ((F.col("b") + 1) / (F.col("m") + 2)).alias(f"{column}_block_rate"), (F.col("n") / F.col("total")).alias(f"{column}_share"))
+def with_suffix_rates(rows: DataFrame, column: str, total: int) -> DataFrame:
+    """Adds the share of a row's suffix among all rows, and the suffix's block rate among labelled rows, smoothed by
+    one of each, of all folds but the held-out one and the row's own."""
+    of = lambda fold, more: F.count_if((F.col("fold") == fold) & more)
+    labelled = F.array(*[of(i, F.col("by_rule").isNotNull()) for i in range(1, FOLDS)])
+    blocked = F.array(*[of(i, F.col("by_rule") == "block") for i in range(1, FOLDS)])
+    counted = stage(rows.groupBy(F.col(column).alias("_s")).agg(F.count("*").alias("_n"), labelled.alias("_m"), blocked.alias("_b")), "url-suffixes")
+    met = small_join(rows, counted, F.col(column) == F.col("_s"))
+    own = lambda c: F.when(F.col("by_rule").isNotNull() & (F.col("fold") > 0), F.element_at(c, F.col("fold"))).otherwise(0)
+    left = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, x: a + x) - own(F.col(c))
+    met = met.withColumn(f"{column}_block_rate", (left("_b") + 1) / (left("_m") + 2)).withColumn(f"{column}_share", F.col("_n") / max(total, 1))
+    return met.drop("_s", "_n", "_m", "_b")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, train_urls: int = TRAIN_URLS) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (the method's, for every row)."""
+    """page_id, host, path, rule, verdict, by_method (for every row), held_out (a rule judges it, but training has not seen it)."""
     rule, verdict = rule_verdict(rules)
     rows = with_parts(pages.select("page_id", F.col("url").cast("string").alias("url")))
-    rows = stage(with_features(rows.withColumn("rule", rule).withColumn("by_rule", verdict)), "urls")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)).cast("int")
+    rows = stage(with_features(rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("fold", fold)), "urls")
+    total = rows.count()
     for column in ("tld", "file"):
-        rows = small_join(rows, stage(_suffix_rates(rows, column), "url-suffixes"), F.col(column) == F.col("_s")).drop("_s")
+        rows = with_suffix_rates(rows, column, total)
     label = (F.col("by_rule") == "block").cast("double")
-    train = rows.where(F.col("by_rule").isNotNull()).groupBy("url").agg(F.first(label).alias("label"), *[F.first(c).alias(c) for c in FEATURES])
+    train = rows.where(F.col("by_rule").isNotNull() & (F.col("fold") > 0)).groupBy("url").agg(F.first(label).alias("label"), *[F.first(c).alias(c) for c in FEATURES])
     train = stage(train.orderBy(F.xxhash64("url"), "url").limit(train_urls), "url-training")
     seen = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if len(seen) == 2:
@@ -101,4 +115,4 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, train_urls
         scored = model.transform(put.transform(rows)).withColumn("by_method", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
     else:
         scored = rows.withColumn("by_method", F.lit("block" if seen.get(1.0) else "allow"))
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_method").alias("verdict"), F.col("by_method"))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_method").alias("verdict"), "by_method", (F.col("by_rule").isNotNull() & (F.col("fold") == 0)).alias("held_out"))
