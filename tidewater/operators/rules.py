@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
@@ -41,8 +41,10 @@ def incremental_pass(rows: DataFrame, cursor_path: str, key: str, most: int, act
     spark = rows.sparkSession
     try:
         cursor = spark.read.parquet(f"{cursor_path}/*").agg(F.max("cursor")).first()[0] or 0
-    except PySparkException:  # no pass has finished yet
-        cursor = 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        cursor = 0  # no pass has finished yet
     batch = rows.where(F.col(key) > cursor).orderBy(key).limit(most)
     high = batch.agg(F.max(key)).first()[0]
     if high is None:
