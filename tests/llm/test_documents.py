@@ -149,6 +149,28 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+def test_spans_of_all_rules():
+    """Against the backtracking matcher on random joins of parts of secrets."""
+    rng = random.Random(8)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdefgh", "12345678", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef", "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "hooks.slack.com/services/", "T0/B", "é", "漢", ".", "x_y"]
+    start = secret_scan.automaton(tuple(r.scan for r in secret_scan.RULES))[0]
+    hits = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        want = []
+        for i, r in enumerate(secret_scan.RULES):
+            for m in re.finditer(r.spans, text, re.ASCII):
+                if m.end() - m.start() - (re.match(r.before, m[0], re.ASCII).end() if r.before else 0) >= r.least:
+                    want.append((m.start(), i, m.end()))
+        got = secret_scan.resolve(text, secret_scan.scan(text.encode(), start), secret_scan.RULES)
+        assert got == [(secret_scan.RULES[i].kind, s, e) for s, i, e in sorted(want)], text
+        hits += bool(want)
+    assert hits > 500
+    for wrong in ("a**", "(a", "a)", "[a", ".", "\\d", "é", "*"):
+        with pytest.raises((ValueError, IndexError)):
+            secret_scan.subset_construction([wrong])
+
+
 def test_automaton_is_minimal_and_right():
     table, accepts = secret_scan.subset_construction(["ab*c", "a{2,3}", "[^x]y"])
     states = {(a, tuple(row)) for a, row in zip(accepts, table)}
