@@ -176,6 +176,9 @@ ORACLE = {
     "t12_rates": """WITH r AS (SELECT event_type AS model, CAST(floor(epoch_us(ts) / 21600000000) AS BIGINT) AS b, count(*) AS n, count(*) FILTER (WHERE (event_id * 7919) % 1000 >= 900) AS at_risk FROM events GROUP BY 1, 2),
         f AS (SELECT *, n >= 10 AND CAST(at_risk AS DOUBLE) / n > 0.15 AS fires FROM r), g AS (SELECT *, b - row_number() OVER (PARTITION BY model, fires ORDER BY b) AS island FROM f)
         SELECT model, b, fires, CASE WHEN fires THEN row_number() OVER (PARTITION BY model, fires, island ORDER BY b) ELSE 0 END AS streak, fires AND row_number() OVER (PARTITION BY model, fires, island ORDER BY b) >= 2 AS surfaced FROM g""",
+    "t13_sessions": """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '6' HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS began, count(*) AS clicks, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS has_cart, max(value) AS cart_value
+        FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL '370' MINUTE < (SELECT max(ts) FROM events)""",
     "t14_once": "SELECT DISTINCT CAST(ts AS DATE) AS loop_id, user_id AS entity FROM events",
     "t15_scoring": "SELECT event_id AS id, event_type AS model, user_id AS entity, CAST((event_id * 7919) % 1000 AS DOUBLE) / 1000 AS score, greatest(CAST((event_id * 7919) % 1000 AS DOUBLE) / 1000, 1 - CAST((event_id * 7919) % 1000 AS DOUBLE) / 1000) AS confidence FROM events WHERE value IS NOT NULL AND NOT isnan(value)",
 }
