@@ -3,6 +3,8 @@ their input into Parquet tables; each has a batch twin that checks it.
 
 Sinks write one folder per micro-batch id, so a repeated batch replaces itself and
 a restart loses and repeats nothing. ``newest`` folds them to a keyed upsert.
+Landing and buckets use ``folds``, where no row is too late; ``t13`` and ``t11`` need
+time to pass, so they take the files that are there as one batch.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.events import file_stream
 from ..sources.landing import shared_path
+from .folds import closed, land_once
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATE = "10 minutes"
@@ -41,18 +44,22 @@ def newest(table: DataFrame, *keys: str) -> DataFrame:
     return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
 
 
-def revenue_buckets(clicks: DataFrame, width: str) -> DataFrame:
-    """Valid revenue and orders per tumbling bucket; redelivered events count once."""
-    once = clicks.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
+def revenue(events: DataFrame, width: str) -> DataFrame:
+    """Valid revenue and orders per tumbling bucket of events that are there once."""
     valid = (F.col("event_type") == "purchase") & (F.col("value") > 0)
     pay = F.when(valid, F.col("value").cast("decimal(12,2)")).otherwise(0)
-    return once.groupBy(F.window("ts", width)).agg(F.sum(pay).cast("double").alias("revenue"), F.sum(valid.cast("long")).alias("orders")).select(F.col("window.start").alias("bucket"), "revenue", "orders")
+    return events.groupBy(F.window("ts", width)).agg(F.sum(pay).cast("double").alias("revenue"), F.sum(valid.cast("long")).alias("orders")).select(F.col("window.start").alias("bucket"), "revenue", "orders")
+
 
+def revenue_buckets(clicks: DataFrame, width: str) -> DataFrame:
+    """The same in a stream with a watermark: redelivered events count once, later ones than ``LATE`` are dropped."""
+    return revenue(clicks.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"]), width)
 
-def active_sessions(clicks: DataFrame, width: str) -> DataFrame:
+
+def active_sessions(events: DataFrame, width: str) -> DataFrame:
     """Distinct sessions per bucket from views and clicks: one row per session and bucket, then a count."""
-    seen = clicks.where("event_type IN ('view', 'click')").withWatermark("ts", LATE).select(F.window("ts", width).alias("w"), "user_id", "ts")
-    return seen.groupBy("w", "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("bucket"), "user_id", "n")
+    seen = events.select(F.window("ts", width).start.alias("bucket"), F.when(F.col("event_type").isin("view", "click"), F.col("user_id")).alias("user_id")).distinct()
+    return seen.groupBy("bucket").agg(F.count("user_id").alias("sessions"))
 
 
 def ended_sessions(clicks: DataFrame, gap: str) -> DataFrame:
@@ -116,21 +123,30 @@ def _keyed(table: DataFrame, processor: StatefulProcessor, key: str, schema: str
     return run_to_table(rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", "none"), label)
 
 
-def t01_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = run_to_table(revenue_buckets(file_stream(spark, sf_dir, "events", None), "1 hour"), "t01", "update")
+def _hours(spark: SparkSession, sf_dir: str, fold: Callable[[DataFrame, str], DataFrame], label: str) -> DataFrame:
+    """Hours touched by each micro-batch, recomputed from all their landed events."""
+    _, found = land_once(file_stream(spark, sf_dir, "events"), ["event_id"], "ts", label, fold=lambda rows: fold(rows, "1 hour"), bucket=lambda: F.date_trunc("hour", "ts"))
     return newest(found, "bucket")
 
 
+def t01_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hours(spark, sf_dir, revenue, "t01")
+
+
 def t02_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = newest(run_to_table(active_sessions(file_stream(spark, sf_dir, "events", None), "1 hour"), "t02", "update"), "bucket", "user_id")
-    return found.groupBy("bucket").agg(F.count("*").alias("sessions"))
+    return _hours(spark, sf_dir, active_sessions, "t02").where("sessions > 0")
 
 
 def s06_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert-if-absent: the same events delivered twice land once."""
-    twice = file_stream(spark, sf_dir, "events", None).select("event_id", "ts", "user_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
-    once = twice.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
-    return run_to_table(once.select("event_id", "user_id"), "s06").drop("_batch")
+    twice = file_stream(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
+    return land_once(twice, ["event_id"], "ts", "s06")[0].select("event_id", "user_id")
+
+
+def t05_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hour buckets of every event type, a timeline of its own, with whether they are closed."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return closed(rows, "event_type", "ts", "1 hour")
 
 
 def t08_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +166,9 @@ def t13_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t14_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One event per (loop, entity): the loop is the day, all within the watermark."""
-    rows = file_stream(spark, sf_dir, "events", None).select(F.col("ts").cast("date").alias("loop_id"), F.col("user_id").alias("entity"), "ts")
-    return run_to_table(rows.withWatermark("ts", "2 days").dropDuplicatesWithinWatermark(["loop_id", "entity"]).select("loop_id", "entity"), "t14").drop("_batch")
+    """One event per (loop, entity): the loop is the day."""
+    rows = file_stream(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("loop_id"), F.col("user_id").alias("entity"))
+    return land_once(rows, ["loop_id", "entity"], "loop_id", "t14")[0]
 
 
 def t15_scoring(spark: SparkSession, sf_dir: str, score: Callable[[], F.Column] | None = None) -> DataFrame:
@@ -163,13 +179,15 @@ def t15_scoring(spark: SparkSession, sf_dir: str, score: Callable[[], F.Column]
     return run_to_table(scored.withColumn("confidence", F.greatest("score", 1 - F.col("score"))), "t15").drop("_batch")
 
 
-QUERIES = {f.__name__: f for f in (t01_revenue, t02_sessions, s06_landing, t08_detector, t12_rates, t13_sessions, t14_once, t15_scoring)}
+QUERIES = {f.__name__: f for f in (t01_revenue, t02_sessions, s06_landing, t05_closed, t08_detector, t12_rates, t13_sessions, t14_once, t15_scoring)}
 
 _HOUR = "date_trunc('hour', ts)"
 ORACLE = {
     "t01_revenue": f"SELECT {_HOUR} AS bucket, CAST(sum(CASE WHEN event_type = 'purchase' AND value > 0 THEN CAST(value AS DECIMAL(12,2)) ELSE 0 END) AS DOUBLE) AS revenue, count(*) FILTER (WHERE event_type = 'purchase' AND value > 0) AS orders FROM events GROUP BY {_HOUR}",
     "t02_sessions": f"SELECT {_HOUR} AS bucket, count(DISTINCT user_id) AS sessions FROM events WHERE event_type IN ('view', 'click') GROUP BY {_HOUR}",
     "s06_landing": "SELECT event_id, user_id FROM events",
+    "t05_closed": """WITH b AS (SELECT event_type AS timeline, date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2) SELECT timeline, bucket, n, bucket + INTERVAL '1' MINUTE < (SELECT max(date_trunc('hour', e.ts)) FROM events e WHERE e.event_type = b.timeline)
+        OR (SELECT max(e.ts) FROM events e WHERE e.event_type = b.timeline) + INTERVAL '10' SECOND <= (SELECT max(ts) FROM events) AND bucket + INTERVAL '1' MINUTE < (SELECT max(ts) FROM events) AS is_closed FROM b""",
     "t08_detector": f"""WITH h AS (SELECT {_HOUR} AS bucket, count(*) AS n FROM events GROUP BY {_HOUR}), m AS (SELECT bucket, n, count(*) OVER w AS k, CAST(sum(n) OVER w AS DOUBLE) AS s, CAST(sum(n * n) OVER w AS DOUBLE) AS ss FROM h WINDOW w AS (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         b AS (SELECT bucket, n, s / k AS mean, sqrt(greatest((ss - s * s / k) / (k - 1), 0.0E0)) AS sd FROM m WHERE k >= 20), z AS (SELECT bucket, n, mean, abs(n - mean) / greatest(sd, 0.01, 0.05 * abs(mean)) AS z FROM b)
         SELECT bucket, n, mean, floor(z * 1000000 + 0.5) / 1000000 AS z, CASE WHEN z >= 5 THEN 'severe' WHEN z >= 3 THEN 'warning' END AS severity FROM z""",
