@@ -6,14 +6,14 @@ import pytest
 
 from tests.test_plans import SF, duck, rows  # noqa: F401
 from tidewater.sources import events, landing
-from tidewater.streaming import jobs
+from tidewater.streaming import folds, jobs, ordered
 
-CASES = landing.ORACLE | jobs.ORACLE
+CASES = landing.ORACLE | jobs.ORACLE | ordered.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_stream(spark, duck, name):  # noqa: F811
-    got = (landing.QUERIES | jobs.QUERIES)[name](spark, SF)
+    got = (landing.QUERIES | jobs.QUERIES | ordered.QUERIES)[name](spark, SF)
     want = duck.execute(CASES[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
@@ -71,3 +71,36 @@ def test_csv_landing(spark, tmp_path):
     assert [r.asDict() for r in landing.load_audit(got).collect()] == [{"_source_file": "a.csv", "_batch_id": "b1", "n_rows": 2}]
     with pytest.raises(Exception):
         landing.land_csv(spark, f"file://{tmp_path}/missing.csv", "b1")
+
+
+def test_rows_that_arrive_much_later_are_folded(spark, tmp_path):
+    """Each delivery is a run of its own; a late row, a repeated one and a null time change what they should."""
+    schema, source = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double", f"{tmp_path}/in"
+
+    def deliver(*found):
+        spark.createDataFrame([(i, t, 1, "purchase", v) for i, t, v in found], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        landed, hours = folds.land_once(stream, ["event_id"], "ts", "late", f"{tmp_path}/out", f"{tmp_path}/check", fold=lambda r: jobs.revenue(r, "1 hour"), bucket=lambda: jobs.F.date_trunc("hour", "ts"))
+        return landed.count(), {r["bucket"].hour: (r["revenue"], r["orders"]) for r in jobs.newest(hours, "bucket").collect()}
+
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour, 5)
+    assert deliver((1, at(1, 3), 5.0)) == (1, {3: (5.0, 1)})
+    assert deliver((2, at(9, 4), 7.0), (3, None, 1.0)) == (3, {3: (5.0, 1), 4: (7.0, 1)})
+    assert deliver((4, at(1, 3), 2.0), (1, at(1, 3), 5.0), (3, None, 1.0)) == (4, {3: (7.0, 2), 4: (7.0, 1)})
+
+
+def test_closed_buckets(spark):
+    """A timeline that starts again in the past has its own clock; an idle one closes its newest bucket."""
+    at = lambda *m: dt.datetime(2024, 1, 1, *m)
+    data = [("a", at(10, 0, 5)), ("a", at(10, 5, 1)), ("b", at(1, 0, 1)), ("b", at(1, 4, 0)), (None, at(10, 5, 2)), ("c", None)]
+    got = folds.closed(spark.createDataFrame(data, "line string, at timestamp"), "line", "at", "1 minute").collect()
+    assert {(r["timeline"], r["bucket"].hour, r["bucket"].minute): r["is_closed"] for r in got} == {("a", 10, 0): True, ("a", 10, 5): False, ("b", 1, 0): True, ("b", 1, 4): True, (None, 10, 5): False}
+
+
+def test_ordered_features_do_not_depend_on_arrival(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    data = [(3, at(24), "k", 30), (1, at(0), "k", 10), (2, at(0), "k", None), (4, at(24.5), "k", 40), (5, at(0), None, 7), (6, at(30), "end", 0), (7, None, "k", 1)]
+    spark.createDataFrame(data, "id long, ts timestamp, key string, v long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, ts timestamp, key string, v long").parquet(f"{tmp_path}/in")
+    got = {r["id"]: (r["n"], r["total"], r["days"]) for r in ordered.ordered(stream, "key", ordered.DAY, "test").collect()}
+    assert got == {1: (0, 0, 0), 2: (1, 10, 0), 3: (2, 10, 1), 4: (1, 30, 1), 5: (0, 0, 0)}
