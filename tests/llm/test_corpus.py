@@ -324,6 +324,9 @@ def test_chat(spark):
     got = {r[0]: tuple(r)[1:] for r in chat.op4_chat(spark, frame).collect()}
     assert got == want
     assert chat.op4_chat(spark, frame.limit(0)).count() == 1
+    hot = spark.range(300).selectExpr("CAST(NULL AS LONG) AS conv_id", "id AS turn", "'assistant' AS role", "concat('t', id % 9) AS text")
+    alone = [tuple(r)[1:] for r in chat.op4_chat(spark, hot).where("conv_id IS NULL").collect()]
+    assert sorted(alone) == sorted(digest([("assistant", f"t{i % 9}")]) for i in range(300))
 
 
 def test_chat_stream_shares_turns(spark):

@@ -16,7 +16,8 @@ control string. The loss mask covers assistant texts.
 A conversation is one record and fits a task; copies of conversations and shared
 first turns may be any number. Defined results: null text or role is empty; ties
 of ``turn`` go by role, then text, null turns first; repeated rows are repeated
-turns; a null conv_id is one conversation; an empty table gives no rows.
+turns; a row with a null conv_id belongs to no known conversation and is one of its own,
+so that such rows never meet in one record; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,7 +69,9 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def gather(rows: DataFrame) -> DataFrame:
     """(conv_id, turns, path): a conversation's turns in order, and their digests joined."""
     clean = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    turns = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turn = F.struct("turn", "role", "text")
+    turns = clean.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = turns.unionAll(clean.where("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns")))
     path = F.transform("turns", lambda t: F.md5(F.concat(F.length(t.role).cast("string"), F.lit(":"), t.role, t.text).cast("binary")))
     return turns.select("conv_id", "turns", F.concat_ws("", path).alias("path"))
 
