@@ -5,7 +5,7 @@ GRID = ", ".join(str(x) for x in range(500, 1000, 5))
 _RULES = "CASE WHEN score >= 0.95 THEN 'hold_order' WHEN score >= 0.9 AND value > 20 THEN 'retain' WHEN model = 'signup' AND score > 0.8 THEN 'note' END"
 _PROPOSED = f"""fired AS (SELECT id, entity, model, predicted_at, {_RULES} AS rule_name FROM preds), proposed AS (SELECT *, concat(rule_name, ':', CAST(entity AS VARCHAR(20)), ':', CAST(id AS VARCHAR(20))) AS dedup_key FROM fired WHERE rule_name IS NOT NULL),
     queue AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_name, entity ORDER BY predicted_at, id) AS rn FROM proposed) t WHERE rn = 1)"""
-_AUDIT = f"""{_PROPOSED}, audit AS (SELECT id AS action_id, 1 AS step, 'proposed' AS transition FROM queue UNION ALL SELECT id, 2, 'approved' FROM queue WHERE rule_name = 'note' OR id % 3 = 0 UNION ALL SELECT id, 2, 'rejected' FROM queue WHERE rule_name <> 'note' AND id % 3 = 1
+AUDIT = f"""{_PROPOSED}, audit AS (SELECT id AS action_id, 1 AS step, 'proposed' AS transition FROM queue UNION ALL SELECT id, 2, 'approved' FROM queue WHERE rule_name = 'note' OR id % 3 = 0 UNION ALL SELECT id, 2, 'rejected' FROM queue WHERE rule_name <> 'note' AND id % 3 = 1
     UNION ALL SELECT id, 3, 'executed' FROM queue WHERE rule_name = 'note' OR id % 6 = 0)"""
 
 
@@ -14,7 +14,7 @@ def _auc(d):
         SELECT CAST(sum(p * (2 * below + n)) AS DOUBLE) / (2 * CAST(sum(p) AS DOUBLE) * CAST(sum(n) AS DOUBLE)) AS auc FROM c"""
 
 
-def _psi(d):
+def psi(d):
     """Ten equal bins between the 1 % and 99 % points of the older half; values outside are dropped."""
     return f"""WITH x AS (SELECT CAST(pay AS DOUBLE) AS v, d < DATE '1998-01-01' AS old FROM header), q AS (SELECT {d.percentile('v', 0.01)} AS lo, {d.percentile('v', 0.99)} AS hi FROM x WHERE old),
         b AS (SELECT old, least(CAST(floor((v - lo) * 10 / (hi - lo)) AS INT), 9) AS bin FROM x CROSS JOIN q WHERE v >= lo AND v <= hi), n AS (SELECT bin, CAST(count(*) FILTER (WHERE old) AS DOUBLE) AS r, CAST(count(*) FILTER (WHERE NOT old) AS DOUBLE) AS s FROM b GROUP BY bin),
@@ -29,8 +29,8 @@ PLANS = {
         c AS (SELECT g.cut, CAST(sum(p.y) AS DOUBLE) / sum(p.n) AS prec FROM g JOIN p ON p.top >= g.cut GROUP BY g.cut) SELECT coalesce(min(CASE WHEN prec >= 0.85 THEN cut END), max(CASE WHEN prec = (SELECT max(prec) FROM c) THEN cut END)) AS cut FROM c""",
     "m09_series_filter": lambda d: "SELECT category, count(*) AS weeks FROM (SELECT l.category, date_trunc('week', v.d) AS w FROM lines l JOIN valid v ON l.order_id = v.order_id GROUP BY l.category, date_trunc('week', v.d)) t GROUP BY category HAVING count(*) >= 16",
     "m10_confidence": lambda d: "SELECT id, greatest(score, 1 - score) AS confidence, CASE WHEN score >= 0.9 THEN 'at_risk' ELSE 'ok' END AS verdict FROM preds",
-    "m14_baseline": lambda d: f"{_psi(d)} SELECT bin, CAST(r AS DOUBLE) AS share FROM p",
-    "m15_psi": lambda d: f"{_psi(d)} SELECT floor(sum((s - r) * ln(s / r)) * 1000000 + 0.5) / 1000000 AS psi FROM p",
+    "m14_baseline": lambda d: f"{psi(d)} SELECT bin, CAST(r AS DOUBLE) AS share FROM p",
+    "m15_psi": lambda d: f"{psi(d)} SELECT floor(sum((s - r) * ln(s / r)) * 1000000 + 0.5) / 1000000 AS psi FROM p",
     "m16_bands": lambda d: "SELECT id, CASE WHEN score IS NULL OR score <> score THEN 'ok' WHEN score < 0.10 THEN 'ok' WHEN score <= 0.20 THEN 'warning' ELSE 'critical' END AS band FROM preds",
     "m17_newest_samples": lambda d: "SELECT model, id, score FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY predicted_at DESC, id DESC) AS rn FROM preds) t WHERE rn <= 100",
     "m18_sample_gate": lambda d: "SELECT entity, count(*) AS n FROM preds GROUP BY entity HAVING count(*) >= 50",
@@ -49,14 +49,14 @@ PLANS = {
     "g07_one_open": lambda d: f"WITH {_PROPOSED} SELECT id, rule_name, entity FROM queue",
     "g08_routing": lambda d: f"WITH {_PROPOSED} SELECT id, CASE WHEN rule_name = 'note' THEN 'executed' ELSE 'pending' END AS state FROM queue",
     "g10_decisions": lambda d: f"WITH {_PROPOSED} SELECT id, CASE WHEN rule_name = 'note' THEN 'refused' WHEN id % 3 = 0 THEN 'approved' WHEN id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS outcome FROM queue",
-    "g11_state": lambda d: f"WITH {_AUDIT} SELECT action_id, max_by(transition, step) AS state FROM audit GROUP BY action_id",
-    "g12_trace": lambda d: f"WITH {_AUDIT} SELECT action_id, {d.list_join('transition', 'step')} AS trace FROM audit GROUP BY action_id",
-    "g13_unapproved": lambda d: f"WITH {_AUDIT} SELECT a.action_id FROM audit a WHERE a.transition = 'executed' AND NOT EXISTS (SELECT 1 FROM audit b WHERE b.action_id = a.action_id AND b.transition = 'approved')",
+    "g11_state": lambda d: f"WITH {AUDIT} SELECT action_id, max_by(transition, step) AS state FROM audit GROUP BY action_id",
+    "g12_trace": lambda d: f"WITH {AUDIT} SELECT action_id, {d.list_join('transition', 'step')} AS trace FROM audit GROUP BY action_id",
+    "g13_unapproved": lambda d: f"WITH {AUDIT} SELECT a.action_id FROM audit a WHERE a.transition = 'executed' AND NOT EXISTS (SELECT 1 FROM audit b WHERE b.action_id = a.action_id AND b.transition = 'approved')",
     "g14_draft_orders": lambda d: "SELECT entity, week, CAST(ceil(f - m) AS BIGINT) AS quantity FROM (SELECT entity, CAST(date_trunc('week', predicted_at) AS DATE) AS week, max(score) * 100 AS f, 40.0E0 AS m FROM preds GROUP BY entity, CAST(date_trunc('week', predicted_at) AS DATE)) t WHERE f > 1.5 * m",
     "g15_retrain": lambda d: f"WITH {_PROPOSED} SELECT id, CASE WHEN predicted_at < TIMESTAMP '2024-01-15 00:00:00' THEN 'failed' ELSE 'running' END AS state FROM queue WHERE rule_name = 'hold_order'",
     "g16_surge": lambda d: "SELECT entity, count(*) AS n FROM preds WHERE score > 0.5 GROUP BY entity HAVING count(*) > 1.2 * (SELECT CAST(count(*) AS DOUBLE) / count(DISTINCT entity) FROM preds WHERE score > 0.5)",
-    "a19_queue_counts": lambda d: f"WITH {_AUDIT}, s AS (SELECT action_id, max_by(transition, step) AS state FROM audit GROUP BY action_id) SELECT state, count(*) AS n FROM s GROUP BY state",
-    "l07_actions": lambda d: f"WITH {_AUDIT}, s AS (SELECT action_id, max_by(transition, step) AS state FROM audit GROUP BY action_id) SELECT action_id FROM s WHERE state = 'proposed' ORDER BY action_id LIMIT 50",
+    "a19_queue_counts": lambda d: f"WITH {AUDIT}, s AS (SELECT action_id, max_by(transition, step) AS state FROM audit GROUP BY action_id) SELECT state, count(*) AS n FROM s GROUP BY state",
+    "l07_actions": lambda d: f"WITH {AUDIT}, s AS (SELECT action_id, max_by(transition, step) AS state FROM audit GROUP BY action_id) SELECT action_id FROM s WHERE state = 'proposed' ORDER BY action_id LIMIT 50",
     "d01_not_null": lambda d: "SELECT count(*) AS bad FROM orders WHERE o_custkey IS NULL",
     "d02_unique": lambda d: "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     "d03_accepted": lambda d: "SELECT order_id, status FROM header WHERE status NOT IN ('F', 'O')",
