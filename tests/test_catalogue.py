@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql.types import StructType
 
-from tests.test_plans import SF
+from tests.test_plans import SF, duck, rows  # noqa: F401
 from tidewater.operators import catalogue, rules
 
 
@@ -36,3 +36,28 @@ def test_cursor_moves_only_on_success(spark, tmp_path):
         rules.incremental_pass(rows, str(tmp_path), "id", 3, fail)
     assert [rules.incremental_pass(rows, str(tmp_path), "id", 3, act) for _ in range(3)] == [6, 7, 7]
     assert seen == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_shipped_rules(spark, duck):  # noqa: F811
+    got, want = rules.QUERIES["g04_six_rules"](spark, SF), duck.execute(rules.ORACLE["g04_six_rules"])
+    columns = [c[0] for c in want.description]
+    found = rows(got.columns, got.collect())
+    assert sorted(got.columns) == sorted(columns) and found == rows(columns, want.fetchall()) and found
+
+
+def test_shipped_rules_at_their_edges(spark):
+    text = "on_event string, model string, score double, threshold double, risk_rank long, status string, point_estimate double, recent_avg double"
+    data = [
+        ("order_scored", "fraud_risk", 0.9, 0.9, None, None, None, None),
+        ("order_scored", "fraud_risk", 0.99, None, None, None, None, None),  # no threshold: nothing fires
+        ("session_scored", "bot_score", 0.7, None, None, None, None, None),
+        ("session_scored", "bot_score", 0.5, None, None, None, None, None),
+        ("churn_scored", "churn_risk", 0.7, None, 20, None, None, None),
+        ("churn_scored", "churn_risk", 0.8, None, 21, None, None, None),
+        ("drift_computed", "m", None, None, None, "warning", None, None),
+        ("forecast_updated", "f", None, None, None, None, 15.0, 10.0),
+        ("forecast_updated", "f", None, None, None, None, 14.9, 10.0),
+        (None, "churn_risk", 0.1, None, 1, "critical", 99.0, 1.0),
+    ]
+    got = rules.fire(spark.createDataFrame(data, text), rules.SHIPPED)
+    assert [(r["rule"], r["tier"]) for r in got.orderBy("rule").collect()] == [("draft-po-on-demand-surge", "approve"), ("hold-high-fraud-order", "approve"), ("log-midband-bot-session", "auto"), ("propose-retention-offer-high-churn", "approve")]
