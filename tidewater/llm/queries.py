@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, media, mixing, pii, secret_scan, token_files, toxicity, urls
+from . import chat, decontam, fim, jaccard, media, mixing, pii, secret_scan, token_files, toxicity, urls
 from .common import table
 
 
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": lambda s, d: toxicity.score(docs(s, d), table(s, d, "labels")),
         "op9_jaccard": lambda s, d: jaccard.join_components(docs(s, d)),
         "op10_secrets": lambda s, d: secret_scan.find_secrets(docs(s, d)),
+        "op11_fim": lambda s, d: fim.op11_fim(docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL.format(docs='documents')})", "op9_jaccard": jaccard.SQL}
+    return {"op2_mixing": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL.format(docs='documents')})", "op9_jaccard": jaccard.SQL, "op11_fim": fim.SQL}
