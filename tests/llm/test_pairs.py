@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
-from tidewater.llm import fim
+from tidewater.llm import align, fim
 
 
 def by_hand(doc_id, text):
@@ -64,3 +66,95 @@ def test_starts(k):
     text = "word " * 300 + "a" * 9000 + "é1" * 800
     starts = [m.start() for m in fim.TOKEN.finditer(text)] + [len(text)]
     assert fim.Counted(text, fim.Memo(3)).start(k) == starts[k] and fim.Counted(text, fim.Memo()).start(len(starts) - 1) == len(text)
+
+
+# --- alignment ---------------------------------------------------------------
+
+MESSY = ["a", "b", " ", "  ", "\n", "\n\n", "\t", " \n", "é", "日", "\U0001f600", "<|endoftext|>", "<s>", "'s", "1", "23", "\r\n", "\x1c", "\x85", "\u3000", "\xa0", "th", "e", "ing", "_", "--", "\u2581", "//", "<0x41>"]
+
+
+def alignments_by_hand(rows):
+    """Whole texts, encoded in one call each; groups, links and counts by definition."""
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(x): x for x in letters} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in letters)}
+
+    def groups(text):
+        x, y = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        xs = [bytes(byte[c] for c in a.id_to_token(i)) for i in x]
+        ys = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in y]
+        if not text or b"".join(xs) != (" " + text).encode() or b"".join(ys) != (" " + text).encode():
+            return []
+        ends = [np.cumsum([len(t) for t in z]).tolist() for z in (xs, ys)]
+        out, i, j = [], 0, 0
+        for end in sorted(set(ends[0]) & set(ends[1])):
+            p, q = ends[0].index(end) + 1, ends[1].index(end) + 1
+            out.append((x[i:p], y[j:q]))
+            i, j = p, q
+        return out
+
+    found = [groups(t or "") for _, t in rows]
+    links = [[(i, j) for x, y in g for i in x for j in y] for g in found]
+    counts = Counter(pair for own in links for pair in set(own))
+    most: dict = {}
+    for (i, _), n in counts.items():
+        most[i] = max(n, most.get(i, 0))
+    out = []
+    for (key, _), g, own in zip(rows, found, links):
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in g)
+        out.append((key, sum(len(x) for x, _ in g), sum(len(y) for _, y in g), len(g), len(own), sum(counts[p] == most[p[0]] for p in own), sum(counts[p] for p in own), hashlib.sha256(text.encode()).hexdigest() if g else ""))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shard, held", [(align.SHARD, align.HELD), (100, 2)])
+def test_align(spark, texts, shard, held):
+    rng = random.Random(7)
+    rows = [*enumerate(texts), (3, texts[8]), (None, "no id"), (None, None), (500, "a" * 3000), (501, "日本" * 700), (502, "x  " * 900), (503, "\u2581 x")]
+    rows += [(1000 + i, "".join(rng.choice(MESSY) for _ in range(rng.randint(1, 60)))) for i in range(300)]
+    table = spark.createDataFrame([(k, t, 1, -1) for k, t in rows], "doc_id long, text string, key long, shard int").repartition(3)
+    got = align.op13_align(table, shard=shard, held=held)
+    assert got.columns == ["doc_id", *align.COLUMNS, "groups_sha256"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == alignments_by_hand(rows)
+
+
+def test_align_of_nothing(spark, empty):
+    assert align.op13_align(empty).collect() == []
+    blank = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert sorted(map(tuple, align.op13_align(blank).collect())) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_aligner_forgets_pieces_and_large_groups(monkeypatch):
+    """A small memory gives the same numbers; so do groups whose links are counted from distinct ids."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeé日") for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(60)]
+    monkeypatch.setattr(align, "LISTED", 3)
+    small, large = align.Aligner(cache=100), align.Aligner()
+    for text in texts:
+        found = []
+        for aligner in (small, large):
+            (pieces,) = aligner.cut([text])
+            at = aligner.spans(pieces)
+            links: Counter = Counter()
+            for link, times in zip(np.array(aligner.links)[at].tolist(), np.array(aligner.times)[at].tolist()):
+                links[link] += times
+            found.append((links, np.array(aligner.stats).reshape(-1, 4)[pieces].sum(axis=0).tolist(), [aligner.groups[i] for i in pieces]))
+            assert sum(links.values()) == found[-1][1][3]
+        assert found[0] == found[1]
+    assert len(small.known) < 200
+
+
+def test_pair_hash():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 50, 5000))
+    for depth in (24, 2):
+        made = align.PairHash.load(align.PairHash.build(keys, depth).dump())
+        slots = made.slots(keys)
+        assert sorted(slots.tolist()) == list(range(len(keys))) and (made.keys[slots] == keys).all()
+        assert (made.slots(np.array([1 << 51, 7], np.int64)) == -1).all()
+    assert len(align.PairHash.load(align.PairHash.build(keys[:0]).dump()).keys) == 0

@@ -51,6 +51,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder for files in the shared folder; inside ``scratch`` it goes with the tables."""
+    path = f"{shared_dir(spark)}/tidewater/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
 _OPEN: list[list[str]] = []
 
 
