@@ -26,6 +26,7 @@ table gives no rows; extra columns are not read. A group's links are worked out
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from array import array
@@ -46,7 +47,7 @@ from .token_files import _byte_letters
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = "▁"
 PIECES = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
-CACHE, LONGEST, TEXT, FLUSH = 500_000, 64, 1 << 22, 2_000_000  # remembered pieces and their code points; code points and pairs at once
+CACHE, LONGEST, TEXT, FLUSH = 300_000, 64, 1 << 20, 2_000_000  # remembered pieces and their code points; code points and pairs at once
 TOGETHER, LISTED = 1000, 4096  # pieces encoded at once, links of a group that are listed one by one
 SHARD, FAN, HELD = 1 << 17, 8, 24
 
@@ -67,22 +68,21 @@ class Aligner:
         import public_tokenizers
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole_a = Tokenizer.from_file(a or public_tokenizers.path(A))
-        self.whole_a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b or public_tokenizers.path(B))
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(rf"\n|[^{SPACE}\s]{SPACE}", name) for name in names):
             raise ValueError("tokenizer B has pieces across the places where texts are cut")
-        letters = {c: i for i, c in _byte_letters().items()}
-        added = {t.content for t in self.whole_a.get_added_tokens_decoder().values()}
-        vocabulary = self.whole_a.get_vocab()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(letters[c] for c in token) if token not in added else token.encode()
-        #: The same vocabulary with ids as ranks, for the many short pieces.
-        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.a_bytes[i]: i for t, i in vocabulary.items() if t not in added}, special_tokens={})
+        with open(a or public_tokenizers.path(A), encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, letters, first = model["vocab"], {c: i for i, c in _byte_letters().items()}, 256
+        merged = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        if merged != list(range(first, first + len(merged))):
+            raise ValueError("the ids of tokenizer A are not in order of its merges")
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if i < first + len(merged)}
+        #: The same merges without special tokens, whose strings are then ordinary text.
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a_bytes = [blob for blob, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.b_bytes = [bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
         self.a_text, self.b_text = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
@@ -116,7 +116,7 @@ class Aligner:
 
     def cut(self, texts: list[str], groups: bool = True) -> list[np.ndarray]:
         """Numbers of the pieces of each text; new pieces are aligned. ``groups``: keep their groups as text."""
-        if len(self.known) > self.cache or self.size > 16 * TEXT:
+        if len(self.known) > self.cache or self.size > 32 * TEXT:
             self._forget()
         first, out, number = len(self.known), [], self.known.__getitem__
 
@@ -133,7 +133,7 @@ class Aligner:
 
     def encode(self, text: str) -> tuple[list[int], list[int]] | None:
         """Ids of A and B for a text that begins with a space or a line break; None where the tokens are not the bytes."""
-        a = self.a.encode_ordinary(text) if len(text) <= TOGETHER * LONGEST else self.whole_a.encode(text, add_special_tokens=False).ids
+        a = self.a.encode_ordinary(text)
         b = [self.blank] if text == " " else self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
         blob = text.encode()
         return (a, b) if b"".join(map(self.a_bytes.__getitem__, a)) == blob == b"".join(map(self.b_bytes.__getitem__, b)) else None
