@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidewater.llm import align, fim
+from tidewater.llm import align, fim, forest
 
 
 def by_hand(doc_id, text):
@@ -158,3 +158,75 @@ def test_pair_hash():
         assert sorted(slots.tolist()) == list(range(len(keys))) and (made.keys[slots] == keys).all()
         assert (made.slots(np.array([1 << 51, 7], np.int64)) == -1).all()
     assert len(align.PairHash.load(align.PairHash.build(keys[:0]).dump()).keys) == 0
+
+
+# --- nearest neighbours --------------------------------------------------------
+
+
+def nearest_by_hand(rows):
+    """All pairs, in double precision."""
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    out = {}
+    for n, (i, q) in enumerate(good):
+        if i % 50 == 0:
+            found = sorted((-(q @ v / np.sqrt(q @ q) / np.sqrt(v @ v)).round(12), j) for m, (j, v) in enumerate(good) if m != n and len(v) == len(q))[:5]
+            out.setdefault(i, []).append([(r, j, -s) for r, (s, j) in enumerate(found, 1)])
+    return out
+
+
+def found_by(got):
+    out = {}
+    for r in sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 12)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_on_odd_rows(spark, kind):
+    """Every entry is looked at, so the result is exact."""
+    rng = np.random.default_rng(3)
+    some = lambda: rng.integers(-8, 9, 6).astype(float).tolist()
+    rows = [(i, some()) for i in range(0, 400, 10)]
+    rows += [(1000 + i, [1.0, 2, 3, 4, 5, 6]) for i in range(20)] + [(50 * 40, [1.0, 2, 3, 4, 5, 6]), (-50, [1.0, 2, 3, 4, 5, 6]), (7, [2.0, 4, 6, 8, 10, 12])]
+    rows += [(100_000, None), (100_050, [0.0] * 6), (100_100, [1.0, None, 0, 0, 0, 0]), (100_150, [float("nan")] * 6), (100_200, [float("inf")] + [0.0] * 5), (None, some()), (100_250, []), (100_300, [1.0, -0.0]), (3, [1.0, 0.0]), (5, [-1.0, 0.0])]
+    if kind == "double":
+        rows += [(9, [3e200, 1.0, 1, 1, 1, 1]), (100_350, [1e-200, 2e-200, 3e-200, 4e-200, 5e-200, 6e-200])]
+    table = spark.createDataFrame([(i, v and [None if x is None else float(x) for x in v], 0, -1) for i, v in rows], f"vec_id long, embedding array<{kind}>, cid int, query int").repartition(3)
+    got = found_by(forest.nearest(table, lambda c: c % 50 == 0, miss=0.0))
+    scale = [(i, None if v is None or None in v or not np.isfinite(v).all() or not any(v) else (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    want = {i: own[0] for i, own in nearest_by_hand(scale).items()}
+    assert set(got) == {i for i, own in want.items() if own}
+    for i, own in got.items():
+        assert [r[0] for r in own] == list(range(1, len(own) + 1)) and [r[2] for r in own] == pytest.approx([r[2] for r in want[i]], abs=1e-9)
+        assert i not in [r[1] for r in own]
+    for i in (2000, -50, 100_300):
+        assert [r[1] for r in got[i]] == [r[1] for r in want[i]]
+
+
+def test_nearest_of_repeated_rows_and_nothing(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert forest.op12_forest(spark.createDataFrame([], schema)).collect() == []
+    assert forest.op12_forest(spark.createDataFrame([(50, [1.0, 2.0])], schema)).collect() == []
+    got = forest.op12_forest(spark.createDataFrame([(50, [1.0, 2.0])] * 2 + [(51, [2.0, 1.0])], schema)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(50, 1, 50), (50, 1, 50), (50, 2, 51), (50, 2, 51)]
+
+
+def test_recall(spark):
+    """Vectors around centres and in noise; a group of equal and one of nearly equal vectors."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 32))
+    v = np.concatenate([centres[rng.integers(0, 40, 3000)] + 0.3 * rng.standard_normal((3000, 32)), rng.standard_normal((2000, 32)), np.tile(centres[0], (300, 1)), centres[1] + 1e-3 * rng.standard_normal((300, 32))]).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    got = found_by(forest.op12_forest(table))
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    hits = total = 0
+    for q in range(0, len(v), 50):
+        s = u @ u[q]
+        s[q] = -2
+        fifth = np.sort(s)[-5]
+        assert len(got[q]) == 5 and q not in [r[1] for r in got[q]]
+        assert [r[2] for r in got[q]] == pytest.approx([s[r[1]] for r in got[q]], abs=1e-9)
+        hits += sum(s[r[1]] >= fifth - 1e-9 for r in got[q])
+        total += 5
+    assert hits / total > 0.93
+    assert [r[1] for r in got[5050]] == [5000, 5001, 5002, 5003, 5004]

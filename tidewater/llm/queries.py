@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, chat, decontam, fim, jaccard, media, mixing, pii, secret_scan, token_files, toxicity, urls
+from . import align, chat, decontam, fim, forest, jaccard, media, mixing, pii, secret_scan, token_files, toxicity, urls
 from .common import table
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard": lambda s, d: jaccard.join_components(docs(s, d)),
         "op10_secrets": lambda s, d: secret_scan.find_secrets(docs(s, d)),
         "op11_fim": lambda s, d: fim.op11_fim(docs(s, d)),
+        "op12_forest": lambda s, d: forest.op12_forest(table(s, d, "embeddings")),
         "op13_align": lambda s, d: align.op13_align(docs(s, d)),
     }
 
