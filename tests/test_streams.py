@@ -6,14 +6,14 @@ import pytest
 
 from tests.test_plans import SF, duck, rows  # noqa: F401
 from tidewater.sources import events, landing
-from tidewater.streaming import folds, jobs, ordered
+from tidewater.streaming import detect, folds, jobs, ordered
 
-CASES = landing.ORACLE | jobs.ORACLE | ordered.ORACLE
+CASES = landing.ORACLE | jobs.ORACLE | ordered.ORACLE | detect.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_stream(spark, duck, name):  # noqa: F811
-    got = (landing.QUERIES | jobs.QUERIES | ordered.QUERIES)[name](spark, SF)
+    got = (landing.QUERIES | jobs.QUERIES | ordered.QUERIES | detect.QUERIES)[name](spark, SF)
     want = duck.execute(CASES[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
@@ -80,7 +80,7 @@ def test_rows_that_arrive_much_later_are_folded(spark, tmp_path):
     def deliver(*found):
         spark.createDataFrame([(i, t, 1, "purchase", v) for i, t, v in found], schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        landed, hours = folds.land_once(stream, ["event_id"], "ts", "late", f"{tmp_path}/out", f"{tmp_path}/check", fold=lambda r: jobs.revenue(r, "1 hour"), bucket=lambda: jobs.F.date_trunc("hour", "ts"))
+        landed, hours = folds.land_once(stream, ["event_id"], "ts", "late", f"{tmp_path}/out", f"{tmp_path}/check", fold=lambda r: jobs.revenue(r, "1 hour"))
         return landed.count(), {r["bucket"].hour: (r["revenue"], r["orders"]) for r in jobs.newest(hours, "bucket").collect()}
 
     at = lambda day, hour: dt.datetime(2024, 1, day, hour, 5)

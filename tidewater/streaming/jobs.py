@@ -69,30 +69,6 @@ def ended_sessions(clicks: DataFrame, gap: str) -> DataFrame:
     return out.select("user_id", "began", "clicks", "has_cart", "cart_value")
 
 
-class _Detector(StatefulProcessor):
-    """Count, sum and sum of squares of one metric's closed buckets, read before written."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.moments = handle.getValueState("moments", "k long, s long, ss long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        k, s, ss = map(int, self.moments.get()) if self.moments.exists() else (0, 0, 0)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("bucket").itertuples(index=False):
-            n = int(r.n)
-            if k >= 20:
-                mean = s / k
-                sd = max((float(ss) - float(s) * float(s) / k) / (k - 1), 0.0) ** 0.5
-                z = abs(n - mean) / max(sd, 0.01, 0.05 * abs(mean))
-                out.append((r.bucket, n, mean, float(int(z * 1000000 + 0.5)) / 1000000, "severe" if z >= 5 else "warning" if z >= 3 else None))
-            k, s, ss = k + 1, s + n, ss + n * n
-        self.moments.update((k, s, ss))
-        yield pd.DataFrame(out, columns=["bucket", "n", "mean", "z", "severity"]).astype({"severity": object})
-
-    def close(self) -> None:
-        pass
-
-
 class _Streaks(StatefulProcessor):
     """Consecutive firing buckets of one model; the second and later ones surface."""
 
@@ -125,7 +101,7 @@ def _keyed(table: DataFrame, processor: StatefulProcessor, key: str, schema: str
 
 def _hours(spark: SparkSession, sf_dir: str, fold: Callable[[DataFrame, str], DataFrame], label: str) -> DataFrame:
     """Hours touched by each micro-batch, recomputed from all their landed events."""
-    _, found = land_once(file_stream(spark, sf_dir, "events"), ["event_id"], "ts", label, fold=lambda rows: fold(rows, "1 hour"), bucket=lambda: F.date_trunc("hour", "ts"))
+    _, found = land_once(file_stream(spark, sf_dir, "events"), ["event_id"], "ts", label, fold=lambda rows: fold(rows, "1 hour"))
     return newest(found, "bucket")
 
 
@@ -149,11 +125,6 @@ def t05_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed(rows, "event_type", "ts", "1 hour")
 
 
-def t08_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("bucket")).agg(F.count("*").alias("n")).withColumn("metric", F.lit("events"))
-    return _keyed(hours, _Detector(), "metric", "bucket timestamp, n long, mean double, z double, severity string", "t08").drop("_batch")
-
-
 def t12_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("model"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000).alias("b"), ((F.col("event_id") * 7919) % 1000 >= 900).cast("long").alias("hot"))
     rates = preds.groupBy("model", "b").agg(F.count("*").alias("n"), F.sum("hot").alias("at_risk"))
@@ -179,7 +150,7 @@ def t15_scoring(spark: SparkSession, sf_dir: str, score: Callable[[], F.Column]
     return run_to_table(scored.withColumn("confidence", F.greatest("score", 1 - F.col("score"))), "t15").drop("_batch")
 
 
-QUERIES = {f.__name__: f for f in (t01_revenue, t02_sessions, s06_landing, t05_closed, t08_detector, t12_rates, t13_sessions, t14_once, t15_scoring)}
+QUERIES = {f.__name__: f for f in (t01_revenue, t02_sessions, s06_landing, t05_closed, t12_rates, t13_sessions, t14_once, t15_scoring)}
 
 _HOUR = "date_trunc('hour', ts)"
 ORACLE = {
@@ -188,9 +159,6 @@ ORACLE = {
     "s06_landing": "SELECT event_id, user_id FROM events",
     "t05_closed": """WITH b AS (SELECT event_type AS timeline, date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2) SELECT timeline, bucket, n, bucket + INTERVAL '1' MINUTE < (SELECT max(date_trunc('hour', e.ts)) FROM events e WHERE e.event_type = b.timeline)
         OR (SELECT max(e.ts) FROM events e WHERE e.event_type = b.timeline) + INTERVAL '10' SECOND <= (SELECT max(ts) FROM events) AND bucket + INTERVAL '1' MINUTE < (SELECT max(ts) FROM events) AS is_closed FROM b""",
-    "t08_detector": f"""WITH h AS (SELECT {_HOUR} AS bucket, count(*) AS n FROM events GROUP BY {_HOUR}), m AS (SELECT bucket, n, count(*) OVER w AS k, CAST(sum(n) OVER w AS DOUBLE) AS s, CAST(sum(n * n) OVER w AS DOUBLE) AS ss FROM h WINDOW w AS (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        b AS (SELECT bucket, n, s / k AS mean, sqrt(greatest((ss - s * s / k) / (k - 1), 0.0E0)) AS sd FROM m WHERE k >= 20), z AS (SELECT bucket, n, mean, abs(n - mean) / greatest(sd, 0.01, 0.05 * abs(mean)) AS z FROM b)
-        SELECT bucket, n, mean, floor(z * 1000000 + 0.5) / 1000000 AS z, CASE WHEN z >= 5 THEN 'severe' WHEN z >= 3 THEN 'warning' END AS severity FROM z""",
     "t12_rates": """WITH r AS (SELECT event_type AS model, CAST(floor(epoch_us(ts) / 21600000000) AS BIGINT) AS b, count(*) AS n, count(*) FILTER (WHERE (event_id * 7919) % 1000 >= 900) AS at_risk FROM events GROUP BY 1, 2),
         f AS (SELECT *, n >= 10 AND CAST(at_risk AS DOUBLE) / n > 0.15 AS fires FROM r), g AS (SELECT *, b - row_number() OVER (PARTITION BY model, fires ORDER BY b) AS island FROM f)
         SELECT model, b, fires, CASE WHEN fires THEN row_number() OVER (PARTITION BY model, fires, island ORDER BY b) ELSE 0 END AS streak, fires AND row_number() OVER (PARTITION BY model, fires, island ORDER BY b) >= 2 AS surfaced FROM g""",
