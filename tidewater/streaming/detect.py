@@ -236,6 +236,27 @@ def rate_anomalies(scores: DataFrame, threshold: float, window_s: int, least: in
     return run_to_table(rows.groupBy("model").transformWithStateInPandas(RateTracker(window_s, least, base), RateTracker.SCHEMA, "append", "EventTime"), label).drop("_batch")
 
 
+class Streaks(StatefulProcessor):
+    """Consecutive firing buckets of one model; the second and later ones surface."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "b long, streak long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        b, streak = map(int, self.last.get()) if self.last.exists() else (-2, 0)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("b").itertuples(index=False):
+            fires = r.n >= 10 and r.at_risk / r.n > 0.15
+            streak = (streak + 1 if r.b == b + 1 else 1) if fires else 0
+            b = int(r.b)
+            out.append((key[0], b, bool(fires), streak, streak >= 2))
+        self.last.update((b, streak))
+        yield pd.DataFrame(out, columns=["model", "b", "fires", "streak", "surfaced"])
+
+    def close(self) -> None:
+        pass
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_clock(file_stream(spark, sf_dir, "events", None))
 
@@ -262,6 +283,17 @@ def t10_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_state(spark, checkpoint).select("metric", "n", (s / F.col("n")).alias("mean"), (ss - s * s / F.col("n")).alias("m2"), F.timestamp_micros("cursor").alias("analyzed_through"))
 
 
+def t12_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed buckets of six hours per model: whether the rate fires, and for how many in a row."""
+    seen = _events(spark, sf_dir).withWatermark("ts", LATE)
+    hot = (F.pmod(F.col("event_id") * 7919, F.lit(1000)) >= 900).cast("long")
+    per = seen.groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count("event_id").alias("n"), F.sum(hot).alias("at_risk")).where("n > 0")
+    rates = per.select(F.col("event_type").alias("model"), (F.unix_micros("window.start") / 21_600_000_000).cast("long").alias("b"), "n", "at_risk")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = "model string, b long, fires boolean, streak long, surfaced boolean"
+    return run_to_table(rates.groupBy("model").transformWithStateInPandas(Streaks(), schema, "append", "none"), "t12").drop("_batch")
+
+
 def t12_surfaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the rate tracker over six hours of scores per model."""
     scores = with_clock(file_stream(spark, sf_dir, "events", None)).where("event_id IS NOT NULL OR event_type IS NULL")
@@ -269,7 +301,7 @@ def t12_surfaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_anomalies(scored, 0.9, 6 * 3600, 10, 0.05, "t12s")
 
 
-QUERIES = {f.__name__: f for f in (t08_detector, s08_anomalies, t10_state, t12_surfaced)}
+QUERIES = {f.__name__: f for f in (t08_detector, s08_anomalies, t10_state, t12_rates, t12_surfaced)}
 
 _METRICS = """h AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS events, count(*) FILTER (WHERE event_type = 'purchase' AND value > 0) AS orders,
         CAST(coalesce(sum(CAST(CAST(value AS DECIMAL(12,2)) * 100 AS BIGINT)) FILTER (WHERE event_type = 'purchase' AND value > 0), 0) AS BIGINT) AS revenue FROM events GROUP BY 1),
@@ -283,6 +315,9 @@ ORACLE = {
         z AS (SELECT metric, bucket, CASE metric WHEN 'revenue' THEN 100.0E0 ELSE 1.0E0 END AS unit, v, s / k AS mean, (v - s / k) / greatest(sqrt(greatest((ss - s * s / k) / (k - 1), 0.0E0)), 0.01, 0.05 * abs(s / k)) AS z FROM k WHERE k >= 20)
         SELECT metric, 'statistical' AS detector, bucket AS bucket_start, {_TWO.format("(v / unit)")} AS observed, {_TWO.format("(mean / unit)")} AS expected, {_TWO.format("z")} AS z_score, CASE WHEN abs(z) >= 5 THEN 'severe' ELSE 'warning' END AS severity, 'open' AS status, true AS surfaced, metric AS event_key FROM z WHERE abs(z) >= 3""",
     "t10_state": f"""WITH {_METRICS} SELECT metric, count(*) AS n, CAST(sum(v) AS DOUBLE) / count(*) AS mean, CAST(sum(v * v) AS DOUBLE) - CAST(sum(v) AS DOUBLE) * CAST(sum(v) AS DOUBLE) / count(*) AS m2, max(bucket) AS analyzed_through FROM m GROUP BY metric""",
+    "t12_rates": """WITH r AS (SELECT event_type AS model, CAST(floor(epoch_us(ts) / 21600000000) AS BIGINT) AS b, count(*) AS n, count(*) FILTER (WHERE (event_id * 7919) % 1000 >= 900) AS at_risk FROM events GROUP BY 1, 2),
+        f AS (SELECT *, n >= 10 AND CAST(at_risk AS DOUBLE) / n > 0.15 AS fires FROM r), g AS (SELECT *, b - row_number() OVER (PARTITION BY model, fires ORDER BY b) AS island FROM f)
+        SELECT model, b, fires, CASE WHEN fires THEN row_number() OVER (PARTITION BY model, fires, island ORDER BY b) ELSE 0 END AS streak, fires AND row_number() OVER (PARTITION BY model, fires, island ORDER BY b) >= 2 AS surfaced FROM g""",
     "t12_surfaced": """WITH o AS (SELECT event_type AS model, event_id AS id, ts, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec, CASE WHEN CAST((event_id * 7919) % 1000 AS DOUBLE) / 1000 >= 0.9 THEN 1 ELSE 0 END AS hot FROM events),
         w AS (SELECT a.model, a.ts, a.id, any_value(a.sec) AS sec, count(*) AS n, CAST(sum(b.hot) AS BIGINT) AS at_risk FROM o a JOIN o b ON a.model = b.model AND b.sec >= a.sec - 21600 AND (b.ts < a.ts OR b.ts = a.ts AND b.id <= a.id) GROUP BY a.model, a.ts, a.id HAVING count(*) >= 10),
         f AS (SELECT *, sec // 21600 AS b, CAST(at_risk AS DOUBLE) / n > 3.0E0 * 0.05E0 AS fires, row_number() OVER (PARTITION BY model, sec // 21600 ORDER BY ts, id) AS place FROM w),

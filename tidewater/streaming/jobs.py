@@ -9,12 +9,10 @@ time to pass, so they take the files that are there as one batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.events import file_stream
 from ..sources.landing import shared_path
@@ -69,36 +67,6 @@ def ended_sessions(clicks: DataFrame, gap: str) -> DataFrame:
     return out.select("user_id", "began", "clicks", "has_cart", "cart_value")
 
 
-class _Streaks(StatefulProcessor):
-    """Consecutive firing buckets of one model; the second and later ones surface."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "b long, streak long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        b, streak = map(int, self.last.get()) if self.last.exists() else (-2, 0)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("b").itertuples(index=False):
-            fires = r.n >= 10 and r.at_risk / r.n > 0.15
-            streak = (streak + 1 if r.b == b + 1 else 1) if fires else 0
-            b = int(r.b)
-            out.append((key[0], b, bool(fires), streak, streak >= 2))
-        self.last.update((b, streak))
-        yield pd.DataFrame(out, columns=["model", "b", "fires", "streak", "surfaced"])
-
-    def close(self) -> None:
-        pass
-
-
-def _keyed(table: DataFrame, processor: StatefulProcessor, key: str, schema: str, label: str) -> DataFrame:
-    """Feed a table of closed buckets, as a stream of its files, to a processor per key."""
-    spark, path = table.sparkSession, shared_path(table.sparkSession, f"{label}-in")
-    table.write.parquet(path)
-    rows = spark.readStream.schema(table.schema).parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return run_to_table(rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", "none"), label)
-
-
 def _hours(spark: SparkSession, sf_dir: str, fold: Callable[[DataFrame, str], DataFrame], label: str) -> DataFrame:
     """Hours touched by each micro-batch, recomputed from all their landed events."""
     _, found = land_once(file_stream(spark, sf_dir, "events"), ["event_id"], "ts", label, fold=lambda rows: fold(rows, "1 hour"))
@@ -113,6 +81,24 @@ def t02_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hours(spark, sf_dir, active_sessions, "t02").where("sessions > 0")
 
 
+def _live(events: DataFrame, width: str) -> DataFrame:
+    """Revenue, orders and sessions of every bucket: one row per session and bucket, then a sum."""
+    valid = (F.col("event_type") == "purchase") & (F.col("value") > 0)
+    per = events.groupBy(F.window("ts", width).start.alias("bucket"), "user_id").agg(F.sum(F.when(valid, F.col("value").cast("decimal(12,2)")).otherwise(0)).alias("r"), F.count_if(valid).alias("o"), F.max(F.col("event_type").isin("view", "click")).alias("active"))
+    return per.groupBy("bucket").agg(F.sum("r").cast("double").alias("revenue"), F.sum("o").alias("orders"), F.count_if(F.col("active") & F.col("user_id").isNotNull()).alias("sessions"))
+
+
+def s07_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current table of hours after two runs over files in any order, the second from where the first ended."""
+    source, path = shared_path(spark, "deliveries"), shared_path(spark, "s07")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    for turn in (0, 1):
+        events.where((F.col("event_id") % 3 != 0) == F.lit(turn == 0)).repartition(6, F.xxhash64("event_id")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(source)
+        _, hours = land_once(stream, ["event_id"], "ts", "s07", path, f"{path}-checkpoint", fold=lambda rows: _live(rows, "1 hour"))
+    return hours.drop("_batch")
+
+
 def s06_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert-if-absent: the same events delivered twice land once."""
     twice = file_stream(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
@@ -125,12 +111,6 @@ def t05_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed(rows, "event_type", "ts", "1 hour")
 
 
-def t12_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    preds = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("model"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000).alias("b"), ((F.col("event_id") * 7919) % 1000 >= 900).cast("long").alias("hot"))
-    rates = preds.groupBy("model", "b").agg(F.count("*").alias("n"), F.sum("hot").alias("at_risk"))
-    return _keyed(rates, _Streaks(), "model", "model string, b long, fires boolean, streak long, surfaced boolean", "t12").drop("_batch")
-
-
 def t13_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that ended before the watermark of the last events."""
     return run_to_table(ended_sessions(file_stream(spark, sf_dir, "events", None), "6 hours"), "t13").drop("_batch")
@@ -150,18 +130,17 @@ def t15_scoring(spark: SparkSession, sf_dir: str, score: Callable[[], F.Column]
     return run_to_table(scored.withColumn("confidence", F.greatest("score", 1 - F.col("score"))), "t15").drop("_batch")
 
 
-QUERIES = {f.__name__: f for f in (t01_revenue, t02_sessions, s06_landing, t05_closed, t12_rates, t13_sessions, t14_once, t15_scoring)}
+QUERIES = {f.__name__: f for f in (t01_revenue, t02_sessions, s06_landing, s07_upsert, t05_closed, t13_sessions, t14_once, t15_scoring)}
 
 _HOUR = "date_trunc('hour', ts)"
 ORACLE = {
     "t01_revenue": f"SELECT {_HOUR} AS bucket, CAST(sum(CASE WHEN event_type = 'purchase' AND value > 0 THEN CAST(value AS DECIMAL(12,2)) ELSE 0 END) AS DOUBLE) AS revenue, count(*) FILTER (WHERE event_type = 'purchase' AND value > 0) AS orders FROM events GROUP BY {_HOUR}",
     "t02_sessions": f"SELECT {_HOUR} AS bucket, count(DISTINCT user_id) AS sessions FROM events WHERE event_type IN ('view', 'click') GROUP BY {_HOUR}",
     "s06_landing": "SELECT event_id, user_id FROM events",
+    "s07_upsert": f"""SELECT {_HOUR} AS bucket, CAST(sum(CASE WHEN event_type = 'purchase' AND value > 0 THEN CAST(value AS DECIMAL(12,2)) ELSE 0 END) AS DOUBLE) AS revenue, count(*) FILTER (WHERE event_type = 'purchase' AND value > 0) AS orders,
+        count(DISTINCT user_id) FILTER (WHERE event_type IN ('view', 'click')) AS sessions FROM events GROUP BY {_HOUR}""",
     "t05_closed": """WITH b AS (SELECT event_type AS timeline, date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2) SELECT timeline, bucket, n, bucket + INTERVAL '1' MINUTE < (SELECT max(date_trunc('hour', e.ts)) FROM events e WHERE e.event_type = b.timeline)
         OR (SELECT max(e.ts) FROM events e WHERE e.event_type = b.timeline) + INTERVAL '10' SECOND <= (SELECT max(ts) FROM events) AND bucket + INTERVAL '1' MINUTE < (SELECT max(ts) FROM events) AS is_closed FROM b""",
-    "t12_rates": """WITH r AS (SELECT event_type AS model, CAST(floor(epoch_us(ts) / 21600000000) AS BIGINT) AS b, count(*) AS n, count(*) FILTER (WHERE (event_id * 7919) % 1000 >= 900) AS at_risk FROM events GROUP BY 1, 2),
-        f AS (SELECT *, n >= 10 AND CAST(at_risk AS DOUBLE) / n > 0.15 AS fires FROM r), g AS (SELECT *, b - row_number() OVER (PARTITION BY model, fires ORDER BY b) AS island FROM f)
-        SELECT model, b, fires, CASE WHEN fires THEN row_number() OVER (PARTITION BY model, fires, island ORDER BY b) ELSE 0 END AS streak, fires AND row_number() OVER (PARTITION BY model, fires, island ORDER BY b) >= 2 AS surfaced FROM g""",
     "t13_sessions": """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '6' HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS began, count(*) AS clicks, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS has_cart, max(value) AS cart_value
         FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL '370' MINUTE < (SELECT max(ts) FROM events)""",
