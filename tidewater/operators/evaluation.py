@@ -40,7 +40,6 @@ PLANS = {
         SELECT date_trunc('hour', c.ts) AS bucket, CAST(sum(CASE WHEN c.event_type = 'purchase' THEN CAST(c.value AS DECIMAL(12,2)) ELSE 0 END) AS DOUBLE) AS revenue, count(DISTINCT c.user_id) AS sessions FROM clicks c JOIN touched t ON date_trunc('hour', c.ts) = t.b GROUP BY date_trunc('hour', c.ts)""",
     "t16_retention": lambda d: "SELECT bucket FROM hours WHERE bucket >= (SELECT max(bucket) FROM hours) - INTERVAL '3' HOUR",
     "t17_archive": lambda d: f"WITH {_PROPOSED} SELECT p.id FROM preds p WHERE p.predicted_at < TIMESTAMP '2024-01-10 00:00:00' AND p.id <= (SELECT max(id) FROM proposed) AND NOT EXISTS (SELECT 1 FROM queue q WHERE q.id = p.id)",
-    "t18_dismissal": lambda d: "SELECT bucket, CASE WHEN n > 20 AND sessions % 2 = 0 THEN 'dismissed' WHEN n > 20 THEN 'open' ELSE 'closed' END AS status FROM hours",
     "g01_rules": lambda d: "SELECT id, coalesce(score >= 0.9 AND value / nullif(entity % 5, 0) > 10, false) AS fires FROM preds",
     "g02_fail_closed": lambda d: f"SELECT event_id, CASE WHEN {d.try_int(d.json('props', 'missing'))} > 3 IS NULL THEN false WHEN {d.try_int(d.json('props', 'missing'))} > 3 THEN true ELSE value > 1 END AS fires FROM clicks",
     "g04_shipped_rules": lambda d: f"SELECT id, {_RULES} AS rule_name FROM preds",
@@ -48,15 +47,8 @@ PLANS = {
     "g06_proposals": lambda d: f"WITH {_PROPOSED} SELECT DISTINCT dedup_key FROM proposed",
     "g07_one_open": lambda d: f"WITH {_PROPOSED} SELECT id, rule_name, entity FROM queue",
     "g08_routing": lambda d: f"WITH {_PROPOSED} SELECT id, CASE WHEN rule_name = 'note' THEN 'executed' ELSE 'pending' END AS state FROM queue",
-    "g10_decisions": lambda d: f"WITH {_PROPOSED} SELECT id, CASE WHEN rule_name = 'note' THEN 'refused' WHEN id % 3 = 0 THEN 'approved' WHEN id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS outcome FROM queue",
-    "g11_state": lambda d: f"WITH {AUDIT} SELECT action_id, max_by(transition, step) AS state FROM audit GROUP BY action_id",
-    "g12_trace": lambda d: f"WITH {AUDIT} SELECT action_id, {d.list_join('transition', 'step')} AS trace FROM audit GROUP BY action_id",
-    "g13_unapproved": lambda d: f"WITH {AUDIT} SELECT a.action_id FROM audit a WHERE a.transition = 'executed' AND NOT EXISTS (SELECT 1 FROM audit b WHERE b.action_id = a.action_id AND b.transition = 'approved')",
     "g14_draft_orders": lambda d: "SELECT entity, week, CAST(ceil(f - m) AS BIGINT) AS quantity FROM (SELECT entity, CAST(date_trunc('week', predicted_at) AS DATE) AS week, max(score) * 100 AS f, 40.0E0 AS m FROM preds GROUP BY entity, CAST(date_trunc('week', predicted_at) AS DATE)) t WHERE f > 1.5 * m",
-    "g15_retrain": lambda d: f"WITH {_PROPOSED} SELECT id, CASE WHEN predicted_at < TIMESTAMP '2024-01-15 00:00:00' THEN 'failed' ELSE 'running' END AS state FROM queue WHERE rule_name = 'hold_order'",
     "g16_surge": lambda d: "SELECT entity, count(*) AS n FROM preds WHERE score > 0.5 GROUP BY entity HAVING count(*) > 1.2 * (SELECT CAST(count(*) AS DOUBLE) / count(DISTINCT entity) FROM preds WHERE score > 0.5)",
-    "a19_queue_counts": lambda d: f"WITH {AUDIT}, s AS (SELECT action_id, max_by(transition, step) AS state FROM audit GROUP BY action_id) SELECT state, count(*) AS n FROM s GROUP BY state",
-    "l07_actions": lambda d: f"WITH {AUDIT}, s AS (SELECT action_id, max_by(transition, step) AS state FROM audit GROUP BY action_id) SELECT action_id FROM s WHERE state = 'proposed' ORDER BY action_id LIMIT 50",
     "d01_not_null": lambda d: "SELECT count(*) AS bad FROM orders WHERE o_custkey IS NULL",
     "d02_unique": lambda d: "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     "d03_accepted": lambda d: "SELECT order_id, status FROM header WHERE status NOT IN ('F', 'O')",
