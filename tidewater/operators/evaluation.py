@@ -34,7 +34,6 @@ PLANS = {
     "m16_bands": lambda d: "SELECT id, CASE WHEN score IS NULL OR score <> score THEN 'ok' WHEN score < 0.10 THEN 'ok' WHEN score <= 0.20 THEN 'warning' ELSE 'critical' END AS band FROM preds",
     "m17_newest_samples": lambda d: "SELECT model, id, score FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY predicted_at DESC, id DESC) AS rn FROM preds) t WHERE rn <= 100",
     "m18_sample_gate": lambda d: "SELECT entity, count(*) AS n FROM preds GROUP BY entity HAVING count(*) >= 50",
-    "m19_reproduction": lambda d: "SELECT model, CAST(sum(abs(a - f)) AS DOUBLE) / CAST(sum(abs(a)) AS DOUBLE) AS wape, CASE WHEN CAST(sum(abs(a - f)) AS DOUBLE) / CAST(sum(abs(a)) AS DOUBLE) > 1.25 * 0.9 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT model, CAST(value AS DECIMAL(12,2)) AS a, CAST(id % 100 AS DECIMAL(12,2)) AS f FROM preds) t GROUP BY model HAVING count(*) >= 20",
     "a20_drift_merge": lambda d: "SELECT model, CAST(date_trunc('day', predicted_at) AS DATE) AS run, max(score) AS max_psi, count(*) AS features, max(CASE WHEN score > 0.2 THEN 2 WHEN score >= 0.1 THEN 1 ELSE 0 END) AS worst FROM preds GROUP BY model, CAST(date_trunc('day', predicted_at) AS DATE)",
     "t09_reconcile": lambda d: """WITH touched AS (SELECT DISTINCT date_trunc('hour', ts) AS b FROM clicks WHERE ts + INTERVAL '5' MINUTE >= TIMESTAMP '2024-01-20 00:00:00')
         SELECT date_trunc('hour', c.ts) AS bucket, CAST(sum(CASE WHEN c.event_type = 'purchase' THEN CAST(c.value AS DECIMAL(12,2)) ELSE 0 END) AS DOUBLE) AS revenue, count(DISTINCT c.user_id) AS sessions FROM clicks c JOIN touched t ON date_trunc('hour', c.ts) = t.b GROUP BY date_trunc('hour', c.ts)""",
@@ -58,7 +57,5 @@ PLANS = {
     "d07_freshness": lambda d: "SELECT max(ts) AS newest, max(ts) < TIMESTAMP '2024-01-30 00:00:00' AS is_stale FROM clicks",
     "d08_agreement": lambda d: "SELECT a.d, CAST(a.r - b.r AS DOUBLE) AS difference FROM (SELECT d, sum(pay) AS r FROM valid GROUP BY d) a JOIN (SELECT d, sum(CASE WHEN NOT is_lost AND pay > 0 THEN pay ELSE 0 END) AS r FROM header GROUP BY d) b ON a.d = b.d WHERE a.r <> b.r",
     "m12_held_out": lambda d: "SELECT id, score, label FROM preds ORDER BY md5(CAST(id AS VARCHAR(20))), id LIMIT 500",
-    "m13_registry": lambda d: """WITH v AS (SELECT model, CAST(predicted_at AS DATE) AS version, max(score) AS quality FROM preds GROUP BY model, CAST(predicted_at AS DATE)), k AS (SELECT *, quality < 0.98 AS is_candidate FROM v)
-        SELECT model, version, CASE WHEN is_candidate THEN 'candidate' WHEN row_number() OVER (PARTITION BY model, is_candidate ORDER BY version DESC) = 1 THEN 'active' ELSE 'superseded' END AS status FROM k""",
     "s09_risk_export": lambda d: "SELECT id, entity, score FROM preds ORDER BY score DESC, id LIMIT 100",
 }

@@ -42,8 +42,6 @@ PLANS = {
     "j11_anti": lambda d: "SELECT c_custkey AS customer FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "j12_semi": lambda d: "SELECT e.event_id FROM clicks e WHERE date_trunc('hour', e.ts) IN (SELECT date_trunc('hour', ts) FROM clicks WHERE event_id % 97 = 0)",
     "j13_identity": lambda d: "SELECT h.order_id, coalesce(c.c_name, CAST(h.customer AS VARCHAR(20))) AS person FROM header h LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON h.customer = c.c_custkey",
-    "j14_registry": lambda d: """WITH registry AS (SELECT model, CASE WHEN min(label) < 0 THEN NULL ELSE 0.9 END AS threshold, CAST(sum(label) AS DOUBLE) / count(*) AS base_rate FROM preds GROUP BY model)
-        SELECT p.id, p.score >= r.threshold AS at_risk, greatest(r.base_rate, 0.01) AS base_rate FROM preds p LEFT JOIN registry r ON p.model = r.model""",
     "j15_previous_week": lambda d: f"""WITH w AS (SELECT category, CAST(date_trunc('week', h.d) AS DATE) AS week, count(*) AS n FROM lines l JOIN header h ON l.order_id = h.order_id GROUP BY category, CAST(date_trunc('week', h.d) AS DATE))
         SELECT a.category, a.week, a.n, b.n AS n_before FROM w a JOIN w b ON a.category = b.category AND b.week = a.week - INTERVAL '7' DAY WHERE a.n IS DISTINCT FROM b.n""",
     "j16_labels": lambda d: "SELECT s.user_id, s.n, coalesce(b.bot, 0) AS bot FROM (SELECT user_id, count(*) AS n FROM clicks GROUP BY user_id) s LEFT JOIN (SELECT DISTINCT user_id, 1 AS bot FROM clicks WHERE event_type = 'error' AND value > 100) b ON s.user_id = b.user_id",
@@ -67,9 +65,7 @@ PLANS = {
     "a17_weekly_orders": lambda d: "SELECT CAST(date_trunc('week', d) AS DATE) AS week, count(*) AS orders, CAST(sum(pay) AS DOUBLE) AS revenue FROM header GROUP BY CAST(date_trunc('week', d) AS DATE)",
     "a18_at_risk_share": lambda d: "SELECT model, count(*) AS scored, count(*) FILTER (WHERE score >= 0.9) AS at_risk, CAST(count(*) FILTER (WHERE score >= 0.9) AS DOUBLE) / count(*) AS share FROM preds GROUP BY model",
     "a21_rank_map": lambda d: "SELECT category, CAST(row_number() OVER (ORDER BY s DESC, category) - 1 AS INT) AS code FROM (SELECT category, sum(price) AS s FROM lines GROUP BY category) t",
-    "a22_active_models": lambda d: "SELECT count(DISTINCT model) AS active FROM preds WHERE score > 0.5",
     "a23_forecast_pivot": lambda d: "SELECT CAST(date_trunc('week', predicted_at) AS DATE) AS week, max(CASE WHEN model = 'purchase' THEN score END) AS revenue_forecast, max(CASE WHEN model = 'signup' THEN score END) AS orders_forecast FROM preds GROUP BY CAST(date_trunc('week', predicted_at) AS DATE)",
-    "a24_forecast_band": lambda d: "SELECT model, score, greatest(score - 0.25, 0) AS low, score + 0.25 AS high FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY predicted_at DESC, id DESC) AS rn FROM preds) t WHERE rn = 1",
     "a25_label_mix": lambda d: "SELECT count(*) FILTER (WHERE n >= 3) AS a, count(*) FILTER (WHERE paid > 250000) AS b, count(*) FILTER (WHERE n >= 6 AND paid > 100000) AS c FROM (SELECT order_id, count(*) AS n, CAST(sum(price) AS DOUBLE) AS paid FROM items GROUP BY order_id) t",
     "a26_sold_products": lambda d: "SELECT DISTINCT product_id FROM items",
     # sort and limit

@@ -246,8 +246,6 @@ PLANS = {
     "l06_drift": lambda d: "SELECT model, CAST(date_trunc('day', predicted_at) AS DATE) AS run, max(score) AS max_psi FROM preds WHERE model = 'purchase' GROUP BY model, CAST(date_trunc('day', predicted_at) AS DATE) ORDER BY run DESC LIMIT 20" if d.name == "spark" else "SELECT * FROM (SELECT DISTINCT p.model, CAST(p.predicted_at AS DATE) AS run, max(p.score) OVER (PARTITION BY p.model, CAST(p.predicted_at AS DATE)) AS max_psi FROM preds p WHERE p.model = 'purchase') t WHERE (SELECT count(DISTINCT CAST(x.predicted_at AS DATE)) FROM preds x WHERE x.model = 'purchase' AND CAST(x.predicted_at AS DATE) > t.run) < 20",
     "m20_churn_scores": _churn_scores,
     "m21_forecast_scores": _forecast_scores,
-    "m22_active_model": lambda d: "SELECT model, CASE WHEN s.score <= 0 THEN NULL ELSE s.score END AS threshold, greatest(s.value / 1000, 0.01) AS rate FROM (SELECT model, max_by(struct(score, value), struct(predicted_at, id)) AS s FROM preds GROUP BY model) t" if d.name == "spark" else "SELECT p.model, CASE WHEN p.score <= 0 THEN NULL ELSE p.score END AS threshold, greatest(p.value / 1000, 0.01) AS rate FROM preds p WHERE NOT EXISTS (SELECT 1 FROM preds x WHERE x.model = p.model AND (x.predicted_at > p.predicted_at OR x.predicted_at = p.predicted_at AND x.id > p.id))",
-    "l05_registry": lambda d: "SELECT model, CAST(predicted_at AS DATE) AS version, max(score) AS quality FROM preds GROUP BY model, CAST(predicted_at AS DATE) ORDER BY model, version DESC" if d.name == "spark" else "SELECT DISTINCT p.model, CAST(p.predicted_at AS DATE) AS version, (SELECT max(x.score) FROM preds x WHERE x.model = p.model AND CAST(x.predicted_at AS DATE) = CAST(p.predicted_at AS DATE)) AS quality FROM preds p",
 }
 
 

@@ -128,7 +128,7 @@ def _backtest(d):
     det = minor("sxx", "sx", "sx")
     slope = f"CASE WHEN {det} > 0 THEN {minor('sxy', 'sx', 'sy')} / {det} ELSE 0.0E0 END"
     return f"""{rows}, {sums}, j AS ({joined}), m AS (SELECT category, week, CAST((k - {least}) / {h} AS INT) AS fold, x, y, k, CAST(sx AS DOUBLE) AS sx, CAST(sy AS DOUBLE) AS sy, {slope} AS slope FROM j),
-        bt AS (SELECT category, week, fold, CAST(y AS DOUBLE) / 100 AS actual, {_SIX.format('greatest((sy - slope * sx) / k + slope * x, 0.0E0) / 100')} AS prediction FROM m)"""
+        bt AS (SELECT category, week, fold, CAST(y AS DOUBLE) / 100 AS actual, {_SIX.format('greatest((sy - slope * sx) / k + slope * x, 0.0E0) / 100')} AS prediction, CAST(x AS DOUBLE) / 100 AS lag1, {_SIX.format('slope * (x - sx / k) / 100')} AS effect FROM m)"""
 
 
 PLANS = {
