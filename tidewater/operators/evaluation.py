@@ -29,16 +29,7 @@ PLANS = {
         c AS (SELECT g.cut, CAST(sum(p.y) AS DOUBLE) / sum(p.n) AS prec FROM g JOIN p ON p.top >= g.cut GROUP BY g.cut) SELECT coalesce(min(CASE WHEN prec >= 0.85 THEN cut END), max(CASE WHEN prec = (SELECT max(prec) FROM c) THEN cut END)) AS cut FROM c""",
     "m09_series_filter": lambda d: "SELECT category, count(*) AS weeks FROM (SELECT l.category, date_trunc('week', v.d) AS w FROM lines l JOIN valid v ON l.order_id = v.order_id GROUP BY l.category, date_trunc('week', v.d)) t GROUP BY category HAVING count(*) >= 16",
     "m10_confidence": lambda d: "SELECT id, greatest(score, 1 - score) AS confidence, CASE WHEN score >= 0.9 THEN 'at_risk' ELSE 'ok' END AS verdict FROM preds",
-    "m14_baseline": lambda d: f"{psi(d)} SELECT bin, CAST(r AS DOUBLE) AS share FROM p",
-    "m15_psi": lambda d: f"{psi(d)} SELECT floor(sum((s - r) * ln(s / r)) * 1000000 + 0.5) / 1000000 AS psi FROM p",
     "m16_bands": lambda d: "SELECT id, CASE WHEN score IS NULL OR score <> score THEN 'ok' WHEN score < 0.10 THEN 'ok' WHEN score <= 0.20 THEN 'warning' ELSE 'critical' END AS band FROM preds",
-    "m17_newest_samples": lambda d: "SELECT model, id, score FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY predicted_at DESC, id DESC) AS rn FROM preds) t WHERE rn <= 100",
-    "m18_sample_gate": lambda d: "SELECT entity, count(*) AS n FROM preds GROUP BY entity HAVING count(*) >= 50",
-    "a20_drift_merge": lambda d: "SELECT model, CAST(date_trunc('day', predicted_at) AS DATE) AS run, max(score) AS max_psi, count(*) AS features, max(CASE WHEN score > 0.2 THEN 2 WHEN score >= 0.1 THEN 1 ELSE 0 END) AS worst FROM preds GROUP BY model, CAST(date_trunc('day', predicted_at) AS DATE)",
-    "t09_reconcile": lambda d: """WITH touched AS (SELECT DISTINCT date_trunc('hour', ts) AS b FROM clicks WHERE ts + INTERVAL '5' MINUTE >= TIMESTAMP '2024-01-20 00:00:00')
-        SELECT date_trunc('hour', c.ts) AS bucket, CAST(sum(CASE WHEN c.event_type = 'purchase' THEN CAST(c.value AS DECIMAL(12,2)) ELSE 0 END) AS DOUBLE) AS revenue, count(DISTINCT c.user_id) AS sessions FROM clicks c JOIN touched t ON date_trunc('hour', c.ts) = t.b GROUP BY date_trunc('hour', c.ts)""",
-    "t16_retention": lambda d: "SELECT bucket FROM hours WHERE bucket >= (SELECT max(bucket) FROM hours) - INTERVAL '3' HOUR",
-    "t17_archive": lambda d: f"WITH {_PROPOSED} SELECT p.id FROM preds p WHERE p.predicted_at < TIMESTAMP '2024-01-10 00:00:00' AND p.id <= (SELECT max(id) FROM proposed) AND NOT EXISTS (SELECT 1 FROM queue q WHERE q.id = p.id)",
     "g01_rules": lambda d: "SELECT id, coalesce(score >= 0.9 AND value / nullif(entity % 5, 0) > 10, false) AS fires FROM preds",
     "g02_fail_closed": lambda d: f"SELECT event_id, CASE WHEN {d.try_int(d.json('props', 'missing'))} > 3 IS NULL THEN false WHEN {d.try_int(d.json('props', 'missing'))} > 3 THEN true ELSE value > 1 END AS fires FROM clicks",
     "g04_shipped_rules": lambda d: f"SELECT id, {_RULES} AS rule_name FROM preds",
