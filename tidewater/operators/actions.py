@@ -215,13 +215,17 @@ _RULES = [
 ]
 
 
+def _offered(e: DataFrame) -> DataFrame:
+    """What events propose."""
+    rule = F.coalesce(*[F.when(F.expr(when), F.struct(F.lit(n).alias("rule"), F.lit(a).alias("action"), F.lit(t).alias("tier"))) for n, a, t, when in _RULES])
+    return e.withColumn("r", rule).where("r IS NOT NULL").select(F.col("event_id").alias("id"), "r.*", F.col("user_id").cast("string").alias("entity"), F.concat_ws(":", "r.rule", F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("dedup_key"), F.col("ts").alias("created_at"))
+
+
 def _fixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(events, queue, commands, outcomes): every event above may propose, commands something on action event_id // 3, and tells
     the outcome of one attempt of it."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("s", F.pmod(F.col("event_id") * 7919, F.lit(1000)))
-    rule = F.coalesce(*[F.when(F.expr(when), F.struct(F.lit(n).alias("rule"), F.lit(a).alias("action"), F.lit(t).alias("tier"))) for n, a, t, when in _RULES])
-    p = e.withColumn("r", rule).where("r IS NOT NULL").select(F.col("event_id").alias("id"), "r.*", F.col("user_id").cast("string").alias("entity"), F.concat_ws(":", "r.rule", F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("dedup_key"), F.col("ts").alias("created_at"))
-    queue = propose(p, spark.createDataFrame([], QUEUE))
+    queue = propose(_offered(e), spark.createDataFrame([], QUEUE))
     about = F.floor(F.col("event_id") / 3).cast("long")
     command = F.when(F.col("event_type").isin("click", "error"), "approve").when(F.col("event_type") == "view", "retry").when(F.col("event_type") == "signup", "auto").otherwise("reject")
     commands = e.select(F.col("event_id").alias("seq"), about.alias("action_id"), command.alias("command"), F.col("user_id").cast("string").alias("actor"), F.lit(None).cast("string").alias("reason"), F.col("ts").alias("at"))
@@ -234,6 +238,42 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return queue, proposed(queue).unionByName(decide(queue, commands, outcomes)[0])
 
 
+HALF = "2024-01-15 00:00:00"
+
+
+def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queue after the proposals and decisions of the first half, new rows when all proposals are delivered, the first half again)."""
+    e, _, commands, outcomes = _fixture(spark, sf_dir)
+    offered, early = _offered(e), F.lit(HALF).cast("timestamp")
+    queue = propose(offered.where(F.col("created_at") < early), spark.createDataFrame([], QUEUE))
+    log = proposed(queue).unionByName(decide(queue, commands.where(F.col("at") < early), outcomes)[0])
+    now = current(queue, log)
+    return now, propose(offered, now)
+
+
+def g06_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the queue by the batch that brought them; a key comes once, and a pending action keeps others of its rule and entity out."""
+    first, second = _two_batches(spark, sf_dir)
+    return first.select("dedup_key", F.lit(1).alias("batch")).unionByName(second.select("dedup_key", F.lit(2).alias("batch")))
+
+
+def g07_one_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending actions after both batches: at most one of a rule and entity."""
+    first, second = _two_batches(spark, sf_dir)
+    return first.unionByName(second.select(*first.columns)).where("status = 'pending'").select("id", "rule", "entity")
+
+
+def route(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Audit rows of pending actions of the auto tier: they approve themselves and run; others wait, and so does one that is not on the allow-list."""
+    auto = queue.where("status = 'pending' AND tier = 'auto'").select(F.col("id").alias("seq"), F.col("id").alias("action_id"), F.lit("auto").alias("command"), F.lit("playbook-engine").alias("actor"), F.lit("allow-list auto tier").alias("reason"), F.col("created_at").alias("at"))
+    return decide(queue, auto, outcomes)[0]
+
+
+def g08_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, queue, _, outcomes = _fixture(spark, sf_dir)
+    return states(proposed(queue).unionByName(route(queue, outcomes))).select("action_id", "state", "attempts")
+
+
 def g10_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every command of the batch: accepted, or refused for a reason."""
     _, queue, commands, outcomes = _fixture(spark, sf_dir)
@@ -308,13 +348,13 @@ def t18_dismissal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("anomaly_id", "status", "dismissed_at", F.lit(None).cast("long").alias("seq")).unionByName(refused.select("anomaly_id", F.col("why").alias("status"), F.lit(None).cast("timestamp").alias("dismissed_at"), "seq"))
 
 
-QUERIES = {f.__name__: f for f in (g10_decisions, g11_state, g12_trace, g13_unapproved, g14_effects, g15_retrain, a19_queue_counts, l07_actions, t18_dismissal)}
+QUERIES = {f.__name__: f for f in (g06_proposals, g07_one_open, g08_routing, g10_decisions, g11_state, g12_trace, g13_unapproved, g14_effects, g15_retrain, a19_queue_counts, l07_actions, t18_dismissal)}
 
 _CASE = lambda i: "CASE " + " ".join(f"WHEN {r[3]} THEN '{r[i]}'" for r in _RULES) + " END"
 #: The same machine one command at a time: a recursion over each action's commands.
-_RUN = f"""RECURSIVE p AS (SELECT event_id AS id, {_CASE(0)} AS rule, {_CASE(1)} AS action, {_CASE(2)} AS tier, CAST(user_id AS VARCHAR) AS entity, ts FROM (SELECT *, (event_id * 7919) % 1000 AS s FROM events)),
+_MACHINE = f"""RECURSIVE p AS (SELECT event_id AS id, {_CASE(0)} AS rule, {_CASE(1)} AS action, {_CASE(2)} AS tier, CAST(user_id AS VARCHAR) AS entity, ts FROM (SELECT *, (event_id * 7919) % 1000 AS s FROM events WHERE UNTIL)),
     queue AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule, entity ORDER BY ts, id) AS rn FROM p WHERE rule IS NOT NULL) WHERE rn = 1),
-    cmd AS (SELECT event_id AS seq, event_id // 3 AS action_id, CASE event_type WHEN 'click' THEN 'approve' WHEN 'error' THEN 'approve' WHEN 'view' THEN 'retry' WHEN 'signup' THEN 'auto' ELSE 'reject' END AS command, ts AS tm, row_number() OVER (PARTITION BY event_id // 3 ORDER BY ts, event_id) AS k FROM events),
+    cmd AS (SELECT event_id AS seq, event_id // 3 AS action_id, CASE event_type WHEN 'click' THEN 'approve' WHEN 'error' THEN 'approve' WHEN 'view' THEN 'retry' WHEN 'signup' THEN 'auto' ELSE 'reject' END AS command, ts AS tm, row_number() OVER (PARTITION BY event_id // 3 ORDER BY ts, event_id) AS k FROM events WHERE UNTIL),
     res AS (SELECT event_id // 3 AS action_id, event_id % 3 + 1 AS attempt, value > 20 AS ok FROM events),
     run AS (SELECT id AS action_id, CAST(0 AS BIGINT) AS k, 'pending' AS state, CAST(0 AS BIGINT) AS attempts, ts AS tm, 'proposed' AS trace, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS command, true AS accepted, CAST(NULL AS VARCHAR) AS why FROM queue
         UNION ALL SELECT r.action_id, c.k,
@@ -325,10 +365,17 @@ _RUN = f"""RECURSIVE p AS (SELECT event_id AS id, {_CASE(0)} AS rule, {_CASE(1)}
         FROM run r JOIN cmd c ON c.action_id = r.action_id AND c.k = r.k + 1 JOIN queue q ON q.id = r.action_id LEFT JOIN res o ON o.action_id = r.action_id AND o.attempt = r.attempts + 1
         CROSS JOIN LATERAL (SELECT CASE c.command WHEN 'retry' THEN r.state = 'failed' WHEN 'auto' THEN r.state = 'pending' AND q.tier = 'auto' AND q.action IN ('log_event_note', 'log_retention_email') ELSE r.state = 'pending' END AS ok) x),
     fin AS (SELECT action_id, state, attempts, tm, trace FROM (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY k DESC) AS rn FROM run) WHERE rn = 1)"""
+_RUN = _MACHINE.replace("UNTIL", "true")
 _DONE = """done AS (SELECT r.action_id, r.tm, q.action, q.entity, q.rule, (q.id * 7919) % 1000 AS s, e.event_type, e.user_id, e.ts, e.value FROM run r JOIN queue q ON q.id = r.action_id JOIN events e ON e.event_id = q.id WHERE r.accepted AND r.command <> 'reject' AND r.trace LIKE '%,executed'),
     ask AS (SELECT action_id, entity, CASE action WHEN 'log_retention_email' THEN 'email' ELSE 'offer' END AS kind, tm, row_number() OVER (PARTITION BY entity, action ORDER BY tm, action_id) AS n FROM done WHERE action IN ('log_retention_email', 'propose_retention_offer')),
     keep AS (SELECT *, tm AS last, true AS stays FROM ask WHERE n = 1 UNION ALL SELECT a.*, CASE WHEN a.tm >= k.last + INTERVAL 24 HOUR THEN a.tm ELSE k.last END, a.tm >= k.last + INTERVAL 24 HOUR FROM keep k JOIN ask a ON a.entity = k.entity AND a.kind = k.kind AND a.n = k.n + 1)"""
+_BATCHES = _MACHINE.replace("UNTIL", f"ts < TIMESTAMP '{HALF}'") + f""", every AS (SELECT event_id AS id, {_CASE(0)} AS rule, CAST(user_id AS VARCHAR) AS entity, ts FROM (SELECT *, (event_id * 7919) % 1000 AS s FROM events)),
+    open_ AS (SELECT q.rule, q.entity FROM queue q JOIN fin f ON f.action_id = q.id WHERE f.state = 'pending'),
+    later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule, entity ORDER BY ts, id) AS rn FROM every WHERE rule IS NOT NULL AND id NOT IN (SELECT id FROM queue)) WHERE rn = 1 AND (rule, entity) NOT IN (SELECT rule, entity FROM open_))"""
 ORACLE = {
+    "g06_proposals": f"WITH {_BATCHES} SELECT rule || ':' || entity || ':' || id AS dedup_key, 1 AS batch FROM queue UNION ALL SELECT rule || ':' || entity || ':' || id, 2 FROM later",
+    "g07_one_open": f"WITH {_BATCHES} SELECT q.id, q.rule, q.entity FROM queue q JOIN fin f ON f.action_id = q.id WHERE f.state = 'pending' UNION ALL SELECT id, rule, entity FROM later",
+    "g08_routing": f"WITH {_RUN} SELECT q.id AS action_id, CASE WHEN NOT (q.tier = 'auto' AND q.action IN ('log_event_note', 'log_retention_email')) THEN 'pending' WHEN coalesce(o.ok, true) THEN 'executed' ELSE 'failed' END AS state, CAST(CASE WHEN q.tier = 'auto' AND q.action IN ('log_event_note', 'log_retention_email') THEN 1 ELSE 0 END AS INT) AS attempts FROM queue q LEFT JOIN res o ON o.action_id = q.id AND o.attempt = 1",
     "g10_decisions": f"WITH {_RUN} SELECT c.seq, c.action_id, c.command, coalesce(r.accepted, false) AS accepted, CASE WHEN r.action_id IS NULL THEN 'unknown action' ELSE r.why END AS why FROM cmd c LEFT JOIN run r ON r.seq = c.seq",
     "g11_state": f"WITH {_RUN} SELECT action_id, state, CAST(attempts AS INT) AS attempts, tm AS changed_at FROM fin",
     "g12_trace": f"WITH {_RUN} SELECT action_id, trace FROM fin",

@@ -34,19 +34,12 @@ PLANS = {
     "g02_fail_closed": lambda d: f"SELECT event_id, CASE WHEN {d.try_int(d.json('props', 'missing'))} > 3 IS NULL THEN false WHEN {d.try_int(d.json('props', 'missing'))} > 3 THEN true ELSE value > 1 END AS fires FROM clicks",
     "g04_shipped_rules": lambda d: f"SELECT id, {_RULES} AS rule_name FROM preds",
     "g05_events": lambda d: "SELECT id, concat('score.', model) AS event_name, CASE WHEN score > 0.5 THEN 9E-1 END AS threshold FROM preds",
-    "g06_proposals": lambda d: f"WITH {_PROPOSED} SELECT DISTINCT dedup_key FROM proposed",
-    "g07_one_open": lambda d: f"WITH {_PROPOSED} SELECT id, rule_name, entity FROM queue",
-    "g08_routing": lambda d: f"WITH {_PROPOSED} SELECT id, CASE WHEN rule_name = 'note' THEN 'executed' ELSE 'pending' END AS state FROM queue",
     "g14_draft_orders": lambda d: "SELECT entity, week, CAST(ceil(f - m) AS BIGINT) AS quantity FROM (SELECT entity, CAST(date_trunc('week', predicted_at) AS DATE) AS week, max(score) * 100 AS f, 40.0E0 AS m FROM preds GROUP BY entity, CAST(date_trunc('week', predicted_at) AS DATE)) t WHERE f > 1.5 * m",
-    "g16_surge": lambda d: "SELECT entity, count(*) AS n FROM preds WHERE score > 0.5 GROUP BY entity HAVING count(*) > 1.2 * (SELECT CAST(count(*) AS DOUBLE) / count(DISTINCT entity) FROM preds WHERE score > 0.5)",
     "d01_not_null": lambda d: "SELECT count(*) AS bad FROM orders WHERE o_custkey IS NULL",
     "d02_unique": lambda d: "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     "d03_accepted": lambda d: "SELECT order_id, status FROM header WHERE status NOT IN ('F', 'O')",
-    "d04_relationships": lambda d: "SELECT l_orderkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)",
-    "d05_range": lambda d: "SELECT order_id FROM items WHERE score < 1 OR score > 5 OR price < 0",
     "d06_horizon": lambda d: "SELECT h.order_id FROM header h JOIN (SELECT order_id, min(shipped) AS s FROM items GROUP BY order_id) i ON h.order_id = i.order_id WHERE i.s < h.d",
     "d07_freshness": lambda d: "SELECT max(ts) AS newest, max(ts) < TIMESTAMP '2024-01-30 00:00:00' AS is_stale FROM clicks",
-    "d08_agreement": lambda d: "SELECT a.d, CAST(a.r - b.r AS DOUBLE) AS difference FROM (SELECT d, sum(pay) AS r FROM valid GROUP BY d) a JOIN (SELECT d, sum(CASE WHEN NOT is_lost AND pay > 0 THEN pay ELSE 0 END) AS r FROM header GROUP BY d) b ON a.d = b.d WHERE a.r <> b.r",
     "m12_held_out": lambda d: "SELECT id, score, label FROM preds ORDER BY md5(CAST(id AS VARCHAR(20))), id LIMIT 500",
     "s09_risk_export": lambda d: "SELECT id, entity, score FROM preds ORDER BY score DESC, id LIMIT 100",
 }

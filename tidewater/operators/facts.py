@@ -48,8 +48,6 @@ PLANS = {
     "f01_dates": lambda d: f"""WITH b AS (SELECT min(d) AS lo, max(d) AS hi FROM header), a AS (SELECT {d.days_between('lo', 'hi')} AS d FROM b)
         SELECT d, CAST(extract(year FROM d) AS INT) AS y, CAST(extract(month FROM d) AS INT) AS m, CAST(extract(quarter FROM d) AS INT) AS q, CAST(extract(week FROM d) AS INT) AS iso_week, CAST({d.weekday('d')} AS INT) AS weekday, {d.day_name('d')} AS day_name, {d.weekday('d')} >= 6 AS is_weekend FROM a""",
     "f02_sellers": lambda d: "SELECT s_suppkey AS seller_id, s_name AS name, n_name AS state, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-    "s10_nested": lambda d: f"SELECT order_id, {d.list_join('CAST(product_id AS VARCHAR(20))', 'item_id')} AS items FROM items GROUP BY order_id",
-    # metrics
     "a05_daily_revenue": lambda d: "SELECT d, count(DISTINCT order_id) AS orders, CAST(sum(pay) AS DOUBLE) AS revenue FROM valid GROUP BY d",
     "a06_daily_orders": lambda d: "SELECT d, count(DISTINCT order_id) AS total, count(DISTINCT CASE WHEN is_delivered THEN order_id END) AS delivered, count(DISTINCT CASE WHEN is_lost THEN order_id END) AS lost FROM header GROUP BY d",
     "a07_daily_aov": lambda d: "SELECT d, CASE WHEN count(DISTINCT order_id) = 0 THEN 0.0E0 ELSE CAST(sum(pay) AS DOUBLE) / count(DISTINCT order_id) END AS aov FROM valid GROUP BY d",
@@ -66,7 +64,6 @@ PLANS = {
     "a18_at_risk_share": lambda d: "SELECT model, count(*) AS scored, count(*) FILTER (WHERE score >= 0.9) AS at_risk, CAST(count(*) FILTER (WHERE score >= 0.9) AS DOUBLE) / count(*) AS share FROM preds GROUP BY model",
     "a21_rank_map": lambda d: "SELECT category, CAST(row_number() OVER (ORDER BY s DESC, category) - 1 AS INT) AS code FROM (SELECT category, sum(price) AS s FROM lines GROUP BY category) t",
     "a23_forecast_pivot": lambda d: "SELECT CAST(date_trunc('week', predicted_at) AS DATE) AS week, max(CASE WHEN model = 'purchase' THEN score END) AS revenue_forecast, max(CASE WHEN model = 'signup' THEN score END) AS orders_forecast FROM preds GROUP BY CAST(date_trunc('week', predicted_at) AS DATE)",
-    "a25_label_mix": lambda d: "SELECT count(*) FILTER (WHERE n >= 3) AS a, count(*) FILTER (WHERE paid > 250000) AS b, count(*) FILTER (WHERE n >= 6 AND paid > 100000) AS c FROM (SELECT order_id, count(*) AS n, CAST(sum(price) AS DOUBLE) AS paid FROM items GROUP BY order_id) t",
     "a26_sold_products": lambda d: "SELECT DISTINCT product_id FROM items",
     # sort and limit
     "l01_top_by_rank": lambda d: "SELECT category, revenue FROM (SELECT l.category, CAST(sum(v.pay) AS DOUBLE) AS revenue FROM lines l JOIN valid v ON l.order_id = v.order_id GROUP BY l.category) t ORDER BY revenue DESC, category LIMIT 5",
@@ -79,7 +76,6 @@ PLANS = {
     # set operations
     "u01_distinct": lambda d: "SELECT DISTINCT product_id, seller_id, score FROM items",
     "u02_mixed": lambda d: "SELECT bucket, revenue, CAST(NULL AS DOUBLE) AS z FROM hours UNION ALL SELECT bucket, CAST(NULL AS DOUBLE), CAST(n AS DOUBLE) FROM hours WHERE n > 25",
-    "u03_disjoint": lambda d: "SELECT order_id FROM header WHERE is_lost INTERSECT SELECT order_id FROM header WHERE is_delivered",
     "u04_archive_split": lambda d: "SELECT 'hot' AS side, count(*) AS n FROM preds WHERE predicted_at >= TIMESTAMP '2024-01-15 00:00:00' UNION ALL SELECT 'archive', count(*) FROM preds WHERE predicted_at < TIMESTAMP '2024-01-15 00:00:00'",
     "u05_new_keys": lambda d: "SELECT user_id FROM clicks WHERE event_type = 'click' EXCEPT SELECT user_id FROM clicks WHERE event_type = 'signup' AND value > 50",
 }

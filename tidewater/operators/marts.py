@@ -86,7 +86,7 @@ HISTORY = [
     ("avg_items_prior", "CAST(sum(x.n_items) AS DOUBLE) / count(*)", "0.0E0"),
     ("avg_review_prior", "floor(avg(x.avg_score) * 1000000 + 0.5) / 1000000", "0.0E0"),
     ("review_count_prior", "CAST(sum(x.n_reviews) AS BIGINT)", "0"),
-    ("avg_delay_prior", "CAST(sum(x.delay) AS DOUBLE) / count(*)", "0.0E0"),
+    ("avg_delivery_delay_days_prior", "CAST(sum(x.delay) AS DOUBLE) / count(*)", "0.0E0"),
     ("lost_share_prior", "CAST(sum(CASE WHEN x.is_lost THEN 1 ELSE 0 END) AS DOUBLE) / count(*)", "0.0E0"),
     ("distinct_days_prior", "count(DISTINCT x.d)", "0"),
     ("orders_last_90d_prior", "count(*) FILTER (WHERE x.d >= a.as_of - INTERVAL '90' DAY)", "0"),
@@ -118,10 +118,18 @@ def _history(d, pick):
     return base
 
 
+#: The features of the churn model, in the order of its contract (fixed values).
+CHURN_FEATURES = ["n_prior_orders", "total_spend_prior", "aov_prior", "max_order_value_prior", "avg_items_prior", "avg_review_prior", "review_count_prior", "avg_delivery_delay_days_prior", "lost_share_prior", "distinct_days_prior", "orders_last_90d_prior", "spend_last_90d_prior", "categories_prior", "days_since_first_order", "days_since_prior_order", "as_of_month"]
+
+
 def _features(d):
-    plain = ", ".join(c for c, _, _ in HISTORY if not c.endswith("_day"))
-    return f"""{plain}, CASE WHEN n_prior_orders > 0 THEN floor(total_spend_prior / n_prior_orders * 100 + 0.5) / 100 ELSE 0.0E0 END AS aov_prior, categories_prior,
-        coalesce(greatest({d.days('as_of', 'first_day')}, 0), 0) AS days_since_first_order, coalesce(greatest({d.days('as_of', 'last_day')}, 0), 0) AS days_since_prior_order, CAST(extract(month FROM as_of) AS INT) AS as_of_month"""
+    made = {
+        "aov_prior": "CASE WHEN n_prior_orders > 0 THEN floor(total_spend_prior / n_prior_orders * 100 + 0.5) / 100 ELSE 0.0E0 END",
+        "days_since_first_order": f"coalesce(greatest({d.days('as_of', 'first_day')}, 0), 0)",
+        "days_since_prior_order": f"coalesce(greatest({d.days('as_of', 'last_day')}, 0), 0)",
+        "as_of_month": "CAST(extract(month FROM as_of) AS INT)",
+    }
+    return ", ".join(f"{made[c]} AS {c}" if c in made else c for c in CHURN_FEATURES)
 
 
 def _churn_training(d):
@@ -242,8 +250,6 @@ PLANS = {
     "m02_regression": _regression,
     "m04_binary": _binary,
     "m04_precision_lift": _lift,
-    "l03_open_anomalies": lambda d: "SELECT bucket, n FROM hours WHERE n > 20 ORDER BY bucket DESC" if d.name == "spark" else "SELECT bucket, n FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS bucket, count(*) AS n FROM clicks GROUP BY 1 HAVING count(*) > 20) t",
-    "l06_drift": lambda d: "SELECT model, CAST(date_trunc('day', predicted_at) AS DATE) AS run, max(score) AS max_psi FROM preds WHERE model = 'purchase' GROUP BY model, CAST(date_trunc('day', predicted_at) AS DATE) ORDER BY run DESC LIMIT 20" if d.name == "spark" else "SELECT * FROM (SELECT DISTINCT p.model, CAST(p.predicted_at AS DATE) AS run, max(p.score) OVER (PARTITION BY p.model, CAST(p.predicted_at AS DATE)) AS max_psi FROM preds p WHERE p.model = 'purchase') t WHERE (SELECT count(DISTINCT CAST(x.predicted_at AS DATE)) FROM preds x WHERE x.model = 'purchase' AND CAST(x.predicted_at AS DATE) > t.run) < 20",
     "m20_churn_scores": _churn_scores,
     "m21_forecast_scores": _forecast_scores,
 }

@@ -140,7 +140,7 @@ PLANS = {
 
 # --- final fits --------------------------------------------------------------------------
 
-CHURN = [c for c, _, _ in marts.HISTORY if not c.endswith("_day")] + ["aov_prior", "categories_prior", "days_since_first_order", "days_since_prior_order", "as_of_month"]
+CHURN = marts.CHURN_FEATURES
 FORECAST = ["week_of_year", "aov_lag1", *(f"{c}_lag{k}" for c in ("revenue", "orders") for k in (1, 2, 4, 8)), "revenue_roll4_mean", "revenue_roll4_std", "orders_roll4_mean", "series_weeks"]
 
 

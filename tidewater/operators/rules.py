@@ -53,7 +53,7 @@ def incremental_pass(rows: DataFrame, cursor_path: str, key: str, most: int, act
     cursor only after it succeeded; returns the cursor. ``act`` must be idempotent."""
     spark = rows.sparkSession
     try:
-        cursor = spark.read.parquet(f"{cursor_path}/*").agg(F.max("cursor")).first()[0] or 0
+        cursor = spark.read.schema("cursor long").parquet(f"{cursor_path}/*").agg(F.max("cursor")).first()[0] or 0
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

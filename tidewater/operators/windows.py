@@ -44,7 +44,7 @@ def _rates(d, window=6 * 3_600_000_000):
 
 
 def _hysteresis(d):
-    return f"""WITH {_rates(d)}, y AS (SELECT model, b, bool_or(fire) AS fired, min_by(fire, us * 1000 + id % 1000) AS first_fire FROM x WHERE n >= 10 GROUP BY model, b),
+    return f"""WITH {_rates(d)}, y AS (SELECT model, b, bool_or(fire) AS fired, min_by(fire, {d.pair('us', 'id')}) AS first_fire FROM x WHERE n >= 10 GROUP BY model, b),
         f AS (SELECT model, b, first_fire, lag(b) OVER (PARTITION BY model ORDER BY b) AS before FROM y WHERE fired), g AS (SELECT *, sum(CASE WHEN before = b - 1 AND first_fire THEN 0 ELSE 1 END) OVER (PARTITION BY model ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f)
         SELECT model, b, row_number() OVER (PARTITION BY model, island ORDER BY b) AS streak, row_number() OVER (PARTITION BY model, island ORDER BY b) >= 2 AS surfaced FROM g"""
 

@@ -57,6 +57,9 @@ class Spark:
     def values(self, x: str) -> str:
         return f"collect_set({x})"
 
+    def pair(self, a: str, b: str) -> str:
+        return f"struct({a}, {b})"
+
 
 class Duck(Spark):
     name = "duck"
@@ -97,6 +100,9 @@ class Duck(Spark):
     def values(self, x: str) -> str:
         return f"list(DISTINCT {x})"
 
+    def pair(self, a: str, b: str) -> str:
+        return f"row({a}, {b})"
+
 
 #: Logical tables over the physical ones. Every ordering that picks a row is complete.
 LOGICAL: dict[str, str] = {
