@@ -96,22 +96,25 @@ HISTORY = [
 ]
 
 
-def _history(d, pick):
-    """Customers as of an order (``pick``) with the 13 aggregates over their earlier orders."""
+def _history(d, back, due="true", categories=True):
+    """Customers as of their order number ``back`` from the newest, where it is ``due``, with the 13 aggregates over their earlier orders. Spark
+    keeps the newest orders of a customer in each task before it shuffles; orders meet them once, and categories are dates of first orders."""
     delay = d.days("p.delivered", "h.d + INTERVAL '60' DAY")
     base = f"""per_order AS (SELECT order_id, count(*) AS n_items, count(*) AS n_reviews, CAST(sum(score) AS DOUBLE) / count(*) AS avg_score, max(shipped) AS delivered FROM items GROUP BY order_id),
         co AS (SELECT h.customer, h.order_id, h.d, h.pay, h.is_lost, coalesce(p.n_items, 0) AS n_items, coalesce(p.n_reviews, 0) AS n_reviews, p.avg_score, coalesce({delay}, 0) AS delay FROM header h LEFT JOIN per_order p ON h.order_id = p.order_id)"""
     if d.name == "spark":
-        ranked = "SELECT customer, d AS as_of, row_number() OVER (PARTITION BY customer ORDER BY d DESC, order_id DESC) AS back, max(d) OVER (PARTITION BY customer) AS newest FROM header"
-        base += f", a AS (SELECT r.customer, r.as_of, r.newest FROM ({ranked}) r CROSS JOIN (SELECT max(d) AS end_day FROM header) e WHERE {pick})"
-        found = ", ".join(f"{x} AS {c}" for c, x, _ in HISTORY)
-        base += f""", p AS (SELECT a.customer, a.as_of, a.newest, {found} FROM a JOIN co x ON x.customer = a.customer AND x.d < a.as_of GROUP BY a.customer, a.as_of, a.newest),
-            cc AS (SELECT a.customer, count(DISTINCT CASE WHEN l.category <> 'unknown' THEN l.category END) AS categories FROM a JOIN header x ON x.customer = a.customer AND x.d < a.as_of JOIN lines l ON l.order_id = x.order_id GROUP BY a.customer),
-            f AS (SELECT a.customer, a.as_of, a.newest, {', '.join(f'coalesce(p.{c}, {z}) AS {c}' for c, _, z in HISTORY)}, coalesce(cc.categories, 0) AS categories_prior FROM a LEFT JOIN p ON p.customer = a.customer LEFT JOIN cc ON cc.customer = a.customer)"""
+        earlier = ", ".join(f"CASE WHEN o.d < a.as_of THEN o.{c} END AS {c}" for c in ("d", "pay", "is_lost", "n_items", "n_reviews", "avg_score", "delay"))
+        found = ", ".join(f"coalesce({x.replace('/ count(*)', '/ nullif(count(x.d), 0)').replace('count(*)', 'count(x.d)').replace('a.as_of', 'x.as_of')}, {z}) AS {c}" for c, x, z in HISTORY)
+        base += f""", ranked AS (SELECT customer, d, row_number() OVER (PARTITION BY customer ORDER BY d DESC, order_id DESC) AS back FROM header),
+            a AS (SELECT r.customer, r.as_of, r.newest FROM (SELECT customer, max(CASE WHEN back = {back} THEN d END) AS as_of, max(d) AS newest FROM ranked WHERE back <= {back} GROUP BY customer) r CROSS JOIN (SELECT max(d) AS end_day FROM header) e WHERE r.as_of IS NOT NULL AND {due}),
+            y AS (SELECT a.customer, a.as_of, a.newest, {earlier} FROM a JOIN co o ON o.customer = a.customer), {'p' if categories else 'f'} AS (SELECT x.customer, x.as_of, x.newest, {found} FROM y x GROUP BY x.customer, x.as_of, x.newest)"""
+        base += "" if not categories else """,
+            seen AS (SELECT h.customer, l.category, min(h.d) AS since FROM header h JOIN lines l ON l.order_id = h.order_id WHERE l.category <> 'unknown' GROUP BY h.customer, l.category),
+            cc AS (SELECT customer, collect_list(since) AS since FROM seen GROUP BY customer), f AS (SELECT p.*, CASE WHEN cc.since IS NULL THEN 0L ELSE CAST(size(filter(cc.since, t -> t < p.as_of)) AS BIGINT) END AS categories_prior FROM p LEFT JOIN cc ON cc.customer = p.customer)"""
     else:
-        back = "(SELECT count(*) FROM header z WHERE z.customer = h.customer AND (z.d > h.d OR z.d = h.d AND z.order_id >= h.order_id))"
-        base += f""", r AS (SELECT h.customer, h.d AS as_of, {back} AS back, (SELECT max(z.d) FROM header z WHERE z.customer = h.customer) AS newest FROM header h),
-            a AS (SELECT r.customer, r.as_of, r.newest FROM r CROSS JOIN (SELECT max(d) AS end_day FROM header) e WHERE {pick})"""
+        place = "(SELECT count(*) FROM header z WHERE z.customer = h.customer AND (z.d > h.d OR z.d = h.d AND z.order_id >= h.order_id))"
+        base += f""", r AS (SELECT h.customer, h.d AS as_of, {place} AS back, (SELECT max(z.d) FROM header z WHERE z.customer = h.customer) AS newest FROM header h),
+            a AS (SELECT r.customer, r.as_of, r.newest FROM r CROSS JOIN (SELECT max(d) AS end_day FROM header) e WHERE r.back = {back} AND {due})"""
         one = lambda x, z: f"coalesce((SELECT {x} FROM co x WHERE x.customer = a.customer AND x.d < a.as_of), {z})"
         base += f""", f AS (SELECT a.customer, a.as_of, a.newest, {', '.join(f'{one(x, z)} AS {c}' for c, x, z in HISTORY)},
             (SELECT count(DISTINCT l.category) FROM lines l WHERE l.category <> 'unknown' AND l.order_id IN (SELECT z.order_id FROM header z WHERE z.customer = a.customer AND z.d < a.as_of)) AS categories_prior FROM a)"""
@@ -132,17 +135,20 @@ def _features(d):
     return ", ".join(f"{made[c]} AS {c}" if c in made else c for c in CHURN_FEATURES)
 
 
+#: Bounds of a customer's order: the future of a training row is known, a current row is in the last 90 days.
+_KNOWN, _LATE = "r.as_of <= e.end_day - INTERVAL '90' DAY", "r.as_of > e.end_day - INTERVAL '90' DAY"
+
+
 def _churn_training(d):
-    pick = "r.back = 2 AND r.as_of <= e.end_day - INTERVAL '90' DAY"
-    return f"WITH {_history(d, pick)} SELECT customer, as_of, CASE WHEN newest > as_of + INTERVAL '90' DAY THEN 1 ELSE 0 END AS churned, {_features(d)} FROM f"
+    return f"WITH {_history(d, 2, _KNOWN)} SELECT customer, as_of, CASE WHEN newest > as_of + INTERVAL '90' DAY THEN 1 ELSE 0 END AS churned, {_features(d)} FROM f"
 
 
 def _churn_current(d):
-    return f"WITH {_history(d, chr(114) + '.back = 1 AND r.as_of > e.end_day - INTERVAL ' + chr(39) + '90' + chr(39) + ' DAY')} SELECT customer, as_of, {_features(d)} FROM f"
+    return f"WITH {_history(d, 1, _LATE)} SELECT customer, as_of, {_features(d)} FROM f"
 
 
 def _customer_history(d):
-    return f"WITH {_history(d, 'r.back = 1')} SELECT customer, as_of, {', '.join(c for c, _, _ in HISTORY)} FROM f WHERE n_prior_orders > 0"
+    return f"WITH {_history(d, 1, categories=False)} SELECT customer, as_of, {', '.join(c for c, _, _ in HISTORY)} FROM f WHERE n_prior_orders > 0"
 
 
 def _sessions(d, gap=6 * 3_600_000_000):
@@ -224,7 +230,7 @@ def _regression(d):
 
 def _churn_scores(d):
     """Current customers that the model has not scored, each once, ranked."""
-    c = f"""WITH {_history(d, "r.back = 1 AND r.as_of > e.end_day - INTERVAL '90' DAY")}, s AS (SELECT customer, least(CASE WHEN n_prior_orders > 0 THEN CAST({d.days('as_of', 'last_day')} AS DOUBLE) ELSE 200.0E0 END / 200, 1.0E0) AS score FROM f
+    c = f"""WITH {_history(d, 1, _LATE, categories=False)}, s AS (SELECT customer, least(CASE WHEN n_prior_orders > 0 THEN CAST({d.days('as_of', 'last_day')} AS DOUBLE) ELSE 200.0E0 END / 200, 1.0E0) AS score FROM f
         WHERE NOT EXISTS (SELECT 1 FROM preds p WHERE p.entity = f.customer AND p.model = 'signup'))"""
     return f"{c} SELECT customer, score, greatest(score, 1 - score) AS confidence, risk_rank FROM ({_ranked(d, 's', 'score', 'customer', 'risk_rank')}) q"
 
