@@ -84,7 +84,8 @@ HISTORY = [
     ("total_spend_prior", "CAST(sum(x.pay) AS DOUBLE)", "0.0E0"),
     ("max_order_value_prior", "CAST(max(x.pay) AS DOUBLE)", "0.0E0"),
     ("avg_items_prior", "CAST(sum(x.n_items) AS DOUBLE) / count(*)", "0.0E0"),
-    ("avg_review_prior", "floor(avg(x.avg_score) * 1000000 + 0.5) / 1000000", "0.0E0"),
+    # whole millionths, so that no order of adding changes the mean
+    ("avg_review_prior", "CAST(sum(CAST(floor(x.avg_score * 1000000 + 0.5) AS BIGINT)) AS DOUBLE) / nullif(count(x.avg_score), 0) / 1000000", "0.0E0"),
     ("review_count_prior", "CAST(sum(x.n_reviews) AS BIGINT)", "0"),
     ("avg_delivery_delay_days_prior", "CAST(sum(x.delay) AS DOUBLE) / count(*)", "0.0E0"),
     ("lost_share_prior", "CAST(sum(CASE WHEN x.is_lost THEN 1 ELSE 0 END) AS DOUBLE) / count(*)", "0.0E0"),

@@ -74,20 +74,20 @@ def retained(rows: DataFrame, at: str, now: F.Column, keep: str) -> DataFrame:
     return rows.where(F.col(at).isNull() | (F.col(at) >= now - F.expr(f"INTERVAL {keep}")))
 
 
-def purge(spark: SparkSession, path: str, schema: str, at: str, hour: str, now: F.Column, keep: str) -> None:
-    """Retain in a table that is partitioned by the hour of ingestion: whole hours that are too old are deleted, the hour
+def purge(spark: SparkSession, path: str, schema: str, at: str, hour: str, now: F.Column, keep: str, unit: str = "hour") -> None:
+    """Retain in a table that is partitioned by the hour (or ``unit``) of ingestion: whole hours that are too old are deleted, the hour
     on the edge is written anew, others are not read."""
-    edge = spark.range(1).select(F.date_trunc("hour", now - F.expr(f"INTERVAL {keep}")).alias("e")).first()["e"]
+    edge = spark.range(1).select(F.date_trunc(unit, now - F.expr(f"INTERVAL {keep}")).alias("e")).first()["e"]
     rows = spark.read.schema(schema).parquet(path)
     kept = retained(rows.where(F.col(hour) == F.lit(edge)), at, now, keep)
     staged = f"{path}-edge"
     kept.write.mode("overwrite").parquet(staged)
     spark.read.schema(kept.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(hour).parquet(path)
-    gone = [r[0] for r in rows.where(F.col(hour) < F.lit(edge)).select(hour).distinct().collect()]
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for h in gone:
-        for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"{hour}={h:%Y-%m-%d %H}*")) or []:
+    for status in files.listStatus(root):  # a folder per unit
+        name, _, value = status.getPath().getName().partition("=")
+        if name == hour and value[:13] < f"{edge:%Y-%m-%d %H}":
             files.delete(status.getPath(), True)
     files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
 
@@ -144,10 +144,10 @@ def t16_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit(e.agg(F.max("loaded")).first()[0])
     hours = e.groupBy(F.date_trunc("hour", "ts").alias("bucket")).agg(F.count("*").alias("n"), F.max("loaded").alias("loaded"))
     path = shared_path(spark, "raw-events")
-    raw = e.select("event_id", "loaded", F.date_trunc("hour", "loaded").alias("_hour"))
-    raw.write.partitionBy("_hour").parquet(path)
-    purge(spark, path, "event_id long, loaded timestamp, _hour timestamp", "loaded", "_hour", now, "12 HOURS")
-    left = spark.read.schema("event_id long, loaded timestamp, _hour timestamp").parquet(path).select(F.lit("event").alias("kind"), F.col("event_id").cast("string").alias("key"))
+    raw = e.select("event_id", "loaded", F.date_trunc("day", "loaded").alias("_from"))
+    raw.repartition("_from").write.partitionBy("_from").parquet(path)
+    purge(spark, path, "event_id long, loaded timestamp, _from timestamp", "loaded", "_from", now, "12 HOURS", "day")
+    left = spark.read.schema("event_id long, loaded timestamp, _from timestamp").parquet(path).select(F.lit("event").alias("kind"), F.col("event_id").cast("string").alias("key"))
     text = F.unix_micros("bucket").cast("string")
     out = left.unionByName(retained(hours, "loaded", now, "3 HOURS").select(F.lit("bucket").alias("kind"), text.alias("key")))
     return out.unionByName(retained(hours.where("n > 20"), "loaded", now, "10 DAYS").select(F.lit("anomaly").alias("kind"), text.alias("key")))

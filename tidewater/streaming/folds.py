@@ -5,7 +5,7 @@ apart, by a hash of the key, so a key that comes again with another time is foun
 of the days that it touched are computed anew from all their landed events and replace these days
 of the current table (dynamic partition overwrite). A repeated batch replaces its own
 folders and computes the same days, so a restart adds and loses nothing. The current table has one
-file per day, and landed batches are merged every ``MERGE`` batches, so the number of files does not grow
+file per day, a batch has one per day and part unless a day is large, and landed batches are merged every ``MERGE`` batches, so the number of files does not grow
 with the number of batches. The lists taken to the driver are days and parts of the keys.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.landing import shared_path
 
-PARTS, MERGE = 64, 32
+PARTS, MERGE = 16, 32
 
 
 class Batches:
@@ -42,7 +42,7 @@ class Batches:
         return {kind: sorted(n) for kind, n in found.items()}
 
     def write(self, rows: DataFrame, n: int) -> None:
-        rows.write.mode("overwrite").partitionBy(self.by).parquet(f"{self.path}/_batch={n}")
+        rows.hint("rebalance", self.by).write.mode("overwrite").partitionBy(self.by).parquet(f"{self.path}/_batch={n}")
 
     def read(self, before: int | None = None) -> DataFrame:
         """Rows of the batches before ``before``, or of all."""
@@ -63,7 +63,7 @@ class Batches:
         own = [b for b in found["_batch"] if b < n]
         if len(own) >= MERGE:
             last = own[-1]
-            self.read(n).repartition(self.by).write.mode("overwrite").partitionBy(self.by).parquet(f"{self.path}/_upto={last}")
+            self.read(n).hint("rebalance", self.by).write.mode("overwrite").partitionBy(self.by).parquet(f"{self.path}/_upto={last}")
             for name in [f"_batch={b}" for b in own] + [f"_upto={u}" for u in found["_upto"] if u < last]:
                 self.files.delete(self._at(name), True)
 
