@@ -99,13 +99,14 @@ HISTORY = [
 
 def _history(d, back, due="true", categories=True):
     """Customers as of their order number ``back`` from the newest, where it is ``due``, with the 13 aggregates over their earlier orders. Spark
-    keeps the newest orders of a customer in each task before it shuffles; orders meet them once, and categories are dates of first orders."""
+    keeps the newest orders of a customer in each task before it shuffles; orders meet them once, and categories are dates of first orders. Days are a
+    set per customer, no longer than the calendar: a distinct count beside twelve aggregates would group all of them by day as well."""
     delay = d.days("p.delivered", "h.d + INTERVAL '60' DAY")
     base = f"""per_order AS (SELECT order_id, count(*) AS n_items, count(*) AS n_reviews, CAST(sum(score) AS DOUBLE) / count(*) AS avg_score, max(shipped) AS delivered FROM items GROUP BY order_id),
         co AS (SELECT h.customer, h.order_id, h.d, h.pay, h.is_lost, coalesce(p.n_items, 0) AS n_items, coalesce(p.n_reviews, 0) AS n_reviews, p.avg_score, coalesce({delay}, 0) AS delay FROM header h LEFT JOIN per_order p ON h.order_id = p.order_id)"""
     if d.name == "spark":
         earlier = ", ".join(f"CASE WHEN o.d < a.as_of THEN o.{c} END AS {c}" for c in ("d", "pay", "is_lost", "n_items", "n_reviews", "avg_score", "delay"))
-        found = ", ".join(f"coalesce({x.replace('/ count(*)', '/ nullif(count(x.d), 0)').replace('count(*)', 'count(x.d)').replace('a.as_of', 'x.as_of')}, {z}) AS {c}" for c, x, z in HISTORY)
+        found = ", ".join(f"coalesce({x.replace('count(DISTINCT x.d)', 'CAST(size(collect_set(x.d)) AS BIGINT)').replace('/ count(*)', '/ nullif(count(x.d), 0)').replace('count(*)', 'count(x.d)').replace('a.as_of', 'x.as_of')}, {z}) AS {c}" for c, x, z in HISTORY)
         base += f""", ranked AS (SELECT customer, d, row_number() OVER (PARTITION BY customer ORDER BY d DESC, order_id DESC) AS back FROM header),
             a AS (SELECT r.customer, r.as_of, r.newest FROM (SELECT customer, max(CASE WHEN back = {back} THEN d END) AS as_of, max(d) AS newest FROM ranked WHERE back <= {back} GROUP BY customer) r CROSS JOIN (SELECT max(d) AS end_day FROM header) e WHERE r.as_of IS NOT NULL AND {due}),
             y AS (SELECT a.customer, a.as_of, a.newest, {earlier} FROM a JOIN co o ON o.customer = a.customer), {'p' if categories else 'f'} AS (SELECT x.customer, x.as_of, x.newest, {found} FROM y x GROUP BY x.customer, x.as_of, x.newest)"""
