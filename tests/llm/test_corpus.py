@@ -126,6 +126,58 @@ def test_signatures_find_every_link(k):
         assert len(ra) + len(ka) <= len(a) or len(a) < 16
 
 
+@pytest.mark.parametrize("k", [2, 3])
+def test_signatures_with_very_frequent_tokens(k):
+    """Runs of k and of k + 1 tokens, in the order of frequency; and the smaller set of a pair without a shared rare token is early."""
+    rng = np.random.default_rng(10 + k)
+    late = 0
+    for _ in range(1500):
+        n = int(rng.integers(4, rng.choice([12, 300]))) if k == 2 else int(rng.integers(20, 300))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        gone, new = rng.integers(0, len(a) // 5 + 1), rng.integers(0, len(a) // 5 + 1)
+        b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64))))
+        both = np.intersect1d(a, b)
+        if 100 * len(both) < 80 * (len(a) + len(b) - len(both)):
+            continue
+        every = np.union1d(a, b)
+        own = ~np.isin(every, both) & (rng.random(len(every)) < rng.random())
+        frequent = np.unique((every[~own] >> np.uint64(32)).astype(np.uint32))
+        level = rng.integers(4, 16, len(frequent)).astype(np.uint8) if rng.random() < 0.7 else np.full(len(frequent), rng.choice([9, 10]), np.uint8)
+        (ra, ka), (rb, kb) = (jaccard.signatures(x, frequent, k, level) for x in (a, b))
+        assert set(ka.tolist()) & set(kb.tolist())
+        assert len(ka) == len(set(ka.tolist())) <= (len(a) if len(a) >= jaccard.SMALL else 2 * len(a))
+        small = min(a, b, key=len)
+        assert (~jaccard._is_frequent(small, frequent)[0]).sum() < jaccard._early(len(small))
+        late += (level >= 10).any() and (level < 10).any()
+    assert late > 50
+
+
+def template_pages(own, pages, shared=64, seed=1):
+    rng = np.random.default_rng(seed)
+    head = " ".join(f"t{i}" for i in range(shared))
+    return [(i, head + "".join(f" w{x}" for x in rng.integers(0, 1 << 40, own))) for i in range(pages)]
+
+
+@pytest.mark.parametrize(("own", "pages"), [(36, 800), (12, 800)])
+def test_template_pages_meet_in_no_home(spark, own, pages):
+    """Pages of one template that do not link, at similarities of 0.43 and 0.68, cost no pair."""
+    docs = spark.createDataFrame(template_pages(own, pages), "doc_id long, text string")
+    ids, level = jaccard.frequencies(docs)
+    sets = jaccard.token_sets(keyed(docs, "test"), ids, level)
+    assert len(ids) == 60 and jaccard.homes(sets.where("n > 0")).count() == 0
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard.join_components(docs).collect()} == {(i, i, 0) for i in range(pages)}
+
+
+def test_template_pages_with_links(spark, monkeypatch):
+    """Pages of two templates with own parts of every size, so that some link, some only through smaller or larger ones."""
+    monkeypatch.setattr(jaccard, "HOT_DF", 64)
+    rows = [(i, template_pages(i % 24, 1, 60 + i % 3, i)[0][1], None) for i in range(240)] + [(1000 + i, template_pages(i % 9, 1, 90, i)[0][1], None) for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    want = plain_components(rows)
+    assert sum(k > 0 for _, _, _, k in want) > 100 and len({c for _, _, c, _ in want}) > 20
+    assert Counter(tuple(r) for r in jaccard.join_components(docs).collect()) == want
+
+
 BENCH = [
     (1, "A train leaves Paris at 9 with 120 kg of coal and travels 300 km before it stops at Paris again for water."),
     (2, "Short item with five words"),

@@ -7,12 +7,23 @@ ones first, frequent ones (FREQUENT_DF documents or more) last.
 *Signatures.* Of two sets that link, each has at most n - ceil(4n/5) tokens that the
 other lacks. So their first shared token stands in the first n - ceil(4n/5) + 1 of
 each; where it is rare, it is a signature of both. Where it is frequent, all shared
-tokens are, and the prefix is extended by L = (k-1) floor(n/4) + k tokens: the first L
-shared tokens then stand in both prefixes. The two sets differ in at most a quarter of
-the smaller one, each differing token parts at most k-1 of the L-k+1 runs of k
-neighbouring shared tokens, so at least one run of k neighbours is whole in both.
-Frequent tokens are therefore indexed by combinations of k neighbours in the order,
-rare ones singly, and a document has fewer signatures than tokens.
+tokens are and each set lacks a partner for its r rare ones: with r above
+n - ceil(4n/5) there is no such pair, and the set has no combinations. Otherwise the
+prefix is extended to hold the first L = (k-1) (floor(n/4) - r) + k shared tokens of
+both. The two sets differ in at most floor(n/4) - r frequent tokens, each of them parts at most k-1
+of the L-k+1 runs of k neighbouring shared tokens, so at least one run of k neighbours
+is whole in both. Frequent tokens are therefore indexed by combinations of k
+neighbours in the order, which puts the less frequent ones first; k is COMBINE, and one
+more for runs that begin with a token of HOT_DF documents or more, where the prefix is
+extended for the larger k (sets that share four tokens only may have no whole run of three, so sets below
+SMALL tokens have both kinds). Rare tokens are indexed singly, and a document has fewer
+signatures than tokens.
+
+*Lists of combinations* are cut by size, each into sets of one class and of the next,
+classes growing by RATIO, and rid of sets that cannot link there: the smaller set of a
+pair has at most n - ceil(8n/9) rare tokens, so a list without such a set goes, and so do sets
+below the smallest or far above the largest of them. Pages of one template that do not
+link for what is their own meet in no list.
 
 *Homes.* The sets of a signature's list get a home, the first of them by size and row.
 Lists of near copies nearly all begin with the same set, so a set has few homes
@@ -21,8 +32,9 @@ tested in its first common home only, so each pair once, and no pair of a list i
 written or joined: whole texts go to their homes, and a task multiplies the incidence
 matrices of the sets it holds. Homes of more than BLOCK sets are cut into blocks, each
 pair of blocks being a unit of its own, so that no task holds a large group. The
-arithmetic of a group grows with the pairs that are to be counted in it, the rows
-written do not: each set returns its number of links and one linked set.
+arithmetic of a group grows with the pairs that are to be counted in it, and a set of a
+group of m goes to m / BLOCK units; each unit returns a set's number of links and one
+linked set, never pairs.
 
 Results are exact up to collisions of 64-bit shingle hashes.
 
@@ -47,7 +59,10 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, keyed, mix, scratch, shingle_sets, small_join, stage, without
 
 PART, WHOLE = 80, 100  # link when WHOLE * intersection >= PART * union
-COMBINE = 2  # k, the tokens of a combination
+COMBINE = 2  # k, the tokens of a combination; one more where it begins with a token of HOT_DF documents or more
+HOT_DF = 1024
+SMALL = 8  # tokens below which a set has every run of k too: two such sets may share no longer run
+RATIO = 1.26  # of the classes of sizes; above WHOLE / PART, so that sets which link are of one class or of neighbours
 #: Documents from which a token is frequent, and tokens in that class at most; both cost work, not results.
 FREQUENT_DF, FREQUENT = 16, 2_000_000
 LIST = 32  # sets of a list up to which all its pairs are tried by their places
@@ -59,9 +74,9 @@ def most_missing(n: int) -> int:
     return n - -(-PART * n // WHOLE)
 
 
-def prefix_length(n: int, k: int = 1) -> int:
-    """Tokens that hold the first shared one (k = 1), or a whole run of k shared neighbours."""
-    return min(n, most_missing(n) + (k - 1) * (n // 4) + k)
+def prefix_length(n: int) -> int:
+    """Tokens that hold the first shared one."""
+    return min(n, most_missing(n) + 1)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -91,8 +106,14 @@ def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Upper halves of tokens that FREQUENT_DF documents or more share, sorted; the
-    FREQUENT most frequent ones where there are more. The class decides between single
+    """The sorted ids of ``frequencies``."""
+    return frequencies(docs)[0]
+
+
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Upper halves of tokens that FREQUENT_DF documents or more share, sorted, and the
+    binary logarithms of their numbers of documents, rounded down; the
+    FREQUENT most frequent ones where there are more. The classes decide between single
     tokens and combinations, and any choice gives the same links. Tokens are counted over
     all documents: each batch sends its distinct ids with counts, cut into buckets by id."""
     bits = int(np.clip(np.log2(max(1, docs.count()) / 500 + 1), 4, 20))
@@ -126,49 +147,72 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
     dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(deal, "bucket int, ids binary")
     counts = stage(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "id long, n long"), "jaccard-counts")
-    rows = counts.orderBy(F.desc("n"), "id").limit(FREQUENT).select("id") if counts.count() > FREQUENT else counts.select("id")
-    return np.sort(np.array([r[0] for r in rows.toLocalIterator()], dtype=np.uint32))
+    rows = counts.orderBy(F.desc("n"), "id").limit(FREQUENT) if counts.count() > FREQUENT else counts
+    found = np.array([tuple(r) for r in rows.select("id", "n").toLocalIterator()], dtype=np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0])]
+    return found[:, 0].astype(np.uint32), np.log2(found[:, 1]).astype(np.uint8)
 
 
 # --- signatures ---------------------------------------------------------------
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, k: int = COMBINE) -> tuple[np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, frequent: np.ndarray, k: int = COMBINE, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rare tokens in whose place the first shared token can stand, in order, and hashes
-    of k neighbouring frequent tokens of the extended prefix. Fewer than four tokens link with equal sets only."""
+    of k or k + 1 neighbouring frequent tokens of the extended prefix; ``level`` has the logarithms of
+    ``frequencies``. Fewer than four tokens link with equal sets only."""
     none = np.zeros(0, dtype=np.uint64)
     n = len(tokens)
     if n < 4:
         return none, none
-    late = np.zeros(n, dtype=bool)
-    if len(frequent):
-        high = (tokens >> np.uint64(32)).astype(np.uint32)
-        late = frequent[np.minimum(np.searchsorted(frequent, high), len(frequent) - 1)] == high
+    late, at = _is_frequent(tokens, frequent)
     rare, often = tokens[~late], tokens[late]
-    runs = often[: max(0, prefix_length(n, k) - len(rare))]
+    singles, spare, apart = rare[: prefix_length(n)], most_missing(n) - len(rare), n // 4 - len(rare)
+    if spare < 0:
+        return singles, none
+    hot = np.zeros(len(often), dtype=bool)
+    if level is not None:
+        order = np.argsort(level[at[late]], kind="stable")
+        often, hot = often[order], level[at[late]][order] >= np.log2(HOT_DF)
+    runs = often[: spare + (k - 1) * apart + k]
+    if hot[: len(runs)].any():
+        runs = often[: spare + k * apart + k + 1]
     if len(runs) < k:
-        return rare[: prefix_length(n)], none
+        return singles, none
     keys = np.full(len(runs) - k + 1, k, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
             keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + runs[j : j + len(keys)])
-    return rare[: prefix_length(n)], keys
+        longer = mix(keys[:-1] * np.uint64(0x9E3779B97F4A7C15) + runs[k:])
+    hot = hot[: len(keys)]
+    return singles, np.concatenate((keys if n < SMALL else keys[~hot], longer[hot[:-1]]))
+
+
+def _is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens are frequent, and the places of those in the sorted ids."""
+    if not len(frequent):
+        return np.zeros(len(tokens), dtype=bool), np.zeros(len(tokens), dtype=np.int64)
+    high = (tokens >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(frequent, high), len(frequent) - 1)
+    return frequent[at] == high, at
 
 
-def token_sets(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(row, doc_id, n, sig, singles, runs) of ``keyed`` documents, written: ``sig`` is a digest of a row's set."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+def token_sets(rows: DataFrame, frequent: np.ndarray, level: np.ndarray | None = None) -> DataFrame:
+    """(row, doc_id, n, sig, singles, runs, early) of ``keyed`` documents, written: ``sig`` is a digest of a
+    row's set; an ``early`` set has so few rare tokens that it can be the smaller one of a pair which shares none."""
+    shared = rows.sparkSession.sparkContext.broadcast((frequent, level))
 
     def run(batches):
         for b in _slices(batches):
             sets = shingle_sets(b.column(2).to_pylist())
-            keys = [signatures(s, shared.value) for s in sets]
+            frequent, level = shared.value
+            keys = [signatures(s, frequent, level=level) for s in sets]
+            early = [len(s) - int(_is_frequent(s, frequent)[0].sum()) < _early(len(s)) for s in sets]
             sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             lists = [pa.array([x[i].view(np.int64) for x in keys], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), *lists], names=["row", "doc_id", "n", "sig", "singles", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), *lists, pa.array(early, pa.bool_())], names=["row", "doc_id", "n", "sig", "singles", "runs", "early"])
 
     texts = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
-    return stage(texts.mapInArrow(run, "row long, doc_id long, n int, sig binary, singles array<long>, runs array<long>"), "jaccard-sets")
+    return stage(texts.mapInArrow(run, "row long, doc_id long, n int, sig binary, singles array<long>, runs array<long>, early boolean"), "jaccard-sets")
 
 
 # --- homes --------------------------------------------------------------------
@@ -243,17 +287,23 @@ def single_homes(sets: DataFrame) -> DataFrame:
 
 
 def combined_homes(sets: DataFrame) -> DataFrame:
-    """(home_n, home, n, row) from the lists of combinations. These can be long, so each
-    one's first set and length are aggregated before the shuffle and joined back."""
-    runs = sets.select("n", "row", F.explode("runs").alias("key"))
-    lists = runs.groupBy(F.col("key").alias("_k")).agg(F.min(F.struct("n", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    met = small_join(runs, stage(lists.select("_k", "first"), "jaccard-runs"), F.col("key") == F.col("_k"))
+    """(home_n, home, n, row) from the lists of combinations, each cut by class of size. These
+    can be long, so each one's smallest and largest early set of the lower class are
+    aggregated before the shuffle and joined back: no other set can be the smaller one of a pair."""
+    grade = F.floor(F.log("n") / F.log(F.lit(RATIO))).cast("int")
+    runs = sets.select("n", "row", "early", grade.alias("grade"), F.explode("runs").alias("key"))
+    runs = runs.select("n", "row", "key", "grade", "early", F.explode(F.array("grade", F.col("grade") - 1)).alias("lower"))
+    runs = runs.select("n", "row", "key", "lower", (F.col("early") & (F.col("grade") == F.col("lower"))).alias("small"))
+    lists = runs.groupBy(F.col("key").alias("_k"), F.col("lower").alias("_l")).agg(F.min(F.when(F.col("small"), F.struct("n", "row"))).alias("first"), F.max(F.when(F.col("small"), F.col("n"))).alias("top"), F.count("*").alias("m"))
+    lists = stage(lists.where("m > 1 AND first IS NOT NULL").select("_k", "_l", "first", "top"), "jaccard-runs")
+    met = small_join(runs, lists, (F.col("key") == F.col("_k")) & (F.col("lower") == F.col("_l")))
+    met = met.where((F.col("small") | (F.col("n") > F.col("first.n"))) & (PART * F.col("n") <= WHOLE * F.col("top")))
     return met.select(F.col("first.n").alias("home_n"), F.col("first.row").alias("home"), "n", "row")
 
 
 def homes(heads: DataFrame) -> DataFrame:
     """(home, row, earlier, sets, tokens): the homes of each set, those of them that come
-    before this one, and the size of the home. Homes that lie within an earlier one are left out."""
+    before this one, and the size of the home. Homes of one set and homes that lie within an earlier one are left out."""
     found = stage(single_homes(heads).union(combined_homes(heads)).distinct(), "jaccard-homes")
     own = found.groupBy("row", "n").agg(F.sort_array(F.collect_set(F.struct("home_n", "home"))).alias("all"))  # no more than a set has signatures
     own = own.withColumn("h", F.explode("all")).select("row", "n", "h", F.filter("all", lambda x: x < F.col("h")).alias("before"))
@@ -261,7 +311,7 @@ def homes(heads: DataFrame) -> DataFrame:
     sizes = stage(own.groupBy("home").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")), "jaccard-sizes")
     within = own.select("home", F.explode("earlier").alias("e")).groupBy("home", "e").count()
     within = within.join(sizes, "home").where("count = sets").select(F.col("home").alias("_h")).distinct()
-    left = stage(sizes.join(within, F.col("home") == F.col("_h"), "left_anti").withColumnRenamed("home", "_h"), "jaccard-left")
+    left = stage(sizes.where("sets > 1").join(within, F.col("home") == F.col("_h"), "left_anti").withColumnRenamed("home", "_h"), "jaccard-left")
     return small_join(own, left, F.col("home") == F.col("_h")).drop("_h")
 
 
@@ -392,11 +442,11 @@ def components(links: DataFrame) -> DataFrame:
 def join_rows(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n, component_id, n_links, stays) of every row of ``keyed`` documents: ``stays``
     is the row of the component with the smallest doc_id (nulls last, then the first row), null for sets without tokens."""
-    sets = token_sets(docs, frequent_tokens(docs.select("doc.text")))
+    sets = token_sets(docs, *frequencies(docs.select("doc.text")))
     full = sets.where("n > 0").select("row", "doc_id", "n", "sig")
     classes = full.groupBy(F.col("sig").alias("_s")).agg(F.min("row").alias("cls"), F.count("*").alias("c")).where("c > 1")
     classes = stage(classes, "jaccard-classes")
-    heads = small_join(sets.where("n > 0").select("row", "n", "sig", "singles", "runs"), classes, F.col("sig") == F.col("_s"), "left").where("cls IS NULL OR cls = row").drop("sig", "_s", "cls", "c")
+    heads = small_join(sets.where("n > 0").select("row", "n", "sig", "singles", "runs", "early"), classes, F.col("sig") == F.col("_s"), "left").where("cls IS NULL OR cls = row").drop("sig", "_s", "cls", "c")
     found = links(homes(heads), docs, classes)
     of = components(found.select(F.col("row").alias("a"), F.col("to").alias("b")))
     known = stage(of.join(found.groupBy("row").agg(F.sum("links").alias("links")), "row").withColumnRenamed("row", "_r"), "jaccard-known")
