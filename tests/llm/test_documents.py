@@ -316,6 +316,27 @@ def test_mixing_sql(docs, rows):
     assert counted(mixing.mix(docs)) == want
 
 
+@pytest.mark.parametrize("run", [17, 4])
+def test_mixing_of_repeated_and_null_ids(spark, monkeypatch, run):
+    """Sources of null ids, of one id and one text, and of one id and many texts come near their targets, as SQL has it; in the pipeline's form too."""
+    monkeypatch.setattr(mixing, "RUN", run)
+    text = lambda i: " ".join(["w"] * (i % 90 + 1))
+    data = [(None, text(i) + f" {i}", "a", 0) for i in range(500)] + [(7, text(50), "b", 0)] * 500 + [(8, text(i * 7), "c", 1) for i in range(500)] + [(i, text(i), "d", 2) for i in range(500)] + [(None, None, "a", 0)] * 50
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, row int").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    want = Counter(con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL.format(docs='documents')})").fetchall())
+    assert counted(mixing.mix(docs)) == counted(mixing.mix(docs.repartition(5))) == want
+    per, target, size = plain_mix([(i, t or "", s) for i, t, s, _ in data])
+    kept = mixing.mixed(docs)
+    assert kept.columns == docs.columns
+    taken = Counter()
+    for r in kept.collect():
+        taken[r["source"]] += size(r["text"] or "")
+    assert all(abs(taken[s] - float(target[s])) <= 180 for s in per) and any(per[s] < target[s] < 2 * per[s] for s in "abc")
+    assert sum(taken.values()) == sum(r[4] * n for r, n in want.items())
+
+
 def test_word_hashes_agree_with_words():
     texts = ["a b  a", "", "  A\tB\n", "éa b", "ab a b"]
     hashes, ends = word_hashes([t.encode() for t in texts])

@@ -1,6 +1,7 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document has a 40-bit hash of its id. Sizes are summed by source and hash
+Every document has a 40-bit hash of its id; rows of one source whose ids are equal or
+null have one of id, text and ordinal among equal rows, so that no id is an atom. Sizes are summed by source and hash
 bucket; the bucket where a source's budget is reached is refined with the next
 bits of the hash, and only that bucket, until it is a single hash value. A
 document is then taken by comparing its hash with its source's threshold:
@@ -11,8 +12,9 @@ finds the threshold for the rest. Documents are taken whole; the last one goes
 in if that brings the source nearer to its target (a tie takes it).
 
 Defined results: null text has size 0 and takes 0 words; a null source is a
-source of its own, after all others; a null id hashes like the text "null";
-rows with equal ids are taken or left together; an empty table gives no rows.
+source of its own, after all others; which of several rows with equal ids and texts is taken is open, how many are is not;
+very long texts are only counted and digested; extra columns are carried aside and cannot
+clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,23 +25,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, scratch, small_join, stage
+from .common import BROADCAST_ROWS, WORD, keyed, scratch, small_join, stage
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SEED = "mix"
 LEVELS = (12, 14, 14)  # bits of the hash that each histogram looks at
+RUN = 17  # bits of a written row's number inside a run of rows that is numbered by one task
 
 
-def hash40(col: Column, seed: str = SEED) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(col.cast("string"), F.lit("null"))).cast("binary")), 1, 10), 16, 10).cast("long")
+def hash40(name: Column, seed: str = SEED) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")), 1, 10), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): all that the mix needs, without the texts."""
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), hash40(F.col("doc_id")).alias("h"))
+def named(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+
+
+def sized(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(row, doc_id, source, size, digest): all that the mix needs, without the texts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select(row.alias("row"), "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(text.cast("binary")).alias("digest"))
+
+
+def repeats(rows: DataFrame) -> DataFrame | None:
+    """(row, h) of the rows with words of the written ``rows`` whose id is not theirs alone in their source; None
+    without such. Equal rows are numbered by runs of written rows, so that no group of them is one task."""
+    some = rows.where("size > 0")
+    again = some.groupBy(F.col("source").alias("_s"), F.col("doc_id").alias("_d")).count().where("count > 1").drop("count")
+    again = stage(again, "mix-again")
+    n = again.count()
+    if not n:
+        return None
+    own = small_join(some, again, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), rows=n)
+    group = ["source", "doc_id", "digest"]
+    own = stage(own.select("row", *group, F.shiftright("row", RUN).alias("run")), "mix-repeats")
+    before = W.partitionBy(*group).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    runs = own.groupBy(*group, "run").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    runs = runs.select(*[F.col(c).alias(f"_{c}") for c in (*group, "run")], "before")
+    same = F.col("run") == F.col("_run")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    place = F.col("before") + F.row_number().over(W.partitionBy(*group, "run").orderBy("row")) - 1
+    found = own.join(runs, same).select("row", F.concat_ws(":", named(F.col("doc_id")), "digest", place).alias("name"))
+    return stage(found.select(F.col("row").alias("_r"), hash40(F.col("name")).alias("_h")), "mix-places")
+
+
+def hashed(rows: DataFrame, own: DataFrame | None) -> DataFrame:
+    """``rows`` (row, doc_id, ...) with their hash ``h``, that of ``repeats`` where there is one."""
+    alone = hash40(named(F.col("doc_id")))
+    if own is None:
+        return rows.withColumn("h", alone)
+    own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+    return rows.join(own, F.col("row") == F.col("_r"), "left").withColumn("h", F.coalesce("_h", alone)).drop("_r", "_h")
 
 
 def water_fill(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -89,28 +130,38 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "whole", below.alias("below"))
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, rows: DataFrame | None = None) -> DataFrame:
-    """(source, source_size, target, whole, below) of every source of ``docs``."""
-    with scratch(docs.sparkSession) as keep:
-        rows = stage(sized(docs), "mix-sizes") if rows is None else rows
-        sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-        return keep(stage(thresholds(rows, water_fill(sizes, weights, share, most)), "mix-plan"))
+def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, source_size, target, whole, below) of every source of ``hashed`` rows."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return stage(thresholds(rows, water_fill(sizes, weights, share, most)), "mix-plan")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Per document: doc_id, size, source_size, target of its source, words taken."""
-    rows = stage(sized(docs), "mix-sizes")
-    found = plan(docs, weights, share, most, rows).withColumnRenamed("source", "s")
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(stage(sized(docs), "mix-sizes"))
+        own = repeats(rows)
+        rows = hashed(rows, own if own is None else keep(own))
+        found = keep(plan(rows, weights, share, most)).withColumnRenamed("source", "s")
     taken = F.col("size") * (F.col("whole") + (F.col("h") < F.col("below")).cast("long"))
     return small_join(rows, found, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix, all columns; one that the mix takes twice is there twice.
-    Documents without words, which a mix of words neither takes nor leaves, stay once."""
-    has_words = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").cast("string").alias("source"), has_words.alias("words"), hash40(F.col("doc_id")).alias("h"))
-    found = plan(docs).select(F.col("source").alias("s"), "whole", "below")
+    Documents without words, which a mix of words neither takes nor leaves, stay once.
+    Only where ids repeat are the documents written first, so that each has a number."""
+    with scratch(docs.sparkSession) as keep:
+        whole = docs.select(F.struct(*docs.columns).alias("doc"), F.lit(0).cast("long").alias("row"))
+        rows = stage(sized(docs), "mix-sizes")
+        own = repeats(rows)
+        if own is not None:
+            whole = keep(keyed(docs, "mix-documents"))
+            rows = stage(sized(whole.select("doc.doc_id", "doc.source", "doc.text", "row"), F.col("row")), "mix-sizes")
+            own = keep(repeats(rows))
+        found = keep(plan(hashed(rows, own))).select(F.col("source").alias("s"), "whole", "below")
+    has_words = F.coalesce(F.col("doc.text").cast("string").rlike(WORD), F.lit(False))
+    rows = hashed(whole.select("row", "doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), has_words.alias("words")), own)
     times = F.when(~F.col("words"), 1).otherwise(F.col("whole") + (F.col("h") < F.col("below")).cast("long"))
     met = small_join(rows, found, F.col("source").eqNullSafe(F.col("s"))).select("doc", times.cast("int").alias("n")).where("n > 0")
     return met.select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
@@ -118,10 +169,14 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 #: Rows of ``mix`` in DuckDB SQL over a table ``{docs}``.
 SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 10))::BIGINT AS h
-  FROM {docs}),
+WITH counted AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM {docs}),
+placed AS (
+  SELECT *, size > 0 AND count(*) FILTER (size > 0) OVER (PARTITION BY source, doc_id) > 1 AS again,
+         row_number() OVER (PARTITION BY source, doc_id, digest ORDER BY doc_id) - 1 AS place FROM counted),
+sized AS (
+  SELECT doc_id, source, size,
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || CASE WHEN again THEN ':' || digest || ':' || place ELSE '' END), 1, 10))::BIGINT AS h FROM placed),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, list_extract([3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE], (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1) AS w, source_size * 2.0::DOUBLE AS cap FROM src),
 lv AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
