@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import small_join, stage
 
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 MAX_RULES = 256
 TRAIN_URLS = 20_000
 TREES, DEPTH, SEED = 12, 4, 17
