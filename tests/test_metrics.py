@@ -2,6 +2,7 @@
 
 import pytest
 
+import __spark_entry__
 from tests.test_plans import SF, duck, rows  # noqa: F401
 from tidewater.operators import metrics
 
@@ -45,3 +46,17 @@ def test_summary_of_a_range_without_orders(tables):
     assert (got["revenue"], got["orders"], got["aov"], got["customers"], got["top_category"]) == (None, 0, 0.0, 2, "a")
     empty = metrics.summary(orders.limit(0), lines).first()
     assert (empty["orders"], empty["aov"], empty["top_category"]) == (0, 0.0, None)
+
+
+@pytest.mark.parametrize("name", ["a08_top_categories", "a16_weekly_category", "f03_forecast", "f04_forecast_next", "w05_ranks", "w06_lags", "w07_rolling", "w08_series_length"])
+def test_orders_of_a_category_are_counted_without_a_distinct_aggregate(spark, name):
+    """A distinct count keeps every pair of order and category in the memory of a task."""
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "count(distinct" not in plan.split("== Optimized Logical Plan ==")[1].lower()
+
+
+def test_orders_are_counted_once_per_category(spark):
+    lines = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (1, None), (1, None), (2, "a"), (3, "b"), (3, "b")], "order_id long, category string")
+    orders = spark.createDataFrame([(1, "x", "1997-01-01", 10, True, False), (1, "x", "1997-02-01", 5, True, False), (2, "y", "1997-01-01", 7, True, True), (3, "y", "1997-01-01", 2, True, False)], "order_id long, customer string, d string, pay int, is_delivered boolean, is_lost boolean")
+    got = {tuple(r) for r in metrics.category_totals(lines, orders).collect()}
+    assert got == {("a", 30.0, 1), ("b", 19.0, 2), (None, 30.0, 1)}

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.operators import facts
@@ -51,9 +52,13 @@ def series(orders: DataFrame, low: Day = None, high: Day = None) -> DataFrame:
 
 
 def category_totals(lines: DataFrame, orders: DataFrame, low: Day = None, high: Day = None) -> DataFrame:
-    """Revenue and distinct orders per category: an order's payment counts once per line of it."""
-    once = between(orders, low, high).where(is_valid()).select("order_id", "pay")
-    return lines.join(once, "order_id").groupBy("category").agg(F.sum("pay").cast("double").alias("revenue"), F.countDistinct("order_id").alias("orders"))
+    """Revenue and distinct orders per category: an order's payment counts once per line of it. An order is counted at its first line of
+    a category and its first header row, both marked in the order that the join needs anyway."""
+    per = W.partitionBy("order_id")
+    once = between(orders, low, high).where(is_valid()).select("order_id", "pay", (F.row_number().over(per.orderBy("pay")) == 1).alias("_one"))
+    first = ~F.lag(F.struct("category")).over(per.orderBy("category")).eqNullSafe(F.struct("category"))
+    marked = lines.select("order_id", "category", first.alias("_first"))
+    return marked.join(once, "order_id").groupBy("category").agg(F.sum("pay").cast("double").alias("revenue"), F.count_if(F.col("_first") & F.col("_one")).alias("orders"))
 
 
 def top_categories(lines: DataFrame, orders: DataFrame, by: str = "revenue", limit: int = 10, low: Day = None, high: Day = None) -> DataFrame:

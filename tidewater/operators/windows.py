@@ -16,8 +16,29 @@ def _trailing(d):
         ON a.user_id = b.user_id AND b.us >= a.us - {DAY} AND (b.us < a.us OR b.us = a.us AND b.event_id < a.event_id) GROUP BY a.event_id"""
 
 
-_WEEKLY = """weekly AS (SELECT l.category, CAST(date_trunc('week', h.d) AS DATE) AS week, CAST(sum(l.price) AS DOUBLE) AS revenue, count(DISTINCT h.order_id) AS orders
+def _weekly(d):
+    """Weekly revenue and distinct orders per category. Spark counts an order where it begins: its first line of a category times its
+    first header row of a week, so no pair of order and category is shuffled or held a second time."""
+    if d.name != "spark":
+        return """weekly AS (SELECT l.category, CAST(date_trunc('week', h.d) AS DATE) AS week, CAST(sum(l.price) AS DOUBLE) AS revenue, count(DISTINCT h.order_id) AS orders
     FROM lines l JOIN valid h ON l.order_id = h.order_id GROUP BY l.category, CAST(date_trunc('week', h.d) AS DATE))"""
+    return f"""weekly AS (SELECT l.category, h.week, CAST(sum(l.price) AS DOUBLE) AS revenue, CAST(sum(l.opens * h.opens) AS BIGINT) AS orders
+    FROM (SELECT order_id, category, price, {opens('category')} AS opens FROM lines) l JOIN (SELECT order_id, week, {opens('week')} AS opens FROM (SELECT order_id, CAST(date_trunc('week', d) AS DATE) AS week FROM valid) v) h
+    ON l.order_id = h.order_id GROUP BY l.category, h.week)"""
+
+
+def opens(column):
+    """Spark SQL: 1 in the first row of each value of ``column`` within an order, else 0."""
+    return f"CASE WHEN lag(struct({column})) OVER (PARTITION BY order_id ORDER BY {column}) <=> struct({column}) THEN 0 ELSE 1 END"
+
+
+def _category_ranks(d):
+    if d.name != "spark":
+        per = "SELECT l.category, sum(v.pay) AS revenue, count(DISTINCT v.order_id) AS orders FROM lines l JOIN valid v ON l.order_id = v.order_id GROUP BY l.category"
+    else:
+        per = f"""SELECT l.category, sum(v.pay) AS revenue, sum(l.opens * v.opens) AS orders FROM (SELECT order_id, category, {opens('category')} AS opens FROM lines) l
+            JOIN (SELECT order_id, pay, CASE WHEN row_number() OVER (PARTITION BY order_id ORDER BY pay) = 1 THEN 1 ELSE 0 END AS opens FROM valid) v ON l.order_id = v.order_id GROUP BY l.category"""
+    return f"SELECT category, CAST(rank() OVER (ORDER BY revenue DESC) AS BIGINT) AS by_revenue, CAST(rank() OVER (ORDER BY orders DESC) AS BIGINT) AS by_orders FROM ({per}) t"
 
 
 def _sessions(d, gap=6 * 3_600_000_000):
@@ -54,10 +75,10 @@ PLANS = {
     "w02_newest_prediction": lambda d: "SELECT model, entity, id, score FROM (SELECT *, row_number() OVER (PARTITION BY model, entity ORDER BY predicted_at DESC, id DESC) AS rn FROM preds) t WHERE rn = 1",
     "w03_primary_payment": lambda d: "SELECT order_id, pay_type, installments, CAST(price AS DOUBLE) AS price FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY price DESC, installments DESC, pay_type, item_id) AS rn FROM items) t WHERE rn = 1",
     "w04_primary_item": lambda d: "SELECT order_id, product_id FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY price DESC, item_id) AS rn FROM items) t WHERE rn = 1",
-    "w05_ranks": lambda d: "SELECT category, CAST(rank() OVER (ORDER BY revenue DESC) AS BIGINT) AS by_revenue, CAST(rank() OVER (ORDER BY orders DESC) AS BIGINT) AS by_orders FROM (SELECT l.category, sum(v.pay) AS revenue, count(DISTINCT v.order_id) AS orders FROM lines l JOIN valid v ON l.order_id = v.order_id GROUP BY l.category) t",
-    "w06_lags": lambda d: f"WITH {_WEEKLY} SELECT category, week, CAST(lag(orders, 1) OVER (PARTITION BY category ORDER BY week) AS DOUBLE) AS lag1, CAST(lag(orders, 2) OVER (PARTITION BY category ORDER BY week) AS DOUBLE) AS lag2, lag(revenue, 4) OVER (PARTITION BY category ORDER BY week) AS lag4, lag(revenue, 8) OVER (PARTITION BY category ORDER BY week) AS lag8 FROM weekly",
-    "w07_rolling": lambda d: f"WITH {_WEEKLY} SELECT category, week, CAST(sum(orders) OVER w AS DOUBLE) / count(*) OVER w AS mean4, floor(stddev_samp(orders) OVER w * 1000000 + 0.5) / 1000000 AS sd4 FROM weekly WINDOW w AS (PARTITION BY category ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)",
-    "w08_series_length": lambda d: f"WITH {_WEEKLY} SELECT category, week, count(*) OVER (PARTITION BY category ORDER BY week ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS n FROM weekly",
+    "w05_ranks": _category_ranks,
+    "w06_lags": lambda d: f"WITH {_weekly(d)} SELECT category, week, CAST(lag(orders, 1) OVER (PARTITION BY category ORDER BY week) AS DOUBLE) AS lag1, CAST(lag(orders, 2) OVER (PARTITION BY category ORDER BY week) AS DOUBLE) AS lag2, lag(revenue, 4) OVER (PARTITION BY category ORDER BY week) AS lag4, lag(revenue, 8) OVER (PARTITION BY category ORDER BY week) AS lag8 FROM weekly",
+    "w07_rolling": lambda d: f"WITH {_weekly(d)} SELECT category, week, CAST(sum(orders) OVER w AS DOUBLE) / count(*) OVER w AS mean4, floor(stddev_samp(orders) OVER w * 1000000 + 0.5) / 1000000 AS sd4 FROM weekly WINDOW w AS (PARTITION BY category ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)",
+    "w08_series_length": lambda d: f"WITH {_weekly(d)} SELECT category, week, count(*) OVER (PARTITION BY category ORDER BY week ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS n FROM weekly",
     "w09_share": lambda d: "SELECT i.order_id, i.item_id, CAST(i.price AS DOUBLE) / nullif(CAST(sum(i.price) OVER (PARTITION BY i.order_id) AS DOUBLE), 0) * CAST(h.pay AS DOUBLE) AS allocated FROM items i JOIN header h ON i.order_id = h.order_id",
     "w11_last_price": lambda d: "SELECT product_id, CAST(price AS DOUBLE) AS price FROM (SELECT i.product_id, i.price, row_number() OVER (PARTITION BY i.product_id ORDER BY h.d DESC, i.order_id DESC, i.item_id DESC) AS rn FROM items i JOIN header h ON i.order_id = h.order_id) t WHERE rn = 1",
     "w12_trailing_count": _trailing,
