@@ -60,3 +60,22 @@ def test_trailing_against_brute_force(spark, own):
             want[o] = (len(found), sum(v or 0 for v in found))
         assert run(spark, data, window, cell=cell, own=own) == want
     assert run(spark, data[:0], 5) == {}
+
+
+def test_trailing_days_against_brute_force(spark):
+    from tidewater.functions import trailing_days
+
+    rng = random.Random(4)
+    data = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(12)]), rng.choice([None, 1, 5])) for i in range(300)]
+    rows = spark.createDataFrame(data, "o int, k string, day int, v int")
+    got = {r["o"]: (r["n"], r["sum_v"]) for r in trailing_days(rows, "k", "day", "o", 3, ["v"]).collect()}
+    for o, k, day, _ in data:
+        before = [] if k is None or day is None else [v for p, q, e, v in data if q == k and e is not None and day - 3 <= e and (e, p) < (day, o)]
+        assert got[o] == (len(before), sum(v or 0 for v in before))
+
+
+def test_features_of_orders_read_the_lines_once(spark):
+    plan = marts.dialect.run(marts._orders, spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and sum("Relation [l_orderkey" in line for line in plan.splitlines()) == 1
+    made = marts.order_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in made and "Union" not in made

@@ -43,3 +43,23 @@ def trailing(rows: DataFrame, key: str, at: str, order: str, window: int, sums:
     diff = [(F.max(F.when(F.col("_is") == 1, F.col(f"_up{c}"))) - F.max(F.when(F.col("_is") == 0, F.col(f"_up{c}")))).alias(f"_d{c}") for c in counted]
     out = met.groupBy("_o").agg(F.max_by("_row", "_is").alias("_row"), *diff)
     return out.select("_row.*", F.col("_d_is").alias("n"), *[F.col(f"_d_v{i}").alias(f"sum_{c}") for i, c in enumerate(sums)])
+
+
+def trailing_days(rows: DataFrame, key: str, day: str, order: str, days: int, sums: Sequence[str] = ()) -> DataFrame:
+    """As ``trailing`` for times in whole days: rows of the ``days`` days before a row's own, and of its own day those before it by ``order``.
+
+    The lower edge is the beginning of a day, so whole days are counted and added up per key, a row per day, and
+    rows meet them once: they are shuffled once by (key, day), and none is there twice. A null key or day has no rows before it.
+    """
+    zero = {c: F.lit(0).cast(rows.schema[c].dataType) for c in sums}
+    totals = rows.groupBy(F.col(key).alias("_k"), F.col(day).alias("_d")).agg(F.count("*").alias("_n"), *[F.sum(F.coalesce(F.col(c), zero[c])).alias(f"_s{i}") for i, c in enumerate(sums)])
+    earlier = W.partitionBy("_k").orderBy("_d").rangeBetween(-days, -1)
+    totals = totals.where("_d IS NOT NULL").select("_k", "_d", F.sum("_n").over(earlier).alias("_n"), *[F.sum(f"_s{i}").over(earlier).alias(f"_s{i}") for i in range(len(sums))])
+    inside = W.partitionBy(key, day).orderBy(order)
+    upto = inside.rowsBetween(W.unboundedPreceding, -1)
+    own = rows.select("*", (F.row_number().over(inside) - 1).alias("_own"), *[F.sum(F.coalesce(F.col(c), zero[c])).over(upto).alias(f"_own{i}") for i, c in enumerate(sums)])
+    met = own.join(totals, (F.col(key) == F.col("_k")) & (F.col(day) == F.col("_d")), "left")
+    known = F.col("_k").isNotNull()
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    added = [F.when(known, none(f"_own{i}") + none(f"_s{i}")).otherwise(F.lit(0)).alias(f"sum_{c}") for i, c in enumerate(sums)]
+    return met.select(*rows.columns, F.when(known, F.col("_own") + none("_n")).otherwise(F.lit(0)).cast("long").alias("n"), *added)
