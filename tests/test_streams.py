@@ -189,3 +189,15 @@ def test_empty_sources(spark, tmp_path):
     assert landed.collect() == [] and hours.collect() == []
     lines = spark.readStream.schema("value string").text(f"{tmp_path}/none")
     assert events.land_envelopes(lines, f"{tmp_path}/out").collect() == []
+
+
+def test_no_task_holds_the_rows_of_a_key(spark, tmp_path, monkeypatch):
+    """Rows that wait and their features stay in Spark: no Python state, and equal and repeated rows count each."""
+    monkeypatch.setattr("pyspark.sql.GroupedData.transformWithStateInPandas", None)
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    data = [(i, at(i), "m", float(i % 2)) for i in range(40)] + [(7, at(7), "m", 1.0), (7, at(7.0004), "m", 1.0), (99, at(90_000), "end", 0.0)]
+    spark.createDataFrame(data, "id long, ts timestamp, model string, score double").write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("id long, ts timestamp, model string, score double").parquet(f"{tmp_path}/in")
+    got = sorted(tuple(r) for r in ordered.ordered(stream().withColumn("v", jobs.F.lit(1)), "model", 10_000_000, "flat").where("id < 12").collect())
+    assert got == sorted([(i, n, n, 0) for i, n in [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (7, 8), (7, 9), (8, 10), (9, 11), (10, 12), (11, 12)]])
+    assert {(r["model"], r["b"] % 10, r["n"]) for r in detect.rate_anomalies(stream(), 0.5, 300, 20, 0.01, "flat").collect()} == {("m", 1_704_067_200 // 300 % 10, 20)}

@@ -1,22 +1,16 @@
 """Features of a key's earlier rows in a stream, computed in order of event time.
 
-Rows wait in state until the watermark has passed them; then they are handled by
-(time, id): a row's features are read before it is added. So a row's features do not depend on the
-order of arrival. A row that comes behind the watermark is dropped, as is usual in a stream;
-rows that the watermark has not passed when the input ends are not out yet.
-
-State of a key is its rows of one window, so a key's rows of one window have to fit a task;
-for finished tables use ``functions.trailing``, which has no such bound.
+Rows wait in state until the watermark has passed them, as aggregates of one key and millisecond, which Spark deals over all
+tasks; a row that comes behind the watermark is dropped, as is usual in a stream, and rows that the watermark has not passed
+when the input ends are not out yet. What has passed is a table. No row comes before one of it any more, so features are
+``functions.trailing`` over it: by (time, id), a row's features without the row itself, whatever the order of arrival.
+No task holds a key's rows: a key that has a fifth of all rows is spread over its cells of time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewater.functions import trailing
 
@@ -24,74 +18,23 @@ from ..sources.events import file_stream
 from .jobs import LATE, ROCKS, run_to_table
 
 DAY = 86_400_000_000
-COLUMNS = ["id", "n", "total", "days"]
-SCHEMA = "id long, n long, total long, days long"
-
-
-class TrailingState(StatefulProcessor):
-    """Rows (id, us, v) of a key: count and sum of the earlier ones within the window, whole days since the first of all."""
-
-    def __init__(self, window: int):
-        self.window = window
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, id long, v long")
-        self.held = handle.getListState("held", "us long, v long")
-        self.first = handle.getValueState("first", "us long")
-
-    def _wake(self, us: int) -> None:
-        self.handle.registerTimer(us // 1000 + 1)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for part in rows:
-            new = [(int(u), int(i), int(v)) for u, i, v in zip(part["us"], part["id"], part["v"])]
-            if new:
-                self.waiting.appendList(new)
-                earliest = min(r[0] for r in new) if earliest is None else min(earliest, min(r[0] for r in new))
-        if earliest is not None:
-            self._wake(earliest)
-        yield pd.DataFrame(columns=COLUMNS).astype("int64")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        everything = sorted(tuple(map(int, r)) for r in self.waiting.get())
-        ready = [r for r in everything if r[0] // 1000 < mark]
-        later = everything[len(ready) :]
-        held = [tuple(map(int, r)) for r in self.held.get()]
-        first = int(self.first.get()[0]) if self.first.exists() else None
-        head, total, out = 0, sum(v for _, v in held), []
-        for us, i, v in ready:
-            first = us if first is None else first
-            while head < len(held) and held[head][0] < us - self.window:
-                total -= held[head][1]
-                head += 1
-            out.append((i, len(held) - head, total, (us - first) // DAY))
-            held.append((us, v))
-            total += v
-        if ready:
-            self.held.put(held[head:])
-            self.first.update((first,))
-            if later:
-                self.waiting.put(later)
-                self._wake(later[0][0])
-            else:
-                self.waiting.clear()
-        yield pd.DataFrame(out, columns=COLUMNS).astype("int64")
-
-    def close(self) -> None:
-        pass
-
-
-def ordered(stream: DataFrame, key: str, window: int, label: str) -> DataFrame:
-    """Run a stream with ``ts``, ``id`` and a long ``v`` to its end: per row n, total and days of its key's earlier rows.
-    A null ``v`` counts in n and adds 0; rows without time are dropped."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = stream.where("ts IS NOT NULL").withWatermark("ts", LATE).select(F.col(key).alias("key"), "ts", F.unix_micros("ts").alias("us"), F.col("id").cast("long").alias("id"), F.coalesce(F.col("v").cast("long"), F.lit(0)).alias("v"))
-    found = rows.groupBy("key").transformWithStateInPandas(TrailingState(window), SCHEMA, "append", "EventTime")
-    return run_to_table(found, label).drop("_batch")
+
+
+def passed(rows: DataFrame, label: str) -> DataFrame:
+    """Run a stream of (key, ts, id, v) to its end: (key, us, id, v, nth) of the rows that the watermark has passed, ``nth`` to tell equal ones apart."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    waiting = rows.where("ts IS NOT NULL").withWatermark("ts", LATE).groupBy("key", F.window("ts", "1 millisecond")).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), "id", "v"))).alias("r"))
+    return run_to_table(waiting.select("key", F.posexplode("r").alias("nth", "r")).select("key", "r.*", "nth"), label).drop("_batch")
+
+
+def ordered(stream: DataFrame, key: str, window: int, label: str, cell: int | None = None) -> DataFrame:
+    """Run a stream with ``ts``, ``id`` and a long ``v`` to its end: per row n and total of its key's earlier rows within ``window``, whole days
+    since the first of all. A null ``v`` counts in n and adds 0; rows without time are dropped."""
+    seen = passed(stream.select(F.col(key).alias("key"), "ts", F.col("id").cast("long").alias("id"), F.coalesce(F.col("v").cast("long"), F.lit(0)).alias("v")), label)
+    found = trailing(seen.withColumn("place", F.struct("id", "nth", "us", "key")), "key", "us", "place", window, ["v"], cell)
+    first = seen.groupBy(F.col("key").alias("_key")).agg(F.min("us").alias("_first"))
+    met = found.join(first, F.col("key").eqNullSafe(F.col("_key")))
+    return met.select("id", "n", F.col("sum_v").alias("total"), F.expr(f"(us - _first) div {DAY}").alias("days"))
 
 
 def t11_ordered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +45,7 @@ def t11_ordered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         return file_stream(spark, sf_dir, "events", None).select(F.col("event_id").alias("id"), "ts", "user_id", "event_type", cents.alias("v"))
 
     person = ordered(rows(), "user_id", DAY, "t11-person").select("id", F.col("n").alias("velocity"), F.col("days").alias("age_days"))
-    kind = ordered(rows(), "event_type", 90 * DAY, "t11-kind").select("id", F.col("n").alias("bench_n"), (F.col("total") / 100).alias("bench_sum"))
+    kind = ordered(rows(), "event_type", 90 * DAY, "t11-kind", DAY // 4).select("id", F.col("n").alias("bench_n"), (F.col("total") / 100).alias("bench_sum"))
     return person.join(kind, "id").withColumnRenamed("id", "event_id")
 
 
