@@ -59,3 +59,12 @@ def test_effects_are_applied_once(spark, tmp_path):
     assert [(r["entity"], r["held"]) for r in effects.flags().collect()] == [("o", False)]
     effects.apply(spark.createDataFrame([make(20, "log_retention_email", "c", 2 * day - 1), make(21, "log_retention_email", "c", 2 * day), make(22, "hold_order_for_review", "o", 9)], schema))
     assert ids("retention_actions") == [1, 3, 4, 21] and [r["held"] for r in effects.flags().collect()] == [True]
+
+
+def test_executions_meet_their_approvals_without_a_second_log(spark):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    log = [(1, 1, at(1), 1, 0, "approved"), (1, 1, at(1), 1, 1, "executed"), (2, 1, at(2), 2, 0, "executed"), (2, 1, at(3), 3, 0, "approved"), (3, 0, at(1), 1, 0, "failed"), (None, 1, at(1), 1, 0, "approved"), (None, 1, at(2), 2, 0, "executed")]
+    rows = spark.createDataFrame([(*r, "who", None) for r in log], "action_id long, phase int, at timestamp, seq long, k int, transition string, actor string, reason string")
+    found = actions.unapproved(rows)
+    assert {(r["action_id"], r["transition"]) for r in found.collect()} == {(2, "executed"), (3, "failed"), (None, "executed")}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

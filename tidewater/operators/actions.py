@@ -89,10 +89,11 @@ def current(queue: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def unapproved(audit: DataFrame) -> DataFrame:
-    """Executions without an earlier approval: there must be none."""
-    first = audit.where(F.col("transition").isin(*APPROVALS)).groupBy(F.col("action_id").alias("_id")).agg(F.min(_order()).alias("_since"))
-    ran = audit.where(F.col("transition").isin("executed", "failed"))
-    return ran.join(first, (F.col("action_id") == F.col("_id")) & (F.col("_since") < _order()), "left_anti").select("action_id", "at", "transition", "actor")
+    """Executions without an earlier approval: there must be none. The log is read once: its rows meet their action's first approval in a window."""
+    since = F.min(F.when(F.col("transition").isin(*APPROVALS), _order())).over(Window.partitionBy("action_id"))
+    ran = audit.withColumn("_since", since).where(F.col("transition").isin("executed", "failed"))
+    after = F.col("action_id").isNotNull() & F.coalesce(F.col("_since") < _order(), F.lit(False))
+    return ran.where(~after).select("action_id", "at", "transition", "actor")
 
 
 def by_status(queue: DataFrame, status: str | None = None, most: int = 50) -> DataFrame:
