@@ -1,12 +1,15 @@
 """Splits, fits and importance on small rows; the backtest has its own SQL."""
 
 import random
+from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_plans import SF, duck, rows  # noqa: F401
-from tidewater.operators import models
+from tidewater.operators import marts, models
+from tidewater.plans import dialect
 
 
 @pytest.mark.parametrize("name", sorted(models.ORACLE))
@@ -53,3 +56,39 @@ def test_churn_and_forecast_fits(spark):
     assert churn.select("customer").exceptAll(held.select("customer")).isEmpty() and churn.count() == held.count()
     assert churn.where("NOT score BETWEEN 0 AND 1").isEmpty()
     assert models.m08_forecast_fit(spark, SF).where("score < 0 OR NOT entity RLIKE '^[A-Z]+@[0-9-]{10}$'").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["f05_churn_training", "f06_churn_current", "a14_customer_history", "m20_churn_scores"])
+def test_history_of_odd_orders(spark, tmp_path, name):
+    """Days with several orders, orders without lines, lines without a product or a date, and nulls as keys."""
+    rng = random.Random(4)
+    day = lambda: datetime(2000, 1 + rng.randrange(12), 1 + rng.randrange(3) * 9)
+    some = lambda value, n=12: None if rng.randrange(n) == 0 else value
+    orders = [(i, some(rng.randrange(25), 20), rng.choice("OFP"), some(float(rng.randrange(1, 900)) / 4), day()) for i in range(240)]
+    lines = [(some(rng.randrange(210), 30), some(rng.randrange(40)), 1, rng.randrange(1, 3), some(float(rng.randrange(1, 50))), 10.0, 0.0, 0.05, "A", "O", some(day())) for _ in range(700)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, "B", some(rng.choice(["unknown", "a", "b", "c"]), 6)) for i in range(35)], "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 3, datetime(2000, 1, 1), "signup", 1.0)], "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = dialect.run(marts.PLANS[name], spark, str(tmp_path))
+    with duckdb.connect() as con:
+        for table in ("orders", "lineitem", "part", "events"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+        want = con.execute(dialect.oracle(marts.PLANS[name]))
+        columns = [c[0] for c in want.description]
+        assert rows(columns, got.select(*columns).collect()) == rows(columns, want.fetchall())
+
+
+def test_rows_from_written_orders(spark):
+    """Training rows and current ones of one table of orders are those of the queries."""
+    orders = marts.customer_orders(spark, SF)
+    for made, name in ((marts.churn_training, "f05_churn_training"), (marts.churn_current, "f06_churn_current")):
+        given, own = made(spark, SF, orders), dialect.run(marts.PLANS[name], spark, SF)
+        assert given.exceptAll(own).isEmpty() and own.exceptAll(given).isEmpty() and not own.isEmpty()
+        assert "l_orderkey" not in given._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["f05_churn_training", "f06_churn_current"])
+def test_lines_are_read_once(spark, name):
+    plan = dialect.run(marts.PLANS[name], spark, SF)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert sum("l_orderkey" in plan.apply(i).toString() for i in range(plan.size())) == 1

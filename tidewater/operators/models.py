@@ -144,8 +144,9 @@ CHURN = marts.CHURN_FEATURES
 FORECAST = ["week_of_year", "aov_lag1", *(f"{c}_lag{k}" for c in ("revenue", "orders") for k in (1, 2, 4, 8)), "revenue_roll4_mean", "revenue_roll4_std", "orders_roll4_mean", "series_weeks"]
 
 
-def churn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dialect.run(marts.PLANS["f05_churn_training"], spark, sf_dir)
+def churn_rows(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Training rows with their side of the split, written twice: the split and the order read the first table three times, the fit the second."""
+    rows = written(marts.churn_training(spark, sf_dir, orders), "churn-history")
     return written(canonical(time_split(rows, "as_of", "customer"), "customer"), "churn-rows")
 
 

@@ -161,9 +161,9 @@ def usual(rows: DataFrame, features: Sequence[str]) -> dict[str, float]:
     return models._ready(rows, features).agg(*[F.avg(c).alias(c) for c in features]).first().asDict()
 
 
-def train_churn(spark: SparkSession, sf_dir: str, registry: Registry, root: str, version: str, status: str = "active") -> None:
+def train_churn(spark: SparkSession, sf_dir: str, registry: Registry, root: str, version: str, status: str = "active", orders: DataFrame | None = None) -> None:
     """Fit on the earlier rows, register with threshold, base rate and the features' usual values measured there."""
-    rows = models.churn_rows(spark, sf_dir)
+    rows = models.churn_rows(spark, sf_dir, orders)
     train, held = rows.where(~F.col("held_out")), rows.where("held_out")
     model = models.fit_binary(train, models.CHURN, "churned")
     artifact = f"{root}/churn-{version}"
@@ -179,11 +179,11 @@ def train_churn(spark: SparkSession, sf_dir: str, registry: Registry, root: str,
     registry.register("churn_risk", version, status, task="binary", grain="customer", artifact=artifact, metrics={"recommended_threshold": best[1], "positive_rate": rate, **{f"usual.{k}": v or 0.0 for k, v in usual(train, models.CHURN).items()}}, features=list(models.CHURN))
 
 
-def score_churn(spark: SparkSession, sf_dir: str, registry: Registry, path: str, batch: str) -> DataFrame:
+def score_churn(spark: SparkSession, sf_dir: str, registry: Registry, path: str, batch: str, orders: DataFrame | None = None) -> DataFrame:
     """Score the current customers that the active version has not scored yet; returns all its predictions with their rank."""
     now = registry.active("churn_risk")
     model, seen = PipelineModel.load(now["artifact"]), predictions(spark, path).where((F.col("model_name") == "churn_risk") & (F.col("model_version") == now["version"]) & (F.col("source") == "churn_score"))
-    current = dialect.run(marts.PLANS["f06_churn_current"], spark, sf_dir).withColumn("entity_id", F.col("customer").cast("string"))
+    current = marts.churn_current(spark, sf_dir, orders).withColumn("entity_id", F.col("customer").cast("string"))
     todo = models.written(current.join(seen.select("entity_id"), "entity_id", "left_anti"), "churn-current")
     scored = models.score_binary(model, todo, now["features"]).withColumnRenamed("score", "prediction")
     why = explained(model, todo, now["features"], "entity_id", {k.removeprefix("usual."): v for k, v in now["metrics"].items()}, probability())
@@ -319,8 +319,9 @@ def _jobs(spark: SparkSession) -> tuple[Registry, str, str]:
 def m20_churn_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, register, score every current customer once, and rank: highest score first, ties by customer."""
     registry, root, path = _jobs(spark)
-    train_churn(spark, sf_dir, registry, root, "v1")
-    rows = score_churn(spark, sf_dir, registry, path, "pass-1")
+    orders = marts.customer_orders(spark, sf_dir)
+    train_churn(spark, sf_dir, registry, root, "v1", orders=orders)
+    rows = score_churn(spark, sf_dir, registry, path, "pass-1", orders)
     return rows.select(F.col("entity_id").cast("long").alias("customer"), F.col("prediction").alias("score"), "confidence", "explanation", "features")
 
 
@@ -333,8 +334,9 @@ def m21_forecast_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t15_model_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows as a stream, scored by the active version."""
     registry, root, path = _jobs(spark)
-    train_churn(spark, sf_dir, registry, root, "v1")
-    now, rows = registry.active("churn_risk"), models.written(dialect.run(marts.PLANS["f06_churn_current"], spark, sf_dir), "feature-stream")
+    orders = marts.customer_orders(spark, sf_dir)
+    train_churn(spark, sf_dir, registry, root, "v1", orders=orders)
+    now, rows = registry.active("churn_risk"), models.written(marts.churn_current(spark, sf_dir, orders), "feature-stream")
     rows.write.mode("overwrite").parquet(f"{root}/stream")
     score_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/stream"), PipelineModel.load(now["artifact"]), now["features"], "customer", path, "churn_risk", now["version"], "customer", f"{root}/checkpoint")
     return predictions(spark, path).select("entity_id", "prediction", "confidence", "source")
