@@ -245,6 +245,26 @@ def test_decontamination_finds_copies_with_words_put_in(spark):
     assert got[1, 1] == got[6, 1] == (24, 31, False) and got[2, 1] == (23, 31, False) and got[3, 2][2]
 
 
+def test_decontamination_makes_windows_of_many_texts_at_once(monkeypatch):
+    """Windows are hashed once for a block of texts, not per text, and are the same as those of each text alone; none goes over a text's end."""
+    texts = [t or "" for _, t in BENCH] + ["Ann Lee", "5 km", "we met Ann Lee 5 km from", "Old York. Ann walks 5", "km to Old York", "x"] + [f"word{i} and Tom Ray {i} km on" for i in range(200)]
+    words = [t.split() for t in texts if t.split()]
+    made = []
+    mix = decontam.mix
+    monkeypatch.setattr(decontam, "mix", lambda x: made.append(len(x)) or mix(x))
+
+    def places(several):
+        head = np.concatenate([np.arange(len(w)) == 0 for w in several])
+        flat, canon, out = [x for w in several for x in w], decontam.Canon(), [[] for _ in several]
+        for text, window in decontam._places(flat, head, *canon.ids(flat, head), [2, 5, 8], [2, 5, 8], None):
+            out[text].append(sorted(window.items(), key=str))
+        return [sorted(w, key=str) for w in out]
+
+    got = places(words)
+    assert len(made) < 30 < len(words)
+    assert got == [places([w])[0] for w in words]
+
+
 def test_decontamination_finds_planted_items(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [(r["item_id"], r["text"].split()) for r in bench.collect()]
