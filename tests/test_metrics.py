@@ -1,10 +1,13 @@
 """Metric functions against the SQL texts, and their arguments and edges."""
 
+import re
+
 import pytest
 
 import __spark_entry__
 from tests.test_plans import SF, duck, rows  # noqa: F401
 from tidewater.operators import metrics
+from tidewater.plans import dialect
 
 
 @pytest.mark.parametrize("name", sorted(metrics.QUERIES))
@@ -60,3 +63,20 @@ def test_orders_are_counted_once_per_category(spark):
     orders = spark.createDataFrame([(1, "x", "1997-01-01", 10, True, False), (1, "x", "1997-02-01", 5, True, False), (2, "y", "1997-01-01", 7, True, True), (3, "y", "1997-01-01", 2, True, False)], "order_id long, customer string, d string, pay int, is_delivered boolean, is_lost boolean")
     got = {tuple(r) for r in metrics.category_totals(lines, orders).collect()}
     assert got == {("a", 30.0, 1), ("b", 19.0, 2), (None, 30.0, 1)}
+
+
+@pytest.mark.parametrize("name", ["a16_weekly_category", "f04_forecast_next", "w05_ranks", "w06_lags"])
+@pytest.mark.parametrize("products", [1, 10**9])
+def test_tasks_that_meet_orders_grow_with_the_lines(spark, monkeypatch, name, products):
+    """More lines make more tasks, not larger ones, whatever the session's number of shuffle partitions; rows are the same."""
+    found = __spark_entry__.queries()[name]
+    want = sorted(map(str, found(spark, SF).collect()))
+    monkeypatch.setattr(dialect, "MANY_PRODUCTS", products)
+    monkeypatch.setattr(dialect, "TASK_LINES", 1000)
+    got = found(spark, SF)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    by_order = re.findall(r"Exchange hashpartitioning\((?:order_id|l_orderkey|o_orderkey)#\d+L?, (\d+)\)", plan)
+    assert n > 4 and by_order and set(by_order) == {str(n)}
+    assert bool(re.search(rf"hashpartitioning\((?:product_id|l_partkey)#\d+L?, {n}\)", plan)) == (products == 1)
+    assert sorted(map(str, got.collect())) == want

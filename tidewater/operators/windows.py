@@ -23,7 +23,8 @@ def _weekly(d):
         return """weekly AS (SELECT l.category, CAST(date_trunc('week', h.d) AS DATE) AS week, CAST(sum(l.price) AS DOUBLE) AS revenue, count(DISTINCT h.order_id) AS orders
     FROM lines l JOIN valid h ON l.order_id = h.order_id GROUP BY l.category, CAST(date_trunc('week', h.d) AS DATE))"""
     return f"""weekly AS (SELECT l.category, h.week, CAST(sum(l.price) AS DOUBLE) AS revenue, CAST(sum(l.opens * h.opens) AS BIGINT) AS orders
-    FROM (SELECT order_id, category, price, {opens('category')} AS opens FROM lines) l JOIN (SELECT order_id, week, {opens('week')} AS opens FROM (SELECT order_id, CAST(date_trunc('week', d) AS DATE) AS week FROM valid) v) h
+    FROM (SELECT order_id, category, price, {opens('category')} AS opens FROM (SELECT {d.by('order_id')} order_id, category, price FROM lines) x) l
+    JOIN (SELECT order_id, week, {opens('week')} AS opens FROM (SELECT {d.by('order_id')} order_id, CAST(date_trunc('week', d) AS DATE) AS week FROM valid) v) h
     ON l.order_id = h.order_id GROUP BY l.category, h.week)"""
 
 
@@ -36,8 +37,8 @@ def _category_ranks(d):
     if d.name != "spark":
         per = "SELECT l.category, sum(v.pay) AS revenue, count(DISTINCT v.order_id) AS orders FROM lines l JOIN valid v ON l.order_id = v.order_id GROUP BY l.category"
     else:
-        per = f"""SELECT l.category, sum(v.pay) AS revenue, sum(l.opens * v.opens) AS orders FROM (SELECT order_id, category, {opens('category')} AS opens FROM lines) l
-            JOIN (SELECT order_id, pay, CASE WHEN row_number() OVER (PARTITION BY order_id ORDER BY pay) = 1 THEN 1 ELSE 0 END AS opens FROM valid) v ON l.order_id = v.order_id GROUP BY l.category"""
+        per = f"""SELECT l.category, sum(v.pay) AS revenue, sum(l.opens * v.opens) AS orders FROM (SELECT order_id, category, {opens('category')} AS opens FROM (SELECT {d.by('order_id')} order_id, category FROM lines) x) l
+            JOIN (SELECT order_id, pay, CASE WHEN row_number() OVER (PARTITION BY order_id ORDER BY pay) = 1 THEN 1 ELSE 0 END AS opens FROM (SELECT {d.by('order_id')} order_id, pay FROM valid) y) v ON l.order_id = v.order_id GROUP BY l.category"""
     return f"SELECT category, CAST(rank() OVER (ORDER BY revenue DESC) AS BIGINT) AS by_revenue, CAST(rank() OVER (ORDER BY orders DESC) AS BIGINT) AS by_orders FROM ({per}) t"
 
 
