@@ -65,7 +65,7 @@ def test_orders_are_counted_once_per_category(spark):
     assert got == {("a", 30.0, 1), ("b", 19.0, 2), (None, 30.0, 1)}
 
 
-@pytest.mark.parametrize("name", ["a16_weekly_category", "f04_forecast_next", "w05_ranks", "w06_lags"])
+@pytest.mark.parametrize("name", ["a08_top_categories", "a16_weekly_category", "f04_forecast_next", "w05_ranks", "w06_lags", "l01_top_by_rank"])
 @pytest.mark.parametrize("products", [1, 10**9])
 def test_tasks_that_meet_orders_grow_with_the_lines(spark, monkeypatch, name, products):
     """More lines make more tasks, not larger ones, whatever the session's number of shuffle partitions; rows are the same."""

@@ -51,24 +51,27 @@ def series(orders: DataFrame, low: Day = None, high: Day = None) -> DataFrame:
     return daily_revenue(orders, low, high).select("d", "revenue").orderBy("d")
 
 
-def category_totals(lines: DataFrame, orders: DataFrame, low: Day = None, high: Day = None) -> DataFrame:
+def category_totals(lines: DataFrame, orders: DataFrame, low: Day = None, high: Day = None, tasks: int | None = None) -> DataFrame:
     """Revenue and distinct orders per category: an order's payment counts once per line of it. An order is counted at its first line of
-    a category and its first header row, both marked in the order that the join needs anyway."""
+    a category and its first header row, both marked in the order that the join needs anyway. Orders meet in ``tasks``, if given."""
     per = W.partitionBy("order_id")
-    once = between(orders, low, high).where(is_valid()).select("order_id", "pay", (F.row_number().over(per.orderBy("pay")) == 1).alias("_one"))
+    lines, orders = lines.select("order_id", "category"), between(orders, low, high).where(is_valid()).select("order_id", "pay")
+    if tasks:
+        lines, orders = (rows.repartition(tasks, "order_id") for rows in (lines, orders))
+    once = orders.select("order_id", "pay", (F.row_number().over(per.orderBy("pay")) == 1).alias("_one"))
     first = ~F.lag(F.struct("category")).over(per.orderBy("category")).eqNullSafe(F.struct("category"))
     marked = lines.select("order_id", "category", first.alias("_first"))
     return marked.join(once, "order_id").groupBy("category").agg(F.sum("pay").cast("double").alias("revenue"), F.count_if(F.col("_first") & F.col("_one")).alias("orders"))
 
 
-def top_categories(lines: DataFrame, orders: DataFrame, by: str = "revenue", limit: int = 10, low: Day = None, high: Day = None) -> DataFrame:
+def top_categories(lines: DataFrame, orders: DataFrame, by: str = "revenue", limit: int = 10, low: Day = None, high: Day = None, tasks: int | None = None) -> DataFrame:
     """The first ``limit`` (1 to 50) categories by revenue or orders, ties by name."""
     if by not in ("revenue", "orders") or not 1 <= limit <= MOST:
         raise ValueError(f"by is revenue or orders, limit 1 to {MOST}")
-    return category_totals(lines, orders, low, high).orderBy(F.desc(by), "category").limit(limit)
+    return category_totals(lines, orders, low, high, tasks).orderBy(F.desc(by), "category").limit(limit)
 
 
-def summary(orders: DataFrame, lines: DataFrame, low: Day = None, high: Day = None) -> DataFrame:
+def summary(orders: DataFrame, lines: DataFrame, low: Day = None, high: Day = None, tasks: int | None = None) -> DataFrame:
     """Revenue, orders and their ratio between two dates, beside customers, first and last day and top category of the whole history."""
     inside = is_valid()
     if low is not None:
@@ -83,7 +86,7 @@ def summary(orders: DataFrame, lines: DataFrame, low: Day = None, high: Day = No
         F.min(F.when(kept, F.col("d"))).alias("first_day"),
         F.max(F.when(kept, F.col("d"))).alias("last_day"),
     )
-    best = category_totals(lines, orders).agg(F.min_by("category", F.struct(-F.col("revenue"), "category")).alias("top_category"))
+    best = category_totals(lines, orders, tasks=tasks).agg(F.min_by("category", F.struct(-F.col("revenue"), "category")).alias("top_category"))
     return one.crossJoin(F.broadcast(best)).select("revenue", "orders", _ratio(F.col("revenue"), F.col("orders")).alias("aov"), "customers", "first_day", "last_day", "top_category")  # one row each
 
 
@@ -116,19 +119,19 @@ _orders, _preds = _table("header"), _table("preds")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialect.run(lambda d: "SELECT order_id, category FROM lines", spark, sf_dir)
+    return dialect.run(lambda d: f"SELECT {d.by('order_id')} order_id, category FROM lines", spark, sf_dir)
 
 
 QUERIES = {
     "a05_daily_revenue": lambda s, d: daily_revenue(_orders(s, d)),
     "a06_daily_orders": lambda s, d: daily_orders(_orders(s, d)),
     "a07_daily_aov": lambda s, d: daily_aov(_orders(s, d)),
-    "a08_top_categories": lambda s, d: category_totals(_lines(s, d), _orders(s, d)),
-    "a09_summary": lambda s, d: summary(_orders(s, d), _lines(s, d), "1997-01-01", "1998-12-31"),
+    "a08_top_categories": lambda s, d: category_totals(_lines(s, d), _orders(s, d), tasks=dialect.tasks(s, d)),
+    "a09_summary": lambda s, d: summary(_orders(s, d), _lines(s, d), "1997-01-01", "1998-12-31", dialect.tasks(s, d)),
     "a12_weekly": lambda s, d: weekly(_orders(s, d), 12),
     "a17_weekly_orders": lambda s, d: weekly(_orders(s, d)),
     "a18_at_risk_share": lambda s, d: at_risk_share(_preds(s, d), 0.9),
-    "l01_top_by_rank": lambda s, d: top_categories(_lines(s, d), _orders(s, d), "revenue", 5).select("category", "revenue"),
+    "l01_top_by_rank": lambda s, d: top_categories(_lines(s, d), _orders(s, d), "revenue", 5, tasks=dialect.tasks(s, d)).select("category", "revenue"),
     "l04_predictions": lambda s, d: newest(_preds(s, d), 50, "purchase").select("id", "entity", "score"),
     "l08_recent_scores": lambda s, d: newest(_preds(s, d), 20, "click").select("id", "score"),
     "l10_series": lambda s, d: series(_orders(s, d), "1997-01-01", "1997-12-31"),
