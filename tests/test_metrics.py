@@ -80,3 +80,28 @@ def test_tasks_that_meet_orders_grow_with_the_lines(spark, monkeypatch, name, pr
     assert n > 4 and by_order and set(by_order) == {str(n)}
     assert bool(re.search(rf"hashpartitioning\((?:product_id|l_partkey)#\d+L?, {n}\)", plan)) == (products == 1)
     assert sorted(map(str, got.collect())) == want
+
+
+@pytest.mark.parametrize("name", ["a08_top_categories", "a16_weekly_category", "f03_forecast", "f04_forecast_next", "w06_lags"])
+def test_many_shuffle_partitions_are_not_joined_to_large_tasks(spark, monkeypatch, name):
+    """With more shuffle partitions than the lines need, adaptive execution must not make one task a core of them."""
+    found, before = __spark_entry__.queries()[name], spark.conf.get("spark.sql.shuffle.partitions")
+    want = sorted(map(str, found(spark, SF).collect()))
+    monkeypatch.setattr(dialect, "TASK_LINES", 1000)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1000)
+    spark.conf.set("spark.sql.shuffle.partitions", 2 * n)
+    try:
+        got = found(spark, SF)
+        assert sorted(map(str, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    by_order = re.findall(r"Exchange hashpartitioning\((?:order_id|l_orderkey|o_orderkey)#\d+L?, (\d+)\), (\w+)", plan)
+    assert n > 4 and by_order and set(by_order) == {(str(n), "REPARTITION_BY_NUM")}
+
+
+@pytest.mark.parametrize("lines, want", [(10**9, None), (5000, 4), (1000, 6)])
+def test_tasks_are_one_a_core_at_least(spark, monkeypatch, lines, want):
+    monkeypatch.setattr(dialect, "TASK_LINES", lines)
+    assert spark.read.parquet(f"{SF}/lineitem.parquet").count() == 6000 and spark.sparkContext.defaultParallelism == 4
+    assert dialect.tasks(spark, SF) == want

@@ -162,10 +162,11 @@ def render(plan: Plan, dialect: Spark) -> str:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> int | None:
-    """Tasks of at most TASK_LINES lines, if these are more than the session's shuffle partitions; so what
-    a task sorts does not grow with the table. The count is read from the footers of the files."""
+    """Tasks of at most TASK_LINES lines, and one a core at least; None if one task can have all lines. The session's number of shuffle
+    partitions does not count: adaptive execution joins small partitions up to one a core, so that a task
+    would grow with the table. The count of lines is read from the footers of the files."""
     n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // TASK_LINES)
-    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+    return max(n, spark.sparkContext.defaultParallelism) if n > 1 else None
 
 
 def run(plan: Plan, spark: SparkSession, sf_dir: str) -> DataFrame:
