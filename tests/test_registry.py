@@ -1,5 +1,7 @@
 """Registry, prediction table and scoring jobs."""
 
+import re
+
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -84,3 +86,25 @@ def test_forecast_job(spark, tmp_path):
     assert rows_ and registry.score_forecast(spark, SF, r, path, "b").count() == len(rows_)
     for x in rows_:
         assert 0 <= x["lower_bound"] <= x["upper_bound"] and models.LOW <= x["confidence"] <= models.HIGH and set(x["explanation"]) == set(models.FORECAST)
+
+
+def test_forecast_job_meets_orders_in_small_tasks(spark, monkeypatch):
+    """Training and coming weeks are made in tasks of TASK_LINES lines, not in one task a core joined from many shuffle partitions."""
+    plans, write, before = {}, models.written, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def written(table, label):
+        plans[label] = table._jdf.queryExecution().executedPlan().toString()
+        return write(table, label)
+
+    monkeypatch.setattr(models, "written", written)
+    monkeypatch.setattr(dialect, "TASK_LINES", 1000)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1000)
+    spark.conf.set("spark.sql.shuffle.partitions", 2 * n)
+    try:
+        assert not registry.m21_forecast_job(spark, SF).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert n > 4 and set(plans) == {"forecast-rows", "forecast-next"}
+    for plan in plans.values():
+        dealt = re.findall(r"Exchange hashpartitioning\((?:order_id|l_orderkey|o_orderkey)#\d+L?, (\d+)\), (\w+)", plan)
+        assert dealt and all(int(parts) >= n and origin == "REPARTITION_BY_NUM" for parts, origin in dealt)
