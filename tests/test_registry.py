@@ -79,6 +79,26 @@ def test_scoring_jobs(spark, tmp_path):
     assert {x["entity_id"]: x["prediction"] for x in got} == want and len(got) == len(want)
 
 
+def test_churn_rank(spark, tmp_path, monkeypatch):
+    """A pass scores who is new; the rank is among all that the version scored, ties by customer, and rows of other sources have none."""
+    r, path = registry.Registry(spark, f"{tmp_path}/registry"), f"{tmp_path}/predictions"
+    registry.train_churn(spark, SF, r, str(tmp_path), "v1")
+    whole = marts.churn_current
+    monkeypatch.setattr(marts, "churn_current", lambda *a: whole(*a).where("customer % 3 = 0"))
+    first = registry.score_churn(spark, SF, r, path, "a").collect()
+    monkeypatch.setattr(marts, "churn_current", whole)
+    other = spark.createDataFrame([("-1", 0.999)], "entity_id string, prediction double")
+    registry.write_predictions(other, path, "churn_risk", "v1", "customer", "stream-0", "stream")
+    both = registry.score_churn(spark, SF, r, path, "b").collect()
+    assert 0 < len(first) < len(both) == whole(spark, SF).count() and {x["batch"] for x in both} == {"a", "b"}
+    for rows_ in (first, both):
+        order = sorted(rows_, key=lambda x: (-x["prediction"], int(x["entity_id"])))
+        assert [x["risk_rank"] for x in order] == list(range(1, len(rows_) + 1))
+    assert len({x["prediction"] for x in both}) < len(both)  # there are ties
+    now = r.active("churn_risk")
+    assert {(x["threshold"], x["base_rate"]) for x in both} == {(now["threshold"], now["base_rate"])}
+
+
 def test_forecast_job(spark, tmp_path):
     r, path = registry.Registry(spark, f"{tmp_path}/registry"), f"{tmp_path}/predictions"
     registry.train_forecast(spark, SF, r, str(tmp_path), "v1")

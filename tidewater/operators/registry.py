@@ -180,7 +180,8 @@ def train_churn(spark: SparkSession, sf_dir: str, registry: Registry, root: str,
 
 
 def score_churn(spark: SparkSession, sf_dir: str, registry: Registry, path: str, batch: str, orders: DataFrame | None = None) -> DataFrame:
-    """Score the current customers that the active version has not scored yet; returns all its predictions with their rank."""
+    """Score the current customers that the active version has not scored yet; returns all that it has scored in this and earlier passes, with
+    their rank among them and the version's threshold and base rate, as an event of the pass carries them."""
     now = registry.active("churn_risk")
     model, seen = PipelineModel.load(now["artifact"]), predictions(spark, path).where((F.col("model_name") == "churn_risk") & (F.col("model_version") == now["version"]) & (F.col("source") == "churn_score"))
     current = marts.churn_current(spark, sf_dir, orders).withColumn("entity_id", F.col("customer").cast("string"))
@@ -190,7 +191,14 @@ def score_churn(spark: SparkSession, sf_dir: str, registry: Registry, path: str,
     vector = F.create_map(*[x for f in now["features"] for x in (F.lit(f), F.coalesce(F.col(f).cast("double"), F.lit(0.0)))])
     if not todo.isEmpty():
         write_predictions(scored.withColumn("features", vector).select("entity_id", "prediction", "confidence", "features").join(why, "entity_id"), path, "churn_risk", now["version"], "customer", batch, "churn_score")
-    return predictions(spark, path).where((F.col("model_name") == "churn_risk") & (F.col("model_version") == now["version"]))
+    rows = predictions(spark, path).where((F.col("model_name") == "churn_risk") & (F.col("model_version") == now["version"]) & (F.col("source") == "churn_score"))
+    return ranked(rows).withColumn("threshold", F.lit(now["threshold"]).cast("double")).withColumn("base_rate", F.lit(now["base_rate"]).cast("double"))
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """Predictions with ``risk_rank``: highest first, ties by entity (numbers as such, before other names)."""
+    placed = rows.withColumn("_id", F.col("entity_id").try_cast("long"))
+    return rows.sparkSession.sql(marts._ranked(dialect.Spark(), "{rows}", "prediction", "_id NULLS LAST, s.entity_id", "risk_rank"), rows=placed).drop("_id", "bin")
 
 
 def train_forecast(spark: SparkSession, sf_dir: str, registry: Registry, root: str, version: str, status: str = "active") -> None:
@@ -322,7 +330,7 @@ def m20_churn_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = marts.customer_orders(spark, sf_dir)
     train_churn(spark, sf_dir, registry, root, "v1", orders=orders)
     rows = score_churn(spark, sf_dir, registry, path, "pass-1", orders)
-    return rows.select(F.col("entity_id").cast("long").alias("customer"), F.col("prediction").alias("score"), "confidence", "explanation", "features")
+    return rows.select(F.col("entity_id").cast("long").alias("customer"), F.col("prediction").alias("score"), "confidence", "risk_rank", "threshold", "base_rate", "explanation", "features")
 
 
 def m21_forecast_job(spark: SparkSession, sf_dir: str) -> DataFrame:
