@@ -1,8 +1,13 @@
+import datetime as dt
+import random
+
+import duckdb
 import pytest
 from pyspark.sql.types import StructType
 
 from tests.test_plans import SF, duck, rows  # noqa: F401
 from tidewater.operators import catalogue, rules
+from tidewater.plans import dialect
 
 
 def test_metrics_and_sources(spark):
@@ -16,6 +21,22 @@ def test_metrics_and_sources(spark):
         catalogue.metric(spark, SF, "unknown", "1995-01-01", "2002-01-01")
 
 
+@pytest.mark.parametrize("old", [[], [5.0, 5.01], [1.0, 2.0, 9e9], [-9e9, -0.01, 0.0, 0.01, None, 9e9], [7.77] * 30 + [9.0], "many"])
+def test_drift_of_payments(spark, tmp_path, old):
+    """Exact 1 % and 99 % points, and no task that holds every different payment, as Spark's percentile does."""
+    rng = random.Random(1)
+    old = [round(rng.choice([rng.uniform(0, 1e3), rng.gauss(0, 1e7), 42.0]), 2) for _ in range(3000)] if old == "many" else old
+    new = [round(rng.uniform(-10, 50_000), 2) for _ in range(200)] + [5.0, 5.01, 7.77, 8.0]
+    data = [(i, i, "F", x, dt.date(1996 if i < len(old) else 1999, 1, 1)) for i, x in enumerate([*old, *new])] + [(-1, 1, "F", 3.0, None)]
+    spark.createDataFrame(data, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.metric(spark, str(tmp_path), "model_drift_psi", "1996-01-01", "2024-01-20")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.execute(dialect.oracle(lambda d: catalogue.METRICS["model_drift_psi"].sql(d, "model_drift_psi", "1996-01-01", "2024-01-20"))).fetchall()
+    assert [tuple(r) for r in got.collect()] == want
+    assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rules(spark):
     events = {"score.churn": StructType.fromDDL("score double, entity string")}
     good = {"name": "a", "trigger": "score.churn", "when": "score >= 0.9 AND entity <> ''", "action": "note", "tier": "auto"}

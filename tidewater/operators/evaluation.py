@@ -14,9 +14,29 @@ def _auc(d):
         SELECT CAST(sum(p * (2 * below + n)) AS DOUBLE) / (2 * CAST(sum(p) AS DOUBLE) * CAST(sum(n) AS DOUBLE)) AS auc FROM c"""
 
 
+#: Cents of a cell in which payments are counted: no more cells than DECIMAL(12,2) has millions, no more values in one.
+CELL = 1_000_000
+
+
+def _edges(d):
+    """``q`` (lo, hi): the exact 1 % and 99 % points of the older half. For Spark, whose percentile holds every different value in the memory of one task:
+    cells of payments are counted, then the values of the cells that hold a wanted rank, four at most."""
+    if d.name != "spark":
+        return f"q AS (SELECT {d.percentile('v', 0.01)} AS lo, {d.percentile('v', 0.99)} AS hi FROM x WHERE old)"
+    ranks = [f"{f}((n - 1) * {p}E0)" for p in (0.01, 0.99) for f in ("floor", "ceil")]
+    holds = lambda m: [f"{m}_before <= {r} AND {r} < {m}_before + {m}" for r in ranks]
+    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    value = lambda i: f"CAST(max(CASE WHEN {holds('m')[i]} THEN c END) AS DOUBLE) / 100"
+    point = lambda i, p: f"CASE WHEN {ranks[i]} = {ranks[i + 1]} OR v{i} = v{i + 1} THEN v{i} ELSE ({ranks[i + 1]} - (n - 1) * {p}E0) * v{i} + ((n - 1) * {p}E0 - {ranks[i]}) * v{i + 1} END"
+    return f"""cents AS (SELECT CAST(v * 100 AS BIGINT) AS c, CAST(v * 100 AS BIGINT) div {CELL} AS cell FROM (SELECT pay AS v FROM header WHERE d < DATE '1998-01-01' AND pay IS NOT NULL) o),
+        cells AS (SELECT cell, k, coalesce(sum(k) OVER (ORDER BY cell {run}), 0) AS k_before, sum(k) OVER () AS n FROM (SELECT cell, count(*) AS k FROM cents GROUP BY cell) g),
+        held AS (SELECT c, m, n, k_before + coalesce(sum(m) OVER (PARTITION BY cell ORDER BY c {run}), 0) AS m_before FROM (SELECT /*+ BROADCAST(h) */ h.cell, h.n, h.k_before, c, count(*) AS m FROM cents JOIN (SELECT * FROM cells WHERE {' OR '.join(holds('k'))}) h ON cents.cell = h.cell GROUP BY h.cell, h.n, h.k_before, c) g),
+        q AS (SELECT {point(0, 0.01)} AS lo, {point(2, 0.99)} AS hi FROM (SELECT max(n) AS n, {', '.join(f'{value(i)} AS v{i}' for i in range(4))} FROM held) g)"""
+
+
 def psi(d):
     """Ten equal bins between the 1 % and 99 % points of the older half; values outside are dropped."""
-    return f"""WITH x AS (SELECT CAST(pay AS DOUBLE) AS v, d < DATE '1998-01-01' AS old FROM header), q AS (SELECT {d.percentile('v', 0.01)} AS lo, {d.percentile('v', 0.99)} AS hi FROM x WHERE old),
+    return f"""WITH x AS (SELECT CAST(pay AS DOUBLE) AS v, d < DATE '1998-01-01' AS old FROM header), {_edges(d)},
         b AS (SELECT old, least(CAST(floor((v - lo) * 10 / (hi - lo)) AS INT), 9) AS bin FROM x CROSS JOIN q WHERE v >= lo AND v <= hi), n AS (SELECT bin, CAST(count(*) FILTER (WHERE old) AS DOUBLE) AS r, CAST(count(*) FILTER (WHERE NOT old) AS DOUBLE) AS s FROM b GROUP BY bin),
         t AS (SELECT sum(r) AS tr, sum(s) AS ts FROM n), p AS (SELECT bin, r / tr + 0.0001 AS r, s / ts + 0.0001 AS s FROM n CROSS JOIN t)"""
 
