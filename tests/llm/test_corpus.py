@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.llm import chat, decontam, jaccard, toxicity, urls
-from tidewater.llm.common import keyed
+from tidewater.llm.common import keyed, small_join
 
 SF = "/root/testdata/sf0.01"
 
@@ -81,6 +81,62 @@ def test_jaccard_with_large_groups(spark, monkeypatch, frequent, listed, block):
     assert Counter(tuple(r) for r in jaccard.join_components(docs).collect()) == plain_components(rows)
 
 
+def test_frequent_tokens_come_packed(spark, monkeypatch):
+    """The driver gets the frequent tokens as arrays, not as a row each."""
+    kind, got = type(spark.range(1)), []
+
+    def counted(f):
+        def run(self, *a, **k):
+            rows = list(f(self, *a, **k))
+            got.extend(rows)
+            return rows
+
+        return run
+
+    for name in ("collect", "toLocalIterator"):
+        monkeypatch.setattr(kind, name, counted(getattr(kind, name)))
+    texts = [" ".join(f"w{i}" for i in range(4000))] * 20 + [" ".join(f"w{i}" for i in range(500))] * 20 + ["some other words that only one text has"]
+    ids, level = jaccard.frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    whole, part = ((s >> np.uint64(32)).astype(np.uint32) for s in jaccard.shingle_sets([texts[0], texts[20]]))
+    assert np.array_equal(ids, np.unique(whole)) and ids.dtype == np.uint32 and np.array_equal(level, np.where(np.isin(ids, part), 5, 4)) and level.dtype == np.uint8
+    assert 0 < len(got) < len(ids) / 10
+    none = jaccard.frequencies(spark.createDataFrame([("a b c",)], "text string"))
+    assert [len(x) for x in none] == [0, 0]
+
+
+def test_jaccard_broadcasts_little(spark, monkeypatch):
+    """Sides beyond LOOKUP_ROWS rows, counting the lists of earlier homes they carry, are shuffled, with the same links."""
+    rows = many(spark, 5, 3, 40, edits=4) + [(1000 + i, "the same few words stand here once and again", None) for i in range(5)]
+    docs, want = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), Counter(plain_components(rows))
+    seen, broadcast = [], F.broadcast
+
+    def watched(side):
+        seen.append(sum(1 + len(r["earlier"]) / 4 if "earlier" in side.columns else 1 for r in side.collect()))
+        return broadcast(side)
+
+    monkeypatch.setattr(jaccard, "FREQUENT_DF", 3)
+    monkeypatch.setattr(F, "broadcast", watched)
+    for most in (10, 200_000):
+        monkeypatch.setattr(jaccard, "LOOKUP_ROWS", most)
+        seen.clear()
+        assert Counter(tuple(r) for r in jaccard.join_components(docs).collect()) == want
+        assert max(seen, default=0) <= most
+    assert max(seen) > 10
+
+
+def test_large_lookups_are_never_broadcast(spark, tmp_path):
+    """The copies of a lookup's rows have a small file, so Spark would broadcast all of them."""
+    for name in ("big", "lookup"):
+        spark.range(2000).select((F.col("id") if name == "big" else F.col("id") + 1000).alias(name)).write.parquet(f"{tmp_path}/{name}")
+    big, lookup = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("big", "lookup"))
+    for how, rows in (("inner", 1000), ("left", 2000), ("left_anti", 1000)):
+        met = small_join(big, lookup, F.col("big") == F.col("lookup"), how, most=1999)
+        assert met.count() == rows
+        met.write.mode("overwrite").format("noop").save()
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in small_join(big, lookup, F.col("big") == F.col("lookup"), most=2000)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_jaccard_uses_combinations(spark):
     """Frequent tokens of the given tables are indexed by combinations, and these find homes."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, keyed, mix, scratch, shingle_sets, small_join, stage, without
+from .common import keyed, mix, scratch, shingle_sets, small_join, stage, without
 
 PART, WHOLE = 80, 100  # link when WHOLE * intersection >= PART * union
 COMBINE = 2  # k, the tokens of a combination; one more where it begins with a token of HOT_DF documents or more
@@ -67,6 +67,8 @@ RATIO = 1.26  # of the classes of sizes; above WHOLE / PART, so that sets which
 FREQUENT_DF, FREQUENT = 16, 2_000_000
 LIST = 32  # sets of a list up to which all its pairs are tried by their places
 BLOCK, BLOCK_TOKENS = 1024, 1 << 20  # sets and tokens of a block of a home
+LOOKUP_ROWS = 200_000  # of a side that is broadcast: the driver holds some of these at a time, each row about 200 bytes
+EARLIER = 4  # earlier homes that weigh as a row
 
 
 def most_missing(n: int) -> int:
@@ -146,11 +148,17 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield often(held)
 
     dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(deal, "bucket int, ids binary")
+    def pack(batches):
+        for b in batches:
+            level = np.log2(b.column(1).to_numpy()).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (b.column(0).to_numpy().astype("<u4").tobytes(), level.tobytes())], names=["ids", "level"])
+
     counts = stage(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "id long, n long"), "jaccard-counts")
     rows = counts.orderBy(F.desc("n"), "id").limit(FREQUENT) if counts.count() > FREQUENT else counts
-    found = np.array([tuple(r) for r in rows.select("id", "n").toLocalIterator()], dtype=np.int64).reshape(-1, 2)
-    found = found[np.argsort(found[:, 0])]
-    return found[:, 0].astype(np.uint32), np.log2(found[:, 1]).astype(np.uint8)
+    packed = rows.select("id", "n").mapInArrow(pack, "ids binary, level binary").collect()  # five bytes a token, not a row
+    ids, level = np.frombuffer(b"".join(r["ids"] for r in packed), "<u4"), np.frombuffer(b"".join(r["level"] for r in packed), np.uint8)
+    order = np.argsort(ids)
+    return ids[order], level[order]
 
 
 # --- signatures ---------------------------------------------------------------
@@ -296,7 +304,7 @@ def combined_homes(sets: DataFrame) -> DataFrame:
     runs = runs.select("n", "row", "key", "lower", (F.col("early") & (F.col("grade") == F.col("lower"))).alias("small"))
     lists = runs.groupBy(F.col("key").alias("_k"), F.col("lower").alias("_l")).agg(F.min(F.when(F.col("small"), F.struct("n", "row"))).alias("first"), F.max(F.when(F.col("small"), F.col("n"))).alias("top"), F.count("*").alias("m"))
     lists = stage(lists.where("m > 1 AND first IS NOT NULL").select("_k", "_l", "first", "top"), "jaccard-runs")
-    met = small_join(runs, lists, (F.col("key") == F.col("_k")) & (F.col("lower") == F.col("_l")))
+    met = small_join(runs, lists, (F.col("key") == F.col("_k")) & (F.col("lower") == F.col("_l")), most=LOOKUP_ROWS)
     met = met.where((F.col("small") | (F.col("n") > F.col("first.n"))) & (PART * F.col("n") <= WHOLE * F.col("top")))
     return met.select(F.col("first.n").alias("home_n"), F.col("first.row").alias("home"), "n", "row")
 
@@ -310,9 +318,10 @@ def homes(heads: DataFrame) -> DataFrame:
     own = stage(own.select("row", "n", F.col("h.home").alias("home"), F.col("before.home").alias("earlier")), "jaccard-own")
     sizes = stage(own.groupBy("home").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")), "jaccard-sizes")
     within = own.select("home", F.explode("earlier").alias("e")).groupBy("home", "e").count()
-    within = within.join(sizes, "home").where("count = sets").select(F.col("home").alias("_h")).distinct()
+    known = sizes.select(F.col("home").alias("_h"), "sets")
+    within = small_join(within, known, F.col("home") == F.col("_h"), most=LOOKUP_ROWS).where("count = sets").select("_h").distinct()
     left = stage(sizes.where("sets > 1").join(within, F.col("home") == F.col("_h"), "left_anti").withColumnRenamed("home", "_h"), "jaccard-left")
-    return small_join(own, left, F.col("home") == F.col("_h")).drop("_h")
+    return small_join(own, left, F.col("home") == F.col("_h"), most=LOOKUP_ROWS).drop("_h")
 
 
 # --- links --------------------------------------------------------------------
@@ -381,10 +390,11 @@ def links(homes: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     own = homes.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64("row"), F.col("_n")).cast("int"))
     own = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     own = own.select(F.col("row").alias("_r"), "home", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), (F.col("_b") > F.col("_o")).alias("side"), "earlier")
-    own = small_join(stage(own, "jaccard-units"), classes.select("cls", "c"), F.col("_r") == F.col("cls"), "left")
+    own = small_join(stage(own, "jaccard-units"), classes.select("cls", "c"), F.col("_r") == F.col("cls"), "left", most=LOOKUP_ROWS)
     own = stage(own.select("_r", "home", "lo", "hi", "side", "earlier", F.coalesce("c", F.lit(1)).alias("copies")), "jaccard-units")
     texts, on = rows.select("row", F.col("doc.text").cast("string").alias("text")), F.col("row") == F.col("_r")
-    units = texts.join(F.broadcast(own), on) if own.count() <= BROADCAST_ROWS else texts.join(own, on)
+    weight = own.agg(F.coalesce(F.sum(1 + F.size("earlier") / EARLIER), F.lit(0.0))).first()[0]
+    units = texts.join(F.broadcast(own) if weight <= LOOKUP_ROWS else own.hint("merge"), on)
     schema = pa.schema([("row", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
 
     def run(batches):
@@ -432,9 +442,11 @@ def components(links: DataFrame) -> DataFrame:
         if of is None:
             of = low.select(F.col("v").alias("row"), F.col("p").alias("comp"))
         else:
-            of = stage(of.join(low, F.col("comp") == F.col("v"), "left").select("row", F.coalesce("p", "comp").alias("comp")), "components-of")
+            of = stage(small_join(of, low, F.col("comp") == F.col("v"), "left", most=LOOKUP_ROWS).select("row", F.coalesce("p", "comp").alias("comp")), "components-of")
         a, b = low.select(F.col("v").alias("va"), F.col("p").alias("pa")), low.select(F.col("v").alias("vb"), F.col("p").alias("pb"))
-        moved = edges.join(a, F.col("a") == F.col("va")).join(b, F.col("b") == F.col("vb")).where("pa <> pb")
+        n = low.count()
+        moved = small_join(edges, a, F.col("a") == F.col("va"), rows=n, most=LOOKUP_ROWS)
+        moved = small_join(moved, b, F.col("b") == F.col("vb"), rows=n, most=LOOKUP_ROWS).where("pa <> pb")
         edges = stage(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "components-edges")
     return of if of is not None else links.select(F.col("a").alias("row"), F.col("a").alias("comp")).limit(0)
 
@@ -446,17 +458,18 @@ def join_rows(docs: DataFrame) -> DataFrame:
     full = sets.where("n > 0").select("row", "doc_id", "n", "sig")
     classes = full.groupBy(F.col("sig").alias("_s")).agg(F.min("row").alias("cls"), F.count("*").alias("c")).where("c > 1")
     classes = stage(classes, "jaccard-classes")
-    heads = small_join(sets.where("n > 0").select("row", "n", "sig", "singles", "runs", "early"), classes, F.col("sig") == F.col("_s"), "left").where("cls IS NULL OR cls = row").drop("sig", "_s", "cls", "c")
+    heads = small_join(sets.where("n > 0").select("row", "n", "sig", "singles", "runs", "early"), classes, F.col("sig") == F.col("_s"), "left", most=LOOKUP_ROWS).where("cls IS NULL OR cls = row").drop("sig", "_s", "cls", "c")
     found = links(homes(heads), docs, classes)
     of = components(found.select(F.col("row").alias("a"), F.col("to").alias("b")))
-    known = stage(of.join(found.groupBy("row").agg(F.sum("links").alias("links")), "row").withColumnRenamed("row", "_r"), "jaccard-known")
-    rows = small_join(full, classes, F.col("sig") == F.col("_s"), "left").select("row", "doc_id", "n", "cls", "c", F.coalesce("cls", "row").alias("head"))
-    rows = small_join(rows, known, F.col("head") == F.col("_r"), "left")
+    counted = found.groupBy(F.col("row").alias("_r")).agg(F.sum("links").alias("links"))
+    known = stage(small_join(counted, of, F.col("_r") == F.col("row"), most=LOOKUP_ROWS).select("_r", "comp", "links"), "jaccard-known")
+    rows = small_join(full, classes, F.col("sig") == F.col("_s"), "left", most=LOOKUP_ROWS).select("row", "doc_id", "n", "cls", "c", F.coalesce("cls", "row").alias("head"))
+    rows = small_join(rows, known, F.col("head") == F.col("_r"), "left", most=LOOKUP_ROWS)
     rows = rows.select("row", "doc_id", "n", F.coalesce("comp", "cls", "row").alias("comp"), F.coalesce("comp", "cls").isNotNull().alias("more"), (F.coalesce("c", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     rows = stage(rows, "jaccard-rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     lows = stage(rows.where("more").groupBy(F.col("comp").alias("_p")).agg(least.alias("low")), "jaccard-lows")
-    named = small_join(rows, lows, F.col("more") & (F.col("comp") == F.col("_p")), "left")
+    named = small_join(rows, lows, F.col("more") & (F.col("comp") == F.col("_p")), "left", most=LOOKUP_ROWS)
     named = named.select("row", "doc_id", "n", F.when(F.col("_p").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("component_id"), "n_links", F.coalesce("low.row", "row").alias("stays"))
     alone = sets.where("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("stays"))
     return named.unionByName(alone)
