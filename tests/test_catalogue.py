@@ -37,6 +37,15 @@ def test_drift_of_payments(spark, tmp_path, old):
     assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_products_are_not_broadcast(spark, monkeypatch):
+    plan = lambda d: "SELECT category, count(*) AS n FROM lines GROUP BY category"
+    few = dialect.run(plan, spark, SF)
+    monkeypatch.setattr(dialect, "MANY_PRODUCTS", 10)
+    many = dialect.run(plan, spark, SF)
+    assert sorted(many.collect()) == sorted(few.collect())
+    assert "Broadcast" in few._jdf.queryExecution().executedPlan().toString() and "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rules(spark):
     events = {"score.churn": StructType.fromDDL("score double, entity string")}
     good = {"name": "a", "trigger": "score.churn", "when": "score >= 0.9 AND entity <> ''", "action": "note", "tier": "auto"}
